@@ -205,3 +205,150 @@ SELECT Filter, Value, TRY_CAST(Value AS DOUBLE) AS Sort_Key FROM (
   WHERE Value IS NOT NULL) t"""))
 def q_filter_options(spark, sf_dir):
     return M.filter_options(sales_view(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- ABC, Pareto, bands, shares
+
+from salesspark.operators import distribution as D  # noqa: E402
+
+_ABC_SQL = with_view("""
+SELECT Rank, Product, Category, Net_Revenue, Cumulative_Revenue, Cumulative_Pct,
+  CASE WHEN Cumulative_Pct > -0.01 AND Cumulative_Pct <= 70 THEN 'A'
+       WHEN Cumulative_Pct > 70 AND Cumulative_Pct <= 90 THEN 'B'
+       WHEN Cumulative_Pct > 90 AND Cumulative_Pct <= 100.01 THEN 'C' END AS ABC_Class
+FROM (
+  SELECT Rank, Product, Category, CAST(rev AS DOUBLE) AS Net_Revenue, CAST(cum AS DOUBLE) AS Cumulative_Revenue,
+    CASE WHEN CAST(total AS DOUBLE) <> 0 THEN (100.0 * CAST(cum AS DOUBLE)) / CAST(total AS DOUBLE) ELSE 0.0 END
+      AS Cumulative_Pct
+  FROM (
+    SELECT Product, Category, rev,
+      SUM(rev) OVER (ORDER BY rev DESC NULLS LAST, Product ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+      ROW_NUMBER() OVER (ORDER BY rev DESC NULLS LAST, Product) AS Rank,
+      SUM(rev) OVER () AS total
+    FROM prod) r) c
+ORDER BY Rank""", """
+prod AS (SELECT Product, MIN(Category) AS Category, SUM(Net_Revenue) AS rev FROM sales GROUP BY Product)""")
+
+
+@register("abc", _ABC_SQL)
+def q_abc(spark, sf_dir):
+    return D.abc_analysis(view_for(spark, sf_dir, D.ABC_COLUMNS))
+
+
+@register("abc_summary", _ABC_SQL.replace("ORDER BY Rank", "").replace("WITH sales AS", "WITH sales AS", 1)
+          .replace("\nSELECT Rank, Product, Category, Net_Revenue, Cumulative_Revenue, Cumulative_Pct,",
+                   ", abc AS (SELECT Rank, Product, Category, Net_Revenue, Cumulative_Revenue, Cumulative_Pct,", 1)
+          + """)
+SELECT ABC_Class, COUNT(Product) AS Num_Products, SUM(Net_Revenue) AS Total_Revenue,
+  round((100.0 * SUM(Net_Revenue)) / NULLIF(SUM(SUM(Net_Revenue)) OVER (), 0), 1) AS Pct_Of_Revenue
+FROM abc WHERE ABC_Class IS NOT NULL GROUP BY ABC_Class ORDER BY ABC_Class""")
+def q_abc_summary(spark, sf_dir):
+    return D.abc_summary(D.abc_analysis(view_for(spark, sf_dir, D.ABC_COLUMNS)))
+
+
+_PARETO_CTE = """
+cust AS (SELECT Customer_Key, MIN(Customer) AS Customer, SUM(Net_Revenue) AS rev FROM sales GROUP BY Customer_Key),
+curve AS (
+  SELECT Rank, Customer_Key, Customer, CAST(rev AS DOUBLE) AS Net_Revenue,
+    (100.0 * CAST(cum AS DOUBLE)) / NULLIF(CAST(total AS DOUBLE), 0) AS Cumulative_Pct,
+    (100.0 * Rank) / n AS Customer_Rank_Pct
+  FROM (
+    SELECT Customer_Key, Customer, rev,
+      SUM(rev) OVER (ORDER BY rev DESC NULLS LAST, Customer_Key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+      ROW_NUMBER() OVER (ORDER BY rev DESC NULLS LAST, Customer_Key) AS Rank,
+      SUM(rev) OVER () AS total,
+      COUNT(*) OVER () AS n
+    FROM cust) r)"""
+
+
+@register("pareto_curve", with_view("SELECT * FROM curve ORDER BY Rank", _PARETO_CTE))
+def q_pareto_curve(spark, sf_dir):
+    return D.pareto_curve(view_for(spark, sf_dir, D.PARETO_COLUMNS))
+
+
+@register("pareto_top20", with_view("""
+SELECT COUNT(*) AS Customers, CAST(floor(COUNT(*) * 0.2) AS BIGINT) AS Top_Customers,
+  CASE WHEN SUM(Net_Revenue) IS NULL OR SUM(Net_Revenue) = 0 THEN 0.0
+       ELSE (100.0 * SUM(CASE WHEN Rank <= floor(n * 0.2) THEN Net_Revenue ELSE 0.0 END)) / SUM(Net_Revenue) END
+    AS Top_Share_Pct
+FROM (SELECT *, COUNT(*) OVER () AS n FROM curve) c""", _PARETO_CTE))
+def q_pareto_top20(spark, sf_dir):
+    return D.pareto_top_share(D.pareto_curve(view_for(spark, sf_dir, D.PARETO_COLUMNS)), 0.2)
+
+
+def _bands_sql(edges, labels, where=""):
+    lo, whens = "-0.01", []
+    for hi, label in zip(edges, labels):
+        whens.append(f"WHEN Discount_Amount * 100 > CAST({lo} AS DECIMAL(10,4)) * d "
+                     f"AND Discount_Amount * 100 <= CAST({hi} AS DECIMAL(10,4)) * d THEN '{label}'")
+        lo = str(hi)
+    band = "CASE " + " ".join(whens) + " END"
+    return with_view(f"""
+SELECT Discount_Band, Line_Items, Total_Discount, Total_Profit,
+  round(rr * 100.0, 2) AS Return_Rate,
+  round(Total_Profit / CASE WHEN Total_Discount = 0 THEN 1.0 ELSE Total_Discount END, 2) AS Profit_Per_Discount_Rupee
+FROM (
+  SELECT Discount_Band, COUNT(Sales_Amount) AS Line_Items,
+    CAST(SUM(Discount_Amount) AS DOUBLE) AS Total_Discount, CAST(SUM(Profit_Amount) AS DOUBLE) AS Total_Profit,
+    AVG(Is_Returned) AS rr
+  FROM (SELECT *, {band} AS Discount_Band
+        FROM (SELECT *, CASE WHEN Sales_Amount = 0 THEN 1 ELSE Sales_Amount END AS d FROM sales {where}) s) b
+  WHERE Discount_Band IS NOT NULL GROUP BY Discount_Band) t
+ORDER BY Discount_Band""")
+
+
+BAND_TEST_EDGES = (2.5, 5, 7.5, 100)
+
+
+@register("discount_bands", _bands_sql(BAND_TEST_EDGES, D.band_labels(BAND_TEST_EDGES)))
+def q_discount_bands(spark, sf_dir):
+    return D.discount_bands(view_for(spark, sf_dir, D.BAND_COLUMNS), edges=BAND_TEST_EDGES)
+
+
+@register("discount_bands_default", _bands_sql(D.DISCOUNT_BAND_EDGES, D.band_labels(D.DISCOUNT_BAND_EDGES)))
+def q_discount_bands_default(spark, sf_dir):
+    return D.discount_bands(view_for(spark, sf_dir, D.BAND_COLUMNS))
+
+
+_BREAKDOWN_CTE = """
+bd AS (SELECT {dim}, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue, CAST(SUM(Profit_Amount) AS DOUBLE) AS Profit,
+         COUNT(DISTINCT Order_ID) AS Orders, SUM(Quantity) AS Units FROM sales GROUP BY {dim})"""
+
+
+@register("category_margin", with_view("""
+SELECT *, round((100.0 * Profit) / NULLIF(Net_Revenue, 0), 2) AS Margin_Pct FROM bd
+ORDER BY Net_Revenue DESC NULLS LAST, Category""", _BREAKDOWN_CTE.format(dim="Category")))
+def q_category_margin(spark, sf_dir):
+    return D.category_margin(view_for(spark, sf_dir, ["Category"] + M.BREAKDOWN_COLUMNS))
+
+
+@register("region_share", with_view("""
+SELECT *, (100.0 * Net_Revenue) / NULLIF(SUM(Net_Revenue) OVER (), 0) AS Share_Pct FROM bd
+ORDER BY Net_Revenue DESC NULLS LAST, Region""", _BREAKDOWN_CTE.format(dim="Region")))
+def q_region_share(spark, sf_dir):
+    return D.share_of_total(M.sales_by_dimension(view_for(spark, sf_dir, ["Region"] + M.BREAKDOWN_COLUMNS), "Region"))
+
+
+@register("segment_aov", with_view("""
+SELECT *, round(Net_Revenue / CAST(NULLIF(Orders, 0) AS DOUBLE), 0) AS Avg_Order_Value FROM bd
+ORDER BY Net_Revenue DESC NULLS LAST, Segment""", _BREAKDOWN_CTE.format(dim="Segment")))
+def q_segment_aov(spark, sf_dir):
+    return M.breakdown_aov(M.sales_by_dimension(view_for(spark, sf_dir, ["Segment"] + M.BREAKDOWN_COLUMNS), "Segment"))
+
+
+@register("yoy", with_view("""
+SELECT Year, Net_Revenue, Profit, Orders, Prev_Year, Prev_Net_Revenue,
+  CASE WHEN Prev_Net_Revenue IS NULL THEN NULL WHEN Prev_Net_Revenue = 0 THEN 0.0
+       ELSE ((Net_Revenue - Prev_Net_Revenue) / Prev_Net_Revenue) * 100.0 END AS YoY_Growth_Pct,
+  CASE WHEN Prev_Net_Revenue IS NULL THEN NULL
+       WHEN (CASE WHEN Prev_Net_Revenue = 0 THEN 0.0
+                  ELSE ((Net_Revenue - Prev_Net_Revenue) / Prev_Net_Revenue) * 100.0 END) >= 0 THEN 'grew'
+       ELSE 'declined' END AS Direction
+FROM (
+  SELECT Year, Net_Revenue, Profit, Orders, LAG(Year) OVER (ORDER BY Year) AS Prev_Year,
+    LAG(Net_Revenue) OVER (ORDER BY Year) AS Prev_Net_Revenue
+  FROM (SELECT Year, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue, CAST(SUM(Profit_Amount) AS DOUBLE) AS Profit,
+          COUNT(DISTINCT Order_ID) AS Orders FROM sales GROUP BY Year) y) t
+ORDER BY Year"""))
+def q_yoy(spark, sf_dir):
+    return D.year_over_year(view_for(spark, sf_dir, M.TREND_COLUMNS))

@@ -21,9 +21,9 @@ sales AS (
     l.l_orderkey AS Order_ID,
     l.l_linenumber AS Order_Line_ID,
     {_DATE} AS Order_Date,
-    year({_DATE}) AS Year,
+    CAST(year({_DATE}) AS INTEGER) AS Year,
     'Q' || CAST(quarter({_DATE}) AS VARCHAR) AS Quarter,
-    month({_DATE}) AS Month,
+    CAST(month({_DATE}) AS INTEGER) AS Month,
     ([{_MONTHS}])[month({_DATE})] AS Month_Name,
     r.r_name AS Region,
     n.n_name AS Country,
