@@ -352,3 +352,78 @@ FROM (
 ORDER BY Year"""))
 def q_yoy(spark, sf_dir):
     return D.year_over_year(view_for(spark, sf_dir, M.TREND_COLUMNS))
+
+
+# ---------------------------------------------------------------- customers and churn
+
+from salesspark.operators import customers as C  # noqa: E402
+from salesspark.operators import basket as B  # noqa: E402
+
+
+@register("customer_features", with_view("""
+SELECT Customer_Key, Customer, Segment, Frequency, Monetary, Total_Profit, Customer_Rating,
+  CAST(date_diff('day', _last, MAX(_last) OVER ()) AS DOUBLE) AS Recency_Days,
+  CAST(date_diff('day', _first, _last) AS DOUBLE) AS Tenure_Days
+FROM (
+  SELECT Customer_Key, Customer, Segment, COUNT(DISTINCT Order_ID) AS Frequency,
+    CAST(SUM(Net_Revenue) AS DOUBLE) AS Monetary, CAST(SUM(Profit_Amount) AS DOUBLE) AS Total_Profit,
+    MIN(Order_Date) AS _first, MAX(Order_Date) AS _last, CAST(SUM(CAST(Customer_Rating AS DECIMAL(20,10))) AS DOUBLE) / CAST(COUNT(Customer_Rating) AS DOUBLE) AS Customer_Rating
+  FROM sales GROUP BY Customer_Key, Customer, Segment) t"""))
+def q_customer_features(spark, sf_dir):
+    return C.customer_features(view_for(spark, sf_dir, C.FEATURE_COLUMNS))
+
+
+_CHURN_CTE = """
+cut AS (SELECT MAX(Order_Date) - INTERVAL 180 DAY AS cutoff FROM sales),
+pre AS (SELECT Customer_Key, COUNT(DISTINCT Order_ID) AS Frequency, CAST(SUM(Net_Revenue) AS DOUBLE) AS Monetary,
+          CAST(SUM(CAST(Customer_Rating AS DECIMAL(20,10))) AS DOUBLE) / CAST(COUNT(Customer_Rating) AS DOUBLE) AS Customer_Rating, MIN(Order_Date) AS _first, MAX(Order_Date) AS _last
+        FROM sales, cut WHERE Order_Date <= cutoff GROUP BY Customer_Key),
+post AS (SELECT DISTINCT Customer_Key FROM sales, cut WHERE Order_Date > cutoff),
+churn AS (
+  SELECT pre.Customer_Key, Frequency, Monetary, Customer_Rating,
+    Monetary / CAST(CASE WHEN Frequency = 0 THEN 1 ELSE Frequency END AS DOUBLE) AS Avg_Order_Value,
+    CAST(date_diff('day', _first, _last) AS INTEGER) AS Tenure_Days,
+    CASE WHEN post.Customer_Key IS NULL THEN 1 ELSE 0 END AS Churned
+  FROM pre LEFT JOIN post ON pre.Customer_Key = post.Customer_Key)"""
+
+
+@register("churn_dataset", with_view("SELECT * FROM churn", _CHURN_CTE))
+def q_churn_dataset(spark, sf_dir):
+    return C.churn_dataset(view_for(spark, sf_dir, C.CHURN_COLUMNS))
+
+
+@register("churn_split", with_view("""
+SELECT Churned, Split, COUNT(*) AS Customers FROM (
+  SELECT Churned, CASE WHEN CAST(('0x' || substr(md5(CAST(Customer_Key AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 25
+                       THEN 'test' ELSE 'train' END AS Split
+  FROM churn) s GROUP BY Churned, Split ORDER BY Churned, Split""", _CHURN_CTE))
+def q_churn_split(spark, sf_dir):
+    from pyspark.sql import functions as F
+    return (C.holdout_split(C.churn_dataset(view_for(spark, sf_dir, C.CHURN_COLUMNS)))
+            .groupBy("Churned", "Split").agg(F.count(F.lit(1)).alias("Customers")).orderBy("Churned", "Split"))
+
+
+# ---------------------------------------------------------------- co-purchase
+
+@register("copurchase_top5", with_view("""
+SELECT Product, Rank, Recommended_Product, Co_Orders, round(s, 3) AS Similarity_Score FROM (
+  SELECT p AS Product, q AS Recommended_Product, co AS Co_Orders, s,
+    ROW_NUMBER() OVER (PARTITION BY p ORDER BY s DESC, q) AS Rank
+  FROM (SELECT p, q, co, co / sqrt(CAST(ca.n AS DOUBLE) * cb.n) AS s
+        FROM pairs JOIN cnt ca ON ca.Product = p JOIN cnt cb ON cb.Product = q) x) r
+WHERE Rank <= 5
+UNION ALL
+SELECT Product, CAST(k + i AS INTEGER) AS Rank, Recommended_Product, 0 AS Co_Orders, 0.0 AS Similarity_Score FROM (
+  SELECT s.Product, s.k, f.Product AS Recommended_Product,
+    ROW_NUMBER() OVER (PARTITION BY s.Product ORDER BY f.Product) AS i
+  FROM (SELECT c.Product, COALESCE(LEAST(d.deg, 5), 0) AS k FROM cnt c
+        LEFT JOIN (SELECT p, COUNT(*) AS deg FROM pairs GROUP BY p) d ON d.p = c.Product) s
+  JOIN (SELECT Product FROM cnt ORDER BY Product LIMIT 10) f ON f.Product <> s.Product
+  WHERE s.k < 5 AND NOT EXISTS (SELECT 1 FROM pairs WHERE p = s.Product AND q = f.Product)) t
+WHERE i <= 5 - k""", """
+basket AS (SELECT DISTINCT Order_ID, Product FROM sales)""", """
+cnt AS (SELECT Product, COUNT(*) AS n FROM basket GROUP BY Product)""", """
+pairs AS (SELECT a.Product AS p, b.Product AS q, COUNT(*) AS co
+          FROM basket a JOIN basket b ON a.Order_ID = b.Order_ID AND a.Product <> b.Product GROUP BY 1, 2)"""))
+def q_copurchase_top5(spark, sf_dir):
+    return B.copurchase_top(view_for(spark, sf_dir, B.BASKET_COLUMNS), 5)
