@@ -427,3 +427,64 @@ pairs AS (SELECT a.Product AS p, b.Product AS q, COUNT(*) AS co
           FROM basket a JOIN basket b ON a.Order_ID = b.Order_ID AND a.Product <> b.Product GROUP BY 1, 2)"""))
 def q_copurchase_top5(spark, sf_dir):
     return B.copurchase_top(view_for(spark, sf_dir, B.BASKET_COLUMNS), 5)
+
+
+# ---------------------------------------------------------------- forecast
+
+from salesspark.operators import forecast as FC  # noqa: E402
+
+
+def _forecast_ctes(series_expr: str, horizon: int = 6) -> tuple[str, ...]:
+    return (f"""
+monthly AS (SELECT {series_expr} AS Series, Year, Month, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue
+            FROM sales GROUP BY 1, 2, 3)""", """
+base AS (
+  SELECT *, AVG(t) OVER (PARTITION BY Series, Month) AS tm, AVG(Net_Revenue) OVER (PARTITION BY Series, Month) AS ym,
+         AVG(t) OVER (PARTITION BY Series) AS tbar, AVG(Net_Revenue) OVER (PARTITION BY Series) AS ybar
+  FROM (SELECT *, (Year - fy) * 12 + Month AS t
+        FROM (SELECT *, MIN(Year) OVER (PARTITION BY Series) AS fy, COUNT(*) OVER (PARTITION BY Series) AS nrows
+              FROM monthly) a WHERE nrows >= 12) b)""", """
+ser AS (
+  SELECT Series,
+    CASE WHEN SUM((t - tm) * (t - tm)) > 0 THEN SUM((t - tm) * (Net_Revenue - ym)) / SUM((t - tm) * (t - tm))
+         ELSE SUM((t - tbar) * (Net_Revenue - ybar)) / (1.0 + SUM((t - tbar) * (t - tbar))) END AS Slope,
+    MIN(fy) AS fy, MAX(t) AS last_t
+  FROM base GROUP BY Series)""", """
+lev AS (SELECT l.Series, l.Month, l.ym - s.Slope * l.tm AS level
+        FROM (SELECT DISTINCT Series, Month, tm, ym FROM base) l JOIN ser s ON s.Series = l.Series)""", """
+ml AS (SELECT Series, AVG(level) AS mean_level FROM lev GROUP BY Series)""", f"""
+fut AS (
+  SELECT Series, Slope, fy, mean_level, t, CAST(((t - 1) % 12) + 1 AS INTEGER) AS Month
+  FROM (SELECT s.Series, s.Slope, s.fy, m.mean_level, unnest(generate_series(s.last_t + 1, s.last_t + {horizon})) AS t
+        FROM ser s JOIN ml m ON m.Series = s.Series) g)""", """
+combined AS (
+  SELECT Series, Year, Month, Net_Revenue, 'Actual' AS Type FROM base
+  UNION ALL
+  SELECT f.Series, CAST(f.fy + (f.t - f.Month) // 12 AS INTEGER) AS Year, f.Month,
+    round(GREATEST(COALESCE(l.level, f.mean_level) + f.Slope * f.t, 0.0), 2) AS Net_Revenue, 'Forecast' AS Type
+  FROM fut f LEFT JOIN lev l ON l.Series = f.Series AND l.Month = f.Month)""")
+
+
+_FORECAST_SELECT = """
+SELECT Series, Year, Month, CAST(Year AS VARCHAR) || '-' || lpad(CAST(Month AS VARCHAR), 2, '0') AS Period,
+  Net_Revenue, Type FROM combined ORDER BY Series, Type, Year, Month"""
+
+
+@register("forecast_total", with_view(_FORECAST_SELECT, *_forecast_ctes("'All'")))
+def q_forecast_total(spark, sf_dir):
+    return FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS)), 6)[0]
+
+
+@register("forecast_by_region", with_view(_FORECAST_SELECT, *_forecast_ctes("Region")))
+def q_forecast_by_region(spark, sf_dir):
+    return FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS + ["Region"]), "Region"), 6)[0]
+
+
+@register("forecast_error", with_view(f"""
+SELECT Series, COUNT(*) AS Months, round(MIN(Slope), 2) AS Slope, round(AVG(e), 2) AS MAE,
+  round(AVG(e / GREATEST(ABS(Net_Revenue), {FC.EPS!r})) * 100.0, 4) AS MAPE
+FROM (SELECT b.Series, b.Net_Revenue, s.Slope, ABS(b.Net_Revenue - (l.level + s.Slope * b.t)) AS e
+      FROM base b JOIN lev l ON l.Series = b.Series AND l.Month = b.Month JOIN ser s ON s.Series = b.Series) x
+GROUP BY Series ORDER BY Series""", *_forecast_ctes("Region")))
+def q_forecast_error(spark, sf_dir):
+    return FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS + ["Region"]), "Region"), 6)[1]
