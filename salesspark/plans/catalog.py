@@ -488,3 +488,108 @@ FROM (SELECT b.Series, b.Net_Revenue, s.Slope, ABS(b.Net_Revenue - (l.level + s.
 GROUP BY Series ORDER BY Series""", *_forecast_ctes("Region")))
 def q_forecast_error(spark, sf_dir):
     return FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS + ["Region"]), "Region"), 6)[1]
+
+
+# ---------------------------------------------------------------- formatting and narrative
+
+from pyspark.sql import Window as _W  # noqa: E402
+from pyspark.sql import functions as _F  # noqa: E402
+
+from salesspark.functions import scalars as X  # noqa: E402
+from salesspark.operators import insights as N  # noqa: E402
+from salesspark.plans.oracle import sql_count, sql_inr, sql_pct, sql_safe_div  # noqa: E402
+
+
+@register("money_text", with_view(f"""
+SELECT Region, Net_Revenue, {sql_inr('Net_Revenue')} AS Revenue_Text, {sql_inr('Net_Revenue', 'Rs. ')} AS Revenue_Text_Ascii,
+  {sql_inr('Profit')} AS Profit_Text, {sql_count('Orders')} AS Orders_Text,
+  {sql_pct('m')} AS Margin_Text
+FROM (SELECT *, (100.0 * Profit) / NULLIF(Net_Revenue, 0) AS m FROM bd) t""",
+                                  _BREAKDOWN_CTE.format(dim="Region")))
+def q_money_text(spark, sf_dir):
+    bd = M.sales_by_dimension(view_for(spark, sf_dir, ["Region"] + M.BREAKDOWN_COLUMNS), "Region")
+    margin = _F.try_divide(_F.lit(100.0) * _F.col("Profit"), _F.col("Net_Revenue"))
+    return bd.select("Region", "Net_Revenue", X.format_inr("Net_Revenue").alias("Revenue_Text"),
+                     X.format_inr_ascii("Net_Revenue").alias("Revenue_Text_Ascii"),
+                     X.format_inr("Profit").alias("Profit_Text"), X.format_count("Orders").alias("Orders_Text"),
+                     X.format_pct(margin).alias("Margin_Text"))
+
+
+@register("delta_text", with_view("""
+SELECT Year, Month_Name, Short_Name,
+  CASE WHEN p IS NULL OR isnan(p) OR p = 0 OR c IS NULL THEN 'n/a'
+       ELSE trim((CASE WHEN 100.0 * (c - p) / p >= 0 THEN '▲' ELSE '▼' END) || ' ' || printf('%.1f', abs(100.0 * (c - p) / p)) || '% YoY') END
+    AS Delta_Text,
+  CASE WHEN p IS NULL OR isnan(p) OR p = 0 OR c IS NULL THEN 'neutral'
+       WHEN 100.0 * (c - p) / p >= 0 THEN 'pos' ELSE 'neg' END AS Sentiment
+FROM (SELECT Year, Month AS m, Month_Name, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][Month] AS Short_Name,
+        c, LAG(c) OVER (ORDER BY Year, Month) AS p
+      FROM (SELECT Year, Month, Month_Name, CAST(SUM(Net_Revenue) AS DOUBLE) AS c FROM sales GROUP BY 1, 2, 3) a) t"""))
+def q_delta_text(spark, sf_dir):
+    monthly = M.trend(view_for(spark, sf_dir, M.TREND_COLUMNS), "Month")
+    prev = _F.lag("Net_Revenue").over(_W.orderBy("Year", "Month"))
+    d = X.delta_string(_F.col("Net_Revenue"), prev, "YoY")
+    return monthly.select("Year", "Month_Name", X.month_short_name("Month").alias("Short_Name"),
+                          d["Delta_Text"].alias("Delta_Text"), d["Sentiment"].alias("Sentiment"))
+
+
+_INSIGHT_SQL = with_view(f"""
+SELECT 1 AS Insight_ID, 'yoy_growth_pct' AS Metric, growth AS Value,
+  'Net revenue ' || CASE WHEN growth >= 0 THEN 'grew' ELSE 'declined' END || ' ' || printf('%.1f', abs(growth))
+  || '% in ' || CAST(y AS VARCHAR) || ' versus ' || CAST(py AS VARCHAR) || ', closing the year at ' || {sql_inr('c')} || '.'
+  AS Text
+FROM (SELECT *, ({sql_safe_div('c - p', 'p')}) * 100.0 AS growth FROM pair WHERE n = 2) g
+UNION ALL
+SELECT 2, 'profit_margin_pct', profit_margin_pct,
+  'Overall profit margin stands at ' || {sql_pct('profit_margin_pct')} || ' on ' || {sql_inr('total_revenue')}
+  || ' in net revenue -- ' || CASE WHEN profit_margin_pct >= 15 THEN 'a healthy margin'
+                                   ELSE 'a margin worth monitoring closely' END || '.'
+FROM kpi
+UNION ALL
+SELECT 3, 'leading_region_share_pct', share,
+  COALESCE(region, 'None') || ' is the leading region, contributing ' || {sql_pct('share')} || ' of total revenue ('
+  || {sql_inr('top')} || ').'
+FROM (SELECT *, ({sql_safe_div('top', 'total')}) * 100.0 AS share FROM lead WHERE n > 0) l
+UNION ALL
+SELECT 4, 'class_a_revenue_pct', pr,
+  'Just ' || printf('%.0f', pp) || '% of products (Class A) generate ' || printf('%.0f', pr)
+  || '% of revenue -- a concentration worth protecting with supply-chain priority.'
+FROM (SELECT ({sql_safe_div('na', 'n')}) * 100.0 AS pp, ({sql_safe_div('reva', 'rev')}) * 100.0 AS pr
+      FROM conc WHERE n > 0) c
+UNION ALL
+SELECT 5, 'return_rate_pct', return_rate_pct,
+  CASE WHEN return_rate_pct > 8 THEN 'Return rate is elevated at ' || {sql_pct('return_rate_pct')}
+         || ' -- worth cross-checking against discount depth, a pattern previously linked to return spikes in this dataset.'
+       ELSE 'Return rate is within a normal range at ' || {sql_pct('return_rate_pct')} || '.' END
+FROM kpi
+ORDER BY Insight_ID""", f"kpi AS ({_KPI_SQL_SELECT.format(where='')})", """
+pair AS (
+  SELECT MAX(CASE WHEN r = 1 THEN Year END) AS y, MAX(CASE WHEN r = 1 THEN Net_Revenue END) AS c,
+         MAX(CASE WHEN r = 2 THEN Year END) AS py, MAX(CASE WHEN r = 2 THEN Net_Revenue END) AS p, COUNT(*) AS n
+  FROM (SELECT Year, Net_Revenue, ROW_NUMBER() OVER (ORDER BY Year DESC) AS r
+        FROM (SELECT Year, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue FROM sales GROUP BY Year) y) t
+  WHERE r <= 2)""", """
+rg AS (SELECT Region, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue FROM sales GROUP BY Region)""", """
+lead AS (
+  SELECT (SELECT Region FROM rg ORDER BY Net_Revenue DESC NULLS LAST, Region ASC NULLS FIRST LIMIT 1) AS region,
+         MAX(Net_Revenue) AS top, SUM(Net_Revenue) AS total, COUNT(*) AS n
+  FROM rg)""", """
+prod AS (SELECT Product, MIN(Category) AS Category, SUM(Net_Revenue) AS rev FROM sales GROUP BY Product)""", """
+abc AS (
+  SELECT CAST(rev AS DOUBLE) AS Net_Revenue,
+    CASE WHEN pc > -0.01 AND pc <= 70 THEN 'A' WHEN pc > 70 AND pc <= 90 THEN 'B'
+         WHEN pc > 90 AND pc <= 100.01 THEN 'C' END AS ABC_Class
+  FROM (SELECT rev, CASE WHEN CAST(total AS DOUBLE) <> 0 THEN (100.0 * CAST(cum AS DOUBLE)) / CAST(total AS DOUBLE)
+                         ELSE 0.0 END AS pc
+        FROM (SELECT rev, SUM(rev) OVER (ORDER BY rev DESC NULLS LAST, Product
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+                     SUM(rev) OVER () AS total FROM prod) a) b)""", """
+conc AS (
+  SELECT COUNT(*) AS n, COUNT(CASE WHEN ABC_Class = 'A' THEN 1 END) AS na, SUM(Net_Revenue) AS rev,
+         SUM(CASE WHEN ABC_Class = 'A' THEN Net_Revenue ELSE 0.0 END) AS reva
+  FROM abc)""")
+
+
+@register("insights", _INSIGHT_SQL)
+def q_insights(spark, sf_dir):
+    return N.executive_summary(view_for(spark, sf_dir, N.INSIGHT_COLUMNS))

@@ -64,3 +64,35 @@ def with_view(body: str, *ctes: str) -> str:
     """``WITH sales AS (...), <ctes> <body>``."""
     parts = [SALES_VIEW_SQL] + [c.strip() for c in ctes]
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+def sql_fixed(x: str, decimals: int = 2, grouping: bool = False) -> str:
+    x = f"CAST({x} AS DOUBLE)"
+    return f"format('{{:,.{decimals}f}}', {x})" if grouping else f"printf('%.{decimals}f', {x})"
+
+
+def sql_missing(x: str) -> str:
+    return f"({x} IS NULL OR isnan({x}))"
+
+
+def sql_inr(x: str, symbol: str = "₹") -> str:
+    """SQL twin of ``salesspark.functions.scalars.format_inr``."""
+    a = f"abs({x})"
+    return (f"CASE WHEN {sql_missing(x)} THEN '{symbol}0.00' ELSE "
+            f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END) || '{symbol}' || "
+            f"CASE WHEN {a} >= 10000000 THEN {sql_fixed(a + ' / 10000000')} || ' Cr' "
+            f"WHEN {a} >= 100000 THEN {sql_fixed(a + ' / 100000')} || ' L' "
+            f"ELSE {sql_fixed(a, 2, True)} END END")
+
+
+def sql_pct(x: str, decimals: int = 2) -> str:
+    return f"CASE WHEN {sql_missing(x)} THEN '0.00%' ELSE {sql_fixed(x, decimals)} || '%' END"
+
+
+def sql_count(x: str, decimals: int = 0) -> str:
+    return f"CASE WHEN {sql_missing(x)} THEN '0' ELSE {sql_fixed(x, decimals, True)} END"
+
+
+def sql_safe_div(n: str, d: str, default: str = "0.0") -> str:
+    return (f"CASE WHEN {sql_missing('CAST(' + d + ' AS DOUBLE)')} OR {d} = 0 THEN {default} "
+            f"ELSE CAST({n} AS DOUBLE) / CAST({d} AS DOUBLE) END")
