@@ -593,3 +593,63 @@ conc AS (
 @register("insights", _INSIGHT_SQL)
 def q_insights(spark, sf_dir):
     return N.executive_summary(view_for(spark, sf_dir, N.INSIGHT_COLUMNS))
+
+
+# ---------------------------------------------------------------- questions
+
+from salesspark.operators import questions as Q  # noqa: E402
+from salesspark.sources.tables import read_table  # noqa: E402
+
+
+def _user_questions(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations").filter(_F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+def _parsed(spark, sf_dir):
+    vocab = Q.vocabulary(view_for(spark, sf_dir, list(Q.VOCAB_FIELDS)))
+    return Q.parse_questions(_user_questions(spark, sf_dir), vocab)
+
+
+def _sql_any(words):
+    return " OR ".join(f"contains(low, '{w}')" for w in words)
+
+
+def _question_parse_sql() -> str:
+    metric = "CASE " + " ".join(f"WHEN {_sql_any(ws)} THEN '{m}'" for m, ws in Q.METRIC_KEYWORDS.items()) + " END"
+    dim = "CASE " + " ".join(f"WHEN {_sql_any(ws)} THEN '{d}'" for d, ws in Q.DIMENSION_PHRASES.items()) + " END"
+    months = [m.lower() for m in __import__("salesspark.schema", fromlist=["MONTH_NAMES"]).MONTH_NAMES]
+    month = "CASE " + " ".join(f"WHEN contains(low, '{m}') THEN {i + 1}" for i, m in enumerate(months)) + " END"
+    vocab = " UNION ALL ".join(f"SELECT DISTINCT '{f}' AS f, CAST({f} AS VARCHAR) AS v FROM sales WHERE {f} IS NOT NULL"
+                               for f in Q.VOCAB_FIELDS)
+    picks = ",\n  ".join(f"(SELECT MIN(v) FROM voc WHERE f = '{f}' AND contains(q.low, lower(v))) AS {f}"
+                         for f in Q.VOCAB_FIELDS)
+    return with_view(f"""
+SELECT conv_id, turn, COALESCE(mh, 'Net_Revenue') AS Metric, Dimension, Region, Category, Channel, Segment,
+  Quarter, Year, Month,
+  concat_ws(', ', mh, 'Region=' || Region, 'Category=' || Category, 'Channel=' || Channel, 'Segment=' || Segment,
+            'Quarter=' || Quarter, 'Year=' || CAST(Year AS VARCHAR),
+            'Month=' || upper(substr(mname, 1, 1)) || substr(mname, 2)) AS Recognized_Terms
+FROM (
+  SELECT conv_id, turn, {metric} AS mh, {dim} AS Dimension,
+  {picks},
+  CASE WHEN regexp_extract(low, '{Q.QUARTER_PATTERN}', 1) <> ''
+       THEN 'Q' || regexp_extract(low, '{Q.QUARTER_PATTERN}', 1) END AS Quarter,
+  CASE WHEN regexp_extract(low, '{Q.YEAR_PATTERN}', 1) <> ''
+       THEN CAST(regexp_extract(low, '{Q.YEAR_PATTERN}', 1) AS INTEGER) END AS Year,
+  CAST({month} AS INTEGER) AS Month,
+  ['{"', '".join(months)}'][{month}] AS mname
+  FROM q) p""", f"voc AS ({vocab})",
+                     "q AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user')")
+
+
+@register("question_parse", _question_parse_sql())
+def q_question_parse(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    return p.select("conv_id", "turn", "Metric", "Dimension", *Q.FILTER_FIELDS,
+                    _F.concat_ws(", ", "Recognized_Terms").alias("Recognized_Terms"))
+
+
+@register("question_answers")
+def q_question_answers(spark, sf_dir):
+    view = view_for(spark, sf_dir, Q.ANSWER_COLUMNS)
+    return Q.answer_questions(_parsed(spark, sf_dir), view, ["conv_id", "turn"])
