@@ -653,3 +653,84 @@ def q_question_parse(spark, sf_dir):
 def q_question_answers(spark, sf_dir):
     view = view_for(spark, sf_dir, Q.ANSWER_COLUMNS)
     return Q.answer_questions(_parsed(spark, sf_dir), view, ["conv_id", "turn"])
+
+
+# ---------------------------------------------------------------- models
+
+from salesspark.operators import anomaly as AN  # noqa: E402
+from salesspark.operators import churn as CH  # noqa: E402
+from salesspark.operators import segments as SG  # noqa: E402
+
+_FEATURES_CTE = """
+feat AS (
+  SELECT Customer_Key, Customer, Segment, Frequency, Monetary,
+    CAST(date_diff('day', _last, MAX(_last) OVER ()) AS DOUBLE) AS Recency_Days
+  FROM (SELECT Customer_Key, Customer, Segment, COUNT(DISTINCT Order_ID) AS Frequency,
+          CAST(SUM(Net_Revenue) AS DOUBLE) AS Monetary, MAX(Order_Date) AS _last
+        FROM sales GROUP BY Customer_Key, Customer, Segment) t)"""
+
+
+@register("rfm_scores", with_view("""
+SELECT Customer_Key, Recency_Days, Frequency, Monetary, round(zr, 6) AS Z_Recency, round(zf, 6) AS Z_Frequency,
+  round(zm, 6) AS Z_Monetary, round((zr + zf + zm) / 3, 6) AS Composite_Score
+FROM (
+  SELECT Customer_Key, Recency_Days, Frequency, Monetary,
+    (-Recency_Days - AVG(-Recency_Days) OVER ()) / COALESCE(NULLIF(STDDEV_POP(-Recency_Days) OVER (), 0), 1.0) AS zr,
+    (Frequency - AVG(CAST(Frequency AS DOUBLE)) OVER ())
+      / COALESCE(NULLIF(STDDEV_POP(CAST(Frequency AS DOUBLE)) OVER (), 0), 1.0) AS zf,
+    (Monetary - AVG(Monetary) OVER ()) / COALESCE(NULLIF(STDDEV_POP(Monetary) OVER (), 0), 1.0) AS zm
+  FROM feat) z""", _FEATURES_CTE))
+def q_rfm_scores(spark, sf_dir):
+    s = SG.rfm_scores(C.customer_features(view_for(spark, sf_dir, C.FEATURE_COLUMNS)))
+    return s.select("Customer_Key", "Recency_Days", "Frequency", "Monetary",
+                    *[_F.round(c, 6).alias(c) for c in SG.Z + ["Composite_Score"]])
+
+
+@register("rfm_segments")
+def q_rfm_segments(spark, sf_dir):
+    seg = SG.segment_customers(C.customer_features(view_for(spark, sf_dir, C.FEATURE_COLUMNS)))
+    return seg.select("Customer_Key", "Customer", "Segment", "Recency_Days", "Frequency", "Monetary",
+                      "Cluster", "RFM_Segment")
+
+
+@register("segment_profile")
+def q_segment_profile(spark, sf_dir):
+    return SG.segment_profile(SG.segment_customers(C.customer_features(view_for(spark, sf_dir, C.FEATURE_COLUMNS))))
+
+
+def _churn(spark, sf_dir):
+    labeled = C.churn_dataset(view_for(spark, sf_dir, C.CHURN_COLUMNS))
+    return labeled, CH.train_churn(labeled)
+
+
+@register("churn_risk")
+def q_churn_risk(spark, sf_dir):
+    labeled, model = _churn(spark, sf_dir)
+    return CH.predict_risk(model, labeled)
+
+
+@register("churn_metrics")
+def q_churn_metrics(spark, sf_dir):
+    return _churn(spark, sf_dir)[1].metrics
+
+
+@register("churn_importance")
+def q_churn_importance(spark, sf_dir):
+    return _churn(spark, sf_dir)[1].importance
+
+
+@register("risk_tiers")
+def q_risk_tiers(spark, sf_dir):
+    labeled, model = _churn(spark, sf_dir)
+    return CH.risk_tier_counts(CH.predict_risk(model, labeled))
+
+
+@register("anomalies")
+def q_anomalies(spark, sf_dir):
+    scored = AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS))
+    return scored.filter(_F.col("Is_Anomaly")).orderBy("Anomaly_Score")
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, sf_dir):
+    return AN.anomaly_summary(AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS)))
