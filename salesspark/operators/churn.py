@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -38,7 +39,9 @@ def _prepare(labeled: DataFrame) -> DataFrame:
 
 def train_churn(labeled: DataFrame, trees: int = 200, depth: int = 6, seed: int = 42,
                 test_pct: int = 25) -> ChurnModel:
-    split = holdout_split(_prepare(labeled), test_pct=test_pct).withColumn("label", F.col("Churned").cast("double"))
+    # One row per customer, read by several jobs below (counts, fit, metrics): keep it.
+    split = (holdout_split(_prepare(labeled), test_pct=test_pct).withColumn("label", F.col("Churned").cast("double"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
     counts = {(r["Split"], r["Churned"]): r["n"] for r in
               split.groupBy("Split", "Churned").agg(F.count(F.lit(1)).alias("n")).collect()}
     for part in ("train", "test"):

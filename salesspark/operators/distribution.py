@@ -37,8 +37,8 @@ def abc_analysis(view: DataFrame, filters: dict | None = None) -> DataFrame:
     products = (apply_filters(view, filters).groupBy("Product")
                 .agg(F.min("Category").alias("Category"), F.sum("Net_Revenue").alias("_revenue")))
     ranked = running_total(products, "_revenue", [F.col("_revenue").desc_nulls_last(), F.col("Product").asc()],
-                           out="_cumulative", rank="Rank")
-    total = _total(products, "_revenue").cast("double")
+                           out="_cumulative", rank="Rank", total="_total")
+    total = F.col("_total").cast("double")
     cum_pct = F.when(total != 0, (F.lit(100.0) * F.col("_cumulative").cast("double")) / total).otherwise(F.lit(0.0))
     return (ranked.select(
         "Rank", "Product", "Category",
@@ -80,9 +80,10 @@ def pareto_curve(view: DataFrame, filters: dict | None = None, top_n: int | None
     order = [F.col("_revenue").desc_nulls_last(), F.col("Customer_Key").asc()]
     if top_n:
         customers = customers.orderBy(*order).limit(int(top_n))
-    ranked = running_total(customers, "_revenue", order, out="_cumulative", rank="Rank")
-    total = _total(customers, "_revenue").cast("double")
-    count = customers.select(F.count(F.lit(1))).scalar()
+    ranked = running_total(customers, "_revenue", order, out="_cumulative", rank="Rank", total="_total",
+                           count="_count")
+    total = F.col("_total").cast("double")
+    count = F.col("_count")
     return ranked.select(
         "Rank", "Customer_Key", "Customer",
         F.col("_revenue").cast("double").alias("Net_Revenue"),

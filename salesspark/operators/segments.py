@@ -8,6 +8,8 @@ lowest cost wins; clusters are ranked by their mean composite (mean z-score).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -24,12 +26,13 @@ def rfm_scores(features: DataFrame) -> DataFrame:
     """Adds Z_Recency (of -Recency), Z_Frequency, Z_Monetary and Composite_Score."""
     base = features.fillna(0, RFM).withColumn("_neg_recency", -F.col("Recency_Days").cast("double"))
     axes = {"Z_Recency": "_neg_recency", "Z_Frequency": "Frequency", "Z_Monetary": "Monetary"}
-    stats = base.agg(*[agg for src in axes.values() for agg in (
-        F.avg(F.col(src).cast("double")).alias("_m_" + src), F.stddev_pop(F.col(src).cast("double")).alias("_s_" + src))])
+    # One scalar subquery returning a struct: the statistics are computed in a single pass.
+    stats = base.select(F.struct(*[agg for src in axes.values() for agg in (
+        F.avg(F.col(src).cast("double")).alias("m_" + src),
+        F.stddev_pop(F.col(src).cast("double")).alias("s_" + src))]).alias("s")).scalar()
     out = base
     for z, src in axes.items():
-        mean = stats.select("_m_" + src).scalar()
-        std = stats.select("_s_" + src).scalar()
+        mean, std = stats.getField("m_" + src), stats.getField("s_" + src)
         scale = F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std)
         out = out.withColumn(z, (F.col(src).cast("double") - mean) / scale)
     return out.withColumn("Composite_Score", (F.col(Z[0]) + F.col(Z[1]) + F.col(Z[2])) / 3).drop("_neg_recency")
@@ -42,14 +45,19 @@ def segment_customers(features: DataFrame, k: int = 4, restarts: int = 10, seed:
     scored = VectorAssembler(inputCols=Z, outputCol="_features").transform(rfm_scores(features))
     # Persisted for the restarts; a lost block is recomputed from lineage.
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(int(restarts)):
+    scored.count()
+
+    def fit(i: int):
         model = KMeans(k=int(k), seed=int(seed) + i, featuresCol="_features", predictionCol="Cluster",
                        maxIter=300, tol=1e-4).fit(scored)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    clustered = best[1].transform(scored).drop("_features")
+        return model.summary.trainingCost, i, model
+
+    # Restarts are independent Spark jobs: submit them concurrently so the
+    # scheduler interleaves their (small) stages instead of idling between them.
+    with ThreadPoolExecutor(max_workers=min(int(restarts), 4)) as pool:
+        fits = list(pool.map(fit, range(int(restarts))))
+    best = min(fits, key=lambda f: (f[0], f[1]))
+    clustered = best[2].transform(scored).drop("_features")
     # k rows: rank clusters by mean composite score and attach labels (broadcast of <= 4 rows).
     ranks = (clustered.groupBy("Cluster").agg(F.avg("Composite_Score").alias("_mean_score"))
              .withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_mean_score").desc(), "Cluster"))))

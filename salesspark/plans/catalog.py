@@ -406,7 +406,7 @@ def q_churn_split(spark, sf_dir):
 # ---------------------------------------------------------------- co-purchase
 
 @register("copurchase_top5", with_view("""
-SELECT Product, Rank, Recommended_Product, Co_Orders, round(s, 3) AS Similarity_Score FROM (
+SELECT Product, CAST(Rank AS INTEGER) AS Rank, Recommended_Product, Co_Orders, round(s, 3) AS Similarity_Score FROM (
   SELECT p AS Product, q AS Recommended_Product, co AS Co_Orders, s,
     ROW_NUMBER() OVER (PARTITION BY p ORDER BY s DESC, q) AS Rank
   FROM (SELECT p, q, co, co / sqrt(CAST(ca.n AS DOUBLE) * cb.n) AS s

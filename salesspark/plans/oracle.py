@@ -11,9 +11,9 @@ from salesspark.schema import MONTH_NAMES
 _MONTHS = ", ".join(f"'{m}'" for m in MONTH_NAMES)
 _DATE = "CAST(o.o_orderdate AS DATE)"
 _SALES = "CAST(l.l_extendedprice AS DECIMAL(12,2))"
-_DISC = f"CAST({_SALES} * CAST(l.l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4))"
-_COST = (f"CAST({_SALES} * (CAST(50 + 5 * (l.l_partkey % 11) AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(3,2)))"
-         " AS DECIMAL(18,4))")
+_DISC = f"CAST({_SALES} * CAST(l.l_discount AS DECIMAL(4,2)) AS DECIMAL(16,4))"
+_COST = (f"CAST({_SALES} * CAST(CAST(50 + 5 * (l.l_partkey % 11) AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(3,2))"
+         " AS DECIMAL(3,2)) AS DECIMAL(16,4))")
 
 SALES_VIEW_SQL = f"""
 sales AS (
@@ -46,7 +46,7 @@ sales AS (
     {_DISC} AS Discount_Amount,
     {_COST} AS Cost_Amount,
     {_SALES} - {_DISC} - {_COST} AS Profit_Amount,
-    CAST({_SALES} * CAST(l.l_tax AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS Shipping_Cost,
+    CAST({_SALES} * CAST(l.l_tax AS DECIMAL(4,2)) AS DECIMAL(16,4)) AS Shipping_Cost,
     {_SALES} - {_DISC} AS Net_Revenue,
     o.o_orderstatus AS Payment_Mode,
     CAST(l.l_returnflag = 'R' AS INTEGER) AS Is_Returned

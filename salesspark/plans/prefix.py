@@ -23,8 +23,11 @@ from salesspark.session import ensure_checkpoint_dir
 
 
 def running_total(df: DataFrame, value: str, order: list[Column], out: str = "Running_Total",
-                  rank: str | None = None, ranges: int | None = None) -> DataFrame:
-    """Add ``out`` (running sum of ``value`` in ``order``) and optionally ``rank`` (1-based row number).
+                  rank: str | None = None, ranges: int | None = None, total: str | None = None,
+                  count: str | None = None) -> DataFrame:
+    """Add ``out`` (running sum of ``value`` in ``order``) and optionally ``rank`` (1-based row
+    number), ``total`` (grand total) and ``count`` (number of rows) - the last two come from
+    the per-range sums, so they cost no extra pass over the data.
 
     ``order`` must be a total order (include a unique tie-break column) for the
     result to be deterministic.
@@ -48,6 +51,12 @@ def running_total(df: DataFrame, value: str, order: list[Column], out: str = "Ru
            .withColumn(out, F.col("_sum_offset") + F.sum(value).over(local)))
     if rank:
         res = res.withColumn(rank, F.col("_row_offset") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    if total or count:
+        grand = per_range.select(F.struct(F.sum("_range_sum").alias("t"), F.sum("_range_rows").alias("n"))).scalar()
+        if total:
+            res = res.withColumn(total, grand.getField("t"))
+        if count:
+            res = res.withColumn(count, grand.getField("n"))
     return res.drop("_range", "_sum_offset", "_row_offset")
 
 
