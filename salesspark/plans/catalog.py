@@ -734,3 +734,62 @@ def q_anomalies(spark, sf_dir):
 @register("anomaly_summary")
 def q_anomaly_summary(spark, sf_dir):
     return AN.anomaly_summary(AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS)))
+
+
+# ---------------------------------------------------------------- reshapes and per-unit KPIs
+
+from salesspark.plans.export import pivot_wide  # noqa: E402
+
+
+@register("revenue_region_by_year", with_view("""
+SELECT * FROM (PIVOT (SELECT Region, CAST(Year AS VARCHAR) AS Year, CAST(SUM(Net_Revenue) AS DOUBLE) AS r
+                      FROM sales GROUP BY Region, Year)
+               ON Year USING SUM(r) GROUP BY Region) p ORDER BY Region"""))
+def q_revenue_region_by_year(spark, sf_dir):
+    long = (view_for(spark, sf_dir, ["Region", "Year", "Net_Revenue"]).groupBy("Region", "Year")
+            .agg(_F.sum("Net_Revenue").cast("double").alias("Net_Revenue"))
+            .withColumn("Year", _F.col("Year").cast("string")))
+    return pivot_wide(long, "Region", "Year", "Net_Revenue")
+
+
+@register("kpi_per_unit", with_view(f"""
+SELECT total_revenue, total_customers, total_products,
+  {sql_safe_div('total_revenue', 'total_customers')} AS revenue_per_customer,
+  {sql_safe_div('total_revenue', 'total_products')} AS revenue_per_product
+FROM ({_KPI_SQL_SELECT.format(where="WHERE Segment = 'AUTOMOBILE'")}) k"""))
+def q_kpi_per_unit(spark, sf_dir):
+    f = {"Segment": "AUTOMOBILE"}
+    k = M.per_unit_kpis(M.kpi_summary(view_for(spark, sf_dir, M.KPI_COLUMNS, f), f))
+    return k.select("total_revenue", "total_customers", "total_products", "revenue_per_customer", "revenue_per_product")
+
+
+@register("dashboard_delta", with_view("""
+SELECT
+  CASE WHEN p IS NULL OR p = 0 THEN 'n/a'
+       ELSE trim((CASE WHEN 100.0 * (tr - p) / p >= 0 THEN '▲' ELSE '▼' END) || ' '
+                 || printf('%.1f', abs(100.0 * (tr - p) / p)) || '% YoY') END AS Revenue_Delta,
+  CASE WHEN p IS NULL OR p = 0 THEN 'neutral' WHEN 100.0 * (tr - p) / p >= 0 THEN 'pos' ELSE 'neg' END
+    AS Revenue_Sentiment,
+  CASE WHEN pp IS NULL OR pp = 0 THEN 'n/a'
+       ELSE trim((CASE WHEN 100.0 * (tp - pp) / pp >= 0 THEN '▲' ELSE '▼' END) || ' '
+                 || printf('%.1f', abs(100.0 * (tp - pp) / pp)) || '% YoY') END AS Profit_Delta,
+  CASE WHEN pp IS NULL OR pp = 0 THEN 'neutral' WHEN 100.0 * (tp - pp) / pp >= 0 THEN 'pos' ELSE 'neg' END
+    AS Profit_Sentiment
+FROM (SELECT CAST(SUM(Net_Revenue) AS DOUBLE) AS tr, CAST(SUM(Profit_Amount) AS DOUBLE) AS tp FROM sales
+      WHERE Region = 'AMERICA') k,
+     (SELECT MAX(CASE WHEN r = 2 THEN nr END) AS p, MAX(CASE WHEN r = 2 THEN pr END) AS pp
+      FROM (SELECT CAST(SUM(Net_Revenue) AS DOUBLE) AS nr, CAST(SUM(Profit_Amount) AS DOUBLE) AS pr,
+                   ROW_NUMBER() OVER (ORDER BY Year DESC) AS r
+            FROM sales WHERE Region = 'AMERICA' GROUP BY Year) y) s"""))
+def q_dashboard_delta(spark, sf_dir):
+    f = {"Region": "AMERICA"}
+    return N.dashboard_delta(view_for(spark, sf_dir, N.INSIGHT_COLUMNS, f), f)
+
+
+@register("abc_class_a_top20", _ABC_SQL.replace("ORDER BY Rank", "WHERE ABC_Class = 'A' ORDER BY Rank LIMIT 20")
+          .replace("\nSELECT Rank, Product, Category, Net_Revenue, Cumulative_Revenue, Cumulative_Pct,\n  CASE",
+                   "\nSELECT * FROM (SELECT Rank, Product, Category, Net_Revenue, Cumulative_Revenue, Cumulative_Pct,\n  CASE", 1)
+          .replace("    FROM prod) r) c\n", "    FROM prod) r) c) x\n", 1))
+def q_abc_class_a_top20(spark, sf_dir):
+    return D.abc_analysis(view_for(spark, sf_dir, D.ABC_COLUMNS)).filter(_F.col("ABC_Class") == "A") \
+        .orderBy("Rank").limit(20)
