@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference pulls data on page load and refreshes a one-hour result cache; it
+has no streaming sources, watermarks, windows over event time or stateful
+operators, so there is nothing to rebuild with Structured Streaming. Result
+reuse is ``salesspark.sources.view.cache_view`` / ``refresh_view``.
+"""
