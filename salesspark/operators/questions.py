@@ -139,94 +139,133 @@ def _filter_description(default: str) -> Column:
     return F.when(joined == "", F.lit(default)).otherwise(joined)
 
 
-def _sets(masks: list[int], extra: list[str] | None = None) -> list[list[Column]]:
-    n = len(FILTER_FIELDS)
-    out = []
-    for m in masks:
-        cols = [F.col(c) for i, c in enumerate(FILTER_FIELDS) if not (m >> (n - 1 - i)) & 1]
-        out.append(cols + [F.col(e) for e in (extra or [])])
-    return out
-
-
 def _join_keys(q: DataFrame, agg: DataFrame) -> Column:
-    cond = q["_mask"] == agg["_gid"]
+    cond = q["_gid"] == agg["_gid"]
     for c in FILTER_FIELDS:
         cond = cond & q[c].eqNullSafe(agg[c])
     return cond
 
 
 def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) -> DataFrame:
-    """(key columns, Metric, Dimension, Answer_Value, Leader, Answer) for every parsed question."""
-    q = parsed.select(*key_cols, "Metric", "Dimension", *FILTER_FIELDS, _mask(FILTER_FIELDS).alias("_mask"))
-    breakdown = F.col("Dimension").isNotNull() & F.col("Metric").isin(*BREAKDOWN_METRICS)
-    kpi_q = q.filter(~breakdown)
-    bd_q = q.filter(breakdown)
+    """(key columns, Metric, Dimension, Answer_Value, Leader, Answer) for every parsed question.
 
+    One pass over the view: every KPI mask and every (mask, dimension) pair present
+    becomes one grouping set of a single ``groupingSets`` aggregation.
+    """
+    breakdown = F.col("Dimension").isNotNull() & F.col("Metric").isin(*BREAKDOWN_METRICS)
+    q = parsed.select(*key_cols, "Metric", "Dimension", *FILTER_FIELDS, _mask(FILTER_FIELDS).alias("_mask"),
+                      F.when(breakdown, F.col("Dimension")).alias("_bd"))
     # Filter masks and (mask, dimension) pairs present: at most 128 and 640 values.
-    plan_rows = q.select("_mask", F.when(breakdown, F.col("Dimension")).alias("_dim")).distinct().collect()
+    plan_rows = q.select("_mask", "_bd").distinct().collect()
+    dims = sorted({r["_bd"] for r in plan_rows if r["_bd"] is not None})
+    d = len(dims)
+    dv = {dim: f"_dv{i}" for i, dim in enumerate(dims)}
+    n = len(FILTER_FIELDS)
+
+    def gid(mask: int, dim: str | None) -> int:
+        absent = sum(1 << (d - 1 - i) for i, x in enumerate(dims) if x != dim)
+        return (mask << d) | absent
+
+    sets, seen = [], set()
+    for r in plan_rows:
+        g = gid(r["_mask"], r["_bd"])
+        if g in seen:
+            continue
+        seen.add(g)
+        cols = [F.col(c) for i, c in enumerate(FILTER_FIELDS) if not (r["_mask"] >> (n - 1 - i)) & 1]
+        sets.append(cols + ([F.col(dv[r["_bd"]])] if r["_bd"] is not None else []))
+    gid_of_question = F.col("_mask") * F.lit(1 << d) + F.coalesce(
+        *[F.when(F.col("_bd") == dim, F.lit(gid(0, dim))) for dim in dims], F.lit(gid(0, None)))
+    q = q.withColumn("_gid", gid_of_question)
+
+    widened = view.select(*FILTER_FIELDS, *[F.col(dim).cast("string").alias(dv[dim]) for dim in dims],
+                          "Net_Revenue", "Profit_Amount", "Order_ID", "Quantity", "Is_Returned")
+    groups = (widened.groupingSets(sets, *FILTER_FIELDS, *[dv[x] for x in dims])
+              .agg(F.grouping_id().alias("_gid"),
+                   money_sum("Net_Revenue").alias("Net_Revenue"),
+                   money_sum("Profit_Amount").alias("Profit"),
+                   F.count_distinct("Order_ID").cast("double").alias("Orders"),
+                   F.sum("Quantity").cast("double").alias("Units"),
+                   F.count(F.lit(1)).alias("_lines"),
+                   F.sum("Is_Returned").alias("_returned")))
+    is_bd = F.lit(False)
+    key = F.lit(None).cast("string")
+    for dim in dims:
+        bit = 1 << (d - 1 - dims.index(dim))
+        present = (F.col("_gid").bitwiseAND(F.lit(bit)) == 0)
+        is_bd = is_bd | present
+        key = F.when(present, F.col(dv[dim])).otherwise(key)
     parts = []
 
-    kpi_masks = sorted({r["_mask"] for r in plan_rows if r["_dim"] is None})
-    if kpi_masks:
-        kpis = (view.groupingSets(_sets(kpi_masks), *FILTER_FIELDS)
-                .agg(F.grouping_id().alias("_gid"),
-                     money_sum("Net_Revenue").alias("total_revenue"),
-                     money_sum("Profit_Amount").alias("total_profit"),
-                     F.count_distinct("Order_ID").alias("total_orders"),
-                     F.count(F.lit(1)).alias("total_line_items"),
-                     F.sum("Is_Returned").alias("returned")))
-        joined = kpi_q.join(kpis, _join_keys(kpi_q, kpis), "left").select(kpi_q["*"], *[
-            kpis[c] for c in ("total_revenue", "total_profit", "total_orders", "total_line_items", "returned")])
-        value = F.coalesce(
-            F.when(F.col("Metric") == "Net_Revenue", F.col("total_revenue"))
-            .when(F.col("Metric") == "Profit", F.col("total_profit"))
-            .when(F.col("Metric") == "Orders", F.col("total_orders").cast("double"))
-            .when(F.col("Metric") == "Units", F.col("total_line_items").cast("double"))
-            .otherwise(F.when(F.col("total_line_items") > 0,
-                              F.lit(100.0) * F.col("returned") / F.col("total_line_items").cast("double"))),
-            F.lit(0.0))
-        label = F.coalesce(*[F.when(F.col("Metric") == m, F.lit(lbl)) for m, (_, lbl, _) in KPI_ANSWER.items()],
-                           F.lit("net revenue"))
-        is_pct = F.col("Metric") == "Return_Rate"
-        value_text = F.when(is_pct, F.concat(F.regexp_replace(F.format_number(value, 2), ",", ""), F.lit("%"))) \
-            .otherwise(F.format_number(value, 0))
-        note = F.when(F.col("Dimension").isNotNull(), F.concat(
-            F.lit(" (A per-"), F.col("Dimension"), F.lit(" breakdown isn't available for "), label,
-            F.lit(", so this is the overall figure.)"))).otherwise(F.lit(""))
-        parts.append(joined.select(
-            *key_cols, "Metric", "Dimension", value.alias("Answer_Value"), F.lit(None).cast("string").alias("Leader"),
-            F.concat(F.lit("The "), label, F.lit(" for "), _filter_description("across all data"),
-                     F.lit(" is **"), value_text, F.lit("**."), note).alias("Answer")))
-
-    for dim in sorted({r["_dim"] for r in plan_rows if r["_dim"] is not None}):
-        masks = sorted({r["_mask"] for r in plan_rows if r["_dim"] == dim})
-        # The dimension may also be a filter column, so group by a copy of it.
-        groups = (view.withColumn("_dv", F.col(dim).cast("string"))
-                  .groupingSets(_sets(masks, ["_dv"]), *FILTER_FIELDS, "_dv")
-                  .agg((F.grouping_id() / 2).cast("long").alias("_gid"),
-                       money_sum("Net_Revenue").alias("Net_Revenue"),
-                       money_sum("Profit_Amount").alias("Profit"),
-                       F.count_distinct("Order_ID").cast("double").alias("Orders"),
-                       F.sum("Quantity").cast("double").alias("Units")))
-        key = F.col("_dv")
-        leaders = groups.groupBy("_gid", *FILTER_FIELDS).agg(*[
+    kpi_q = q.filter(F.col("_bd").isNull())
+    kpis = groups.filter(~is_bd)
+    joined = kpi_q.join(kpis, _join_keys(kpi_q, kpis), "left").select(
+        kpi_q["*"], *[kpis[c] for c in ("Net_Revenue", "Profit", "Orders", "_lines", "_returned")])
+    value = F.coalesce(
+        F.when(F.col("Metric") == "Net_Revenue", F.col("Net_Revenue"))
+        .when(F.col("Metric") == "Profit", F.col("Profit"))
+        .when(F.col("Metric") == "Orders", F.col("Orders"))
+        .when(F.col("Metric") == "Units", F.col("_lines").cast("double"))
+        .otherwise(F.when(F.col("_lines") > 0, F.lit(100.0) * F.col("_returned") / F.col("_lines").cast("double"))),
+        F.lit(0.0))
+    label = F.coalesce(*[F.when(F.col("Metric") == m, F.lit(lbl)) for m, (_, lbl, _) in KPI_ANSWER.items()],
+                       F.lit("net revenue"))
+    value_text = F.when(F.col("Metric") == "Return_Rate",
+                        F.concat(F.regexp_replace(F.format_number(value, 2), ",", ""), F.lit("%"))) \
+        .otherwise(F.format_number(value, 0))
+    note = F.when(F.col("Dimension").isNotNull(), F.concat(
+        F.lit(" (A per-"), F.col("Dimension"), F.lit(" breakdown isn't available for "), label,
+        F.lit(", so this is the overall figure.)"))).otherwise(F.lit(""))
+    parts.append(joined.select(
+        *key_cols, "Metric", "Dimension", value.alias("Answer_Value"), F.lit(None).cast("string").alias("Leader"),
+        F.concat(F.lit("The "), label, F.lit(" for "), _filter_description("across all data"),
+                 F.lit(" is **"), value_text, F.lit("**."), note).alias("Answer")))
+
+    if dims:
+        bd_groups = groups.filter(is_bd).withColumn("_key", key)
+        leaders = bd_groups.groupBy("_gid", *FILTER_FIELDS).agg(*[
             agg for m in BREAKDOWN_METRICS for agg in (
-                F.min_by(key, F.struct(-F.col(m), key.isNotNull(), key)).alias("_lead_" + m),
+                F.min_by("_key", F.struct(-F.col(m), F.col("_key").isNotNull(), F.col("_key"))).alias("_lead_" + m),
                 F.max(m).alias("_top_" + m))])
-        dq = bd_q.filter(F.col("Dimension") == dim)
-        joined = dq.join(leaders, _join_keys(dq, leaders), "left").select(
-            dq["*"], *[leaders[c] for c in leaders.columns if c.startswith(("_lead_", "_top_"))])
+        bd_q = q.filter(F.col("_bd").isNotNull())
+        joined = bd_q.join(leaders, _join_keys(bd_q, leaders), "left").select(
+            bd_q["*"], *[leaders[c] for c in leaders.columns if c.startswith(("_lead_", "_top_"))])
         found = F.col("_top_Net_Revenue").isNotNull()
         leader = F.coalesce(*[F.when(F.col("Metric") == m, F.col("_lead_" + m)) for m in BREAKDOWN_METRICS])
         value = F.coalesce(*[F.when(F.col("Metric") == m, F.col("_top_" + m)) for m in BREAKDOWN_METRICS])
         parts.append(joined.select(
             *key_cols, "Metric", "Dimension", value.alias("Answer_Value"), leader.alias("Leader"),
             F.when(~found, F.lit("No matching data was found for that question.")).otherwise(F.concat(
-                F.lit(f"Breakdown by {dim} for "), _filter_description("all data"), F.lit(": **"),
-                F.coalesce(leader, F.lit("None")), F.lit("** leads with "), F.regexp_replace(F.col("Metric"), "_", " "),
-                F.lit(" of "), F.format_number(value, 0), F.lit("."))).alias("Answer")))
-
-    if not parts:
-        return q.select(*key_cols, "Metric", "Dimension", F.lit(None).cast("double").alias("Answer_Value"),
-                        F.lit(None).cast("string").alias("Leader"), F.lit(None).cast("string").alias("Answer"))
+                F.lit("Breakdown by "), F.col("Dimension"), F.lit(" for "), _filter_description("all data"),
+                F.lit(": **"), F.coalesce(leader, F.lit("None")), F.lit("** leads with "),
+                F.regexp_replace(F.col("Metric"), "_", " "), F.lit(" of "), F.format_number(value, 0),
+                F.lit("."))).alias("Answer")))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# Templates of the data-derived question bank.
+QUESTION_TEMPLATES = [
+    "Show revenue in the {Region} region for {Quarter} {Year}",
+    "What is the return rate for the {Channel} channel in {Year}?",
+    "profit by category for {Segment} customers in {Quarter}",
+    "Top products by units in {Region} during {Month}",
+    "How many orders did {Segment} customers place by region in {Year}?",
+    "revenue by salesperson for the {Channel} channel",
+    "top customer by profit in {Month} {Year}",
+    "returns by region for {Segment} in {Quarter} {Year}",
+]
+BANK_COLUMNS = ["Region", "Segment", "Year", "Quarter", "Channel", "Month_Name"]
+
+
+def question_bank(view: DataFrame) -> DataFrame:
+    """One question per (Region, Segment, Year, Quarter) present in the data, worded by a
+    template chosen from the combination (Question_ID, text)."""
+    combos = (view.groupBy("Region", "Segment", "Year", "Quarter")
+              .agg(F.min("Channel").alias("Channel"), F.min("Month_Name").alias("Month")))
+    pick = (F.col("Year") * 7 + F.substring("Quarter", 2, 1).cast("int") * 3 + F.length("Region")
+            + F.length("Segment")) % len(QUESTION_TEMPLATES)
+    text = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TEMPLATES]), pick + 1)
+    for field in ("Region", "Segment", "Year", "Quarter", "Channel", "Month"):
+        text = F.replace(text, F.lit("{" + field + "}"), F.col(field).cast("string"))
+    qid = F.concat_ws("|", "Region", "Segment", F.col("Year").cast("string"), "Quarter")
+    return combos.select(qid.alias("Question_ID"), text.alias("text"))

@@ -614,7 +614,9 @@ def _sql_any(words):
     return " OR ".join(f"contains(low, '{w}')" for w in words)
 
 
-def _question_parse_sql() -> str:
+def _parse_ctes(source: str, keys: list[str]) -> tuple[str, ...]:
+    """CTEs ``voc`` and ``parsed`` (keys, Metric, Dimension, 7 filters, Recognized_Terms) over a
+    CTE ``source`` with the key columns and ``low`` (lower-cased text)."""
     metric = "CASE " + " ".join(f"WHEN {_sql_any(ws)} THEN '{m}'" for m, ws in Q.METRIC_KEYWORDS.items()) + " END"
     dim = "CASE " + " ".join(f"WHEN {_sql_any(ws)} THEN '{d}'" for d, ws in Q.DIMENSION_PHRASES.items()) + " END"
     months = [m.lower() for m in __import__("salesspark.schema", fromlist=["MONTH_NAMES"]).MONTH_NAMES]
@@ -623,14 +625,16 @@ def _question_parse_sql() -> str:
                                for f in Q.VOCAB_FIELDS)
     picks = ",\n  ".join(f"(SELECT MIN(v) FROM voc WHERE f = '{f}' AND contains(q.low, lower(v))) AS {f}"
                          for f in Q.VOCAB_FIELDS)
-    return with_view(f"""
-SELECT conv_id, turn, COALESCE(mh, 'Net_Revenue') AS Metric, Dimension, Region, Category, Channel, Segment,
+    k = ", ".join(keys)
+    parsed = f"""
+parsed AS (
+SELECT {k}, COALESCE(mh, 'Net_Revenue') AS Metric, Dimension, Region, Category, Channel, Segment,
   Quarter, Year, Month,
   concat_ws(', ', mh, 'Region=' || Region, 'Category=' || Category, 'Channel=' || Channel, 'Segment=' || Segment,
             'Quarter=' || Quarter, 'Year=' || CAST(Year AS VARCHAR),
             'Month=' || upper(substr(mname, 1, 1)) || substr(mname, 2)) AS Recognized_Terms
 FROM (
-  SELECT conv_id, turn, {metric} AS mh, {dim} AS Dimension,
+  SELECT {k}, {metric} AS mh, {dim} AS Dimension,
   {picks},
   CASE WHEN regexp_extract(low, '{Q.QUARTER_PATTERN}', 1) <> ''
        THEN 'Q' || regexp_extract(low, '{Q.QUARTER_PATTERN}', 1) END AS Quarter,
@@ -638,8 +642,14 @@ FROM (
        THEN CAST(regexp_extract(low, '{Q.YEAR_PATTERN}', 1) AS INTEGER) END AS Year,
   CAST({month} AS INTEGER) AS Month,
   ['{"', '".join(months)}'][{month}] AS mname
-  FROM q) p""", f"voc AS ({vocab})",
-                     "q AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user')")
+  FROM {source} q) p)"""
+    return f"voc AS ({vocab})", parsed
+
+
+def _question_parse_sql() -> str:
+    return with_view("SELECT * FROM parsed",
+                     "q AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user')",
+                     *_parse_ctes("q", ["conv_id", "turn"]))
 
 
 @register("question_parse", _question_parse_sql())
@@ -793,3 +803,86 @@ def q_dashboard_delta(spark, sf_dir):
 def q_abc_class_a_top20(spark, sf_dir):
     return D.abc_analysis(view_for(spark, sf_dir, D.ABC_COLUMNS)).filter(_F.col("ABC_Class") == "A") \
         .orderBy("Rank").limit(20)
+
+
+def _bank_sql() -> str:
+    templates = ", ".join("'" + t.replace("'", "''") + "'" for t in Q.QUESTION_TEMPLATES)
+    text = f"([{templates}])[((Year * 7 + CAST(substr(Quarter, 2, 1) AS INTEGER) * 3 + length(Region) + length(Segment)) % {len(Q.QUESTION_TEMPLATES)}) + 1]"
+    for field in ("Region", "Segment", "Year", "Quarter", "Channel", "Month"):
+        text = f"replace({text}, '{{{field}}}', CAST({field} AS VARCHAR))"
+    return f"""
+bank AS (
+  SELECT Region || '|' || Segment || '|' || CAST(Year AS VARCHAR) || '|' || Quarter AS Question_ID, {text} AS text
+  FROM (SELECT Region, Segment, Year, Quarter, MIN(Channel) AS Channel, MIN(Month_Name) AS Month
+        FROM sales GROUP BY Region, Segment, Year, Quarter) c)"""
+
+
+_MATCH = " AND ".join(f"(p.{f} IS NULL OR s.{f} = p.{f})" for f in Q.FILTER_FIELDS)
+_DESC = ("concat_ws(', ', " + ", ".join(f"'{f}=' || CAST(p.{f} AS VARCHAR)" for f in Q.FILTER_FIELDS) + ")")
+_IS_BD = "(p.Dimension IS NOT NULL AND p.Metric IN ('Net_Revenue', 'Profit', 'Orders', 'Units'))"
+
+_ANSWERS_SQL = with_view(f"""
+SELECT Question_ID, Metric, Dimension, Answer_Value, Leader,
+  'The ' || label || ' for ' || CASE WHEN d = '' THEN 'across all data' ELSE d END || ' is **'
+  || CASE WHEN Metric = 'Return_Rate' THEN printf('%.2f', Answer_Value) || '%' ELSE format('{{:,.0f}}', Answer_Value) END
+  || '**.' || CASE WHEN Dimension IS NOT NULL THEN ' (A per-' || Dimension || ' breakdown isn''t available for '
+                   || label || ', so this is the overall figure.)' ELSE '' END AS Answer
+FROM (
+  SELECT p.Question_ID, p.Metric, p.Dimension, CAST(NULL AS VARCHAR) AS Leader, {_DESC} AS d,
+    CASE p.Metric WHEN 'Net_Revenue' THEN 'net revenue' WHEN 'Profit' THEN 'total profit'
+      WHEN 'Orders' THEN 'total orders' WHEN 'Units' THEN 'total line items' ELSE 'return rate' END AS label,
+    CASE p.Metric
+      WHEN 'Net_Revenue' THEN CAST(COALESCE(SUM(s.Net_Revenue), 0) AS DOUBLE)
+      WHEN 'Profit' THEN CAST(COALESCE(SUM(s.Profit_Amount), 0) AS DOUBLE)
+      WHEN 'Orders' THEN CAST(COUNT(DISTINCT s.Order_ID) AS DOUBLE)
+      WHEN 'Units' THEN CAST(COUNT(s.Order_ID) AS DOUBLE)
+      ELSE CASE WHEN COUNT(s.Order_ID) > 0 THEN (100.0 * CAST(SUM(s.Is_Returned) AS DOUBLE)) / CAST(COUNT(s.Order_ID) AS DOUBLE)
+                ELSE 0.0 END END AS Answer_Value
+  FROM parsed p LEFT JOIN sales s ON {_MATCH}
+  WHERE NOT {_IS_BD}
+  GROUP BY p.Question_ID, p.Metric, p.Dimension, p.Region, p.Category, p.Channel, p.Segment, p.Quarter, p.Year,
+    p.Month) k
+UNION ALL
+SELECT p.Question_ID, p.Metric, p.Dimension, l.m AS Answer_Value, l.dv AS Leader,
+  CASE WHEN l.Question_ID IS NULL THEN 'No matching data was found for that question.'
+       ELSE 'Breakdown by ' || p.Dimension || ' for ' || CASE WHEN {_DESC} = '' THEN 'all data' ELSE {_DESC} END
+            || ': **' || COALESCE(l.dv, 'None') || '** leads with ' || replace(p.Metric, '_', ' ') || ' of '
+            || format('{{:,.0f}}', l.m) || '.' END AS Answer
+FROM parsed p LEFT JOIN (
+  SELECT * FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY Question_ID ORDER BY m DESC, dv ASC NULLS FIRST) AS r
+    FROM (SELECT *, CASE Metric WHEN 'Net_Revenue' THEN Net_Revenue WHEN 'Profit' THEN Profit
+                                WHEN 'Orders' THEN Orders ELSE Units END AS m
+          FROM (SELECT p.Question_ID, p.Metric,
+                  CAST(CASE p.Dimension WHEN 'Region' THEN s.Region WHEN 'Category' THEN s.Category
+                    WHEN 'Product' THEN s.Product WHEN 'Customer' THEN s.Customer
+                    WHEN 'Salesperson' THEN s.Salesperson END AS VARCHAR) AS dv,
+                  CAST(SUM(s.Net_Revenue) AS DOUBLE) AS Net_Revenue, CAST(SUM(s.Profit_Amount) AS DOUBLE) AS Profit,
+                  CAST(COUNT(DISTINCT s.Order_ID) AS DOUBLE) AS Orders, CAST(SUM(s.Quantity) AS DOUBLE) AS Units
+                FROM parsed p JOIN sales s ON {_MATCH}
+                WHERE {_IS_BD}
+                GROUP BY 1, 2, 3) g) x) y
+  WHERE r = 1) l ON l.Question_ID = p.Question_ID
+WHERE {_IS_BD}""", _bank_sql(), "q AS (SELECT Question_ID, lower(text) AS low FROM bank)", *_parse_ctes("q", ["Question_ID"]))
+
+
+def _bank_answers(spark, sf_dir):
+    view = view_for(spark, sf_dir, sorted(set(Q.ANSWER_COLUMNS + Q.BANK_COLUMNS)))
+    vocab = Q.vocabulary(view)
+    parsed = Q.parse_questions(Q.question_bank(view), vocab)
+    return Q.answer_questions(parsed, view, ["Question_ID"])
+
+
+@register("question_bank_answers", _ANSWERS_SQL)
+def q_question_bank_answers(spark, sf_dir):
+    return _bank_answers(spark, sf_dir)
+
+
+@register("question_bank_parse", with_view("SELECT * FROM parsed", _bank_sql(),
+                                           "q AS (SELECT Question_ID, lower(text) AS low FROM bank)",
+                                           *_parse_ctes("q", ["Question_ID"])))
+def q_question_bank_parse(spark, sf_dir):
+    view = view_for(spark, sf_dir, sorted(set(Q.VOCAB_FIELDS) | set(Q.BANK_COLUMNS)))
+    p = Q.parse_questions(Q.question_bank(view), Q.vocabulary(view))
+    return p.select("Question_ID", "Metric", "Dimension", *Q.FILTER_FIELDS,
+                    _F.concat_ws(", ", "Recognized_Terms").alias("Recognized_Terms"))
