@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "salesspark") -> SparkSession:
+                app_name: str = "salesspark", driver_memory: str | None = None) -> SparkSession:
     """Return (or create) a session with the settings every operator assumes.
 
     On a cluster the master, memory and shuffle width come from spark-submit;
@@ -30,6 +30,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if driver_memory:  # only effective when this call starts the JVM (local mode: the only heap)
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

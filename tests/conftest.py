@@ -28,7 +28,7 @@ FACT_SALES = [
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[4]", 8)
+    s = get_session("local[4]", 8, driver_memory="4g")
     yield s
 
 
