@@ -44,9 +44,8 @@ def train_churn(labeled: DataFrame, trees: int = 200, depth: int = 6, seed: int
              .persist(StorageLevel.MEMORY_AND_DISK))
     counts = {(r["Split"], r["Churned"]): r["n"] for r in
               split.groupBy("Split", "Churned").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for part in ("train", "test"):
-        if not counts.get((part, 0)) or not counts.get((part, 1)):
-            raise ValueError(f"both classes are needed in the {part} split, got {counts}")
+    if not counts.get(("train", 0)) or not counts.get(("train", 1)):
+        raise ValueError(f"both classes are needed in the training split, got {counts}")
     n_train = counts[("train", 0)] + counts[("train", 1)]
     w0, w1 = n_train / (2.0 * counts[("train", 0)]), n_train / (2.0 * counts[("train", 1)])
     weighted = split.withColumn("_weight", F.when(F.col("Churned") == 1, F.lit(w1)).otherwise(F.lit(w0)))
@@ -62,8 +61,9 @@ def train_churn(labeled: DataFrame, trees: int = 200, depth: int = 6, seed: int
         F.sum(((F.col("prediction") == 1) & (F.col("label") == 0)).cast("long")).alias("fp"),
         F.sum(((F.col("prediction") == 0) & (F.col("label") == 1)).cast("long")).alias("fn"),
         F.sum(((F.col("prediction") == 0) & (F.col("label") == 0)).cast("long")).alias("tn"))
-    auc = BinaryClassificationEvaluator(rawPredictionCol="_p1", labelCol="label",
-                                        metricName="areaUnderROC").evaluate(test)
+    # ROC-AUC is undefined (NaN) when the hold-out holds one class only.
+    auc = (BinaryClassificationEvaluator(rawPredictionCol="_p1", labelCol="label", metricName="areaUnderROC")
+           .evaluate(test) if counts.get(("test", 0)) and counts.get(("test", 1)) else float("nan"))
     spark = labeled.sparkSession
     rate = labeled.select((F.avg("Churned") * F.lit(100.0)).alias("r")).scalar()
     metrics = conf.select(

@@ -14,6 +14,20 @@ def raw_sales(view: DataFrame, filters: dict | None = None, columns: list[str] |
     return out.select(*columns) if columns else out
 
 
+VIEW_NAME = "vw_app_sales"
+
+
+def register_view(view: DataFrame, name: str = VIEW_NAME) -> str:
+    """Expose the view to SQL under the reference's view name."""
+    view.createOrReplaceTempView(name)
+    return name
+
+
+def run_query(spark, sql: str, params: dict | None = None) -> DataFrame:
+    """S3: parameterised SQL (``:name`` markers bound as literals, never spliced into the text)."""
+    return spark.sql(sql, args=params or {})
+
+
 def cache_view(view: DataFrame) -> DataFrame:
     """Keep a view for reuse across many operators (the reference's one-hour result cache).
 

@@ -43,3 +43,14 @@ def test_predicate_reaches_parquet_scan(spark):
     df = kpi_summary(view_for(spark, "/root/testdata/sf0.001", KPI_COLUMNS, KPI_FILTERED), KPI_FILTERED)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(r_name,EUROPE)" in plan  # the Region filter reaches the region scan
+
+
+def test_parameterised_query_on_registered_view(spark, view):
+    from salesspark.sources.view import register_view, run_query
+    name = register_view(view)
+    rows = run_query(spark, f"SELECT SUM(Net_Revenue) AS r FROM {name} WHERE Region = :region",
+                     {"region": "North"}).collect()
+    assert rows[0]["r"] == 270
+    # a hostile value stays a literal
+    assert run_query(spark, f"SELECT COUNT(*) AS n FROM {name} WHERE Region = :region",
+                     {"region": "North' OR '1'='1"}).collect()[0]["n"] == 0

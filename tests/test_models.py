@@ -109,3 +109,4 @@ def test_average_path_length():
     c = AN.average_path_length(np.array([0, 1, 2, 256]))
     assert c[0] == 0 and c[1] == 0 and c[2] == 1
     assert c[3] == pytest.approx(2 * (np.log(255) + AN.EULER) - 2 * 255 / 256)
+
