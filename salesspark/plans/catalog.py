@@ -886,3 +886,26 @@ def q_question_bank_parse(spark, sf_dir):
     p = Q.parse_questions(Q.question_bank(view), Q.vocabulary(view))
     return p.select("Question_ID", "Metric", "Dimension", *Q.FILTER_FIELDS,
                     _F.concat_ws(", ", "Recognized_Terms").alias("Recognized_Terms"))
+
+
+@register("leaderboard_top15", with_view("""
+SELECT Salesperson_Key, MIN(Salesperson) AS Salesperson,
+  CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue,
+  CAST(SUM(Profit_Amount) AS DOUBLE) AS Profit,
+  COUNT(DISTINCT Order_ID) AS Deals
+FROM sales WHERE Salesperson IS NOT NULL GROUP BY Salesperson_Key
+ORDER BY Net_Revenue DESC NULLS LAST, Salesperson_Key LIMIT 15"""))
+def q_leaderboard_top15(spark, sf_dir):
+    return M.salesperson_leaderboard(view_for(spark, sf_dir, M.LEADERBOARD_COLUMNS)).limit(15)
+
+
+def _latin1_sql(x: str) -> str:
+    for src, dst in X.LATIN1_REPLACEMENTS.items():
+        x = f"replace({x}, '{src}', '{dst.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace({x}, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')"
+
+
+@register("insights_latin1", "SELECT Insight_ID, " + _latin1_sql("Text") + " AS Text FROM (" + _INSIGHT_SQL + ") i")
+def q_insights_latin1(spark, sf_dir):
+    facts = N.executive_summary(view_for(spark, sf_dir, N.INSIGHT_COLUMNS))
+    return facts.select("Insight_ID", X.to_latin1("Text").alias("Text"))
