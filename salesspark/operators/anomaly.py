@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from salesspark.session import ship_package
+
 FEATURES = ["Sales_Amount", "Discount_Amount", "Quantity", "Profit_Amount"]
 ANOMALY_COLUMNS = ["Order_ID", "Product", "Category"] + FEATURES
 SAMPLE_SIZE = 256
@@ -174,6 +176,7 @@ def score(rows: DataFrame, nodes: list, psi: int) -> DataFrame:
 
 def detect_anomalies(lines: DataFrame, contamination: float = 0.02, trees: int = 200, seed: int = 42) -> DataFrame:
     """Input columns plus Anomaly_Score (lower = more anomalous) and Is_Anomaly, most anomalous first."""
+    ship_package(lines.sparkSession)  # the pandas functions below run on the executors
     keyed = lines.withColumn("_row_id", F.xxhash64(*[F.col(c) for c in lines.columns]))
     typed = keyed.select(*[F.col(c).cast("double").alias(c) if c in FEATURES else F.col(c) for c in keyed.columns])
     nodes, psi = fit_forest(typed, trees, seed)
