@@ -78,3 +78,17 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, parent))
     sc.addPyFile(path)
     _SHIPPED.add(id(sc))
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   max_partitions: int = 200_000) -> int:
+    """Size shuffles for a job that reads ``input_bytes``: enough shuffle partitions that
+    each holds about ``target_partition_bytes`` before AQE coalesces small ones (so a
+    100 TB scan starts from ~400k/2 partitions instead of 200 that would spill), scan
+    splits of the same size, and AQE's skew threshold at 4x the target."""
+    n = max(int(spark.sparkContext.defaultParallelism), min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", str(4 * target_partition_bytes))
+    return n
