@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesspark.operators.common import money_sum
+from salesspark.session import ensure_checkpoint_dir
 from salesspark.schema import MONTH_NAMES
 
 # Metric keywords; the first metric (in this order) with a keyword in the text wins.
@@ -153,8 +154,11 @@ def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) ->
     becomes one grouping set of a single ``groupingSets`` aggregation.
     """
     breakdown = F.col("Dimension").isNotNull() & F.col("Metric").isin(*BREAKDOWN_METRICS)
+    # The question table is read twice (to plan the grouping sets, then to join the answers):
+    # checkpoint it once instead of re-deriving it from its sources.
+    ensure_checkpoint_dir(parsed.sparkSession)
     q = parsed.select(*key_cols, "Metric", "Dimension", *FILTER_FIELDS, _mask(FILTER_FIELDS).alias("_mask"),
-                      F.when(breakdown, F.col("Dimension")).alias("_bd"))
+                      F.when(breakdown, F.col("Dimension")).alias("_bd")).checkpoint(eager=True)
     # Filter masks and (mask, dimension) pairs present: at most 128 and 640 values.
     plan_rows = q.select("_mask", "_bd").distinct().collect()
     dims = sorted({r["_bd"] for r in plan_rows if r["_bd"] is not None})
