@@ -10,10 +10,10 @@ from salesspark.operators.basket import copurchase_top, recommend
 BASKETS = {1: ["A", "B", "C"], 2: ["A", "B"], 3: ["B", "C", "D"], 4: ["E"], 5: ["A", "A", "F"], 6: ["G", "H"]}
 
 
-def brute(n):
-    lines = [(o, p) for o, ps in BASKETS.items() for p in ps]
+def brute(n, baskets=BASKETS):
+    lines = [(o, p) for o, ps in baskets.items() for p in ps]
     products = sorted({p for _, p in lines})
-    orders = sorted(BASKETS)
+    orders = sorted(baskets)
     m = np.zeros((len(products), len(orders)))
     for o, p in set(lines):
         m[products.index(p), orders.index(o)] = 1
@@ -50,3 +50,17 @@ def test_recommend_unknown_product_is_empty(spark):
     assert recommend(recs, "Nope").count() == 0
     assert [r["Product"] for r in recommend(recs, "A").collect()] == ["B"]
     assert list(itertools.chain()) == []
+
+
+def test_hot_order_with_a_third_of_the_lines(spark):
+    import random
+    rnd = random.Random(11)
+    products = [f"P{i:02d}" for i in range(30)]
+    baskets = {o: rnd.sample(products, rnd.randint(1, 3)) for o in range(1, 41)}
+    small_lines = sum(len(v) for v in baskets.values())
+    baskets[0] = products[: max(2, small_lines // 2)]  # one order holds about a third of all lines
+    view = spark.createDataFrame([(o, p) for o, ps in baskets.items() for p in ps], "Order_ID long, Product string")
+    got = {}
+    for r in copurchase_top(view, 5).orderBy("Product", "Rank").collect():
+        got.setdefault(r["Product"], []).append((r["Recommended_Product"], float(r["Co_Orders"]), r["Similarity_Score"]))
+    assert got == brute(5, baskets)
