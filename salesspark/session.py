@@ -16,9 +16,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     locally we default to ``local[*]``.
     """
     builder = SparkSession.builder.appName(app_name)
+    launched_by_submit = bool(os.environ.get("PYSPARK_GATEWAY_PORT"))  # spark-submit already chose a master
     if master:
         builder = builder.master(master)
-    elif not os.environ.get("SPARK_MASTER") and "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+    elif not launched_by_submit and not os.environ.get("SPARK_MASTER") \
+            and "--master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
         builder = builder.master("local[*]")
     builder = (
         builder
