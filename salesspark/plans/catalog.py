@@ -598,6 +598,7 @@ def q_insights(spark, sf_dir):
 # ---------------------------------------------------------------- questions
 
 from salesspark.operators import questions as Q  # noqa: E402
+from salesspark.schema import MONTH_NAMES  # noqa: E402
 from salesspark.sources.tables import read_table  # noqa: E402
 
 
@@ -619,7 +620,7 @@ def _parse_ctes(source: str, keys: list[str]) -> tuple[str, ...]:
     CTE ``source`` with the key columns and ``low`` (lower-cased text)."""
     metric = "CASE " + " ".join(f"WHEN {_sql_any(ws)} THEN '{m}'" for m, ws in Q.METRIC_KEYWORDS.items()) + " END"
     dim = "CASE " + " ".join(f"WHEN {_sql_any(ws)} THEN '{d}'" for d, ws in Q.DIMENSION_PHRASES.items()) + " END"
-    months = [m.lower() for m in __import__("salesspark.schema", fromlist=["MONTH_NAMES"]).MONTH_NAMES]
+    months = [m.lower() for m in MONTH_NAMES]
     month = "CASE " + " ".join(f"WHEN contains(low, '{m}') THEN {i + 1}" for i, m in enumerate(months)) + " END"
     vocab = " UNION ALL ".join(f"SELECT DISTINCT '{f}' AS f, CAST({f} AS VARCHAR) AS v FROM sales WHERE {f} IS NOT NULL"
                                for f in Q.VOCAB_FIELDS)
