@@ -47,8 +47,24 @@ def normalize_filters(filters: dict | None) -> dict[str, list]:
 
 
 def filter_columns(filters: dict | None) -> list[str]:
-    """View columns a filter dict reads (to request them from the view builder)."""
-    return list(normalize_filters(filters))
+    """View columns a filter dict reads (to request them from the view builder).
+
+    A Year filter also reads Order_Date, which carries the scan-level date range."""
+    cols = list(normalize_filters(filters))
+    return cols + ["Order_Date"] if "Year" in cols else cols
+
+
+def _year_range(years: list, fields: dict) -> Column | None:
+    """Redundant bounding range on Order_Date for a Year filter: Catalyst unwraps the date
+    cast and pushes it to the scan (``GreaterThanOrEqual(o_orderdate, ...)``), so parquet
+    row groups outside the years are skipped. The exact Year predicate is kept."""
+    if "Order_Date" not in fields or not isinstance(fields["Order_Date"], T.DateType):
+        return None
+    ys = [y for y in years if isinstance(y, int) and 1 <= y < 9999]
+    if not ys:
+        return None
+    return (F.col("Order_Date") >= F.lit(_dt.date(min(ys), 1, 1))) & \
+        (F.col("Order_Date") < F.lit(_dt.date(max(ys) + 1, 1, 1)))
 
 
 def _coerce(value, dtype: T.DataType):
@@ -81,6 +97,10 @@ def filter_predicate(df: DataFrame, filters: dict | None) -> Column | None:
         if column not in fields:
             raise ValueError(f"filter column {column!r} is not in the DataFrame; request it from the view")
         typed = [v for v in (_coerce(v, fields[column]) for v in values) if v is not _NO_MATCH]
+        if column == "Year" and typed:
+            bound = _year_range(typed, fields)
+            if bound is not None:
+                clauses.append(bound)
         if not typed:
             clauses.append(F.lit(False))
         elif len(values) == 1:

@@ -35,6 +35,16 @@ def test_string_literals_cast_to_column_type(view):
 
 def test_filter_columns():
     assert filter_columns({"Region": "North", "Year": None, "Bad": 1}) == ["Region"]
+    assert filter_columns({"Year": "2024"}) == ["Year", "Order_Date"]
+
+
+def test_year_filter_adds_pushable_date_range(spark, view):
+    assert apply_filters(view, {"Year": ["2024", 2023]}).count() == 4
+    assert apply_filters(view, {"Year": 2023}).count() == 0
+    from salesspark.plans.catalog import view_for
+    v = view_for(spark, "/root/testdata/sf0.001", ["Net_Revenue"], {"Year": "1997"})
+    plan = apply_filters(v, {"Year": "1997"})._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in plan
 
 
 def test_predicate_reaches_parquet_scan(spark):
