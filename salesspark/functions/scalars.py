@@ -117,3 +117,17 @@ def zero_to_one(value) -> Column:
 def clip_at_zero(value) -> Column:
     """X15."""
     return F.greatest(_col(value), F.lit(0.0))
+
+
+def fill_template(template: str, **values) -> Column:
+    """``"Net revenue {direction} {pct}% ..."`` -> one ``concat`` of literals and the given Columns."""
+    import re
+
+    parts = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2 == 0:
+            if piece:
+                parts.append(F.lit(piece))
+        else:
+            parts.append(values[piece])
+    return F.concat(*parts) if len(parts) > 1 else parts[0]

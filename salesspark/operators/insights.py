@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesspark.functions.scalars import format_inr, format_pct, safe_divide
+from salesspark.functions.scalars import fill_template, format_inr, format_pct, safe_divide
 from salesspark.operators.distribution import abc_analysis
 from salesspark.operators.metrics import kpi_summary, sales_by_dimension, trend
 
@@ -21,6 +21,18 @@ INSIGHT_COLUMNS = ["Year", "Month", "Quarter", "Month_Name", "Region", "Product"
 HEALTHY_MARGIN_PCT = 15
 ELEVATED_RETURN_PCT = 8
 
+# The insight sentences.
+YOY_TEXT = "Net revenue {direction} {pct}% in {year} versus {previous}, closing the year at {amount}."
+MARGIN_TEXT = "Overall profit margin stands at {margin} on {revenue} in net revenue -- {comment}."
+MARGIN_GOOD = "a healthy margin"
+MARGIN_WATCH = "a margin worth monitoring closely"
+REGION_TEXT = "{region} is the leading region, contributing {share} of total revenue ({amount})."
+ABC_TEXT = ("Just {products}% of products (Class A) generate {revenue}% of revenue -- a concentration worth "
+            "protecting with supply-chain priority.")
+RETURN_HIGH_TEXT = ("Return rate is elevated at {rate} -- worth cross-checking against discount depth, a pattern "
+                    "previously linked to return spikes in this dataset.")
+RETURN_OK_TEXT = "Return rate is within a normal range at {rate}."
+
 
 def _fact(df: DataFrame, insight_id: int, metric: str, value, text) -> DataFrame:
     return df.select(F.lit(insight_id).alias("Insight_ID"), F.lit(metric).alias("Metric"),
@@ -41,19 +53,16 @@ def executive_summary(view: DataFrame, filters: dict | None = None) -> DataFrame
         F.max(F.when(F.col("_r") == 2, F.col("Net_Revenue"))).alias("_p"),
         F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 2)
     growth = safe_divide(F.col("_c") - F.col("_p"), F.col("_p")) * F.lit(100.0)
-    yoy = _fact(pair, 1, "yoy_growth_pct", growth, F.concat(
-        F.lit("Net revenue "), F.when(growth >= 0, F.lit("grew")).otherwise(F.lit("declined")), F.lit(" "),
-        F.regexp_replace(F.format_number(F.abs(growth), 1), ",", ""), F.lit("% in "),
-        F.col("_y").cast("string"), F.lit(" versus "), F.col("_py").cast("string"),
-        F.lit(", closing the year at "), format_inr(F.col("_c")), F.lit(".")))
+    yoy = _fact(pair, 1, "yoy_growth_pct", growth, fill_template(
+        YOY_TEXT, direction=F.when(growth >= 0, F.lit("grew")).otherwise(F.lit("declined")),
+        pct=F.regexp_replace(F.format_number(F.abs(growth), 1), ",", ""), year=F.col("_y").cast("string"),
+        previous=F.col("_py").cast("string"), amount=format_inr(F.col("_c"))))
 
     # 2. margin health
     margin = F.col("profit_margin_pct")
-    margin_fact = _fact(kpis, 2, "profit_margin_pct", margin, F.concat(
-        F.lit("Overall profit margin stands at "), format_pct(margin), F.lit(" on "),
-        format_inr(F.col("total_revenue")), F.lit(" in net revenue -- "),
-        F.when(margin >= HEALTHY_MARGIN_PCT, F.lit("a healthy margin"))
-        .otherwise(F.lit("a margin worth monitoring closely")), F.lit(".")))
+    margin_fact = _fact(kpis, 2, "profit_margin_pct", margin, fill_template(
+        MARGIN_TEXT, margin=format_pct(margin), revenue=format_inr(F.col("total_revenue")),
+        comment=F.when(margin >= HEALTHY_MARGIN_PCT, F.lit(MARGIN_GOOD)).otherwise(F.lit(MARGIN_WATCH))))
 
     # 3. leading region and its share of the regional total
     regions = sales_by_dimension(view, "Region", filters)
@@ -63,9 +72,9 @@ def executive_summary(view: DataFrame, filters: dict | None = None) -> DataFrame
         F.max("Net_Revenue").alias("_top"), F.sum("Net_Revenue").alias("_all"), F.count(F.lit(1)).alias("_n"),
     ).filter(F.col("_n") > 0)
     share = safe_divide(F.col("_top"), F.col("_all")) * F.lit(100.0)
-    region_fact = _fact(lead, 3, "leading_region_share_pct", share, F.concat(
-        F.coalesce(F.col("_region"), F.lit("None")), F.lit(" is the leading region, contributing "), format_pct(share),
-        F.lit(" of total revenue ("), format_inr(F.col("_top")), F.lit(").")))
+    region_fact = _fact(lead, 3, "leading_region_share_pct", share, fill_template(
+        REGION_TEXT, region=F.coalesce(F.col("_region"), F.lit("None")), share=format_pct(share),
+        amount=format_inr(F.col("_top"))))
 
     # 4. class-A concentration
     abc = abc_analysis(view, filters)
@@ -76,19 +85,15 @@ def executive_summary(view: DataFrame, filters: dict | None = None) -> DataFrame
                    ).filter(F.col("_n") > 0)
     pct_products = safe_divide(F.col("_na"), F.col("_n")) * F.lit(100.0)
     pct_revenue = safe_divide(F.col("_reva"), F.col("_rev")) * F.lit(100.0)
-    abc_fact = _fact(conc, 4, "class_a_revenue_pct", pct_revenue, F.concat(
-        F.lit("Just "), F.regexp_replace(F.format_number(pct_products, 0), ",", ""),
-        F.lit("% of products (Class A) generate "), F.regexp_replace(F.format_number(pct_revenue, 0), ",", ""),
-        F.lit("% of revenue -- a concentration worth protecting with supply-chain priority.")))
+    abc_fact = _fact(conc, 4, "class_a_revenue_pct", pct_revenue, fill_template(
+        ABC_TEXT, products=F.regexp_replace(F.format_number(pct_products, 0), ",", ""),
+        revenue=F.regexp_replace(F.format_number(pct_revenue, 0), ",", "")))
 
     # 5. return-rate flag
     rr = F.col("return_rate_pct")
     return_fact = _fact(kpis, 5, "return_rate_pct", rr, F.when(
-        rr > ELEVATED_RETURN_PCT,
-        F.concat(F.lit("Return rate is elevated at "), format_pct(rr),
-                 F.lit(" -- worth cross-checking against discount depth, a pattern previously linked to return "
-                       "spikes in this dataset.")))
-        .otherwise(F.concat(F.lit("Return rate is within a normal range at "), format_pct(rr), F.lit("."))))
+        rr > ELEVATED_RETURN_PCT, fill_template(RETURN_HIGH_TEXT, rate=format_pct(rr)))
+        .otherwise(fill_template(RETURN_OK_TEXT, rate=format_pct(rr))))
 
     return (yoy.unionByName(margin_fact).unionByName(region_fact).unionByName(abc_fact)
             .unionByName(return_fact).orderBy("Insight_ID"))
