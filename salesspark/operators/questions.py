@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesspark.functions.scalars import fill_template
 from salesspark.operators.common import money_sum
 from salesspark.session import ensure_checkpoint_dir
 from salesspark.schema import MONTH_NAMES
@@ -47,6 +48,13 @@ KPI_ANSWER = {
     "Return_Rate": ("return_rate_pct", "return rate", True),
 }
 BREAKDOWN_METRICS = ("Net_Revenue", "Profit", "Orders", "Units")
+# The answer sentences.
+KPI_ANSWER_TEXT = "The {label} for {filters} is **{value}**.{note}"
+KPI_DROPPED_NOTE = " (A per-{dimension} breakdown isn't available for {label}, so this is the overall figure.)"
+BREAKDOWN_ANSWER_TEXT = "Breakdown by {dimension} for {filters}: **{leader}** leads with {metric} of {value}."
+NO_DATA_ANSWER = "No matching data was found for that question."
+NO_FILTER_KPI = "across all data"
+NO_FILTER_BREAKDOWN = "all data"
 # Word boundaries as in Python's Unicode ``\b``: letters, digits and '_' are word characters.
 _NOT_WORD = r"[^\p{L}\p{N}_]"
 QUARTER_PATTERN = rf"(?:^|{_NOT_WORD})q([1-4])(?:{_NOT_WORD}|$)"
@@ -217,13 +225,12 @@ def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) ->
     value_text = F.when(F.col("Metric") == "Return_Rate",
                         F.concat(F.regexp_replace(F.format_number(value, 2), ",", ""), F.lit("%"))) \
         .otherwise(F.format_number(value, 0))
-    note = F.when(F.col("Dimension").isNotNull(), F.concat(
-        F.lit(" (A per-"), F.col("Dimension"), F.lit(" breakdown isn't available for "), label,
-        F.lit(", so this is the overall figure.)"))).otherwise(F.lit(""))
+    note = F.when(F.col("Dimension").isNotNull(), fill_template(
+        KPI_DROPPED_NOTE, dimension=F.col("Dimension"), label=label)).otherwise(F.lit(""))
     parts.append(joined.select(
         *key_cols, "Metric", "Dimension", value.alias("Answer_Value"), F.lit(None).cast("string").alias("Leader"),
-        F.concat(F.lit("The "), label, F.lit(" for "), _filter_description("across all data"),
-                 F.lit(" is **"), value_text, F.lit("**."), note).alias("Answer")))
+        fill_template(KPI_ANSWER_TEXT, label=label, filters=_filter_description(NO_FILTER_KPI), value=value_text,
+                      note=note).alias("Answer")))
 
     if dims:
         bd_groups = groups.filter(is_bd).withColumn("_key", key)
@@ -239,11 +246,10 @@ def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) ->
         value = F.coalesce(*[F.when(F.col("Metric") == m, F.col("_top_" + m)) for m in BREAKDOWN_METRICS])
         parts.append(joined.select(
             *key_cols, "Metric", "Dimension", value.alias("Answer_Value"), leader.alias("Leader"),
-            F.when(~found, F.lit("No matching data was found for that question.")).otherwise(F.concat(
-                F.lit("Breakdown by "), F.col("Dimension"), F.lit(" for "), _filter_description("all data"),
-                F.lit(": **"), F.coalesce(leader, F.lit("None")), F.lit("** leads with "),
-                F.regexp_replace(F.col("Metric"), "_", " "), F.lit(" of "), F.format_number(value, 0),
-                F.lit("."))).alias("Answer")))
+            F.when(~found, F.lit(NO_DATA_ANSWER)).otherwise(fill_template(
+                BREAKDOWN_ANSWER_TEXT, dimension=F.col("Dimension"), filters=_filter_description(NO_FILTER_BREAKDOWN),
+                leader=F.coalesce(leader, F.lit("None")), metric=F.regexp_replace(F.col("Metric"), "_", " "),
+                value=F.format_number(value, 0))).alias("Answer")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
