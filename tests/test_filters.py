@@ -64,3 +64,12 @@ def test_parameterised_query_on_registered_view(spark, view):
     # a hostile value stays a literal
     assert run_query(spark, f"SELECT COUNT(*) AS n FROM {name} WHERE Region = :region",
                      {"region": "North' OR '1'='1"}).collect()[0]["n"] == 0
+
+
+def test_foreign_keys_resolve_so_dimension_pruning_is_exact(spark):
+    from salesspark.sources.tables import check_integrity, sales_view
+    rows = {r["Foreign_Key"]: r["Orphans"] for r in check_integrity(spark, "/root/testdata/sf0.001").collect()}
+    assert len(rows) == 5 and set(rows.values()) == {0}
+    pruned = sales_view(spark, "/root/testdata/sf0.001", ["Net_Revenue"]).count()
+    full = sales_view(spark, "/root/testdata/sf0.001", ["Net_Revenue"], prune=False).count()
+    assert pruned == full
