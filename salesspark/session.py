@@ -44,22 +44,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local runs, tests) fall back to a fresh scratch folder."""
+    """Use the shared ``spark.checkpoint.dir`` of the cluster. Only a local master, where every task runs in the
+    driver's process, gets a scratch folder if it is unset; on a cluster a local folder would lose data."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="salesspark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``salesspark`` importable on the executors' Python workers (needed by the
     pandas functions of the isolation forest), the same way ``--py-files`` would:
@@ -67,7 +66,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_salesspark_shipped", False):  # kept on the context, so a restarted one ships again
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(pkg)
@@ -79,18 +78,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, name)
                     z.write(full, os.path.relpath(full, parent))
     sc.addPyFile(path)
-    _SHIPPED.add(id(sc))
-
-
-def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
-                   max_partitions: int = 200_000) -> int:
-    """Size shuffles for a job that reads ``input_bytes``: enough shuffle partitions that
-    each holds about ``target_partition_bytes`` before AQE coalesces small ones (so a
-    100 TB scan starts from ~400k/2 partitions instead of 200 that would spill), scan
-    splits of the same size, and AQE's skew threshold at 4x the target."""
-    n = max(int(spark.sparkContext.defaultParallelism), min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
-    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", str(4 * target_partition_bytes))
-    return n
+    sc._salesspark_shipped = True
