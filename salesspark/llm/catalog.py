@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesspark.llm import exact_dedup, line_dedup, mixing, near_dup, quality, sharding
-from salesspark.llm.common import read
+from salesspark.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, quality, sharding, token_files
+from salesspark.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,11 +69,11 @@ def q_exact_dedup(spark, sf_dir):
 
 @register("op4_near_dup", """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] AS ws FROM documents),
 s AS (
   SELECT doc_id, unnest(CASE WHEN len(ws) >= 5
-    THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')))
+    THEN list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)])
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 meet AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
@@ -96,3 +97,21 @@ def q_quality(spark, sf_dir):
     return quality.scored(docs, weights).select(
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op2_token_files")
+def q_token_files(spark, sf_dir, path=None):
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    files = token_files.write_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                                     shared_folder(spark, "tokens"), spec, end_id=1)
+    return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op7_bpe")
+def q_bpe(spark, sf_dir, path=None):
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        spec = f.read()
+    both = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), spec)
+    return both.select("row.doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
