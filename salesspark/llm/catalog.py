@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesspark.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, quality, sharding, token_files
-from salesspark.llm.common import read, shared_folder
+from salesspark.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, quality, sharding, token_files, warc
+from salesspark.llm.common import read, settled, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +115,30 @@ def q_bpe(spark, sf_dir, path=None):
     both = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), spec)
     return both.select("row.doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_HEX_DIGIT = "instr('0123456789abcdef', substr(h, 5 * g + {k}, 1)) - 1"
+_GROUP = "(" + " + ".join(f"({_HEX_DIGIT.format(k=k)}) * {16 ** (5 - k)}" for k in range(1, 6)) + ")"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({_GROUP} // {32 ** (3 - i)}) % 32 + 1, 1)" for i in range(4))
+
+
+@register("op8_warc", f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT h, string_agg({_BASE32}, '' ORDER BY g) AS payload_digest
+      FROM (SELECT DISTINCT h FROM p) x, range(0, 8) AS r(g) GROUP BY h),
+f AS (SELECT p.*, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f JOIN d ON f.h = d.h""")
+def q_warc(spark, sf_dir):
+    files = warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"), shared_folder(spark, "warc"))
+    responses, revisits = warc.read_archives(spark, files)
+    full = settled(responses.select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+                                    F.col("digest").alias("payload_digest")))
+    origin = full.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("r_page"), "payload_bytes") \
+        .dropDuplicates(["refers_to"])
+    again = revisits.join(origin, "refers_to").select(
+        "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"),
+        F.col("r_page").alias("refers_to"))
+    return full.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
+                       F.lit(None).cast("long").alias("refers_to")).unionByName(again)
