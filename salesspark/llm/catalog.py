@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesspark.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, quality, sharding, token_files, warc
+from salesspark.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, neighbours, quality, sharding, token_files, warc
 from salesspark.llm.common import read, settled, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,8 @@ def q_warc(spark, sf_dir):
         F.col("r_page").alias("refers_to"))
     return full.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
                        F.lit(None).cast("long").alias("refers_to")).unionByName(again)
+
+
+@register("op6_neighbours")
+def q_neighbours(spark, sf_dir):
+    return neighbours.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 100 == 0, k=10)
