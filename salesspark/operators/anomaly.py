@@ -1,14 +1,16 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) on four line-item measures.
 
-* sampling: each tree gets ``psi = min(256, n)`` rows chosen by seeded hashes; a
-  hash-fraction pre-sample keeps the candidate pool at about ``1.2 * trees * psi``
-  rows however large the table is;
-* growing: ``groupBy(tree).applyInPandas`` - one small numpy task per tree
-  (random feature, uniform split, depth limit ``ceil(log2 psi)``);
-* scoring: the forest (at most ``trees * (2 psi - 1)`` nodes - a fixed bound) is
-  shipped to ``mapInPandas``, which scores Arrow batches vectorised;
-* threshold: the ``contamination`` quantile of all scores, by ``percentile_approx``
-  (a mergeable sketch with rank error 1e-4; no single task holds the scores).
+All randomness is MD5 of (seed, purpose, ids), so any engine can rebuild the forest from the rows.
+
+* pool: the ``POOL_ROWS`` rows with the smallest hash of their key, one rule for every table size
+  (subsampling is the method; every row is scored). Rows count by key, so equal rows count as often as they occur;
+* sampling: each tree takes the ``psi = min(256, pool)`` pool rows with the smallest hash of (tree, key);
+* growing: ``groupBy(tree).applyInPandas`` - one small numpy task per tree (random usable feature,
+  uniform split, depth limit ``ceil(log2 psi)``); nodes are numbered as in a heap (1, 2i, 2i + 1);
+* scoring: the forest (at most ``trees * (2 psi - 1)`` nodes - a fixed bound) goes into a pandas function of the
+  four measures; path lengths are added as whole numbers of 1e-9, so the order of the trees doesn't matter;
+* threshold: the exact ``contamination`` quantile (linear between neighbours) of all scores, from the counts of
+  distinct scores and a distributed running total.
 
 ``Anomaly_Score`` follows the reference's decision function: lower is more
 anomalous, below 0 is flagged.
@@ -16,25 +18,29 @@ anomalous, below 0 is flagged.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesspark.session import ship_package
+from salesspark.plans.prefix import running_total
+from salesspark.session import ensure_checkpoint_dir, ship_package
 
 FEATURES = ["Sales_Amount", "Discount_Amount", "Quantity", "Profit_Amount"]
-ANOMALY_COLUMNS = ["Order_ID", "Product", "Category"] + FEATURES
+ANOMALY_COLUMNS = ["Sales_Key", "Order_ID", "Product", "Category"] + FEATURES
 SAMPLE_SIZE = 256
+POOL_ROWS = 32 * SAMPLE_SIZE
+PATH_UNITS = 1_000_000_000
+SCORE_PLACES = 9
 EULER = 0.5772156649015329
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
     T.StructField("feature", T.IntegerType()), T.StructField("threshold", T.DoubleType()),
-    T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
     T.StructField("size", T.LongType()), T.StructField("depth", T.IntegerType()),
 ])
 
@@ -50,143 +56,133 @@ def average_path_length(n):
     return out
 
 
-def _grow(tree_id: int, x: np.ndarray, seed: int, max_depth: int) -> list[tuple]:
-    rng = np.random.default_rng([seed, tree_id])
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), 0, -1, None)]
+def _uniform(*ids) -> float:
+    """A number strictly between 0 and 1 from the first 32 bits of an MD5."""
+    return (int(hashlib.md5("|".join(map(str, ids)).encode()).hexdigest()[:8], 16) + 0.5) / 2.0**32
+
+
+def _hash(*parts: Column) -> Column:
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def _grow(tree: int, x: np.ndarray, seed: int, max_depth: int) -> list[tuple]:
+    """(tree, node, feature or -1, threshold, rows, depth) of each node."""
+    nodes, stack = [], [(1, np.arange(len(x)), 0)]
     while stack:
-        idx, depth, parent, side = stack.pop()
-        node_id = len(nodes)
-        nodes.append([tree_id, node_id, -1, 0.0, -1, -1, int(len(idx)), depth])
-        if parent >= 0:
-            nodes[parent][4 if side == "L" else 5] = node_id
-        if depth >= max_depth or len(idx) <= 1:
-            continue
-        sub = x[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
+        node, idx, depth = stack.pop()
+        lo, hi = x[idx].min(axis=0), x[idx].max(axis=0)
         usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
+        if depth >= max_depth or len(idx) <= 1 or usable.size == 0:
+            nodes.append((tree, node, -1, 0.0, len(idx), depth))
             continue
-        f = int(rng.choice(usable))
-        thr = float(rng.uniform(lo[f], hi[f]))
-        nodes[node_id][2], nodes[node_id][3] = f, thr
-        go_left = sub[:, f] < thr
-        stack.append((idx[~go_left], depth + 1, node_id, "R"))
-        stack.append((idx[go_left], depth + 1, node_id, "L"))
-    return [tuple(n) for n in nodes]
-
-
-def _feature_matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf[FEATURES].astype("float64").fillna(0.0).to_numpy()
+        f = int(usable[int(_uniform(seed, tree, node, "feature") * usable.size)])
+        threshold = float(lo[f] + _uniform(seed, tree, node, "split") * (hi[f] - lo[f]))
+        nodes.append((tree, node, f, threshold, len(idx), depth))
+        left = x[idx, f] < threshold
+        stack += [(2 * node, idx[left], depth + 1), (2 * node + 1, idx[~left], depth + 1)]
+    return nodes
 
 
-def fit_forest(rows: DataFrame, trees: int = 200, seed: int = 42, sample_size: int = SAMPLE_SIZE) -> tuple[list, int]:
-    """Returns (node tuples of all trees, psi). ``rows`` needs ``_row_id`` and the feature columns."""
+def sample_pool(rows: DataFrame, seed: int, pool_rows: int) -> DataFrame:
+    """The ``pool_rows`` rows of (key, measures) with the smallest hash; only 1.5 times as many reach the sort."""
     n = rows.count()
-    if n == 0:
+    hashed = rows.withColumn("_h", _hash(F.lit(seed), F.lit("pool"), F.col("_key")))
+    bound = int(min(1.0, (1.5 * pool_rows + 1000) / max(n, 1)) * 0xFFFFFFFF)
+    near = hashed.filter(F.substring("_h", 1, 8) <= f"{bound:08x}")
+    return near.orderBy("_h", "_key").limit(pool_rows).drop("_h")
+
+
+def fit_forest(rows: DataFrame, trees: int = 200, seed: int = 42, sample_size: int = SAMPLE_SIZE,
+               pool_rows: int = POOL_ROWS) -> tuple[list, int]:
+    """(node tuples of all trees, psi). ``rows`` has ``_key`` (one value per row) and the measures."""
+    pool = sample_pool(rows, seed, pool_rows).checkpoint(eager=True)
+    psi = min(int(sample_size), pool.count())
+    if psi == 0:
         return [], 0
-    psi = min(int(sample_size), n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    wanted = 1.2 * trees * psi
-    copies = max(1, int(math.ceil(wanted / n)))
-    fraction = min(1.0, wanted / n)
-    u = (F.xxhash64(F.col("_row_id"), F.lit(seed), F.lit("pool")).bitwiseAND(F.lit((1 << 53) - 1))
-         .cast("double") / float(1 << 53))
-    pool = rows.filter(u < F.lit(fraction)) if fraction < 1.0 else rows
-    assigned = (pool.select("_row_id", *FEATURES, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"))
-                .withColumn("tree", F.pmod(F.xxhash64("_row_id", "_copy", F.lit(seed)), F.lit(trees)).cast("int"))
-                .dropDuplicates(["tree", "_row_id"])
-                .withColumn("_order", F.xxhash64("_row_id", "tree", F.lit(seed)))
-                .withColumn("_k", F.row_number().over(Window.partitionBy("tree").orderBy("_order", "_row_id")))
-                .filter(F.col("_k") <= psi)
-                .select("tree", *[F.col(c).cast("double").alias(c) for c in FEATURES]))
+    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(int(trees) - 1))))
+    order = Window.partitionBy("tree").orderBy(_hash(F.lit(seed), F.col("tree"), F.col("_key")), "_key")
+    assigned = drawn.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= psi).select("tree", *FEATURES)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        return pd.DataFrame(_grow(t, _feature_matrix(pdf), seed, max_depth), columns=NODE_SCHEMA.fieldNames())
+        return pd.DataFrame(_grow(int(pdf["tree"].iloc[0]), pdf[FEATURES].to_numpy(float), seed, max_depth),
+                            columns=NODE_SCHEMA.fieldNames())
 
-    forest = assigned.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
     # Bounded by trees * (2 * psi - 1) rows whatever the table size.
-    return [tuple(r) for r in forest.collect()], psi
+    return [tuple(r) for r in assigned.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).collect()], psi
 
 
 def _flatten(nodes: list) -> dict:
-    """All trees in one set of arrays (child links offset per tree) plus each tree's root."""
-    by_tree: dict[int, list] = {}
-    for r in nodes:
-        by_tree.setdefault(r[0], []).append(r)
-    feat, thr, left, right, size, depth, roots = [], [], [], [], [], [], []
-    offset = 0
-    for t in sorted(by_tree):
-        rs = sorted(by_tree[t], key=lambda r: r[1])
-        roots.append(offset)
-        for r in rs:
-            feat.append(r[2])
-            thr.append(r[3])
-            left.append(r[4] + offset if r[4] >= 0 else -1)
-            right.append(r[5] + offset if r[5] >= 0 else -1)
-            size.append(r[6])
-            depth.append(r[7])
-        offset += len(rs)
-    size_arr = np.array(size, dtype=float)
-    return {"feat": np.array(feat, dtype=np.int64), "thr": np.array(thr), "left": np.array(left, dtype=np.int64),
-            "right": np.array(right, dtype=np.int64),
-            "leaf_path": np.array(depth, dtype=float) + average_path_length(size_arr),
-            "roots": np.array(roots, dtype=np.int64)}
-
-
-def _score_batch(x: np.ndarray, forest: dict, psi: int) -> np.ndarray:
-    """Vectorised over rows and trees: a (rows x trees) matrix of node ids descends together."""
-    n, roots = len(x), forest["roots"]
-    node = np.broadcast_to(roots, (n, len(roots))).copy()
-    rows = np.arange(n)[:, None]
-    feat, thr, left, right = forest["feat"], forest["thr"], forest["left"], forest["right"]
+    """All trees in one set of arrays: child places, leaf paths in PATH_UNITS and each tree's root."""
+    nodes = sorted(nodes)
+    place = {(r[0], r[1]): i for i, r in enumerate(nodes)}
+    size, depth = np.array([r[4] for r in nodes], float), np.array([r[5] for r in nodes], float)
+    return {"feat": np.array([r[2] for r in nodes]), "thr": np.array([r[3] for r in nodes]),
+            "left": np.array([place.get((r[0], 2 * r[1]), -1) for r in nodes]),
+            "right": np.array([place.get((r[0], 2 * r[1] + 1), -1) for r in nodes]),
+            "leaf_path": np.round((depth + average_path_length(size)) * PATH_UNITS).astype(np.int64),
+            "roots": np.array([i for i, r in enumerate(nodes) if r[1] == 1])}
+
+
+def _total_paths(x: np.ndarray, forest: dict) -> np.ndarray:
+    """Vectorised over rows and trees: a (rows x trees) matrix of node places descends together."""
+    node = np.broadcast_to(forest["roots"], (len(x), len(forest["roots"]))).copy()
+    rows = np.arange(len(x))[:, None]
     while True:
-        f = feat[node]
-        internal = f >= 0
-        if not internal.any():
-            break
-        value = x[rows, np.where(internal, f, 0)]
-        step = np.where(value < thr[node], left[node], right[node])
-        node = np.where(internal, step, node)
-    mean_path = forest["leaf_path"][node].mean(axis=1)
-    return -np.power(2.0, -mean_path / average_path_length([psi])[0])
-
-
-def score(rows: DataFrame, nodes: list, psi: int) -> DataFrame:
-    """Adds ``_raw_score`` (the reference's ``score_samples``: minus the anomaly score).
-
-    Scoring is CPU-bound Python: when the input has fewer partitions than cores
-    (small local inputs) it is spread over the cores first; large inputs already
-    have far more partitions than cores and are scored where they are.
+        f = forest["feat"][node]
+        inner = f >= 0
+        if not inner.any():
+            return forest["leaf_path"][node].sum(axis=1)
+        value = x[rows, np.where(inner, f, 0)]
+        node = np.where(inner, np.where(value < forest["thr"][node], forest["left"][node], forest["right"][node]), node)
+
+
+def score(rows: DataFrame, nodes: list, psi: int, trees: int) -> DataFrame:
+    """Adds ``_raw_score`` (the reference's ``score_samples``: minus the anomaly score)."""
+    if not nodes:
+        return rows.withColumn("_raw_score", F.lit(0.0))
+    shared = rows.sparkSession.sparkContext.broadcast(_flatten(nodes))
+
+    @F.pandas_udf("long")
+    def paths(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        x = np.column_stack([a, b, c, d]).astype(float)
+        return pd.Series(np.concatenate([_total_paths(x[i:i + 2048], shared.value) for i in range(0, len(x), 2048)])
+                         if len(x) else np.zeros(0, np.int64))
+
+    mean = paths(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES]) / F.lit(float(PATH_UNITS) * trees)
+    typical = float(average_path_length([psi])[0]) or 1.0
+    return rows.withColumn("_raw_score", F.round(-F.pow(F.lit(2.0), -mean / F.lit(typical)), SCORE_PLACES))
+
+
+def exact_quantile(values: DataFrame, col: str, q: float) -> float | None:
+    """The q-quantile of ``col``, linear between neighbours: counts of distinct values, their running total over
+    ranges, and the two values at which it passes the place of the quantile."""
+    counted = values.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_total(counted, "n", [F.col("v")], out="upto", total="rows")
+    place = (F.col("rows") - 1) * F.lit(float(q))
+    at = ranked.select(
+        F.min(F.when(F.col("upto") >= F.floor(place) + 1, F.col("v"))).alias("low"),
+        F.min(F.when(F.col("upto") >= F.least(F.floor(place) + 2, F.col("rows")), F.col("v"))).alias("high"),
+        F.max(place - F.floor(place)).alias("part")).first()
+    return None if at["low"] is None else at["low"] + (at["high"] - at["low"]) * at["part"]
+
+
+def detect_anomalies(lines: DataFrame, contamination: float = 0.02, trees: int = 200, seed: int = 42,
+                     key: str = "Sales_Key") -> DataFrame:
+    """Input columns plus Anomaly_Score (lower = more anomalous) and Is_Anomaly.
+
+    ``key`` names a column with one value per row. Missing measures count as 0. The lines are read twice: for the pool
+    and for the scores, which are kept in the checkpoint folder while the threshold is found.
     """
-    forest = _flatten(nodes) if nodes else None
-    out_schema = T.StructType(rows.schema.fields + [T.StructField("_raw_score", T.DoubleType())])
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores * 2)
-
-    def run(batches):
-        for pdf in batches:
-            s = _score_batch(_feature_matrix(pdf), forest, psi) if forest else np.zeros(len(pdf))
-            yield pdf.assign(_raw_score=s)
-
-    return rows.mapInPandas(run, out_schema)
-
-
-def detect_anomalies(lines: DataFrame, contamination: float = 0.02, trees: int = 200, seed: int = 42) -> DataFrame:
-    """Input columns plus Anomaly_Score (lower = more anomalous) and Is_Anomaly, most anomalous first."""
-    ship_package(lines.sparkSession)  # the pandas functions below run on the executors
-    keyed = lines.withColumn("_row_id", F.xxhash64(*[F.col(c) for c in lines.columns]))
-    typed = keyed.select(*[F.col(c).cast("double").alias(c) if c in FEATURES else F.col(c) for c in keyed.columns])
-    nodes, psi = fit_forest(typed, trees, seed)
-    scored = score(typed, nodes, psi)
-    # rank error 1/accuracy: 1e-4 of the rows, so the flagged share is contamination +- 0.01 %.
-    offset = scored.select(F.percentile_approx("_raw_score", float(contamination), 10_000)).scalar()
-    result = (scored.withColumn("Anomaly_Score", F.col("_raw_score") - offset)
-              .withColumn("Is_Anomaly", F.col("Anomaly_Score") < 0)
-              .drop("_raw_score", "_row_id"))
-    return result
+    ship_package(lines.sparkSession)  # the pandas functions run on the executors
+    ensure_checkpoint_dir(lines.sparkSession)
+    measures = lines.select(F.col(key).alias("_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
+    nodes, psi = fit_forest(measures, trees, seed)
+    typed = lines.select(*[F.col(c).cast("double").alias(c) if c in FEATURES else F.col(c) for c in lines.columns])
+    scored = score(typed, nodes, psi, trees).checkpoint(eager=True)
+    offset = exact_quantile(scored, "_raw_score", contamination)
+    return (scored.withColumn("Anomaly_Score", F.col("_raw_score") - F.lit(offset).cast("double"))
+            .withColumn("Is_Anomaly", F.col("Anomaly_Score") < 0).drop("_raw_score"))
 
 
 def anomaly_summary(scored: DataFrame) -> DataFrame:

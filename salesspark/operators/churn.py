@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesspark.operators.customers import holdout_split
+from salesspark.session import ensure_checkpoint_dir
 
 FEATURES = ["Frequency", "Monetary", "Avg_Order_Value", "Tenure_Days", "Customer_Rating"]
 # Right-closed risk tiers on the churn probability.
@@ -40,12 +40,13 @@ def _prepare(labeled: DataFrame) -> DataFrame:
 def train_churn(labeled: DataFrame, trees: int = 200, depth: int = 6, seed: int = 42,
                 test_pct: int = 25) -> ChurnModel:
     # One row per customer, read by several jobs below (counts, fit, metrics): keep it.
+    ensure_checkpoint_dir(labeled.sparkSession)
     split = (holdout_split(_prepare(labeled), test_pct=test_pct).withColumn("label", F.col("Churned").cast("double"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+             .checkpoint(eager=True))
     counts = {(r["Split"], r["Churned"]): r["n"] for r in
               split.groupBy("Split", "Churned").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts.get(("train", 0)) or not counts.get(("train", 1)):
-        raise ValueError(f"both classes are needed in the training split, got {counts}")
+    if not all(counts.get((side, c)) for side in ("train", "test") for c in (0, 1)):
+        raise ValueError(f"both classes are needed on either side of the split, got {counts}")
     n_train = counts[("train", 0)] + counts[("train", 1)]
     w0, w1 = n_train / (2.0 * counts[("train", 0)]), n_train / (2.0 * counts[("train", 1)])
     weighted = split.withColumn("_weight", F.when(F.col("Churned") == 1, F.lit(w1)).otherwise(F.lit(w0)))
@@ -61,9 +62,7 @@ def train_churn(labeled: DataFrame, trees: int = 200, depth: int = 6, seed: int
         F.sum(((F.col("prediction") == 1) & (F.col("label") == 0)).cast("long")).alias("fp"),
         F.sum(((F.col("prediction") == 0) & (F.col("label") == 1)).cast("long")).alias("fn"),
         F.sum(((F.col("prediction") == 0) & (F.col("label") == 0)).cast("long")).alias("tn"))
-    # ROC-AUC is undefined (NaN) when the hold-out holds one class only.
-    auc = (BinaryClassificationEvaluator(rawPredictionCol="_p1", labelCol="label", metricName="areaUnderROC")
-           .evaluate(test) if counts.get(("test", 0)) and counts.get(("test", 1)) else float("nan"))
+    auc = BinaryClassificationEvaluator(rawPredictionCol="_p1", labelCol="label", metricName="areaUnderROC").evaluate(test)
     spark = labeled.sparkSession
     rate = labeled.select((F.avg("Churned") * F.lit(100.0)).alias("r")).scalar()
     metrics = conf.select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesspark.functions.filters import apply_filters
+from salesspark.functions.scalars import zero_to_one
 from salesspark.operators.common import exact_mean, money_sum
+from salesspark.plans.prefix import running_total
+from salesspark.session import ensure_checkpoint_dir
 
 FEATURE_COLUMNS = ["Customer_Key", "Customer", "Segment", "Order_ID", "Net_Revenue", "Profit_Amount",
                    "Order_Date", "Customer_Rating"]
@@ -40,35 +43,48 @@ def churn_dataset(view: DataFrame, window_days: int = CHURN_WINDOW_DAYS) -> Data
     """M6: features from orders on or before ``max(Order_Date) - window_days``; label 1 when
     the customer has no order after that cutoff.
 
-    Customers whose first order is after the cutoff are not in the table. The
-    pre-cutoff aggregate and the distinct post-cutoff keys are both hash
-    partitioned on Customer_Key, so the label join adds no shuffle.
+    Customers whose first order is after the cutoff are not in the table. Features
+    and label are conditional aggregates of one pass over the lines.
     """
     cutoff = F.date_sub(view.select(F.max("Order_Date")).scalar(), int(window_days))
-    pre = view.filter(F.col("Order_Date") <= cutoff)
-    active_after = (view.filter(F.col("Order_Date") > cutoff).select("Customer_Key").distinct()
-                    .withColumn("_active", F.lit(1)))
-    features = (pre.groupBy("Customer_Key")
-                .agg(F.count_distinct("Order_ID").alias("Frequency"),
-                     money_sum("Net_Revenue").alias("Monetary"),
-                     exact_mean("Customer_Rating").alias("Customer_Rating"),
-                     F.min("Order_Date").alias("_first"),
-                     F.max("Order_Date").alias("_last")))
-    freq = F.col("Frequency")
-    return (features.join(active_after, "Customer_Key", "left")
-            .select("Customer_Key", "Frequency", "Monetary", "Customer_Rating",
-                    (F.col("Monetary") / F.when(freq == 0, F.lit(1)).otherwise(freq).cast("double"))
-                    .alias("Avg_Order_Value"),
-                    F.datediff(F.col("_last"), F.col("_first")).alias("Tenure_Days"),
-                    F.when(F.col("_active").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("Churned")))
+    early = F.col("Order_Date") <= cutoff
 
+    def before(c: str) -> Column:
+        return F.when(early, F.col(c))
 
-def holdout_split(df: DataFrame, key: str = "Customer_Key", test_pct: int = 25) -> DataFrame:
-    """M7: deterministic ~``test_pct`` % hold-out per class, from an md5 of the key.
+    features = (view.groupBy("Customer_Key")
+                .agg(F.count_distinct(before("Order_ID")).alias("Frequency"),
+                     F.sum(before("Net_Revenue")).cast("double").alias("Monetary"),
+                     (F.sum(before("Customer_Rating").cast("decimal(20,10)")).cast("double")
+                      / F.count(before("Customer_Rating")).cast("double")).alias("Customer_Rating"),
+                     F.min(before("Order_Date")).alias("_first"),
+                     F.max(before("Order_Date")).alias("_last"),
+                     F.max("Order_Date").alias("_latest"))
+                .filter(F.col("_last").isNotNull()))
+    return features.select(
+        "Customer_Key", "Frequency", "Monetary", "Customer_Rating",
+        (F.col("Monetary") / zero_to_one("Frequency").cast("double")).alias("Avg_Order_Value"),
+        F.datediff(F.col("_last"), F.col("_first")).alias("Tenure_Days"),
+        F.when(F.col("_latest") > cutoff, F.lit(0)).otherwise(F.lit(1)).alias("Churned"))
 
-    Each class (``Churned``) keeps about the same test share, like a stratified
-    split, and the assignment is a per-row expression: no sort, no shuffle, and
-    the same rows on every run and every engine.
-    """
-    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 100
-    return df.withColumn("Split", F.when(bucket < int(test_pct), F.lit("test")).otherwise(F.lit("train")))
+
+def holdout_split(df: DataFrame, key: str = "Customer_Key", test_pct: int = 25, label: str = "Churned") -> DataFrame:
+    """M7: stratified hold-out. ``ceil(test_pct % of the rows)`` go to test, shared among the classes in proportion
+    (whole parts first, then one each by largest remainder, smaller label first); in each class the rows with the
+    smallest MD5 of the key go. Ranks come from a running total over ranges, so no task holds a whole class."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)  # read for the counts and for the ranks
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()}  # a row per class
+    total = sum(counts.values())
+    test = -(-total * int(test_pct) // 100)
+    quota = {c: test * n // total for c, n in counts.items()}
+    for c in sorted(counts, key=lambda c: (-(test * counts[c] % total), c))[:test - sum(quota.values())]:
+        quota[c] += 1
+    hashed = df.withColumn("_one", F.lit(1)).withColumn("_md5", F.md5(F.col(key).cast("string")))
+    ranked = running_total(hashed, "_one", [F.col(label), F.col("_md5"), F.col(key)], out="_sum", rank="_rank")
+    limit, before = F.lit(0), 0
+    for c in sorted(counts):
+        limit = F.when(F.col(label) == c, F.lit(before + quota[c])).otherwise(limit)
+        before += counts[c]
+    return ranked.withColumn("Split", F.when(F.col("_rank") <= limit, F.lit("test")).otherwise(F.lit("train"))) \
+        .drop("_one", "_md5", "_sum", "_rank")

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesspark.functions.scalars import clip_at_zero
 from salesspark.functions.filters import apply_filters
 
 SERIES_COLUMNS = ["Year", "Month", "Net_Revenue"]
@@ -73,7 +74,7 @@ def forecast(monthly: DataFrame, horizon: int = 6, min_months: int = MIN_MONTHS)
 
     ``history_and_forecast``: (Series, Year, Month, Period, Net_Revenue, Type) with
     Type 'Actual' for history and 'Forecast' for the next ``horizon`` months
-    (clipped at 0, rounded to 2 dp). ``errors``: in-sample MAE and MAPE % per series.
+    (clipped at 0). ``errors``: in-sample MAE and MAPE % per series.
     """
     base, series, levels = _fit(monthly, min_months)
     fitted = (base.join(levels, ["Series", "Month"]).join(series.select("Series", "Slope"), "Series")
@@ -84,8 +85,7 @@ def forecast(monthly: DataFrame, horizon: int = 6, min_months: int = MIN_MONTHS)
                    F.first("Slope").alias("Slope"),
                    F.avg(err).alias("MAE"),
                    (F.avg(err / F.greatest(F.abs(F.col("Net_Revenue")), F.lit(EPS))) * F.lit(100.0)).alias("MAPE"))
-              .select("Series", "Months", F.round("Slope", 2).alias("Slope"),
-                      F.round("MAE", 2).alias("MAE"), F.round("MAPE", 4).alias("MAPE")))
+              .select("Series", "Months", "Slope", "MAE", "MAPE"))
 
     future = (series.select("Series", "Slope", "_first_year", "_mean_level",
                             F.explode(F.sequence(F.col("_last_t") + 1, F.col("_last_t") + int(horizon))).alias("_t"))
@@ -93,8 +93,8 @@ def forecast(monthly: DataFrame, horizon: int = 6, min_months: int = MIN_MONTHS)
               .withColumn("Year", (F.col("_first_year") + F.floor((F.col("_t") - F.col("Month")) / 12)).cast("int"))
               .join(levels, ["Series", "Month"], "left")
               .select("Series", "Year", "Month",
-                      F.round(F.greatest(F.coalesce(F.col("_level"), F.col("_mean_level"))
-                                         + F.col("Slope") * F.col("_t"), F.lit(0.0)), 2).alias("Net_Revenue"),
+                      clip_at_zero(F.coalesce(F.col("_level"), F.col("_mean_level"))
+                                   + F.col("Slope") * F.col("_t")).alias("Net_Revenue"),
                       F.lit("Forecast").alias("Type")))
     history = base.select("Series", "Year", "Month", "Net_Revenue", F.lit("Actual").alias("Type"))
     combined = history.unionByName(future).withColumn(

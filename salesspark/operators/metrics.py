@@ -135,11 +135,6 @@ def top_selling_products(view: DataFrame, n: int = 20, filters: dict | None = No
             .limit(int(n)))
 
 
-def breakdown_margin(breakdown: DataFrame) -> DataFrame:
-    """``100 * Profit / Net_Revenue`` rounded to 2 dp (NULL instead of inf on zero revenue)."""
-    return breakdown.withColumn("Margin_Pct", F.round(pct(F.col("Profit"), F.col("Net_Revenue")), 2))
-
-
 def breakdown_aov(breakdown: DataFrame) -> DataFrame:
     """Average order value per group, rounded to 0 dp."""
     return breakdown.withColumn(

@@ -64,24 +64,31 @@ VOCAB_FIELDS = ("Region", "Category", "Channel", "Segment")
 FILTER_FIELDS = ("Region", "Category", "Channel", "Segment", "Quarter", "Year", "Month")
 ANSWER_COLUMNS = list(FILTER_FIELDS) + ["Product", "Customer", "Salesperson", "Net_Revenue", "Profit_Amount",
                                         "Sales_Amount", "Order_ID", "Quantity", "Is_Returned", "Customer_Key"]
-MAX_VOCABULARY = 100_000
 
 
-def vocabulary(view: DataFrame) -> dict[str, list[str]]:
-    """Sorted distinct values of the four recognised dimensions (the dropdown lists).
-
-    Size-checked: these lists become literals of the parsing expression.
-    """
-    long = (view.select(*[F.col(c).cast("string").alias(c) for c in VOCAB_FIELDS])
+def vocabulary(view: DataFrame) -> DataFrame:
+    """Field and Value: the distinct values of the four recognised dimensions (the dropdown lists)."""
+    return (view.select(*[F.col(c).cast("string").alias(c) for c in VOCAB_FIELDS])
             .unpivot([], list(VOCAB_FIELDS), "Field", "Value")
             .filter(F.col("Value").isNotNull()).distinct())
-    rows = long.limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError("question vocabulary exceeds MAX_VOCABULARY values")
-    out: dict[str, list[str]] = {f: [] for f in VOCAB_FIELDS}
-    for r in rows:
-        out[r["Field"]].append(r["Value"])
-    return {f: sorted(v) for f, v in out.items()}
+
+
+def vocabulary_hits(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``low`` of ``texts`` with, for each field, the smallest value whose lower-case form occurs in it.
+
+    Each text is cut into its substrings of the lengths that occur in the vocabulary, and these meet the values in an
+    equi-join, so the vocabulary may be of any size.
+    """
+    values = vocab.select("Field", "Value", F.lower("Value").alias("part"))
+    lengths = values.select(F.array_sort(F.collect_set(F.char_length("part")))).scalar()
+    cut = F.flatten(F.transform(
+        F.filter(F.col("lengths"), lambda n: n <= F.char_length("low")),
+        lambda n: F.transform(F.sequence(F.lit(1), F.char_length("low") - n + 1),
+                              lambda at: F.substring("low", at, n))))
+    parts = texts.select("low").distinct().withColumn("lengths", lengths) \
+        .select("low", F.explode(F.array_distinct(cut)).alias("part"))
+    return parts.join(values, "part").groupBy("low").agg(
+        *[F.min(F.when(F.col("Field") == f, F.col("Value"))).alias(f) for f in VOCAB_FIELDS])
 
 
 def _any_contains(text: Column, words) -> Column:
@@ -95,9 +102,12 @@ def _first_contained(text: Column, values: list[str]) -> Column:
     return F.get(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: text.contains(F.lower(v))), 0)
 
 
-def parse_questions(questions: DataFrame, vocab: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """Adds Metric, Dimension, the seven filter columns and Recognized_Terms (array)."""
-    low = F.lower(F.col(text_col))
+def parse_questions(questions: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds Metric, Dimension, the seven filter columns and Recognized_Terms (array); ``vocab`` has Field and Value."""
+    keyed = questions.withColumn("_low", F.lower(F.col(text_col)))
+    hits = vocabulary_hits(keyed.select(F.col("_low").alias("low")), vocab)
+    questions = keyed.join(hits.withColumnRenamed("low", "_low"), "_low", "left")
+    low = F.col("_low")
     metric_hit = None
     for metric, words in METRIC_KEYWORDS.items():
         cond = _any_contains(low, words)
@@ -116,7 +126,6 @@ def parse_questions(questions: DataFrame, vocab: dict[str, list[str]], text_col:
         "*",
         metric_hit.alias("_metric_hit"),
         dimension.alias("Dimension"),
-        *[_first_contained(low, vocab.get(f, [])).alias(f) for f in VOCAB_FIELDS],
         F.when(quarter != "", F.concat(F.lit("Q"), quarter)).alias("Quarter"),
         F.when(year != "", year.cast("int")).alias("Year"),
         F.when(month_hit.isNotNull(), month).alias("Month"),
@@ -131,7 +140,7 @@ def parse_questions(questions: DataFrame, vocab: dict[str, list[str]], text_col:
     ))
     return (parsed.withColumn("Metric", F.coalesce(F.col("_metric_hit"), F.lit("Net_Revenue")))
             .withColumn("Recognized_Terms", terms)
-            .drop("_metric_hit", "_month_title"))
+            .drop("_metric_hit", "_month_title", "_low"))
 
 
 def _mask(cols) -> Column:

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def view_for(spark: SparkSession, sf_dir: str, columns: list[str], filters: dict | None = None) -> DataFrame:
     """The sales view with only the columns an operator and its filters read."""
-    return sales_view(spark, sf_dir, list(columns) + filter_columns(filters))
+    return sales_view(spark, sf_dir, list(columns) + filter_columns(filters), keys_complete=True)
 
 
 # ---------------------------------------------------------------- KPIs
@@ -392,15 +392,20 @@ def q_churn_dataset(spark, sf_dir):
     return C.churn_dataset(view_for(spark, sf_dir, C.CHURN_COLUMNS))
 
 
-@register("churn_split", with_view("""
-SELECT Churned, Split, COUNT(*) AS Customers FROM (
-  SELECT Churned, CASE WHEN CAST(('0x' || substr(md5(CAST(Customer_Key AS VARCHAR)), 1, 8)) AS BIGINT) % 100 < 25
-                       THEN 'test' ELSE 'train' END AS Split
-  FROM churn) s GROUP BY Churned, Split ORDER BY Churned, Split""", _CHURN_CTE))
+_SPLIT_CTE = """
+cls AS (SELECT Churned, COUNT(*) AS n FROM churn GROUP BY Churned),
+tot AS (SELECT CAST(SUM(n) AS BIGINT) AS total, (CAST(SUM(n) AS BIGINT) * 25 + 99) // 100 AS test FROM cls),
+share AS (SELECT Churned, test * n // total AS whole, test * n % total AS rest, test FROM cls, tot),
+quota AS (SELECT Churned, whole + CASE WHEN ROW_NUMBER() OVER (ORDER BY rest DESC, Churned) <= test - SUM(whole) OVER ()
+                                       THEN 1 ELSE 0 END AS q FROM share),
+split AS (SELECT churn.*, CASE WHEN ROW_NUMBER() OVER (PARTITION BY churn.Churned
+            ORDER BY md5(CAST(Customer_Key AS VARCHAR)), Customer_Key) <= q THEN 'test' ELSE 'train' END AS Split
+          FROM churn JOIN quota ON quota.Churned = churn.Churned)"""
+
+
+@register("churn_split", with_view("SELECT Customer_Key, Churned, Split FROM split", _CHURN_CTE, _SPLIT_CTE))
 def q_churn_split(spark, sf_dir):
-    from pyspark.sql import functions as F
-    return (C.holdout_split(C.churn_dataset(view_for(spark, sf_dir, C.CHURN_COLUMNS)))
-            .groupBy("Churned", "Split").agg(F.count(F.lit(1)).alias("Customers")).orderBy("Churned", "Split"))
+    return C.holdout_split(C.churn_dataset(view_for(spark, sf_dir, C.CHURN_COLUMNS))).select("Customer_Key", "Churned", "Split")
 
 
 # ---------------------------------------------------------------- co-purchase
@@ -470,14 +475,20 @@ SELECT Series, Year, Month, CAST(Year AS VARCHAR) || '-' || lpad(CAST(Month AS V
   Net_Revenue, Type FROM combined ORDER BY Series, Type, Year, Month"""
 
 
+def _rounded(series):
+    """Forecast values to 2 places; history as it is."""
+    value = _F.when(_F.col("Type") == "Forecast", _F.round("Net_Revenue", 2)).otherwise(_F.col("Net_Revenue"))
+    return series.withColumn("Net_Revenue", value)
+
+
 @register("forecast_total", with_view(_FORECAST_SELECT, *_forecast_ctes("'All'")))
 def q_forecast_total(spark, sf_dir):
-    return FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS)), 6)[0]
+    return _rounded(FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS)), 6)[0])
 
 
 @register("forecast_by_region", with_view(_FORECAST_SELECT, *_forecast_ctes("Region")))
 def q_forecast_by_region(spark, sf_dir):
-    return FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS + ["Region"]), "Region"), 6)[0]
+    return _rounded(FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS + ["Region"]), "Region"), 6)[0])
 
 
 @register("forecast_error", with_view(f"""
@@ -487,7 +498,9 @@ FROM (SELECT b.Series, b.Net_Revenue, s.Slope, ABS(b.Net_Revenue - (l.level + s.
       FROM base b JOIN lev l ON l.Series = b.Series AND l.Month = b.Month JOIN ser s ON s.Series = b.Series) x
 GROUP BY Series ORDER BY Series""", *_forecast_ctes("Region")))
 def q_forecast_error(spark, sf_dir):
-    return FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS + ["Region"]), "Region"), 6)[1]
+    errors = FC.forecast(FC.monthly_series(view_for(spark, sf_dir, FC.SERIES_COLUMNS + ["Region"]), "Region"), 6)[1]
+    return errors.select("Series", "Months", _F.round("Slope", 2).alias("Slope"), _F.round("MAE", 2).alias("MAE"),
+                         _F.round("MAPE", 4).alias("MAPE"))
 
 
 # ---------------------------------------------------------------- formatting and narrative
@@ -736,13 +749,78 @@ def q_risk_tiers(spark, sf_dir):
     return CH.risk_tier_counts(CH.predict_risk(model, labeled))
 
 
-@register("anomalies")
-def q_anomalies(spark, sf_dir):
+def _forest_ctes(trees: int = 200, seed: int = 42, q: float = 0.02) -> list[str]:
+    """The isolation forest as chained CTEs: pool, samples, eight levels of splits, then every line's way down."""
+    uniform = "(CAST('0x' || substr(md5('{seed}|' || tree || '|' || node || '|{what}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
+    feature, split = uniform.format(seed=seed, what="feature"), uniform.format(seed=seed, what="split")
+    fs = [f"f{i}" for i in range(4)]
+    out = [f"""
+m AS (SELECT Sales_Key AS k, {', '.join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS f{i}" for i, c in enumerate(AN.FEATURES))} FROM sales)""",
+           f"pool AS (SELECT * FROM m ORDER BY md5('{seed}|pool|' || k), k LIMIT {AN.POOL_ROWS})",
+           f"size AS (SELECT least({AN.SAMPLE_SIZE}, COUNT(*)) AS psi, ceil(log2(greatest(2, least({AN.SAMPLE_SIZE}, COUNT(*))))) AS deep FROM pool)",
+           f"""
+l0 AS MATERIALIZED (SELECT tree, 1 AS node, {', '.join(fs)} FROM (
+  SELECT t.tree, p.*, ROW_NUMBER() OVER (PARTITION BY t.tree ORDER BY md5('{seed}|' || t.tree || '|' || k), k) AS nth
+  FROM pool p, range(0, {trees}) AS t(tree)) x, size WHERE nth <= psi)"""]
+    usable = "[" + ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in range(4)) + "]"
+    for d in range(9):
+        out.append(f"""
+n{d} AS MATERIALIZED (SELECT tree, node, n, f, CASE f {' '.join(f'WHEN {i} THEN lo{i} + u * (hi{i} - lo{i})' for i in range(4))} END AS thr
+  FROM (SELECT tree, node, n, u, CASE WHEN n > 1 AND {d} < deep AND len(us) > 0 THEN us[CAST(floor(v * len(us)) AS BIGINT) + 1] END AS f,
+          {', '.join(f'lo{i}, hi{i}' for i in range(4))}
+        FROM (SELECT *, [x for x in {usable} if x IS NOT NULL] AS us, {feature} AS v, {split} AS u
+              FROM (SELECT tree, node, COUNT(*) AS n, {', '.join(f'MIN(f{i}) AS lo{i}, MAX(f{i}) AS hi{i}' for i in range(4))}
+                    FROM l{d} GROUP BY tree, node) a) b, size) c)""")
+        if d < 8:
+            value = "CASE f " + " ".join(f"WHEN {i} THEN f{i}" for i in range(4)) + " END"
+            out.append(f"""
+l{d + 1} AS MATERIALIZED (SELECT l.tree, 2 * l.node + CASE WHEN {value} < thr THEN 0 ELSE 1 END AS node, {', '.join(fs)}
+  FROM l{d} l JOIN n{d} n ON l.tree = n.tree AND l.node = n.node WHERE n.f IS NOT NULL)""")
+    c_n = f"CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1.0) + {AN.EULER!r}) - 2.0 * (n - 1.0) / n END"
+    c_psi = c_n.replace("n - 1.0", "psi - 1.0").replace("/ n END", "/ psi END").replace("WHEN n ", "WHEN psi ")
+    out.append("w0 AS (SELECT k, f0, f1, f2, f3, t.tree, 1 AS node FROM m, range(0, %d) AS t(tree))" % trees)
+    for d in range(9):
+        value = "CASE f " + " ".join(f"WHEN {i} THEN f{i}" for i in range(4)) + " END"
+        out.append(f"""
+e{d} AS (SELECT w.k, CAST(round(({d} + {c_n}) * {AN.PATH_UNITS}.0) AS BIGINT) AS path
+  FROM w{d} w JOIN n{d} n ON w.tree = n.tree AND w.node = n.node WHERE n.f IS NULL)""")
+        if d < 8:
+            out.append(f"""
+w{d + 1} AS MATERIALIZED (SELECT w.k, f0, f1, f2, f3, w.tree, 2 * w.node + CASE WHEN {value} < thr THEN 0 ELSE 1 END AS node
+  FROM w{d} w JOIN n{d} n ON w.tree = n.tree AND w.node = n.node WHERE n.f IS NOT NULL)""")
+    every = " UNION ALL ".join(f"SELECT * FROM e{d}" for d in range(9))
+    out.append(f"""
+raw AS (SELECT k, round(-pow(2.0, -(CAST(SUM(path) AS DOUBLE) / {AN.PATH_UNITS * trees}.0) / ({c_psi})), {AN.SCORE_PLACES}) AS s
+  FROM ({every}) e, size GROUP BY k, psi)""")
+    out.append(f"scored AS MATERIALIZED (SELECT k, s - (SELECT quantile_cont(s, {q}) FROM raw) AS Anomaly_Score FROM raw)")
+    return out
+
+
+_ANOMALIES_SQL = """SELECT Sales_Key, Order_ID, Product, Category, {measures}, round(Anomaly_Score, 6) AS Anomaly_Score
+FROM scored JOIN sales ON k = Sales_Key WHERE Anomaly_Score < 0""".format(
+    measures=", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in AN.FEATURES))
+
+
+def _flagged(spark, sf_dir):
     scored = AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS))
-    return scored.filter(_F.col("Is_Anomaly")).orderBy("Anomaly_Score")
+    return scored.filter(_F.col("Is_Anomaly")).drop("Is_Anomaly")
+
 
+@register("anomalies", with_view(_ANOMALIES_SQL, *_forest_ctes()))
+def q_anomalies(spark, sf_dir):
+    flagged = _flagged(spark, sf_dir).orderBy("Anomaly_Score", "Sales_Key")
+    return flagged.withColumn("Anomaly_Score", _F.round("Anomaly_Score", 6))
+
+
+@register("anomalies_top25", with_view(_ANOMALIES_SQL + " ORDER BY scored.Anomaly_Score, Sales_Key LIMIT 25", *_forest_ctes()))
+def q_anomalies_top25(spark, sf_dir):
+    flagged = _flagged(spark, sf_dir).orderBy("Anomaly_Score", "Sales_Key").limit(25)
+    return flagged.withColumn("Anomaly_Score", _F.round("Anomaly_Score", 6))
 
-@register("anomaly_summary")
+
+@register("anomaly_summary", with_view("""
+SELECT COUNT(*) FILTER (WHERE Anomaly_Score < 0) AS Flagged, COUNT(*) AS Lines,
+  100.0 * COUNT(*) FILTER (WHERE Anomaly_Score < 0) / COUNT(*) AS Flagged_Pct FROM scored""", *_forest_ctes()))
 def q_anomaly_summary(spark, sf_dir):
     return AN.anomaly_summary(AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS)))
 
@@ -752,15 +830,16 @@ def q_anomaly_summary(spark, sf_dir):
 from salesspark.plans.export import pivot_wide  # noqa: E402
 
 
-@register("revenue_region_by_year", with_view("""
-SELECT * FROM (PIVOT (SELECT Region, CAST(Year AS VARCHAR) AS Year, CAST(SUM(Net_Revenue) AS DOUBLE) AS r
-                      FROM sales GROUP BY Region, Year)
-               ON Year USING SUM(r) GROUP BY Region) p ORDER BY Region"""))
+_YEARS = [str(y) for y in range(1992, 2002)]
+
+
+@register("revenue_region_by_year", with_view("SELECT Region, " + ", ".join(
+    f"CAST(SUM(Net_Revenue) FILTER (WHERE Year = {y}) AS DOUBLE) AS \"{y}\"" for y in _YEARS) + " FROM sales GROUP BY Region"))
 def q_revenue_region_by_year(spark, sf_dir):
     long = (view_for(spark, sf_dir, ["Region", "Year", "Net_Revenue"]).groupBy("Region", "Year")
             .agg(_F.sum("Net_Revenue").cast("double").alias("Net_Revenue"))
             .withColumn("Year", _F.col("Year").cast("string")))
-    return pivot_wide(long, "Region", "Year", "Net_Revenue")
+    return pivot_wide(long, "Region", "Year", "Net_Revenue", keys=_YEARS)
 
 
 @register("kpi_per_unit", with_view(f"""
@@ -822,7 +901,7 @@ _MATCH = " AND ".join(f"(p.{f} IS NULL OR s.{f} = p.{f})" for f in Q.FILTER_FIEL
 _DESC = ("concat_ws(', ', " + ", ".join(f"'{f}=' || CAST(p.{f} AS VARCHAR)" for f in Q.FILTER_FIELDS) + ")")
 _IS_BD = "(p.Dimension IS NOT NULL AND p.Metric IN ('Net_Revenue', 'Profit', 'Orders', 'Units'))"
 
-_ANSWERS_SQL = with_view(f"""
+_ANSWERS_BODY = f"""
 SELECT Question_ID, Metric, Dimension, Answer_Value, Leader,
   'The ' || label || ' for ' || CASE WHEN d = '' THEN 'across all data' ELSE d END || ' is **'
   || CASE WHEN Metric = 'Return_Rate' THEN printf('%.2f', Answer_Value) || '%' ELSE format('{{:,.0f}}', Answer_Value) END
@@ -864,7 +943,22 @@ FROM parsed p LEFT JOIN (
                 WHERE {_IS_BD}
                 GROUP BY 1, 2, 3) g) x) y
   WHERE r = 1) l ON l.Question_ID = p.Question_ID
-WHERE {_IS_BD}""", _bank_sql(), "q AS (SELECT Question_ID, lower(text) AS low FROM bank)", *_parse_ctes("q", ["Question_ID"]))
+WHERE {_IS_BD}"""
+
+
+def _answers_sql(keys: list[str], *source: str) -> str:
+    """The answers to the questions of the CTE ``q`` with the given key columns."""
+    def listed(prefix):
+        return ", ".join(prefix + k for k in keys)
+    body = (_ANSWERS_BODY.replace("l.Question_ID = p.Question_ID", " AND ".join(f"l.{k} = p.{k}" for k in keys))
+            .replace("l.Question_ID IS NULL", f"l.{keys[0]} IS NULL").replace("p.Question_ID", listed("p."))
+            .replace("GROUP BY 1, 2, 3", "GROUP BY ALL").replace("Question_ID", listed("")))
+    return with_view(body, *source, *_parse_ctes("q", keys))
+
+
+_ANSWERS_SQL = _answers_sql(["Question_ID"], _bank_sql(), "q AS (SELECT Question_ID, lower(text) AS low FROM bank)")
+ORACLE["question_answers"] = _answers_sql(
+    ["conv_id", "turn"], "q AS (SELECT conv_id, turn, lower(text) AS low FROM conversations WHERE role = 'user')")
 
 
 def _bank_answers(spark, sf_dir):
@@ -910,3 +1004,116 @@ def _latin1_sql(x: str) -> str:
 def q_insights_latin1(spark, sf_dir):
     facts = N.executive_summary(view_for(spark, sf_dir, N.INSIGHT_COLUMNS))
     return facts.select("Insight_ID", X.to_latin1("Text").alias("Text"))
+
+
+# ---------------------------------------------------------------- rows, parameterised SQL, exports, page heads
+
+from salesspark.plans.export import export_catalog  # noqa: E402
+from salesspark.schema import VIEW_COLUMNS  # noqa: E402
+from salesspark.sources.view import raw_sales, register_view, run_query  # noqa: E402
+
+_AS_DOUBLE = ("Unit_Cost", "Unit_Price", "Sales_Amount", "Discount_Amount", "Cost_Amount", "Profit_Amount", "Shipping_Cost",
+              "Net_Revenue")
+
+
+def _plain(columns):
+    return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in _AS_DOUBLE else "CAST(Order_Date AS VARCHAR) AS Order_Date"
+                     if c == "Order_Date" else c for c in columns)
+
+
+def _doubles(df):
+    return df.select(*[_F.col(c).cast("double").alias(c) if c in _AS_DOUBLE else _F.col(c).cast("string").alias(c)
+                       if c == "Order_Date" else _F.col(c) for c in df.columns])
+
+
+@register("sales_lines", with_view(f"SELECT {_plain(VIEW_COLUMNS)} FROM sales"))
+def q_sales_lines(spark, sf_dir):
+    return _doubles(sales_view(spark, sf_dir))
+
+
+RAW_FILTER = {"Region": "ASIA", "Year": 1996, "Segment": ["BUILDING", "MACHINERY"]}
+RAW_COLUMNS = ["Sales_Key", "Order_ID", "Order_Line_ID", "Order_Date", "Product", "Net_Revenue", "Payment_Mode"]
+
+
+@register("raw_sales_filtered", with_view(f"""SELECT {_plain(RAW_COLUMNS)} FROM sales
+WHERE Region = 'ASIA' AND Year = 1996 AND Segment IN ('BUILDING', 'MACHINERY')"""))
+def q_raw_sales_filtered(spark, sf_dir):
+    return _doubles(raw_sales(view_for(spark, sf_dir, RAW_COLUMNS, RAW_FILTER), RAW_FILTER, RAW_COLUMNS))
+
+
+@register("parameterised_kpi", with_view("""
+SELECT Region, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue, COUNT(DISTINCT Order_ID) AS Orders
+FROM sales WHERE Year = 1997 AND Channel = 'HIGH' GROUP BY Region"""))
+def q_parameterised_kpi(spark, sf_dir):
+    name = register_view(view_for(spark, sf_dir, ["Region", "Year", "Channel", "Net_Revenue", "Order_ID"]))
+    return run_query(spark, f"""SELECT Region, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue, COUNT(DISTINCT Order_ID) AS Orders
+FROM {name} WHERE Year = :year AND Channel = :channel GROUP BY Region""", {"year": 1997, "channel": "HIGH"})
+
+
+_EXPORT_COLUMNS = ["Region", "Category", "Customer_Key", "Customer", "Segment", "Product", "Salesperson", "Salesperson_Key",
+                   "Year", "Month", "Month_Name", "Sales_Amount"] + M.BREAKDOWN_COLUMNS
+
+
+def _export_sql() -> str:
+    heads = {"Sales by Region": "SELECT SUM(Net_Revenue) AS r FROM sales GROUP BY Region",
+             "Sales by Category": "SELECT SUM(Net_Revenue) AS r FROM sales GROUP BY Category",
+             "Top 20 Customers": "SELECT SUM(Net_Revenue) AS r FROM sales GROUP BY Customer_Key ORDER BY r DESC LIMIT 20",
+             "Top 20 Products": "SELECT SUM(Net_Revenue) AS r FROM sales GROUP BY Product ORDER BY r DESC LIMIT 20",
+             "Salesperson Leaderboard": "SELECT SUM(Net_Revenue) AS r FROM sales WHERE Salesperson IS NOT NULL GROUP BY Salesperson_Key",
+             "ABC Analysis": "SELECT SUM(Net_Revenue) AS r FROM sales GROUP BY Product",
+             "Monthly Trend": "SELECT SUM(Net_Revenue) AS r FROM sales GROUP BY Year, Month"}
+    return with_view(" UNION ALL ".join(
+        f"SELECT '{n}' AS View_Name, COUNT(*) AS Row_Count, round(CAST(SUM(r) AS DOUBLE), 2) AS Revenue FROM ({q}) x" for n, q in heads.items()))
+
+
+@register("export_catalog", _export_sql())
+def q_export_catalog(spark, sf_dir):
+    out = None
+    for name, build in export_catalog(view_for(spark, sf_dir, _EXPORT_COLUMNS)).items():
+        df = build()
+        revenue = next(c for c in ("Net_Revenue", "Revenue") if c in df.columns)
+        row = df.agg(_F.count(_F.lit(1)).alias("Row_Count"),
+                     _F.round(_F.sum(_F.col(revenue).cast("decimal(20,4)")).cast("double"), 2).alias("Revenue")) \
+            .select(_F.lit(name).alias("View_Name"), "Row_Count", "Revenue")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("rfm_top20", with_view("""
+SELECT Customer_Key, Customer, Recency_Days, Frequency, Monetary FROM feat ORDER BY Monetary DESC, Customer_Key LIMIT 20""", _FEATURES_CTE))
+def q_rfm_top20(spark, sf_dir):
+    f = C.customer_features(view_for(spark, sf_dir, C.FEATURE_COLUMNS))
+    return f.select("Customer_Key", "Customer", "Recency_Days", "Frequency", "Monetary") \
+        .orderBy(_F.desc("Monetary"), "Customer_Key").limit(20)
+
+
+@register("churn_risk_top20")
+def q_churn_risk_top20(spark, sf_dir):
+    labeled, model = _churn(spark, sf_dir)
+    return CH.predict_risk(model, labeled).limit(20)
+
+
+@register("churn_check", with_view("""
+SELECT (SELECT COUNT(*) FROM churn) AS Customers, COUNT(*) FILTER (WHERE Split = 'test') AS Test_Rows,
+  COUNT(*) FILTER (WHERE Split = 'test' AND Churned = 1) AS Test_Churned, 100.0 * AVG(Churned) AS Churn_Rate,
+  (SELECT COUNT(*) FROM churn) AS Tiered, CAST(0 AS BIGINT) AS Outside, 1.0 AS Importance FROM split""", _CHURN_CTE, _SPLIT_CTE))
+def q_churn_check(spark, sf_dir):
+    """Facts about the churn model that the tables determine; the model itself has no SQL form."""
+    labeled, model = _churn(spark, sf_dir)
+    risk = CH.predict_risk(model, labeled)
+    split = C.holdout_split(labeled)
+    p = _F.col("Churn_Probability")
+    scored = risk.agg(_F.count(_F.lit(1)).alias("Customers"), _F.count("Risk_Tier").alias("Tiered"),
+                      _F.sum(((p < 0) | (p > 1) | p.isNull()).cast("long")).alias("Outside"))
+    parts = split.agg(_F.sum((_F.col("Split") == "test").cast("long")).alias("Test_Rows"),
+                      _F.sum(((_F.col("Split") == "test") & (_F.col("Churned") == 1)).cast("long")).alias("Test_Churned"),
+                      (_F.lit(100.0) * _F.avg("Churned")).alias("Churn_Rate"))
+    weight = model.importance.agg(_F.round(_F.sum("Importance"), 9).alias("Importance"))
+    return scored.join(parts).join(weight)
+
+
+@register("region_margin", with_view("""
+SELECT *, round((100.0 * Profit) / NULLIF(Net_Revenue, 0), 2) AS Margin_Pct FROM bd
+ORDER BY Net_Revenue DESC NULLS LAST, Region""", _BREAKDOWN_CTE.format(dim="Region")))
+def q_region_margin(spark, sf_dir):
+    return D.category_margin(view_for(spark, sf_dir, ["Region"] + M.BREAKDOWN_COLUMNS), dimension="Region")

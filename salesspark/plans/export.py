@@ -23,13 +23,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def safe_name(name: str, limit: int = 31) -> str:
-    """A view name as a folder name (the reference cut sheet names to 31 characters)."""
-    return re.sub(r"[^A-Za-z0-9_.-]+", "_", name.strip()).strip("_")[:limit] or "view"
+def safe_name(name: str) -> str:
+    """A view name as a folder name."""
+    return re.sub(r"[^A-Za-z0-9_.-]+", "_", name.strip()).strip("_") or "view"
 
 
 def write_views(views: dict[str, DataFrame], root: str, fmt: str = "parquet", mode: str = "overwrite") -> dict[str, str]:
-    """Every named view into ``{root}/{safe name}``; returns name -> path."""
+    """Every named view into ``{root}/{safe name}``; returns name -> path. Two names for one folder are an error."""
+    folders: dict[str, str] = {}
+    for name in views:
+        other = folders.setdefault(safe_name(name).lower(), name)
+        if other != name:
+            raise ValueError(f"{other!r} and {name!r} would share the folder {safe_name(name)!r}")
     out = {}
     for name, df in views.items():
         path = f"{root.rstrip('/')}/{safe_name(name)}"
@@ -54,19 +59,17 @@ def export_catalog(view: DataFrame, filters: dict | None = None) -> dict[str, Ca
     }
 
 
-def pivot_wide(df: DataFrame, index: str, columns: str, values: str, keys: list | None = None,
-               max_columns: int = 1000) -> DataFrame:
+def pivot_wide(df: DataFrame, index: str, columns: str, values: str, keys: list | None = None) -> DataFrame:
     """One row per ``index``, one column per distinct ``columns`` value.
 
     A duplicate (index, column) pair is an error, as in a pandas pivot; the check
     is part of the same aggregation (``raise_error`` fires inside the job), so the
-    pivot is one pass. The distinct column values become the schema, so they are
-    capped at ``max_columns`` (pass ``keys`` to skip looking them up).
+    pivot is one pass. The distinct column values become the schema: pass ``keys`` to
+    say which, else Spark looks them up and refuses more than ``spark.sql.pivotMaxValues``.
     """
     if keys is None:
-        keys = [r[0] for r in df.select(columns).distinct().orderBy(columns).limit(max_columns + 1).collect()]
-    if len(keys) > max_columns:
-        raise ValueError(f"more than {max_columns} distinct values in {columns}")
+        found = df.groupBy(index).pivot(columns).agg(F.first(values)).columns
+        keys = [c for c in found if c != index]
     wide = df.groupBy(index).pivot(columns, keys).agg(F.first(values).alias("v"), F.count(F.lit(1)).alias("n"))
     dup = F.greatest(*[F.coalesce(F.col(f"{k}_n"), F.lit(0)) for k in keys]) if keys else F.lit(0)
     checked = wide.filter(F.when(dup > 1, F.raise_error(F.lit(

@@ -14,10 +14,15 @@ _SALES = "CAST(l.l_extendedprice AS DECIMAL(12,2))"
 _DISC = f"CAST({_SALES} * CAST(l.l_discount AS DECIMAL(4,2)) AS DECIMAL(16,4))"
 _COST = (f"CAST({_SALES} * CAST(CAST(50 + 5 * (l.l_partkey % 11) AS DECIMAL(4,0)) * CAST(0.01 AS DECIMAL(3,2))"
          " AS DECIMAL(3,2)) AS DECIMAL(16,4))")
+_TEXT = ", ".join(["l.l_orderkey", "l.l_linenumber", "l.l_partkey", "l.l_suppkey",
+                   *[f"CAST(CAST(l.{c} AS DECIMAL(12,2)) AS VARCHAR)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+                   "l.l_returnflag", "l.l_linestatus", "CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR)"])
+_KEY = f"CAST('0x' || substr(md5(concat_ws('|', {_TEXT})), 1, 15) AS BIGINT)"
 
 SALES_VIEW_SQL = f"""
 sales AS (
   SELECT
+    {_KEY} AS Sales_Key,
     l.l_orderkey AS Order_ID,
     l.l_linenumber AS Order_Line_ID,
     {_DATE} AS Order_Date,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Columns of the flattened order-line view, in view order.
+# Columns of the flattened order-line view, in view order.
 VIEW_COLUMNS = [
     "Sales_Key", "Order_ID", "Order_Line_ID", "Order_Date", "Year", "Quarter", "Month", "Month_Name",
     "Region", "Country", "State", "City", "Product", "Category", "Sub_Category", "Unit_Cost",
@@ -33,7 +33,3 @@ SHORT_MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun",
 
 # Metrics a breakdown can be ordered by.
 BREAKDOWN_METRICS = ("Net_Revenue", "Profit", "Orders", "Units")
-
-# Money columns: exact decimals inside the view, doubles at the output.
-MONEY_COLUMNS = ("Sales_Amount", "Discount_Amount", "Cost_Amount", "Profit_Amount",
-                 "Shipping_Cost", "Net_Revenue", "Unit_Cost", "Unit_Price")

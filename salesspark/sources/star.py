@@ -78,6 +78,11 @@ def _quarter_label(col):
     return F.when(as_text.startswith("Q"), as_text).otherwise(F.concat(F.lit("Q"), as_text))
 
 
+def money(name: str):
+    """A money column as an exact decimal, so that sums don't depend on the order of tasks."""
+    return F.col(name).cast("decimal(16,4)").alias(name.split(".")[1])
+
+
 def view_from_star(tables: dict[str, DataFrame]) -> DataFrame:
     """The flattened order-line view: five inner joins and a left join to salespeople.
 
@@ -94,11 +99,11 @@ def view_from_star(tables: dict[str, DataFrame]) -> DataFrame:
     ch = tables["dim_channel"].alias("ch")
     sp = tables["dim_salesperson"].alias("sp")
     joined = (
-        f.join(F.broadcast(d), F.col("f.Order_Date_Key") == F.col("d.Date_Key"))
+        f.join(d, F.col("f.Order_Date_Key") == F.col("d.Date_Key"))
         .join(r, F.col("f.Region_Key") == F.col("r.Region_Key"))
         .join(p, F.col("f.Product_Key") == F.col("p.Product_Key"))
         .join(c, F.col("f.Customer_Key") == F.col("c.Customer_Key"))
-        .join(F.broadcast(ch), F.col("f.Channel_Key") == F.col("ch.Channel_Key"))
+        .join(ch, F.col("f.Channel_Key") == F.col("ch.Channel_Key"))
         .join(sp, F.col("f.Salesperson_Key") == F.col("sp.Salesperson_Key"), "left")
     )
     return joined.select(
@@ -117,8 +122,8 @@ def view_from_star(tables: dict[str, DataFrame]) -> DataFrame:
         F.col("p.Product_Name").alias("Product"),
         F.col("p.Category").alias("Category"),
         F.col("p.Sub_Category").alias("Sub_Category"),
-        F.col("p.Unit_Cost").alias("Unit_Cost"),
-        F.col("p.Unit_Price").alias("Unit_Price"),
+        money("p.Unit_Cost"),
+        money("p.Unit_Price"),
         F.col("c.Customer_Name").alias("Customer"),
         F.col("c.Segment").alias("Segment"),
         F.col("c.Customer_Rating").alias("Customer_Rating"),
@@ -127,12 +132,12 @@ def view_from_star(tables: dict[str, DataFrame]) -> DataFrame:
         F.col("sp.Salesperson_Key").alias("Salesperson_Key"),
         F.col("ch.Channel_Name").alias("Channel"),
         F.col("f.Quantity").alias("Quantity"),
-        F.col("f.Sales_Amount").alias("Sales_Amount"),
-        F.col("f.Discount_Amount").alias("Discount_Amount"),
-        F.col("f.Cost_Amount").alias("Cost_Amount"),
-        F.col("f.Profit_Amount").alias("Profit_Amount"),
-        F.col("f.Shipping_Cost").alias("Shipping_Cost"),
-        (F.col("f.Sales_Amount") - F.col("f.Discount_Amount")).alias("Net_Revenue"),
+        money("f.Sales_Amount"),
+        money("f.Discount_Amount"),
+        money("f.Cost_Amount"),
+        money("f.Profit_Amount"),
+        money("f.Shipping_Cost"),
+        (money("f.Sales_Amount") - money("f.Discount_Amount")).alias("Net_Revenue"),
         F.col("f.Payment_Mode").alias("Payment_Mode"),
         F.col("f.Is_Returned").cast("int").alias("Is_Returned"),
     )

@@ -9,16 +9,17 @@ Mapping (one order line of ``lineitem`` = one sales fact):
 * money is kept as exact DECIMAL inside the plan and cast to DOUBLE only at the
   output of an operator, which makes sums independent of evaluation order.
 
-Only the tables that the requested columns need are joined ("dimension pruning").
-That is valid because every foreign key resolves (``check_integrity`` verifies it);
-``prune=False`` always joins everything, like the reference's view.
+The view joins every table, so a line whose keys don't resolve is not in it. A caller
+who knows that all keys resolve and parent keys are unique (``check_integrity`` counts the
+exceptions) may promise so with ``keys_complete=True``; then only the tables that the
+requested columns need are joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesspark.schema import MONTH_NAMES, VIEW_COLUMNS
@@ -50,19 +51,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Guard for monolithic inputs: a table stored in fewer files than there are cores
-    (e.g. one file with one row group, which Spark cannot split) would be scanned -
-    and joined and pre-aggregated - by a single task. Spread it round-robin once.
-    A cluster-sized table has thousands of files and is left alone (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
-
-
-def _needed_tables(columns: Iterable[str] | None, prune: bool) -> set[str]:
-    if columns is None or not prune:
+def _needed_tables(columns: Iterable[str] | None, keys_complete: bool) -> set[str]:
+    if columns is None or not keys_complete:
         return {"orders", "customer", "nation", "region", "part", "supplier"}
     needed: set[str] = set()
     for c in columns:
@@ -72,6 +62,14 @@ def _needed_tables(columns: Iterable[str] | None, prune: bool) -> set[str]:
     return needed
 
 
+def line_key() -> Column:
+    """60 bits of the MD5 of a whole line: a key that any engine computes from the line alone."""
+    text = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                       *[F.col(c).cast(_MONEY).cast("string") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+                       "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _line_columns(li: DataFrame) -> DataFrame:
     """Money and measure columns that only need the line itself."""
     sales = F.col("l_extendedprice").cast(_MONEY)
@@ -80,9 +78,7 @@ def _line_columns(li: DataFrame) -> DataFrame:
                  * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(3,2)")
     cost = (sales * cost_rate).cast(_AMOUNT)
     return li.select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                   "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
-                   "l_shipdate").alias("Sales_Key"),
+        line_key().alias("Sales_Key"),
         F.col("l_orderkey").alias("Order_ID"),
         F.col("l_linenumber").alias("Order_Line_ID"),
         F.col("l_partkey"), F.col("l_suppkey"),
@@ -98,16 +94,16 @@ def _line_columns(li: DataFrame) -> DataFrame:
 
 
 def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
-               prune: bool = True) -> DataFrame:
+               keys_complete: bool = False) -> DataFrame:
     """Flattened order-line sales view over the tables in ``sf_dir``.
 
     ``columns`` lists the view columns the caller will read (filters included);
     the result has exactly those columns (all 33 when ``None``).
     """
     cols = list(VIEW_COLUMNS) if columns is None else list(dict.fromkeys(columns))
-    needed = _needed_tables(cols, prune)
+    needed = _needed_tables(cols, keys_complete)
 
-    fact = _line_columns(spread_small_input(read_table(spark, sf_dir, "lineitem")))
+    fact = _line_columns(read_table(spark, sf_dir, "lineitem"))
 
     if "orders" in needed:
         orders = read_table(spark, sf_dir, "orders").select(
@@ -117,12 +113,11 @@ def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
             cust = read_table(spark, sf_dir, "customer").select(
                 "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
             if "nation" in needed:
-                # nation (25 rows) and region (5 rows) are fixed-size code tables.
                 nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
                 if "region" in needed:
                     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-                    nation = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-                cust = cust.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+                    nation = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+                cust = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             # orders is ~1/4 of lineitem: resolve the customer on the smaller side first.
             orders = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
         fact = fact.join(orders, F.col("Order_ID") == F.col("o_orderkey"))
@@ -165,7 +160,8 @@ def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
 
 
 def check_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphan counts for every foreign key the view resolves (all zero => pruning is exact)."""
+    """Per key that the view resolves: child rows without a parent and parent keys that repeat (all zero: ``keys_complete``
+    holds). A line's supplier may be missing, so only its repeats matter."""
     li = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders")
     cust = read_table(spark, sf_dir, "customer")
@@ -174,11 +170,13 @@ def check_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_table(spark, sf_dir, "region")
 
     def orphans(name, child, ck, parent, pk):
-        return (child.join(parent, child[ck] == parent[pk], "left_anti")
-                .agg(F.count(F.lit(1)).alias("Orphans")).select(F.lit(name).alias("Foreign_Key"), "Orphans"))
+        missing = child.join(parent, child[ck] == parent[pk], "left_anti").agg(F.count(F.lit(1)).alias("Orphans"))
+        repeats = parent.groupBy(pk).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("Repeated_Keys"))
+        return missing.join(repeats).select(F.lit(name).alias("Foreign_Key"), "Orphans", "Repeated_Keys")
 
     return (orphans("lineitem.l_orderkey", li, "l_orderkey", orders, "o_orderkey")
             .unionByName(orphans("lineitem.l_partkey", li, "l_partkey", part, "p_partkey"))
+            .unionByName(orphans("lineitem.l_suppkey", li, "l_suppkey", read_table(spark, sf_dir, "supplier"), "s_suppkey"))
             .unionByName(orphans("orders.o_custkey", orders, "o_custkey", cust, "c_custkey"))
             .unionByName(orphans("customer.c_nationkey", cust, "c_nationkey", nation, "n_nationkey"))
             .unionByName(orphans("nation.n_regionkey", nation, "n_regionkey", region, "r_regionkey")))

@@ -52,3 +52,12 @@ def test_holdout_split_is_deterministic(raw_sales):
     b = holdout_split(churn_dataset(raw_sales)).orderBy("Customer_Key").collect()
     assert [r["Split"] for r in a] == [r["Split"] for r in b]
     assert {r["Split"] for r in a} <= {"train", "test"}
+
+
+def test_holdout_split_keeps_class_shares(spark):
+    rows = [(i, 1 if i < 37 else 0) for i in range(150)]
+    split = holdout_split(spark.createDataFrame(rows, "Customer_Key long, Churned int"))
+    test = {r["Churned"]: r["n"] for r in split.filter("Split = 'test'").groupBy("Churned").agg({"*": "count"})
+            .withColumnRenamed("count(1)", "n").collect()}
+    # 25 % of 150 rounded up is 38; 37 of 150 churned get 38 * 37 / 150 = 9.37 -> 9, the others 28.63 -> 29
+    assert test == {1: 9, 0: 29} and split.count() == 150

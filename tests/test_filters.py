@@ -69,7 +69,7 @@ def test_parameterised_query_on_registered_view(spark, view):
 def test_foreign_keys_resolve_so_dimension_pruning_is_exact(spark):
     from salesspark.sources.tables import check_integrity, sales_view
     rows = {r["Foreign_Key"]: r["Orphans"] for r in check_integrity(spark, "/root/testdata/sf0.001").collect()}
-    assert len(rows) == 5 and set(rows.values()) == {0}
-    pruned = sales_view(spark, "/root/testdata/sf0.001", ["Net_Revenue"]).count()
-    full = sales_view(spark, "/root/testdata/sf0.001", ["Net_Revenue"], prune=False).count()
+    assert len(rows) == 6 and set(rows.values()) == {0}
+    pruned = sales_view(spark, "/root/testdata/sf0.001", ["Net_Revenue"], keys_complete=True).count()
+    full = sales_view(spark, "/root/testdata/sf0.001", ["Net_Revenue"]).count()
     assert pruned == full

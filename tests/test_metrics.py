@@ -150,15 +150,3 @@ def test_abc_zero_total_is_all_class_a(spark):
     out = abc_analysis(view).collect()
     assert [r["Cumulative_Pct"] for r in out] == [0.0, 0.0, 0.0]
     assert {r["ABC_Class"] for r in out} == {"A"}
-
-
-def test_size_for_input(spark):
-    from salesspark.session import size_for_input
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert size_for_input(spark, 100 * (1 << 40)) == 200_000  # 100 TB / 256 MB, capped
-        assert size_for_input(spark, 1 << 20) == spark.sparkContext.defaultParallelism
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(64 << 20))

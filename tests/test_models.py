@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,17 +96,36 @@ def lines(spark):
 
 
 def test_isolation_forest_flags_outliers(lines):
-    scored = AN.detect_anomalies(lines, contamination=0.02, trees=100)
+    scored = AN.detect_anomalies(lines, contamination=0.02, trees=100, key="Order_ID")
     rows = scored.collect()
     flagged = {r["Order_ID"] for r in rows if r["Is_Anomaly"]}
     assert set(range(3000, 3010)) <= flagged
-    assert abs(len(flagged) - 0.02 * len(rows)) <= 3
-    again = {r["Order_ID"] for r in AN.detect_anomalies(lines, contamination=0.02, trees=100).collect() if r["Is_Anomaly"]}
+    scores = np.array([r["Anomaly_Score"] for r in rows])
+    assert (scores < 0).sum() == (scores < np.quantile(scores, 0.02)).sum() and len(flagged) == 61
+    again = {r["Order_ID"] for r in AN.detect_anomalies(lines, contamination=0.02, trees=100, key="Order_ID").collect() if r["Is_Anomaly"]}
     assert again == flagged
 
 
+def test_equal_lines_count_as_often_as_they_occur(spark):
+    """100,000 lines of 50 distinct values: every tree is grown on 256 rows."""
+    lines = spark.range(100_000).select(
+        F.col("id").alias("k"), *[(F.col("id") % 50 * (i + 1)).cast("double").alias(c) for i, c in enumerate(AN.FEATURES)])
+    measures = lines.withColumnRenamed("k", "_key")
+    nodes, psi = AN.fit_forest(measures, trees=20)
+    roots = [n for n in nodes if n[1] == 1]
+    assert psi == 256 and len(roots) == 20 and all(n[4] == 256 for n in roots)
+    assert AN.detect_anomalies(lines, trees=20, key="k").count() == 100_000
+
+
+def test_exact_quantile(spark):
+    values = [3.0, 1.0, 2.0, 2.0, 10.0, 7.0, 7.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for q in (0.0, 0.02, 0.25, 0.5, 0.9, 1.0):
+        assert AN.exact_quantile(df, "v", q) == pytest.approx(float(np.quantile(values, q)))
+    assert AN.exact_quantile(df.limit(0), "v", 0.5) is None
+
+
 def test_average_path_length():
-    import numpy as np
     c = AN.average_path_length(np.array([0, 1, 2, 256]))
     assert c[0] == 0 and c[1] == 0 and c[2] == 1
     assert c[3] == pytest.approx(2 * (np.log(255) + AN.EULER) - 2 * 255 / 256)

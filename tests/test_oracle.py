@@ -43,7 +43,7 @@ def _rows(pdf):
     return cols, sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", [n for n in sorted(SQL) if not n.startswith("op")])
 def test_query_matches_sql_twin(spark, con, name):
     got = _rows(ALL[name](spark, SF).toPandas())
     want = _rows(con.execute(SQL[name]).df())
@@ -51,15 +51,12 @@ def test_query_matches_sql_twin(spark, con, name):
     assert got[1] == want[1]
 
 
-# Model training is covered by test_models on small fixtures.
-TRAINED = {"rfm_segments", "segment_profile", "churn_risk", "churn_metrics", "churn_importance", "risk_tiers"}
+NO_TWIN = sorted(set(ALL) - set(SQL))
 
 
-def test_queries_without_sql_twin_run(spark):
-    for name, fn in ALL.items():
-        if name in SQL or name in TRAINED:
-            continue
-        assert fn(spark, SF).columns, name
+@pytest.mark.parametrize("name", [n for n in NO_TWIN if not n.startswith("op") and n != "pipeline"])
+def test_query_without_sql_twin_runs(spark, name):
+    assert ALL[name](spark, SF).count() > 0
 
 
 def test_entry_smoke(spark):

@@ -1,138 +1,84 @@
-"""Question parsing and answers against a plain-Python statement of the rules
-and brute-force pandas aggregation on the star fixture."""
-
-import re
+"""Question parsing and answers on the star fixture against results worked out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from salesspark.operators import questions as Q
 
-QUESTIONS = [
-    "Show revenue in the South region for Q1 2024",
-    "What is the return rate for the Online channel?",
-    "profit by region in march",
-    "Top products by revenue in Widgets",
-    "How many orders did Enterprise customers place in 2024?",
-    "units per category",
-    "returns by region",
-    "maybe sales rep numbers for the north",
-    "top customer by profit in Q2",
-    "nothing recognisable here",
-    "revenue by salesperson for SMB in february 2024",
-    "order count each region q3 2031",
+# question: metric, dimension, region, category, channel, segment, quarter, year, month, recognised terms
+PARSED = [
+    ("Show revenue in the South region for Q1 2024",
+     "Net_Revenue", None, "South", None, None, None, "Q1", 2024, None, ["Net_Revenue", "Region=South", "Quarter=Q1", "Year=2024"]),
+    ("What is the return rate for the Online channel?",
+     "Return_Rate", None, None, None, "Online", None, None, None, None, ["Return_Rate", "Channel=Online"]),
+    ("profit by region in march", "Profit", "Region", None, None, None, None, None, None, 3, ["Profit", "Month=March"]),
+    ("Top products by revenue in Widgets",
+     "Net_Revenue", "Product", None, "Widgets", None, None, None, None, None, ["Net_Revenue", "Category=Widgets"]),
+    ("How many orders did Enterprise customers place in 2024?",
+     "Orders", None, None, None, None, "Enterprise", None, 2024, None, ["Orders", "Segment=Enterprise", "Year=2024"]),
+    ("units per category", "Units", "Category", None, None, None, None, None, None, None, ["Units"]),
+    ("returns by region", "Return_Rate", "Region", None, None, None, None, None, None, None, ["Return_Rate"]),
+    ("maybe sales rep numbers for the north",
+     "Net_Revenue", "Salesperson", "North", None, None, None, None, None, 5, ["Net_Revenue", "Region=North", "Month=May"]),
+    ("top customer by profit in Q2", "Profit", "Customer", None, None, None, None, "Q2", None, None, ["Profit", "Quarter=Q2"]),
+    ("nothing recognisable here", "Net_Revenue", None, None, None, None, None, None, None, None, []),
+    ("revenue by salesperson for SMB in february 2024",
+     "Net_Revenue", "Salesperson", None, None, None, "SMB", None, 2024, 2,
+     ["Net_Revenue", "Segment=SMB", "Year=2024", "Month=February"]),
+    ("order count each region q3 2031",
+     "Orders", "Region", None, None, None, None, "Q3", 2031, None, ["Orders", "Quarter=Q3", "Year=2031"]),
 ]
-
-VOCAB = {"Region": ["North", "South"], "Category": ["Widgets"], "Channel": ["Online"], "Segment": ["Enterprise", "SMB"]}
-MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
-          "november", "december"]
-
-
-def py_parse(text):
-    low = text.lower()
-    out = {"Metric": "Net_Revenue", "Dimension": None, "terms": []}
-    for m, kws in Q.METRIC_KEYWORDS.items():
-        if any(k in low for k in kws):
-            out["Metric"] = m
-            out["terms"].append(m)
-            break
-    for f in ("Region", "Category", "Channel", "Segment"):
-        out[f] = None
-        for v in VOCAB[f]:
-            if v.lower() in low:
-                out[f] = v
-                out["terms"].append(f"{f}={v}")
-                break
-    q = re.search(r"\bq([1-4])\b", low)
-    out["Quarter"] = f"Q{q.group(1)}" if q else None
-    if q:
-        out["terms"].append(f"Quarter=Q{q.group(1)}")
-    y = re.search(r"\b(20\d{2})\b", low)
-    out["Year"] = int(y.group(1)) if y else None
-    if y:
-        out["terms"].append(f"Year={y.group(1)}")
-    out["Month"] = None
-    for i, name in enumerate(MONTHS):
-        if name in low:
-            out["Month"] = i + 1
-            out["terms"].append(f"Month={name.title()}")
-            break
-    for d, phrases in Q.DIMENSION_PHRASES.items():
-        if any(p in low for p in phrases):
-            out["Dimension"] = d
-            break
-    return out
+# value, leader, sentence; the four lines are 180 and 90 (Alice, North, Widget A, January and March) and 150 and 405 (Bob, South,
+# Widget B, February and March), all sold online by Sam in Q1 2024, one of them (90) returned
+ANSWERS = [
+    (555.0, None, "The net revenue for Region=South, Quarter=Q1, Year=2024 is **555**."),
+    (25.0, None, "The return rate for Channel=Online is **25.00%**."),
+    (165.0, "South", "Breakdown by Region for Month=3: **South** leads with Profit of 165."),
+    (555.0, "Widget B", "Breakdown by Product for Category=Widgets: **Widget B** leads with Net Revenue of 555."),
+    (2.0, None, "The total orders for Segment=Enterprise, Year=2024 is **2**."),
+    (7.0, "Widgets", "Breakdown by Category for all data: **Widgets** leads with Units of 7."),
+    (25.0, None, "The return rate for across all data is **25.00%**. (A per-Region breakdown isn't available for return rate, "
+                 "so this is the overall figure.)"),
+    (None, None, "No matching data was found for that question."),
+    (None, None, "No matching data was found for that question."),
+    (825.0, None, "The net revenue for across all data is **825**."),
+    (150.0, "Sam", "Breakdown by Salesperson for Segment=SMB, Year=2024, Month=2: **Sam** leads with Net Revenue of 150."),
+    (None, None, "No matching data was found for that question."),
+]
+VOCAB = [("Region", "North"), ("Region", "South"), ("Category", "Widgets"), ("Channel", "Online"),
+         ("Segment", "Enterprise"), ("Segment", "SMB")]
 
 
 @pytest.fixture(scope="module")
 def parsed(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(QUESTIONS)], "qid int, text string")
-    return Q.parse_questions(df, VOCAB)
-
-
-def test_parse_matches_rules(parsed):
-    rows = {r["qid"]: r for r in parsed.collect()}
-    for i, text in enumerate(QUESTIONS):
-        want = py_parse(text)
-        got = rows[i]
-        for k in ("Metric", "Dimension", "Region", "Category", "Channel", "Segment", "Quarter", "Year", "Month"):
-            assert got[k] == want[k], (text, k)
-        assert list(got["Recognized_Terms"]) == want["terms"], text
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(PARSED)], "qid int, text string")
+    return Q.parse_questions(df, spark.createDataFrame(VOCAB, "Field string, Value string"))
 
 
-def test_substring_quirks(parsed):
+def test_parse(parsed):
     rows = {r["qid"]: r for r in parsed.collect()}
-    assert rows[7]["Month"] == 5  # "maybe" contains "may"
-    assert rows[7]["Dimension"] == "Salesperson"  # "sales rep"
-    assert rows[7]["Metric"] == "Net_Revenue"  # "sales" comes before any other keyword list
+    assert len(rows) == len(PARSED)
+    for i, (text, *want) in enumerate(PARSED):
+        got = [rows[i][c] for c in ("Metric", "Dimension", "Region", "Category", "Channel", "Segment", "Quarter", "Year", "Month")]
+        assert got + [list(rows[i]["Recognized_Terms"])] == want, text
 
 
 def test_vocabulary_from_view(view):
-    v = Q.vocabulary(view)
-    assert v == VOCAB
+    assert sorted(map(tuple, Q.vocabulary(view).collect())) == sorted(VOCAB)
 
 
-def py_answer(pdf, p):
-    sel = pdf
-    filt = []
-    for f in Q.FILTER_FIELDS:
-        if p[f] is not None:
-            sel = sel[sel[f] == p[f]]
-            filt.append(f"{f}={p[f]}")
-    if p["Dimension"] and p["Metric"] in Q.BREAKDOWN_METRICS:
-        if sel.empty:
-            return None, None, "No matching data was found for that question."
-        g = sel.groupby(p["Dimension"], dropna=False).agg(
-            Net_Revenue=("Net_Revenue", "sum"), Profit=("Profit_Amount", "sum"),
-            Orders=("Order_ID", "nunique"), Units=("Quantity", "sum")).reset_index()
-        g = g.sort_values([p["Metric"], p["Dimension"]], ascending=[False, True])
-        top = g.iloc[0]
-        desc = ", ".join(filt) or "all data"
-        label = p["Metric"].replace("_", " ")
-        return (float(top[p["Metric"]]), str(top[p["Dimension"]]),
-                f"Breakdown by {p['Dimension']} for {desc}: **{top[p['Dimension']]}** leads with {label} of "
-                f"{top[p['Metric']]:,.0f}.")
-    field, label, is_pct = Q.KPI_ANSWER[p["Metric"]]
-    n = len(sel)
-    values = {"total_revenue": float(sel["Net_Revenue"].sum()), "total_profit": float(sel["Profit_Amount"].sum()),
-              "total_orders": float(sel["Order_ID"].nunique()), "total_line_items": float(n),
-              "return_rate_pct": 100.0 * sel["Is_Returned"].sum() / n if n else 0.0}
-    v = values[field]
-    desc = ", ".join(filt) or "across all data"
-    text = f"The {label} for {desc} is **{(f'{v:.2f}%' if is_pct else f'{v:,.0f}')}**."
-    if p["Dimension"]:
-        text += f" (A per-{p['Dimension']} breakdown isn't available for {label}, so this is the overall figure.)"
-    return v, None, text
+def test_large_vocabulary_and_odd_texts(spark):
+    vocab = spark.range(200_000).select(F.lit("Region").alias("Field"), F.concat(F.lit("Zone-"), F.col("id").cast("string")).alias("Value"))
+    df = spark.createDataFrame([(0, "revenue in zone-199999 please"), (1, None), (2, ""), (3, "ZONE-70 and zone-7")],
+                               "qid int, text string")
+    got = {r["qid"]: r["Region"] for r in Q.parse_questions(df, vocab).collect()}
+    assert got == {0: "Zone-1", 1: None, 2: None, 3: "Zone-7"}
 
 
-def test_answers_match_brute_force(view, parsed):
+def test_answers(view, parsed):
     got = {r["qid"]: r for r in Q.answer_questions(parsed, view, ["qid"]).collect()}
-    pdf = view.toPandas()
-    for r in parsed.collect():
-        value, leader, text = py_answer(pdf, r.asDict())
-        g = got[r["qid"]]
-        assert g["Answer"] == text, QUESTIONS[r["qid"]]
+    assert len(got) == len(ANSWERS)
+    for i, (value, leader, text) in enumerate(ANSWERS):
+        assert (got[i]["Answer"], got[i]["Leader"]) == (text, leader), PARSED[i][0]
         if value is not None:
-            assert g["Answer_Value"] == pytest.approx(value)
-        if leader is not None:
-            assert g["Leader"] == leader
-    assert len(got) == len(QUESTIONS)
+            assert got[i]["Answer_Value"] == pytest.approx(value)
