@@ -230,8 +230,10 @@ def _mapped(df: DataFrame, spec: bytes, steps: str, text_col: str, rows: int = 2
                     columns.append(pa.array([codec.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "ids", "decoded"][:len(columns)])
 
-    given = df.select(F.struct(*[c for c in df.columns if c not in (text_col, "ids")]).alias("row"),
-                      F.col("ids") if steps == "decode" else F.col(text_col).alias("text"))
+    if steps == "decode":
+        given = df.select("row", "ids")
+    else:
+        given = df.select(F.struct(*[c for c in df.columns if c != text_col]).alias("row"), F.col(text_col).alias("text"))
     kind = given.schema["row"].dataType.simpleString()
     return given.mapInArrow(run, f"row {kind}, ids binary" + (", decoded string" if steps != "encode" else ""))
 
@@ -242,7 +244,7 @@ def encode(docs: DataFrame, spec: bytes, text_col: str = "text") -> DataFrame:
 
 
 def decode(encoded: DataFrame, spec: bytes) -> DataFrame:
-    """``row``, ``ids`` and ``decoded`` of rows with a binary column ``ids``."""
+    """``row``, ``ids`` and ``decoded`` of what ``encode`` returns."""
     return _mapped(encoded, spec, "decode", "")
 
 

@@ -126,16 +126,17 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
 def take_copies(docs: DataFrame, **rule) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with the same columns.
 
-    Rows are matched by ``doc_id`` and size; rows that repeat both get the copies of their group in any order.
+    Rows are matched by ``doc_id``, source and size; rows that agree in all three share out their copies in any fixed order.
     """
+    id_col, source_col, text_col = (rule.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
     taken = mix(docs, **rule)
-    nth = Window.partitionBy("k_doc", "k_size").orderBy(F.col("copies").desc())
-    taken = taken.select(F.col("doc_id").alias("k_doc"), F.col("size").alias("k_size"), "copies") \
+    nth = Window.partitionBy("k_doc", "k_source", "k_size").orderBy(F.col("copies").desc())
+    taken = taken.select(F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "copies") \
         .withColumn("k_nth", F.row_number().over(nth))
-    own = Window.partitionBy("r_doc", "r_size").orderBy(F.xxhash64("row"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(rule.get("id_col", "doc_id")).cast("long").alias("r_doc"),
-                       word_count(F.col(rule.get("text_col", "text"))).alias("r_size")) \
-        .withColumn("r_nth", F.row_number().over(own))
-    met = rows.join(taken, rows["r_doc"].eqNullSafe(taken["k_doc"]) & (rows["r_size"] == taken["k_size"])
-                    & (rows["r_nth"] == taken["k_nth"])).filter("copies > 0")
+    own = Window.partitionBy("r_doc", "r_source", "r_size").orderBy(F.xxhash64("row"))
+    size = word_count(F.col(text_col)) if rule.get("size") is None else rule["size"].cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("r_doc"), F.col(source_col).alias("r_source"),
+                       size.alias("r_size")).withColumn("r_nth", F.row_number().over(own))
+    met = rows.join(taken, rows["r_doc"].eqNullSafe(taken["k_doc"]) & rows["r_source"].eqNullSafe(taken["k_source"])
+                    & (rows["r_size"] == taken["k_size"]) & (rows["r_nth"] == taken["k_nth"])).filter("copies > 0")
     return met.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
