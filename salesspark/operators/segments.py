@@ -1,22 +1,24 @@
-"""RFM customer clusters with ranked business labels.
+"""RFM k-means segments with ranked labels.
 
-Recency is negated so that larger is better on all three axes, the axes are
-standardised with the *population* standard deviation (a zero spread scales by
-1), k-means runs ``restarts`` times with different seeds and the fit with the
-lowest cost wins; clusters are ranked by their mean composite (mean z-score).
+Z-scores are clustered as whole numbers of a millionth, so sums, distances and centres are exact and don't depend on the
+order of tasks (or on the engine: SQL can rebuild them). All restarts advance in one pass per round.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from decimal import Decimal
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Labels by cluster rank, best first.
+from salesspark.session import ensure_checkpoint_dir, ship_package
+
+UNITS, SHIFT = 1_000_000, 1_000
+
+# Segment labels, best mean composite score first.
 SEGMENT_LABELS = ["Champions", "Loyal Customers", "At Risk", "Lost / Dormant"]
 RFM = ["Recency_Days", "Frequency", "Monetary"]
 Z = ["Z_Recency", "Z_Frequency", "Z_Monetary"]
@@ -38,32 +40,78 @@ def rfm_scores(features: DataFrame) -> DataFrame:
     return out.withColumn("Composite_Score", (F.col(Z[0]) + F.col(Z[1]) + F.col(Z[2])) / 3).drop("_neg_recency")
 
 
-def segment_customers(features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42) -> DataFrame:
-    """Adds Cluster (k-means id) and RFM_Segment (label by rank of mean composite score)."""
+def _points(scored: DataFrame) -> DataFrame:
+    """Customer_Key and the z-scores as whole numbers of 1 / UNITS above -SHIFT, so that sums and distances are exact."""
+    return scored.select("Customer_Key", *[(F.round(F.col(z) * UNITS).cast("long") + SHIFT * UNITS).alias(z) for z in Z])
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    at = d.argmin(axis=1)
+    return at, d[np.arange(len(x)), at]
+
+
+def _lloyd(points: DataFrame, centres: np.ndarray, max_iter: int) -> tuple[np.ndarray, list[int]]:
+    """All restarts in one pass per round: a restart that has not moved rests. (Restarts, k, 3) centres and their costs."""
+    sc, active, cost = points.sparkSession.sparkContext, list(range(len(centres))), [0] * len(centres)
+    for _ in range(max_iter + 1):
+        shared = sc.broadcast((active, centres))
+
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows: dict[tuple[int, int], list[int]] = {}
+            for f in frames:
+                x = f[Z].to_numpy(np.int64)
+                for r in shared.value[0]:
+                    at, d = _nearest(x, shared.value[1][r])
+                    for c in np.unique(at):
+                        own = at == c
+                        add = [int(own.sum()), *x[own].sum(axis=0).tolist(), int(d[own].astype(object).sum())]
+                        rows[r, int(c)] = [a + b for a, b in zip(rows.get((r, int(c)), [0] * 5), add, strict=True)]
+            yield pd.DataFrame([(*k, *v[:4], Decimal(v[4])) for k, v in rows.items()], columns=["r", "c", "n", "x", "y", "z", "d"])
+
+        parts = points.mapInPandas(sums, "r int, c int, n long, x long, y long, z long, d decimal(38,0)")
+        found = parts.groupBy("r", "c").agg(*[F.sum(v).alias(v) for v in ("n", "x", "y", "z", "d")]).collect()  # restarts * k rows
+        moved = centres.copy()
+        for r in active:
+            cost[r] = sum(int(f["d"]) for f in found if f["r"] == r)
+        for f in found:
+            moved[f["r"], f["c"]] = [(2 * f[v] + f["n"]) // (2 * f["n"]) for v in ("x", "y", "z")]
+        active = [r for r in active if (moved[r] != centres[r]).any()]
+        centres = moved
+        if not active:
+            break
+    return centres, cost
+
+
+def segment_customers(features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42, max_iter: int = 300) -> DataFrame:
+    """Adds Cluster (0 = best) and RFM_Segment (label by rank of mean composite score).
+
+    k-means (Lloyd) from ``restarts`` starts; a start is the k customers with the smallest MD5 of (seed, restart, key), the
+    restart with the least cost counts. An empty cluster keeps its centre.
+    """
     if not 1 <= int(k) <= len(SEGMENT_LABELS):
         raise ValueError(f"k must be between 1 and {len(SEGMENT_LABELS)}")
-    scored = VectorAssembler(inputCols=Z, outputCol="_features").transform(rfm_scores(features))
-    # Persisted for the restarts; a lost block is recomputed from lineage.
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    scored.count()
-
-    def fit(i: int):
-        model = KMeans(k=int(k), seed=int(seed) + i, featuresCol="_features", predictionCol="Cluster",
-                       maxIter=300, tol=1e-4).fit(scored)
-        return model.summary.trainingCost, i, model
-
-    # Restarts are independent Spark jobs: submit them concurrently so the
-    # scheduler interleaves their (small) stages instead of idling between them.
-    with ThreadPoolExecutor(max_workers=min(int(restarts), 4)) as pool:
-        fits = list(pool.map(fit, range(int(restarts))))
-    best = min(fits, key=lambda f: (f[0], f[1]))
-    clustered = best[2].transform(scored).drop("_features")
-    # k rows: rank clusters by mean composite score and attach labels (broadcast of <= 4 rows).
-    ranks = (clustered.groupBy("Cluster").agg(F.avg("Composite_Score").alias("_mean_score"))
-             .withColumn("_rank", F.row_number().over(Window.orderBy(F.col("_mean_score").desc(), "Cluster"))))
+    ensure_checkpoint_dir(features.sparkSession)
+    ship_package(features.sparkSession)
+    scored = rfm_scores(features).checkpoint(eager=True)
+    points = _points(scored)
+    drawn = points.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(int(restarts) - 1))))
+    order = Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "r", "Customer_Key")), "Customer_Key")
+    first = drawn.withColumn("c", F.row_number().over(order)).filter(F.col("c") <= int(k)).orderBy("r", "c").collect()
+    if not first:
+        return scored.select("*", F.lit(0).alias("Cluster"), F.lit("").alias("RFM_Segment"))
+    size = max(f["c"] for f in first)  # fewer customers than k: as many clusters
+    centres, cost = _lloyd(points, np.array([[f[z] for z in Z] for f in first], np.int64).reshape(int(restarts), size, 3), max_iter)
+    best = centres[min(range(len(cost)), key=lambda r: (cost[r], r))]
+    units = [F.round(F.col(z) * UNITS).cast("long") + SHIFT * UNITS for z in Z]
+    far = F.array(*[sum(((u - F.lit(int(v))) * (u - F.lit(int(v))) for u, v in zip(units, c, strict=True)), F.lit(0)) for c in best])
+    clustered = scored.withColumn("_d", far).withColumn("_c", F.array_position("_d", F.array_min("_d"))).drop("_d")
+    means = {r["_c"]: r["m"] for r in clustered.groupBy("_c").agg(F.avg("Composite_Score").alias("m")).collect()}  # k rows
+    ranked = sorted(means, key=lambda c: (-means[c], c))
+    place = F.array_position(F.array(*[F.lit(int(c)) for c in ranked]), F.col("_c").cast("int"))
     labels = F.array(*[F.lit(x) for x in SEGMENT_LABELS])
-    ranks = ranks.select("Cluster", F.element_at(labels, F.col("_rank")).alias("RFM_Segment"))
-    return clustered.join(F.broadcast(ranks), "Cluster")
+    return clustered.withColumn("Cluster", (place - 1).cast("int")) \
+        .withColumn("RFM_Segment", F.element_at(labels, place.cast("int"))).drop("_c")
 
 
 def segment_profile(segmented: DataFrame) -> DataFrame:

@@ -710,14 +710,54 @@ def q_rfm_scores(spark, sf_dir):
                     *[_F.round(c, 6).alias(c) for c in SG.Z + ["Composite_Score"]])
 
 
-@register("rfm_segments")
+def _segments_ctes(k: int = 4, restarts: int = 10, seed: int = 42, max_iter: int = 300) -> list[str]:
+    """k-means as a recursive CTE over all restarts; ``seg`` has each customer's cluster and label."""
+    def z(x):
+        return f"({x} - AVG({x}) OVER ()) / COALESCE(NULLIF(STDDEV_POP({x}) OVER (), 0), 1.0)"
+    unit = "CAST(round({} * 1000000) AS BIGINT) + 1000000000"
+    d = "(p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y) + (p.z - w.z) * (p.z - w.z)"
+    moved = ", ".join(f"COALESCE((2 * s.{v} + s.n) // (2 * s.n), w.{v}) AS n{v}" for v in "xyz")
+    return [f"""
+zs AS (SELECT *, {z('-Recency_Days')} AS zr, {z('CAST(Frequency AS DOUBLE)')} AS zf, {z('Monetary')} AS zm FROM feat)""", f"""
+pts AS MATERIALIZED (SELECT Customer_Key, (zr + zf + zm) / 3 AS comp, {unit.format('zr')} AS x, {unit.format('zf')} AS y, {unit.format('zm')} AS z
+  FROM zs)""", f"""
+it(i, r, c, x, y, z, moved) AS (
+  SELECT 0, r, c, x, y, z, true FROM (
+    SELECT t.r, p.x, p.y, p.z, ROW_NUMBER() OVER (PARTITION BY t.r ORDER BY md5('{seed}|' || t.r || '|' || Customer_Key), Customer_Key) AS c
+    FROM pts p, range(0, {restarts}) AS t(r)) a WHERE c <= {k}
+  UNION ALL
+  SELECT i + 1, r, c, nx, ny, nz, bool_or(nx <> x OR ny <> y OR nz <> z) OVER (PARTITION BY r) FROM (
+    SELECT w.i, w.r, w.c, w.x, w.y, w.z, {moved}
+    FROM it w LEFT JOIN (
+      SELECT r, c, COUNT(*) AS n, CAST(SUM(px) AS BIGINT) AS x, CAST(SUM(py) AS BIGINT) AS y, CAST(SUM(pz) AS BIGINT) AS z FROM (
+        SELECT w.r, w.c, p.x AS px, p.y AS py, p.z AS pz, ROW_NUMBER() OVER (PARTITION BY w.r, p.Customer_Key ORDER BY {d}, w.c) AS nth
+        FROM it w, pts p WHERE w.moved AND w.i < {max_iter}) b WHERE nth = 1 GROUP BY r, c) s ON s.r = w.r AND s.c = w.c
+    WHERE w.moved AND w.i < {max_iter}) m)""", """
+ends AS (SELECT r, c, arg_max(x, i) AS x, arg_max(y, i) AS y, arg_max(z, i) AS z FROM it GROUP BY r, c)""", f"""
+near AS (SELECT * FROM (SELECT w.r, w.c, p.Customer_Key, p.comp, {d} AS d,
+           ROW_NUMBER() OVER (PARTITION BY w.r, p.Customer_Key ORDER BY {d}, w.c) AS nth FROM ends w, pts p) n WHERE nth = 1)""", """
+best AS (SELECT r FROM near GROUP BY r ORDER BY SUM(d), r LIMIT 1)""", """
+ranks AS (SELECT c, ROW_NUMBER() OVER (ORDER BY AVG(comp) DESC, c) - 1 AS Cluster FROM near JOIN best USING (r) GROUP BY c)""", f"""
+seg AS (SELECT f.Customer_Key, Customer, Segment, Recency_Days, Frequency, Monetary, CAST(Cluster AS INTEGER) AS Cluster,
+  (['{"', '".join(SG.SEGMENT_LABELS)}'])[Cluster + 1] AS RFM_Segment
+  FROM feat f JOIN near ON near.Customer_Key = f.Customer_Key JOIN best USING (r) JOIN ranks ON ranks.c = near.c)"""]
+
+
+def _segments_sql(body: str) -> str:
+    return with_view(body, _FEATURES_CTE, *_segments_ctes()).replace("WITH sales", "WITH RECURSIVE sales", 1).replace(
+        "WITH \nsales", "WITH RECURSIVE sales", 1)
+
+
+@register("rfm_segments", _segments_sql("SELECT * FROM seg"))
 def q_rfm_segments(spark, sf_dir):
     seg = SG.segment_customers(C.customer_features(view_for(spark, sf_dir, C.FEATURE_COLUMNS)))
     return seg.select("Customer_Key", "Customer", "Segment", "Recency_Days", "Frequency", "Monetary",
                       "Cluster", "RFM_Segment")
 
 
-@register("segment_profile")
+@register("segment_profile", _segments_sql("""
+SELECT RFM_Segment, COUNT(Customer_Key) AS Customers, round(AVG(Recency_Days), 1) AS Avg_Recency_Days,
+  round(AVG(Frequency), 1) AS Avg_Frequency, round(AVG(Monetary), 1) AS Avg_Monetary FROM seg GROUP BY RFM_Segment"""))
 def q_segment_profile(spark, sf_dir):
     return SG.segment_profile(SG.segment_customers(C.customer_features(view_for(spark, sf_dir, C.FEATURE_COLUMNS))))
 
