@@ -39,7 +39,7 @@ MAGIC = b"TOKENS01"
 HEAD = struct.Struct("<8sB32sQQ")
 DICT_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_IDS = 65_536, 2_000, 4 << 20, 2_000
 FILE_BYTES, LEVEL = 16 << 20, 1
-CACHED_PIECES, CACHED_CHARS = 1_000_000, 32
+CACHED_PIECES, CACHED_CHARS = 2_000_000, 32
 
 FILES_SCHEMA = "part int, nth int, uri string, n_docs long, n_ids long, n_bytes long"
 
@@ -103,7 +103,9 @@ def narrowed(ids: bytes, width: int) -> bytes:
 
 def train_dictionary(texts: DataFrame, spec: str, width: int) -> bytes:
     """Dictionary bytes from the sample; empty if the sample is too small to train on."""
-    rows = texts.filter(F.length("text") > 0).orderBy(F.xxhash64("text"), "doc_id").limit(SAMPLE_TEXTS).select("text")
+    hashed = texts.filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).withColumnRenamed("h", "chosen")
+    rows = hashed.join(F.broadcast(chosen), F.col("h") == F.col("chosen")).dropDuplicates(["h"]).orderBy("h").select("text")
     encoder, samples, total = encoder_of(spec), [], 0
     for r in rows.toLocalIterator():
         ids = narrowed(encoder.encode(r["text"]), width)
