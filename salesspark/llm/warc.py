@@ -197,7 +197,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Responses (record_id, page_id, uri, payload, digest) and revisits (record_id, page_id, uri, digest, refers_to)."""
     listed = settled(files.select("uri"))
-    found = listed.repartition(max(1, listed.count()), "uri").mapInArrow(_parsed, RECORD_SCHEMA)
+    found = settled(listed.repartition(max(1, listed.count()), "uri").mapInArrow(_parsed, RECORD_SCHEMA))  # read four times below
     pieces = (found.filter("kind = 'continuation'").groupBy("origin", "segment")
               .agg(F.first("block").alias("block"), F.max("total").alias("total"))
               .groupBy("origin").agg(F.expr("listagg(block) WITHIN GROUP (ORDER BY segment)").alias("rest"),
