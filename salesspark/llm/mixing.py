@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesspark.llm.common import settled, word_count
+from salesspark.llm.common import hash128, settled, word_count
 
 WEIGHTS = (3, 1, 2)
 FAN_IN = 512
@@ -126,17 +126,19 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
 def take_copies(docs: DataFrame, **rule) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with the same columns.
 
-    Rows are matched by ``doc_id``, source and size; rows that agree in all three share out their copies in any fixed order.
+    Rows are matched by ``doc_id``, source and size. Rows that agree in all three have the same rate, so of the copies that their
+    group takes each gets the whole part and the first ones, in a fixed order, one more.
     """
     id_col, source_col, text_col = (rule.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
-    taken = mix(docs, **rule)
-    nth = Window.partitionBy("k_doc", "k_source", "k_size").orderBy(F.col("copies").desc())
-    taken = taken.select(F.col("doc_id").alias("k_doc"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), "copies") \
-        .withColumn("k_nth", F.row_number().over(nth))
-    own = Window.partitionBy("r_doc", "r_source", "r_size").orderBy(F.xxhash64("row"))
-    size = word_count(F.col(text_col)) if rule.get("size") is None else rule["size"].cast("long")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("r_doc"), F.col(source_col).alias("r_source"),
-                       size.alias("r_size")).withColumn("r_nth", F.row_number().over(own))
-    met = rows.join(taken, rows["r_doc"].eqNullSafe(taken["k_doc"]) & rows["r_source"].eqNullSafe(taken["k_source"])
-                    & (rows["r_size"] == taken["k_size"]) & (rows["r_nth"] == taken["k_nth"])).filter("copies > 0")
-    return met.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
+
+    def key(doc: Column, source: Column, size: Column) -> list[Column]:
+        return hash128(F.struct(doc.cast("long"), source, size.cast("long")), "m1", "m2")
+
+    taken = mix(docs, **rule).select(*key(F.col("doc_id"), F.col("source"), F.col("size")), "copies").groupBy("m1", "m2").agg(
+        F.min("copies").alias("each"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("more"))
+    size = word_count(F.col(text_col)) if rule.get("size") is None else rule["size"]
+    rows = docs.select(F.struct("*").alias("row"), *key(F.col(id_col), F.col(source_col), size))
+    nth = F.row_number().over(Window.partitionBy("m1", "m2").orderBy(F.xxhash64("row")))
+    met = rows.withColumn("nth", nth).join(taken, ["m1", "m2"])
+    copies = F.col("each") + F.when(F.col("nth") <= F.col("more"), F.lit(1)).otherwise(F.lit(0))
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
