@@ -63,9 +63,11 @@ def pair_off(p: np.ndarray, seed: tuple[int, ...]) -> tuple[np.ndarray, int]:
         else:
             first = draw[i] * (2 - both) < 1 - b
             p[held], p[i] = (1.0, both - 1) if first else (both - 1, 1.0)
-        held = next((k for k in (held, i) if NEAR < p[k] < 1 - NEAR), -1)
-        for k in (held, i):
-            if k >= 0 and not NEAR < p[k] < 1 - NEAR:
+        pair, held = (held, i), -1
+        for k in pair:
+            if NEAR < p[k] < 1 - NEAR:
+                held = k
+            else:
                 p[k] = round(p[k])
     return p, held
 

@@ -112,6 +112,9 @@ def test_rounding_keeps_the_sum_and_is_fair():
         out, left = mixing.pair_off(p, (1, n))
         assert out.sum() == pytest.approx(p.sum()) and ((out == 0) | (out == 1)).sum() >= n - 1
         assert left < 0 or 0 < out[left] < 1
+    for k in range(50):  # sums that come to a whole number but for rounding errors
+        out, left = mixing.pair_off(np.full(50, 0.1 + k / 100), (2, k))
+        assert all(x in (0.0, 1.0) for i, x in enumerate(out) if i != left)
     p = np.array([0.3, 0.6, 0.8, 0.1])
     hits = np.mean([np.where(mixing.pair_off(p, (k,))[0] >= 1 - 1e-9, 1.0, mixing.pair_off(p, (k,))[0]) for k in range(4000)], axis=0)
     assert hits == pytest.approx(p, abs=0.03)
