@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesspark.functions.filters import apply_filters
-from salesspark.operators.common import money_sum, pct, safe_ratio
+from salesspark.operators.common import check_column, money_sum, pct, safe_ratio
 from salesspark.operators.metrics import sales_by_dimension, trend
 from salesspark.plans.prefix import running_total
 
@@ -157,10 +157,19 @@ def category_margin(view: DataFrame, filters: dict | None = None, dimension: str
     return out.withColumn("Margin_Pct", F.round(pct(F.col("Profit"), F.col("Net_Revenue")), 2))
 
 
-def share_of_total(breakdown: DataFrame, col: str = "Net_Revenue", out: str = "Share_Pct") -> DataFrame:
-    """Each group's % of the column total (scalar subquery for the total)."""
-    total = breakdown.select(F.sum(col)).scalar()
-    return breakdown.withColumn(out, pct(F.col(col), total))
+def share_by_dimension(view: DataFrame, dimension: str, filters: dict | None = None, out: str = "Share_Pct") -> DataFrame:
+    """The breakdown of ``sales_by_dimension`` with each group's % of the total revenue.
+
+    Groups and grand total are two grouping sets of one aggregate; both branches of the join below read the same exchange.
+    """
+    check_column(dimension)
+    sets = (apply_filters(view, filters).groupingSets([[F.col(dimension)], []], dimension)
+            .agg(F.grouping_id().alias("_all"), money_sum("Net_Revenue").alias("Net_Revenue"),
+                 money_sum("Profit_Amount").alias("Profit"), F.count_distinct("Order_ID").alias("Orders"),
+                 F.sum("Quantity").alias("Units")))
+    total = sets.filter("_all = 1").select(F.col("Net_Revenue").alias("_total"))  # one row
+    return (sets.filter("_all = 0").join(total).withColumn(out, pct(F.col("Net_Revenue"), F.col("_total")))
+            .drop("_all", "_total").orderBy(F.col("Net_Revenue").desc_nulls_last(), F.col(dimension).asc_nulls_first()))
 
 
 def year_over_year(view: DataFrame, filters: dict | None = None) -> DataFrame:

@@ -326,7 +326,7 @@ def q_category_margin(spark, sf_dir):
 SELECT *, (100.0 * Net_Revenue) / NULLIF(SUM(Net_Revenue) OVER (), 0) AS Share_Pct FROM bd
 ORDER BY Net_Revenue DESC NULLS LAST, Region""", _BREAKDOWN_CTE.format(dim="Region")))
 def q_region_share(spark, sf_dir):
-    return D.share_of_total(M.sales_by_dimension(view_for(spark, sf_dir, ["Region"] + M.BREAKDOWN_COLUMNS), "Region"))
+    return D.share_by_dimension(view_for(spark, sf_dir, ["Region"] + M.BREAKDOWN_COLUMNS), "Region")
 
 
 @register("segment_aov", with_view("""
