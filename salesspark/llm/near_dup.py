@@ -12,9 +12,10 @@ those, go on to be joined with the second. Then
 1. equal word sequences are one class and enter once, by their smallest ``doc_id``;
 2. in each table key's group every member is paired with the group's smallest member (a star, not all pairs), the pairs are
    confirmed on the full sets, and confirmed links are joined to components;
-3. groups that still hold several components pair members of different components, so that no link is lost that a star has
-   not shown. Groups of more than ``SMALL_GROUP`` such members are split first by a third collection (again below 2e-5
-   loss at 0.75), which leaves together what is alike and parts what only shares a passage.
+3. links between components that no star has shown are found by an exact way, whatever the size of the groups. Only
+   shingles found in several components can be shared by two of them, and sets alike by 0.75 share that part of either set. So
+   a set with fewer such shingles is done, and of the others, in one order by frequency, two alike sets meet in the rarest
+   few (prefix filtering). Texts that have just a passage in common have no such shingle and are never paired.
 
 Components come from alternating large-star and small-star steps over the link table, checkpointed each round.
 
@@ -38,7 +39,7 @@ from salesspark.llm.common import settled
 SHINGLE_WORDS = 5
 PERCENT = 75
 PIECES, PIECE_MINS = 20, 3
-SMALL_GROUP = 64
+ID_BITS = 1 << 24
 CACHED_WORDS = 400_000
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -135,8 +136,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _chunks(batches):
         sets = [shingles(words_of(t)) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc"), _lists(sets), _lists([small_hashes(s, 2) for s in sets])],
-                                         names=["doc", "shingles", "third"])
+        yield pa.RecordBatch.from_arrays([b.column("doc"), _lists(sets)], names=["doc", "shingles"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,6 +179,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _between_components(sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that hold all pairs whose sets are alike, by prefix filtering."""
+    at = sets.join(joined.withColumnsRenamed({"node": "doc", "component": "c"}), "doc", "left")
+    rows = at.select("doc", F.coalesce("c", "doc").alias("c"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    shared = rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("df")) \
+        .filter("lo < hi").select("s", "df")
+    own = Window.partitionBy("doc")
+    least = F.ceil(F.col("n") * percent / 100)
+    prefix = settled(rows.join(shared, "s").withColumn("nth", F.row_number().over(own.orderBy("df", "s")))
+                     .withColumn("m", F.count(F.lit(1)).over(own)).filter(F.col("nth") <= F.col("m") + 1 - least)
+                     .select("s", "doc", "c", "n"))
+    other = prefix.select("s", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    alike = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
+    return prefix.join(other, "s").filter((F.col("doc") < F.col("b")) & (F.col("c") != F.col("cb")) & alike) \
+        .select(F.col("doc").alias("a"), "b").distinct()
+
+
+def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc, text) of ``texts`` whose id is in ``ids``, once each. A bitmap of ID_BITS hashed ids (2 MB, whatever
+    the input) sorts most other texts out before the join, so they are not shuffled."""
+    place = F.pmod(F.xxhash64(F.lit(17), F.col("doc")), F.lit(ID_BITS))
+    word = 32768
+    bitmap = ids.select(place.alias("p")).groupBy(F.expr(f"p div {word}").alias("part")).agg(
+        F.bitmap_construct_agg(F.col("p") % word).alias("bits"))  # at most ID_BITS / 32768 rows of 4 KB
+    rows = texts.select(F.col("doc_id").alias("doc"), "text").filter("doc IS NOT NULL") \
+        .withColumn("p", place).withColumn("part", F.expr(f"p div {word}")).withColumn("at", (F.col("p") % word).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bitmap), "part").filter(F.call_function("bit_get", byte, F.col("at") % 8) == 1)
+    return near.select("doc", "text").join(ids, "doc", "left_semi") \
+        .withColumn("t", F.xxhash64("text")).dropDuplicates(["doc", "t"]).select("doc", "text")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and ``class_id`` (smallest doc_id of the same word sequence), a row per row."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -188,32 +220,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")))
     banded = classes.filter(F.size("first") > 0)
 
-    ones = banded.select("doc", "n", "second", F.explode("first").alias("key"))
-    shared = ones.join(_groups(ones).select("key"), "key")
-    tables = settled(shared.select("doc", "n", F.explode(F.transform("second", lambda b: F.xxhash64("key", b))).alias("key")))
-    hubs = _groups(tables)
-    grouped = settled(tables.join(hubs, "key").select("key", "hub", "doc"))
-    involved = grouped.select("doc").distinct()
-    by_id = own.withColumnRenamed("doc_id", "doc").join(
-        classes.select("doc", "c1", "c2"), "doc").join(involved, "doc", "left_semi").dropDuplicates(["doc"])
-    sets = settled(by_id.select("doc", "text").mapInArrow(_full_sets, "doc long, shingles array<long>, third array<long>"))
-
-    stars = grouped.filter("hub < doc").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    ones = banded.select("doc", "second", F.explode("first").alias("key"))
+    shared = settled(ones.join(_groups(ones).select("key"), "key"))
+    tables = shared.select("doc", F.explode(F.transform("second", lambda b: F.xxhash64("key", b))).alias("key"))
+    stars = settled(tables.join(_groups(tables), "key").filter("hub < doc")
+                    .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
+    involved = stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = settled(_with_ids(own, involved).select("doc", "text")
+                   .mapInArrow(_full_sets, "doc long, shingles array<long>"))
+
     links = settled(_confirmed(stars, sets, percent))
     joined = settled(components(links))
 
-    member = grouped.select("key", "doc").join(joined.withColumnsRenamed({"node": "doc", "component": "c"}), "doc", "left") \
-        .withColumn("c", F.coalesce("c", "doc"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")) \
-        .filter("lo < hi AND size > 2").select("key", "size")
-    open_ = settled(member.join(mixed, "key"))
-    small = open_.filter(F.col("size") <= SMALL_GROUP).select("key", "doc", "c")
-    split = (open_.filter(F.col("size") > SMALL_GROUP).join(sets.select("doc", "third"), "doc")
-             .select("doc", "c", F.explode(F.transform("third", lambda b: F.xxhash64("key", b))).alias("key"))
-             .select("key", "doc", "c"))
-    left = small.unionByName(split)
-    rest = (left.withColumnsRenamed({"doc": "a", "c": "ca"}).join(left.withColumnsRenamed({"doc": "b", "c": "cb"}), "key")
-            .filter("a < b AND ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    rest = _between_components(sets, joined, percent).join(stars, ["a", "b"], "left_anti")
     more = _confirmed(rest, sets, percent)
     final = settled(components(links.unionByName(more)))
 
