@@ -15,7 +15,8 @@ those, go on to be joined with the second. Then
 3. links between components that no star has shown are found by an exact way, whatever the size of the groups. Only
    shingles found in several components can be shared by two of them, and sets alike by 0.75 share that part of either set. So
    a set with fewer such shingles is done, and of the others, in one order by frequency, two alike sets meet in the rarest
-   few (prefix filtering). Texts that have just a passage in common have no such shingle and are never paired.
+   few, at places that leave room for all they must share (prefix and positional filtering). Texts that have just a
+   passage in common are never paired.
 
 Components come from alternating large-star and small-star steps over the link table, checkpointed each round.
 
@@ -179,21 +180,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def _between_components(sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that hold all pairs whose sets are alike, by prefix filtering."""
+def _prefixes(sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """s, doc, c, n, m, nth: the rarest shingles of each set among those found in several components, as many as prefix
+    filtering needs (two sets of different components that are alike share one of these)."""
     at = sets.join(joined.withColumnsRenamed({"node": "doc", "component": "c"}), "doc", "left")
     rows = at.select("doc", F.coalesce("c", "doc").alias("c"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     shared = rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("df")) \
         .filter("lo < hi").select("s", "df")
     own = Window.partitionBy("doc")
     least = F.ceil(F.col("n") * percent / 100)
-    prefix = settled(rows.join(shared, "s").withColumn("nth", F.row_number().over(own.orderBy("df", "s")))
-                     .withColumn("m", F.count(F.lit(1)).over(own)).filter(F.col("nth") <= F.col("m") + 1 - least)
-                     .select("s", "doc", "c", "n"))
-    other = prefix.select("s", F.col("doc").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    alike = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
-    return prefix.join(other, "s").filter((F.col("doc") < F.col("b")) & (F.col("c") != F.col("cb")) & alike) \
-        .select(F.col("doc").alias("a"), "b").distinct()
+    return settled(rows.join(shared, "s").withColumn("nth", F.row_number().over(own.orderBy("df", "s")))
+                   .withColumn("m", F.count(F.lit(1)).over(own)).filter(F.col("nth") <= F.col("m") + 1 - least)
+                   .select("s", "doc", "c", "n", "m", "nth"))
+
+
+def _between_components(sets: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that hold all pairs whose sets are alike. At the first shingle that two such
+    sets share in the common order, what is left of either holds all they share, so shorter rests are no pair."""
+    prefix = _prefixes(sets, joined, percent)
+    other = prefix.select("s", *[F.col(c).alias(c + "2") for c in ("doc", "c", "n", "m", "nth")])
+    alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    rest = F.least(F.col("m") - F.col("nth"), F.col("m2") - F.col("nth2")) + 1
+    enough = (100 + percent) * rest >= percent * (F.col("n") + F.col("n2"))
+    return prefix.join(other, "s").filter((F.col("doc") < F.col("doc2")) & (F.col("c") != F.col("c2")) & alike & enough) \
+        .select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
 def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
