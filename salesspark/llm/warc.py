@@ -102,12 +102,19 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (names in lower case) and block of each record of a file of gzip members, or of plain records."""
-    while content:
-        if content[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-            whole, content = unpack.decompress(content), unpack.unused_data
+    place = 0
+    while place < len(content):
+        if content[place:place + 2] == b"\x1f\x8b":
+            unpack, parts = zlib.decompressobj(31), []
+            while not unpack.eof:
+                if place >= len(content):
+                    raise ValueError("a gzip member is cut off")
+                parts.append(unpack.decompress(content[place:place + 16_384]))
+                place += 16_384
+            place = min(place, len(content)) - len(unpack.unused_data)
+            whole = b"".join(parts)
         else:
-            whole, content = content, b""
+            whole, place = content[place:], len(content)
         at = 0
         while at < len(whole):
             end = whole.index(b"\r\n\r\n", at)
@@ -197,21 +204,22 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Responses (record_id, page_id, uri, payload, digest) and revisits (record_id, page_id, uri, digest, refers_to)."""
     listed = settled(files.select("uri"))
-    found = settled(listed.repartition(max(1, listed.count()), "uri").mapInArrow(_parsed, RECORD_SCHEMA))  # read four times below
-    pieces = (found.filter("kind = 'continuation'").groupBy("origin", "segment")
+    found = listed.repartition(max(1, listed.count()), "uri").mapInArrow(_parsed, RECORD_SCHEMA)
+    plain = found.filter("kind = 'response' AND segment IS NULL").select("record_id", "page_id", "uri", "digest", "block")
+    rest = settled(found.filter("kind <> 'response' OR segment IS NOT NULL"))  # segments and revisits, read three times below
+    pieces = (rest.filter("kind = 'continuation'").groupBy("origin", "segment")
               .agg(F.first("block").alias("block"), F.max("total").alias("total"))
               .groupBy("origin").agg(F.expr("listagg(block) WITHIN GROUP (ORDER BY segment)").alias("rest"),
                                      F.count(F.lit(1)).alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"),
                                      F.max("total").alias("total")))
-    firsts = found.filter("kind = 'response'").select("record_id", "page_id", "uri", "digest", "segment", "block")
-    opening = firsts.filter("segment IS NOT NULL")
+    opening = rest.filter("kind = 'response'").select("record_id", "page_id", "uri", "digest", "block")
     joined = opening.join(pieces, opening["record_id"] == pieces["origin"], "left") \
         .withColumn("whole", F.concat("block", "rest"))
     sound = (F.col("low") == 2) & (F.col("high") == F.col("n") + 1) & (F.octet_length("whole") == F.col("total"))
     checked = F.when(F.coalesce(sound, F.lit(False)), F.col("whole")).otherwise(
         F.raise_error(F.concat(F.lit("segments are missing or too short: "), F.col("record_id"))).cast("binary"))
-    blocks = firsts.filter("segment IS NULL").select("record_id", "page_id", "uri", "digest", "block").unionByName(
+    blocks = plain.unionByName(
         joined.select("record_id", "page_id", "uri", "digest", checked.alias("block")))
     responses = blocks.mapInArrow(_opened, "record_id string, page_id long, uri string, payload binary, digest string")
-    revisits = found.filter("kind = 'revisit'").select("record_id", "page_id", "uri", "digest", "refers_to")
+    revisits = rest.filter("kind = 'revisit'").select("record_id", "page_id", "uri", "digest", "refers_to")
     return responses, revisits
