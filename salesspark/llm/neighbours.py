@@ -1,7 +1,8 @@
 """Operator 6: approximate nearest neighbours by shifted space-filling curves.
 
 Each of ``CURVES`` orderings projects the centred vectors on ``DIMS`` random orthogonal directions, shifts them at random on a
-grid of 2**BITS cells a side and sorts them by the cell's place on a Hilbert curve. Spark range-partitions the rows by
+grid of 2**BITS cells a side and sorts them by the cell's place on a Hilbert curve. The grid is as fine as doubles go, so a group of near-equal
+vectors is ordered by nearness too, differently on each curve, however tight it is. Spark range-partitions the rows by
 (curve, key), and counts per range give each row its place on its curve. A query's candidates are the rows at most ``window``
 places away on any curve; the window is a share of all rows, so recall is alike at every size. Rows are grouped in blocks of ``BLOCK`` places,
 queries go to the blocks that their windows touch, each block reranks its own rows by distance in double precision and the best of all
@@ -27,14 +28,14 @@ from pyspark.sql import functions as F
 from salesspark.llm.common import hash128, settled
 from salesspark.plans.prefix import running_total
 
-CURVES, DIMS, BITS = 24, 16, 3
+CURVES, DIMS, BITS = 24, 16, 48
 WINDOW_SHARE, LEAST_WINDOW = 0.025, 64
 BLOCK = 1024
-REACH = 4.0
+REACH = 64.0
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """The place on the Hilbert curve of each row of ``cells`` (integers below 2**bits), all rows at once."""
+def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The places on the Hilbert curve, one row per dimension: their bits are those of all dimensions by turns, highest first."""
     x = cells.astype(np.uint64).T.copy()
     dims, one = len(x), np.uint64(1)
     for level in range(bits - 1, 0, -1):
@@ -50,6 +51,13 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         turn ^= np.where((x[-1] >> np.uint64(level)) & one == one, (one << np.uint64(level)) - one, np.uint64(0))
     x ^= turn
+    return x
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The place on the Hilbert curve of each row of ``cells`` (integers below 2**bits), all rows at once."""
+    x = _transposed(cells, bits)
+    dims, one = len(x), np.uint64(1)
     key = np.zeros_like(x[0])
     for level in range(bits - 1, -1, -1):
         for i in range(dims):
@@ -57,15 +65,21 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def curve_keys(vectors: np.ndarray, centre: np.ndarray, spread: float, curve: int) -> np.ndarray:
+def hilbert_bytes(cells: np.ndarray, bits: int) -> list[bytes]:
+    """The same places as big-endian bytes, for any number of bits."""
+    x = _transposed(cells, bits)
+    places = np.concatenate([((x >> np.uint64(level)) & np.uint64(1)).astype(np.uint8) for level in range(bits - 1, -1, -1)])
+    return [row.tobytes() for row in np.packbits(places, axis=0).T]
+
+
+def curve_keys(vectors: np.ndarray, centre: np.ndarray, spread: float, curve: int) -> list[bytes]:
     rng = np.random.default_rng(100 + curve)
     n = vectors.shape[1]
     dims = min(DIMS, n)
-    bits = min(62 // dims, max(BITS, 48 // dims if dims < DIMS else BITS))
     directions = np.linalg.qr(rng.standard_normal((n, n)))[0][:, :dims]
     at = ((vectors - centre) @ directions / spread + REACH) / (2 * REACH)
-    cells = np.clip((at + rng.random(dims)) * 2.0 ** (bits - 1), 0, 2 ** bits - 1).astype(np.int64)
-    return hilbert_keys(cells, bits)
+    cells = np.clip((at + rng.random(dims)) * 2.0 ** (BITS - 1), 0, 2 ** BITS - 1).astype(np.int64)
+    return hilbert_bytes(cells, BITS)
 
 
 def _valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -113,7 +127,7 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
             for c in range(CURVES):
                 yield pd.DataFrame({"curve": c, "key": curve_keys(v, centre, spread, c), "h1": f["h1"], "h2": f["h2"]})
 
-    keys = reps.select("h1", "h2", "e").mapInPandas(keyed, "curve int, key long, h1 long, h2 long")
+    keys = reps.select("h1", "h2", "e").mapInPandas(keyed, "curve int, key binary, h1 long, h2 long")
     placed = running_total(keys.withColumn("one", F.lit(1)), "one", [F.col(c) for c in ("curve", "key", "h1", "h2")], rank="nth")
     at = (F.col("nth") - 1) % n
     spots = settled(placed.select("curve", at.alias("at"), "h1", "h2"))

@@ -160,6 +160,19 @@ def test_neighbours_recall_and_order(spark):
     assert hit >= 0.9 * 300
 
 
+@pytest.mark.parametrize("spread", [1e-2, 1e-6])
+def test_neighbours_within_a_tight_group(spark, spread):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    x[::3] = x[0] + spread * rng.standard_normal((1000, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(rows, lambda i: i % 60 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = sum(len(got[q] & {w[0] for w in _nearest(list(range(3000)), x, q, 10)}) for q in range(0, 3000, 60))
+    assert hit >= 0.9 * 500
+
+
 def test_neighbours_ties_and_invalid_vectors(spark):
     hot = [1.0, 2.0, 3.0]
     rows = [(i, hot, "x") for i in range(400)] + [(400 + i, [float(i), 0.5, -1.0], "x") for i in range(50)]
@@ -191,6 +204,11 @@ def test_hilbert_places_are_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_hilbert_bytes_are_the_same_places():
+    cells = np.random.default_rng(7).integers(0, 8, (500, 16))
+    assert np.argsort(neighbours.hilbert_bytes(cells, 3)).tolist() == np.argsort(neighbours.hilbert_keys(cells, 3)).tolist()
+
+
 # ---------------------------------------------------------------- WARC
 
 def _b32(payload):
