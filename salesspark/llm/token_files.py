@@ -61,11 +61,14 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        """A piece of Latin letters goes by its lower case, and a last comma or full stop by itself, if the tokenizer does so."""
-        if self.folds and len(piece) > 1 and max(piece) < "ɐ":
+        """A piece of Latin letters goes by its lower case, and a last comma or full stop by itself, if the tokenizer does so.
+
+        Not if the lower case has more than Latin letters: that of U+0130 ends in a mark, which a comma joins.
+        """
+        if self.folds and len(piece) > 1 and max(piece) < "ɐ" and max(low := piece.lower()) < "ɐ":
             if piece[-1] in ".," and piece[-2].isalpha():
                 return self.kept[piece[:-1]] + self.kept[piece[-1]]
-            if piece.isalpha() and (low := piece.lower()) != piece and max(low) < "ɐ":
+            if piece.isalpha() and low != piece:
                 return self.kept[low]
         return self.library(piece)
 

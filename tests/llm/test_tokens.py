@@ -132,3 +132,11 @@ def test_no_documents(spark, docs_of):
 def test_crc_is_of_the_ids(spark):
     ids = np.array([1, 70_000], "<u4").tobytes()
     assert spark.createDataFrame([(ids,)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(ids)
+
+
+def test_shortcuts_for_every_latin_letter():
+    with open(WORD, encoding="utf-8") as f:
+        encoder = token_files.WordEncoder(f.read())
+    for c in filter(str.isalpha, map(chr, range(0x250))):
+        for t in (f"{c},", f"{c}.", f"EVLER{c},", f"evler{c}.", f"{c}a,", f"EVLER{c}", f"1{c}.", f"it'{c},"):
+            assert encoder.encode(t) == encoder.library(t), t
