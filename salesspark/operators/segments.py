@@ -11,12 +11,13 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesspark.session import ensure_checkpoint_dir, ship_package
 
 UNITS, SHIFT = 1_000_000, 1_000
+NEAR = 1_750_000_000  # three squares of it fit in 64 bits
 
 # Segment labels, best mean composite score first.
 SEGMENT_LABELS = ["Champions", "Loyal Customers", "At Risk", "Lost / Dormant"]
@@ -46,9 +47,25 @@ def _points(scored: DataFrame) -> DataFrame:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    """Nearest centre and squared distance (Python integers). Rows that are not within NEAR of any centre go by Python integers."""
+    diff = x[:, None, :] - centres[None, :, :]
+    far = np.abs(diff).max(axis=2) > NEAR
+    d = np.where(far, np.iinfo(np.int64).max, (np.where(far[:, :, None], 0, diff) ** 2).sum(axis=2))
     at = d.argmin(axis=1)
-    return at, d[np.arange(len(x)), at]
+    least = d[np.arange(len(x)), at]
+    beyond = np.flatnonzero(far.any(axis=1) & (least > NEAR ** 2))
+    least = least.astype(object)
+    for i in beyond:
+        whole = [sum(v * v for v in row) for row in diff[i].tolist()]
+        at[i] = min(range(len(whole)), key=whole.__getitem__)
+        least[i] = whole[at[i]]
+    return at, least
+
+
+def _squared(units: list[Column], centre: np.ndarray) -> Column:
+    """Squared distance as a decimal: z-scores of a few thousand square beyond 64 bits."""
+    apart = [(u - F.lit(int(v))).cast("decimal(19,0)") for u, v in zip(units, centre, strict=True)]
+    return sum((a * a for a in apart), F.lit(0).cast("decimal(38,0)")).cast("decimal(38,0)")
 
 
 def _lloyd(points: DataFrame, centres: np.ndarray, max_iter: int) -> tuple[np.ndarray, list[int]]:
@@ -65,7 +82,7 @@ def _lloyd(points: DataFrame, centres: np.ndarray, max_iter: int) -> tuple[np.nd
                     at, d = _nearest(x, shared.value[1][r])
                     for c in np.unique(at):
                         own = at == c
-                        add = [int(own.sum()), *x[own].sum(axis=0).tolist(), int(d[own].astype(object).sum())]
+                        add = [int(own.sum()), *x[own].sum(axis=0).tolist(), int(d[own].sum())]
                         rows[r, int(c)] = [a + b for a, b in zip(rows.get((r, int(c)), [0] * 5), add, strict=True)]
             yield pd.DataFrame([(*k, *v[:4], Decimal(v[4])) for k, v in rows.items()], columns=["r", "c", "n", "x", "y", "z", "d"])
 
@@ -104,7 +121,7 @@ def segment_customers(features: DataFrame, k: int = 4, restarts: int = 10, seed:
     centres, cost = _lloyd(points, np.array([[f[z] for z in Z] for f in first], np.int64).reshape(int(restarts), size, 3), max_iter)
     best = centres[min(range(len(cost)), key=lambda r: (cost[r], r))]
     units = [F.round(F.col(z) * UNITS).cast("long") + SHIFT * UNITS for z in Z]
-    far = F.array(*[sum(((u - F.lit(int(v))) * (u - F.lit(int(v))) for u, v in zip(units, c, strict=True)), F.lit(0)) for c in best])
+    far = F.array(*[_squared(units, c) for c in best])
     clustered = scored.withColumn("_d", far).withColumn("_c", F.array_position("_d", F.array_min("_d"))).drop("_d")
     means = {r["_c"]: r["m"] for r in clustered.groupBy("_c").agg(F.avg("Composite_Score").alias("m")).collect()}  # k rows
     ranked = sorted(means, key=lambda c: (-means[c], c))

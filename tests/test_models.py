@@ -46,6 +46,25 @@ def test_segment_profile(rfm_features):
     assert sum(r["Customers"] for r in prof) == 8
 
 
+def test_segments_with_z_scores_in_the_thousands(spark, monkeypatch):
+    rows = [(i, 0.01 * i, -0.02 * i, 0.01 * (i % 7), 0.0) for i in range(40)] + [(40, 0.5, 5000.0, 5000.0, 3333.5)]
+    scored = spark.createDataFrame(rows, ["Customer_Key", *SG.Z, "Composite_Score"])
+    monkeypatch.setattr(SG, "rfm_scores", lambda features: features)
+    seg = {r["Customer_Key"]: r["Cluster"] for r in SG.segment_customers(scored, k=2).collect()}
+    assert seg == {i: int(i < 40) for i in range(41)}
+
+
+def test_nearest_centres_are_exact_at_any_distance():
+    rng = np.random.default_rng(3)
+    for scale in (10**6, 2 * 10**9, 10**12):
+        x, centres = rng.integers(-scale, scale, (300, 3)), rng.integers(-scale, scale, (4, 3))
+        x[0], centres[1] = centres[3], centres[3]
+        at, d = SG._nearest(x, centres)
+        for p, a, least in zip(x.tolist(), at, d, strict=True):
+            whole = [sum((u - v) ** 2 for u, v in zip(p, c, strict=True)) for c in centres.tolist()]
+            assert (whole.index(min(whole)), min(whole)) == (a, least)
+
+
 @pytest.fixture(scope="module")
 def labeled(spark):
     rnd = random.Random(1)
