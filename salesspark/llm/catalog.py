@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesspark.llm import bpe, exact_dedup, line_dedup, mixing, near_dup, neighbours, quality, sharding, token_files, warc
+from salesspark.llm import (bpe, exact_dedup, line_dedup, mixing, near_dup, neighbours, quality, sharding, token_files, turn_repair,
+                            warc)
 from salesspark.llm.common import read, settled, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +148,69 @@ def q_warc(spark, sf_dir):
 @register("op6_neighbours")
 def q_neighbours(spark, sf_dir):
     return neighbours.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 100 == 0, k=10)
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 (unsigned) of an ASCII text in DuckDB SQL: eight shifts a byte by the reflected polynomial."""
+    shifts = ("list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], "
+              "lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)")
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {shifts}), 4294967295::BIGINT)"
+
+
+def _repair_sql() -> str:
+    """The damage, then a forward program over four states (none, s, u, a), each a struct of cost, audit string and lines."""
+    def then(state, cost, letter, line=None):
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}} END"
+
+    def least(*of):
+        return "list_sort([x for x in [" + ", ".join(of) + "] if x IS NOT NULL])[1]"
+
+    more, sound, own = "CASE WHEN fault = 't' THEN 3 ELSE 0 END", "fault NOT IN ('b', 'd')", "role || ':' || text"
+
+    def said(state, initial, role):  # a row that must have this role: kept, or re-roled
+        kept, changed = then(state, f"0 + {more}", "K", own), then(state, f"3 + {more}", "R", f"'{role}:' || text")
+        return f"CASE WHEN {sound} THEN CASE WHEN i = '{initial}' THEN {kept} ELSE {changed} END END"
+
+    system = f"CASE WHEN {sound} AND i = 's' THEN {then('n0', f'0 + {more}', 'K', own)} END"
+    put_user, put_assistant = "'user:'", "'assistant:'"
+    return f"""
+WITH RECURSIVE damage AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations),
+d AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS k, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM damage WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS nth FROM d),
+f AS (SELECT *, trim(text, {WS}) AS bare, row_number() OVER (PARTITION BY k, role, text ORDER BY nth) AS seen, left(role, 1) AS i,
+  lag(left(role, 1)) OVER (PARTITION BY k ORDER BY nth) AS before FROM o),
+g AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM f),
+figures AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+  count(*) FILTER (WHERE fault = 'b')::BIGINT AS blank, count(*) FILTER (WHERE fault = 'd')::BIGINT AS duplicate,
+  count(*) FILTER (WHERE fault = 't')::BIGINT AS truncated,
+  count(*) FILTER (WHERE nth > 1 AND before || i NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, max(nth) AS n FROM g GROUP BY k),
+starts AS (SELECT DISTINCT k, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS n0 FROM d),
+best AS (
+  SELECT k, 0::BIGINT AS nth, n0, CASE WHEN false THEN n0 END AS n1, {then('n0', 3, 'I', put_user)} AS n2,
+    CASE WHEN true THEN {{'c': 6::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}} END AS n3 FROM starts
+  UNION ALL
+  SELECT k, nth, r0, r1, n2, {least('r3', then('n2', 3, 'I', put_assistant))} AS n3
+  FROM (SELECT k, nth, r0, r1, r3,
+          {least('r2', then('r0', 3, 'I', put_user), then('r1', 3, 'I', put_user), then('r3', 3, 'I', put_user))} AS n2
+        FROM (SELECT g.k, g.nth, {then('n0', 4, 'D')} AS r0, {least(then('n1', 4, 'D'), system)} AS r1,
+                {least(then('n2', 4, 'D'), said('n0', 'u', 'user'), said('n1', 'u', 'user'), said('n3', 'u', 'user'))} AS r2,
+                {least(then('n3', 4, 'D'), said('n2', 'a', 'assistant'))} AS r3
+              FROM best JOIN g ON g.k = best.k AND g.nth = best.nth + 1) x) y),
+ends AS (SELECT best.k, {least('n0', 'n3')} AS e FROM best JOIN figures ON best.k = figures.k AND nth = n),
+every AS (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS k FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit,
+  sha256(coalesce(array_to_string(e.t, chr(10)), '')) AS repaired_sha256
+FROM every LEFT JOIN figures ON figures.k = every.k LEFT JOIN ends ON ends.k = every.k"""
+
+
+@register("op11_turn_repair", _repair_sql())
+def q_turn_repair(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.repair(turn_repair.damaged(turns), ids=turns)
