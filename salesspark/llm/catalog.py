@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesspark.llm import (bpe, exact_dedup, line_dedup, mixing, near_dup, neighbours, quality, sharding, token_files, turn_repair,
-                            warc)
+from salesspark.llm import (bpe, exact_dedup, exact_search, line_dedup, mixing, near_dup, neighbours, prefix_trie, quality, sharding,
+                            token_files, turn_repair, warc)
 from salesspark.llm.common import read, settled, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,40 @@ FROM every LEFT JOIN figures ON figures.k = every.k LEFT JOIN ends ON ends.k = e
 def q_turn_repair(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return turn_repair.repair(turn_repair.damaged(turns), ids=turns)
+
+
+@register("op13_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS place,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(turn ORDER BY place) AS turns, {crc32_sql("c::VARCHAR")} % 9 AS h FROM t GROUP BY c),
+built AS (SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS path
+          FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+steps AS (SELECT c, path, d, path[1:d] AS head FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM built) s),
+nodes AS (SELECT head, d, min(c) AS conv_id, count(*) AS n,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(path) = d), '')) AS ends_sha256 FROM steps GROUP BY head, d),
+family AS (SELECT a.*, p.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children
+  FROM nodes a LEFT JOIN nodes p ON a.d > 0 AND p.d = a.d - 1 AND p.head = a.head[1:a.d - 1]
+  LEFT JOIN (SELECT head[1:d - 1] AS head, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1) k ON k.head = a.head),
+up AS (SELECT head[1:e] AS head, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+    sum(CASE WHEN d > 0 THEN (n - 1) * strlen(head[d].text) ELSE 0 END) AS saved_tokens
+  FROM (SELECT family.*, unnest(range(0, d + 1)) AS e FROM family) f GROUP BY 1)
+SELECT conv_id, d::BIGINT AS depth, parent_conv_id, n::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM family JOIN up ON up.head = family.head""")
+def q_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.turn_ids(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    convs, rebuilt = prefix_trie.rebuilt(settled(turns))
+    return prefix_trie.trie(settled(convs), rebuilt)
+
+
+@register("op12_exact_search", """
+WITH v AS (
+  SELECT row_number() OVER () AS place, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.e) = 0 THEN 0 ELSE list_inner_product(q.e, c.e) END::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.place <> c.place),
+r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def q_exact_search(spark, sf_dir):
+    return exact_search.top_k(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 50 == 0, k=5)
