@@ -683,6 +683,7 @@ def q_question_answers(spark, sf_dir):
 
 from salesspark.operators import anomaly as AN  # noqa: E402
 from salesspark.operators import churn as CH  # noqa: E402
+from salesspark.plans import churn_sql  # noqa: E402
 from salesspark.operators import segments as SG  # noqa: E402
 
 _FEATURES_CTE = """
@@ -767,23 +768,26 @@ def _churn(spark, sf_dir):
     return labeled, CH.train_churn(labeled)
 
 
-@register("churn_risk")
+_CHURN_FOREST = (_CHURN_CTE, _SPLIT_CTE, *churn_sql.forest_ctes())
+
+
+@register("churn_risk", with_view(churn_sql.RISK, *_CHURN_FOREST))
 def q_churn_risk(spark, sf_dir):
     labeled, model = _churn(spark, sf_dir)
     return CH.predict_risk(model, labeled)
 
 
-@register("churn_metrics")
+@register("churn_metrics", with_view(churn_sql.METRICS, *_CHURN_FOREST))
 def q_churn_metrics(spark, sf_dir):
     return _churn(spark, sf_dir)[1].metrics
 
 
-@register("churn_importance")
+@register("churn_importance", with_view(churn_sql.IMPORTANCE, *_CHURN_FOREST))
 def q_churn_importance(spark, sf_dir):
     return _churn(spark, sf_dir)[1].importance
 
 
-@register("risk_tiers")
+@register("risk_tiers", with_view("SELECT tier AS Risk_Tier, COUNT(*) AS Customers FROM risk GROUP BY tier ORDER BY tier", *_CHURN_FOREST))
 def q_risk_tiers(spark, sf_dir):
     labeled, model = _churn(spark, sf_dir)
     return CH.risk_tier_counts(CH.predict_risk(model, labeled))
@@ -1127,7 +1131,7 @@ def q_rfm_top20(spark, sf_dir):
         .orderBy(_F.desc("Monetary"), "Customer_Key").limit(20)
 
 
-@register("churn_risk_top20")
+@register("churn_risk_top20", with_view(churn_sql.RISK + " LIMIT 20", *_CHURN_FOREST))
 def q_churn_risk_top20(spark, sf_dir):
     labeled, model = _churn(spark, sf_dir)
     return CH.predict_risk(model, labeled).limit(20)
@@ -1138,7 +1142,7 @@ SELECT (SELECT COUNT(*) FROM churn) AS Customers, COUNT(*) FILTER (WHERE Split =
   COUNT(*) FILTER (WHERE Split = 'test' AND Churned = 1) AS Test_Churned, 100.0 * AVG(Churned) AS Churn_Rate,
   (SELECT COUNT(*) FROM churn) AS Tiered, CAST(0 AS BIGINT) AS Outside, 1.0 AS Importance FROM split""", _CHURN_CTE, _SPLIT_CTE))
 def q_churn_check(spark, sf_dir):
-    """Facts about the churn model that the tables determine; the model itself has no SQL form."""
+    """Facts about the churn model that the tables determine, beside the full comparison of churn_risk and churn_metrics."""
     labeled, model = _churn(spark, sf_dir)
     risk = CH.predict_risk(model, labeled)
     split = C.holdout_split(labeled)

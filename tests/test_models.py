@@ -1,5 +1,6 @@
 """Model contracts: labels, shapes, determinism, injected outliers (no accuracy thresholds)."""
 
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from salesspark.operators import anomaly as AN
 from salesspark.operators import churn as CH
+from salesspark.operators import forest as FO
 from salesspark.operators import segments as SG
 
 
@@ -94,6 +96,42 @@ def test_churn_model_contract(labeled):
     assert sum(r["Importance"] for r in imp) == pytest.approx(1.0)
 
 
+def test_roc_auc_counts_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    score, label = rng.integers(0, 700, 5000), rng.integers(0, 2, 5000)
+    got = CH.roc_auc(spark.createDataFrame(list(zip(score.tolist(), label.tolist(), strict=True)), "s long, y int"), "s", "y").first()[0]
+    p, q = score[label == 1][:, None], score[label == 0][None, :]
+    assert got == ((p > q).sum() * 2 + (p == q).sum()) / (2.0 * p.size * q.size)
+    assert math.isnan(CH.roc_auc(spark.createDataFrame([(1, 1), (2, 1)], "s long, y int"), "s", "y").first()[0])
+
+
+def test_bootstrap_draws_like_poisson():
+    bounds = np.array(FO.poisson_bounds())
+    draws = np.frombuffer(b"".join(FO.bootstrap(42, str(k), 200, bounds) for k in range(500)), np.uint8)
+    assert abs(draws.mean() - 1) < 0.01 and abs((draws == 0).mean() - math.exp(-1)) < 0.01 and draws.max() < 10
+    assert FO.bootstrap(42, "7", 200, bounds)[:5] == FO.bootstrap(42, "7", 5, bounds)
+
+
+def test_forest_finds_the_splits(spark):
+    """Two features that decide the class between them, one that says nothing, one constant; repeated values share a bin."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.integers(0, 40)), float(rng.integers(0, 3)), float(rng.normal()), 1.0) for i in range(3000)]
+    rows = [(*r, int(r[1] > 20 or r[2] == 2)) for r in rows]
+    data = spark.createDataFrame(rows, "k long, a double, b double, c double, d double, y int")
+    n1 = sum(r[-1] for r in rows)
+    forest = FO.grow(data, ["a", "b", "c", "d"], "y", "k", (len(rows) - n1, n1), trees=30, depth=5, seed=1)
+    again = FO.grow(data.repartition(3), ["a", "b", "c", "d"], "y", "k", (len(rows) - n1, n1), trees=30, depth=5, seed=1)
+    assert forest == again  # whatever the partitions
+    importance = dict(zip(forest.features, forest.importance(), strict=True))
+    assert importance["a"] + importance["b"] > 0.9 and importance["d"] == 0.0
+    scored = FO.summed_probability(data, forest, "s").collect()
+    assert np.mean([(r["s"] * 2 > 30 * FO.UNIT) == (r["y"] == 1) for r in scored]) > 0.98
+    for (t, n), node in forest.nodes.items():  # counts add up along every split
+        if node.feature >= 0:
+            left, right = forest.nodes[t, 2 * n], forest.nodes[t, 2 * n + 1]
+            assert (node.c0, node.c1) == (left.c0 + right.c0, left.c1 + right.c1) and node.gain >= 0
+
+
 def test_churn_needs_both_classes(labeled):
     with pytest.raises(ValueError):
         CH.train_churn(labeled.withColumn("Churned", F.lit(0)), trees=5)
