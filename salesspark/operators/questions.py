@@ -18,9 +18,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesspark.functions.matching import with_matches
 from salesspark.functions.scalars import fill_template
 from salesspark.operators.common import money_sum
-from salesspark.session import ensure_checkpoint_dir
+from salesspark.session import ensure_checkpoint_dir, ship_package
 from salesspark.schema import MONTH_NAMES
 
 # Metric keywords; the first metric (in this order) with a keyword in the text wins.
@@ -67,30 +68,13 @@ ANSWER_COLUMNS = list(FILTER_FIELDS) + ["Product", "Customer", "Salesperson", "N
 
 
 def vocabulary(view: DataFrame) -> DataFrame:
-    """Field and Value: the distinct values of the four recognised dimensions (the dropdown lists)."""
-    return (view.select(*[F.col(c).cast("string").alias(c) for c in VOCAB_FIELDS])
-            .unpivot([], list(VOCAB_FIELDS), "Field", "Value")
+    """Field and Value: the distinct values of the four recognised dimensions (the dropdown lists). The view's rows are reduced to the
+    combinations that occur before these are turned into one row per field."""
+    combinations = view.select(*[F.col(c).cast("string").alias(c) for c in VOCAB_FIELDS]).distinct()
+    return (combinations.unpivot([], list(VOCAB_FIELDS), "Field", "Value")
             .filter(F.col("Value").isNotNull()).distinct())
 
 
-def vocabulary_hits(texts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``low`` of ``texts`` with, for each field, the smallest value whose lower-case form occurs in it.
-
-    Each text is cut into its substrings of the lengths that occur in the vocabulary, and these meet the values in an
-    equi-join, so the vocabulary may be of any size.
-    """
-    values = vocab.select("Field", "Value", F.lower("Value").alias("part"))
-    lengths = values.select(F.array_sort(F.collect_set(F.char_length("part")))).scalar()
-    cut = F.flatten(F.transform(
-        F.filter(F.col("lengths"), lambda n: n <= F.char_length("low")),
-        lambda n: F.transform(F.sequence(F.lit(1), F.char_length("low") - n + 1),
-                              lambda at: F.substring("low", at, n))))
-    parts = texts.select("low").distinct().withColumn("lengths", lengths) \
-        .select("low", F.explode(F.array_distinct(cut)).alias("part"))
-    return parts.join(values, "part").groupBy("low").agg(
-        *[F.min(F.when(F.col("Field") == f, F.col("Value"))).alias(f) for f in VOCAB_FIELDS])
-
-
 def _any_contains(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
@@ -104,9 +88,8 @@ def _first_contained(text: Column, values: list[str]) -> Column:
 
 def parse_questions(questions: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds Metric, Dimension, the seven filter columns and Recognized_Terms (array); ``vocab`` has Field and Value."""
-    keyed = questions.withColumn("_low", F.lower(F.col(text_col)))
-    hits = vocabulary_hits(keyed.select(F.col("_low").alias("low")), vocab)
-    questions = keyed.join(hits.withColumnRenamed("low", "_low"), "_low", "left")
+    ship_package(questions.sparkSession)  # the automaton runs on the executors
+    questions = with_matches(questions.withColumn("_low", F.lower(F.col(text_col))), "_low", vocab, list(VOCAB_FIELDS))
     low = F.col("_low")
     metric_hit = None
     for metric, words in METRIC_KEYWORDS.items():

@@ -1,8 +1,11 @@
 """Question parsing and answers on the star fixture against results worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from salesspark.functions import matching
 from salesspark.operators import questions as Q
 
 # question: metric, dimension, region, category, channel, segment, quarter, year, month, recognised terms
@@ -75,6 +78,25 @@ def test_large_vocabulary_and_odd_texts(spark):
     assert got == {0: "Zone-1", 1: None, 2: None, 3: "Zone-7"}
 
 
+@pytest.mark.parametrize("shard", [100_000, 50])
+def test_matching_is_a_substring_search(spark, monkeypatch, shard):
+    """Against a search value by value: nested, overlapping, equal and empty values, and a text of a million letters."""
+    monkeypatch.setattr(matching, "SHARD", shard)
+    rng = random.Random(4)
+    values = [(f, "".join(rng.choice("abAB") for _ in range(rng.randint(1, 5)))) for f in ("x", "y") for _ in range(120)]
+    values += [("x", None), ("z", "needle"), ("z", "Needless")]
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 12))) for _ in range(200)] + [None, "", "a" * 1_000_000 + "needless"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, low string")
+    got = {r["i"]: (r["x"], r["y"], r["z"]) for r in matching.with_matches(
+        df, "low", spark.createDataFrame(values, "Field string, Value string"), ["x", "y", "z"]).collect()}
+    for i, t in enumerate(texts):
+        want = [min((v for f, v in values if f == field and v is not None and t is not None and v.lower() in t), default=None) for field in "xyz"]
+        assert got[i] == tuple(want), t
+    empty = spark.createDataFrame([("x", "")], "Field string, Value string")
+    assert [r["x"] for r in matching.with_matches(df.filter("i < 3"), "low", empty, ["x"]).collect()] == [""] * 3
+    assert matching.with_matches(df, "low", empty.limit(0), ["x"]).filter("x IS NOT NULL").count() == 0
+
+
 def test_answers(view, parsed):
     got = {r["qid"]: r for r in Q.answer_questions(parsed, view, ["qid"]).collect()}
     assert len(got) == len(ANSWERS)
