@@ -4,9 +4,8 @@ Questions are a column of a DataFrame (e.g. every user turn of ``conversations``
 Parsing is a fixed set of column expressions (keyword tests, regex extraction).
 Answering never runs one query per question: questions are reduced to their
 filter masks (which of the seven filters they set - at most 2^7), the view is
-aggregated once per mask with ``groupingSets`` (distinct counts stay exact, unlike
-a pre-computed cube that would have to add them up), and questions join their
-aggregate on (mask, filter values). Breakdown questions pick the leading group
+reduced once and rolled up to each mask (``operators/rollup.py``), and questions join
+their aggregate on (mask, filter values). Breakdown questions pick the leading group
 with ``min_by`` - an aggregate that combines map-side, so a huge group never
 lands in one task.
 """
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from salesspark.functions.matching import with_matches
 from salesspark.functions.scalars import fill_template
-from salesspark.operators.common import money_sum
+from salesspark.operators.rollup import Grouping, rollups
 from salesspark.session import ensure_checkpoint_dir, ship_package
 from salesspark.schema import MONTH_NAMES
 
@@ -150,8 +149,8 @@ def _join_keys(q: DataFrame, agg: DataFrame) -> Column:
 def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) -> DataFrame:
     """(key columns, Metric, Dimension, Answer_Value, Leader, Answer) for every parsed question.
 
-    One pass over the view: every KPI mask and every (mask, dimension) pair present
-    becomes one grouping set of a single ``groupingSets`` aggregation.
+    One pass over the view: every KPI mask and every (mask, dimension) pair present is one grouping of ``rollup.rollups``, which
+    counts distinct orders exactly without a copy of a line per grouping.
     """
     breakdown = F.col("Dimension").isNotNull() & F.col("Metric").isin(*BREAKDOWN_METRICS)
     # The question table is read twice (to plan the grouping sets, then to join the answers):
@@ -170,28 +169,24 @@ def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) ->
         absent = sum(1 << (d - 1 - i) for i, x in enumerate(dims) if x != dim)
         return (mask << d) | absent
 
-    sets, seen = [], set()
+    groupings = {}
     for r in plan_rows:
+        cols = [c for i, c in enumerate(FILTER_FIELDS) if not (r["_mask"] >> (n - 1 - i)) & 1]
         g = gid(r["_mask"], r["_bd"])
-        if g in seen:
-            continue
-        seen.add(g)
-        cols = [F.col(c) for i, c in enumerate(FILTER_FIELDS) if not (r["_mask"] >> (n - 1 - i)) & 1]
-        sets.append(cols + ([F.col(dv[r["_bd"]])] if r["_bd"] is not None else []))
+        groupings[g] = Grouping(g, (*cols, *([dv[r["_bd"]]] if r["_bd"] is not None else [])))
     gid_of_question = F.col("_mask") * F.lit(1 << d) + F.coalesce(
         *[F.when(F.col("_bd") == dim, F.lit(gid(0, dim))) for dim in dims], F.lit(gid(0, None)))
     q = q.withColumn("_gid", gid_of_question)
 
     widened = view.select(*FILTER_FIELDS, *[F.col(dim).cast("string").alias(dv[dim]) for dim in dims],
                           "Net_Revenue", "Profit_Amount", "Order_ID", "Quantity", "Is_Returned")
-    groups = (widened.groupingSets(sets, *FILTER_FIELDS, *[dv[x] for x in dims])
-              .agg(F.grouping_id().alias("_gid"),
-                   money_sum("Net_Revenue").alias("Net_Revenue"),
-                   money_sum("Profit_Amount").alias("Profit"),
-                   F.count_distinct("Order_ID").cast("double").alias("Orders"),
-                   F.sum("Quantity").cast("double").alias("Units"),
-                   F.count(F.lit(1)).alias("_lines"),
-                   F.sum("Is_Returned").alias("_returned")))
+    if not groupings:  # no question, no answer
+        groupings[gid((1 << n) - 1, None)] = Grouping(gid((1 << n) - 1, None), ())
+    summed = rollups(widened, "Order_ID", list(groupings.values()), {
+        "Net_Revenue": "Net_Revenue", "Profit": "Profit_Amount", "Units": "Quantity", "_lines": "1L", "_returned": "Is_Returned"})
+    absent = [F.lit(None).cast(widened.schema[c].dataType).alias(c) for c in (*FILTER_FIELDS, *dv.values()) if c not in summed.columns]
+    groups = summed.select("*", *absent).withColumns({
+        **{m: F.col(m).cast("double") for m in ("Net_Revenue", "Profit", "Units", "Orders")}})
     is_bd = F.lit(False)
     key = F.lit(None).cast("string")
     for dim in dims:
