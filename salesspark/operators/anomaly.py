@@ -2,12 +2,13 @@
 
 All randomness is MD5 of (seed, purpose, ids), so any engine can rebuild the forest from the rows.
 
-* pool: the ``POOL_ROWS`` rows with the smallest hash of their key, one rule for every table size
-  (subsampling is the method; every row is scored). Rows count by key, so equal rows count as often as they occur;
-* sampling: each tree takes the ``psi = min(256, pool)`` pool rows with the smallest hash of (tree, key);
+* identity: equal lines share a key; each of them is told apart by its number among them, so they enter a sample one by one;
+* sampling: each tree takes, of all lines of the table, the ``psi = min(256, lines)`` with the smallest hash of (tree, key, number). One
+  pass hashes each line for all trees, sixteen bits a tree, and only hits below a bound become rows; the bound leaves so many more
+  than ``psi`` a tree that too few practically never happen, and if they do it is doubled;
 * growing: ``groupBy(tree).applyInPandas`` - one small numpy task per tree (random usable feature,
   uniform split, depth limit ``ceil(log2 psi)``); nodes are numbered as in a heap (1, 2i, 2i + 1);
-* scoring: the forest (at most ``trees * (2 psi - 1)`` nodes - a fixed bound) goes into a pandas function of the
+* scoring: equal lines are scored once; the forest (at most ``trees * (2 psi - 1)`` nodes - a fixed bound) goes into a pandas function of the
   four measures; path lengths are added as whole numbers of 1e-9, so the order of the trees doesn't matter;
 * threshold: the exact ``contamination`` quantile (linear between neighbours) of all scores, from the counts of
   distinct scores and a distributed running total.
@@ -33,7 +34,10 @@ from salesspark.session import ensure_checkpoint_dir, ship_package
 FEATURES = ["Sales_Amount", "Discount_Amount", "Quantity", "Profit_Amount"]
 ANOMALY_COLUMNS = ["Sales_Key", "Order_ID", "Product", "Category"] + FEATURES
 SAMPLE_SIZE = 256
-POOL_ROWS = 32 * SAMPLE_SIZE
+#: Trees that one MD5 serves, 16 bits each.
+PER_HASH = 8
+#: Copies of a line that one row stands for before they get numbers.
+COPIES = 10_000
 PATH_UNITS = 1_000_000_000
 SCORE_PLACES = 9
 EULER = 0.5772156649015329
@@ -83,26 +87,50 @@ def _grow(tree: int, x: np.ndarray, seed: int, max_depth: int) -> list[tuple]:
     return nodes
 
 
-def sample_pool(rows: DataFrame, seed: int, pool_rows: int) -> DataFrame:
-    """The ``pool_rows`` rows of (key, measures) with the smallest hash; only 1.5 times as many reach the sort."""
-    n = rows.count()
-    hashed = rows.withColumn("_h", _hash(F.lit(seed), F.lit("pool"), F.col("_key")))
-    bound = int(min(1.0, (1.5 * pool_rows + 1000) / max(n, 1)) * 0xFFFFFFFF)
-    near = hashed.filter(F.substring("_h", 1, 8) <= f"{bound:08x}")
-    return near.orderBy("_h", "_key").limit(pool_rows).drop("_h")
+def distinct_lines(measures: DataFrame) -> DataFrame:
+    """The different rows of (_key, measures) and ``_n``, how often each occurs."""
+    return measures.groupBy("_key", *FEATURES).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def fit_forest(rows: DataFrame, trees: int = 200, seed: int = 42, sample_size: int = SAMPLE_SIZE,
-               pool_rows: int = POOL_ROWS) -> tuple[list, int]:
-    """(node tuples of all trees, psi). ``rows`` has ``_key`` (one value per row) and the measures."""
-    pool = sample_pool(rows, seed, pool_rows).checkpoint(eager=True)
-    psi = min(int(sample_size), pool.count())
+def numbered_lines(distinct: DataFrame) -> DataFrame:
+    """Every line again, with ``_nth``, its number (from 1) among equal ones. Lines of very many copies are dealt out anew in parts."""
+    few = distinct.filter(F.col("_n") <= COPIES).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    parts = distinct.filter(F.col("_n") > COPIES).withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(COPIES).cast("long"))))
+    last = F.least(F.col("_from") + COPIES - 1, F.col("_n"))
+    many = parts.repartition("_key", "_from").withColumn("_nth", F.explode(F.sequence(F.col("_from"), last))).drop("_from")
+    return few.unionByName(many).drop("_n")
+
+
+def draw_bound(psi: int, lines: int) -> int:
+    """Sixteen-bit hashes up to this take part: psi lines and eight standard deviations more are expected."""
+    return min(65_535, math.ceil((psi + 8 * math.sqrt(psi) + 8) / max(lines, 1) * 65_536))
+
+
+def tree_samples(distinct: DataFrame, lines: int, trees: int, seed: int, sample_size: int) -> DataFrame:
+    """tree, measures: for each tree the lines with the smallest (16-bit hash, MD5)."""
+    psi, bound = min(int(sample_size), lines), draw_bound(min(int(sample_size), lines), lines)
+    rows = numbered_lines(distinct)
+    digests = [_hash(F.lit(seed), F.lit("draw"), F.lit(i), F.col("_key"), F.col("_nth")) for i in range(-(-trees // PER_HASH))]
+    hashed = rows.withColumns({f"_h{i}": h for i, h in enumerate(digests)})
+    draws = [F.substring(f"_h{t // PER_HASH}", 4 * (t % PER_HASH) + 1, 4) for t in range(trees)]
+    while True:
+        own = [F.when(d <= F.lit(f"{bound:04x}"), F.struct(F.lit(t).alias("tree"), d.alias("draw"))) for t, d in enumerate(draws)]
+        hits = hashed.select("_key", "_nth", *FEATURES, F.explode(F.array_compact(F.array(*own))).alias("hit"))
+        order = Window.partitionBy("tree").orderBy("draw", _hash(F.lit(seed), F.col("tree"), F.col("_key"), F.col("_nth")))
+        ranked = hits.select("_key", "_nth", *FEATURES, "hit.tree", "hit.draw").withColumn("_k", F.row_number().over(order))
+        chosen = ranked.filter(F.col("_k") <= psi).select("tree", *FEATURES).checkpoint(eager=True)
+        if bound == 65_535 or chosen.count() == trees * psi:
+            return chosen
+        bound = min(65_535, 2 * bound)
+
+
+def fit_forest(distinct: DataFrame, lines: int, trees: int = 200, seed: int = 42, sample_size: int = SAMPLE_SIZE) -> tuple[list, int]:
+    """(node tuples of all trees, psi). ``distinct`` comes from ``distinct_lines``, ``lines`` is the sum of its ``_n``."""
+    psi = min(int(sample_size), lines)
     if psi == 0:
         return [], 0
+    assigned = tree_samples(distinct, lines, int(trees), seed, sample_size)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(int(trees) - 1))))
-    order = Window.partitionBy("tree").orderBy(_hash(F.lit(seed), F.col("tree"), F.col("_key")), "_key")
-    assigned = drawn.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= psi).select("tree", *FEATURES)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_grow(int(pdf["tree"].iloc[0]), pdf[FEATURES].to_numpy(float), seed, max_depth),
@@ -154,10 +182,10 @@ def score(rows: DataFrame, nodes: list, psi: int, trees: int) -> DataFrame:
     return rows.withColumn("_raw_score", F.round(-F.pow(F.lit(2.0), -mean / F.lit(typical)), SCORE_PLACES))
 
 
-def exact_quantile(values: DataFrame, col: str, q: float) -> float | None:
-    """The q-quantile of ``col``, linear between neighbours: counts of distinct values, their running total over
+def exact_quantile(values: DataFrame, col: str, q: float, weight: str | None = None) -> float | None:
+    """The q-quantile of ``col`` (each value ``weight`` times), linear between neighbours: counts of distinct values, their running total over
     ranges, and the two values at which it passes the place of the quantile."""
-    counted = values.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counted = values.groupBy(F.col(col).alias("v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     ranked = running_total(counted, "n", [F.col("v")], out="upto", total="rows")
     place = (F.col("rows") - 1) * F.lit(float(q))
     at = ranked.select(
@@ -167,25 +195,37 @@ def exact_quantile(values: DataFrame, col: str, q: float) -> float | None:
     return None if at["low"] is None else at["low"] + (at["high"] - at["low"]) * at["part"]
 
 
-def detect_anomalies(lines: DataFrame, contamination: float = 0.02, trees: int = 200, seed: int = 42,
-                     key: str = "Sales_Key") -> DataFrame:
-    """Input columns plus Anomaly_Score (lower = more anomalous) and Is_Anomaly.
+def scored_lines(lines: DataFrame, contamination: float = 0.02, trees: int = 200, seed: int = 42, key: str = "Sales_Key") -> DataFrame:
+    """One row per different line: _key, measures, _n (how often it occurs), Anomaly_Score (lower = more anomalous) and Is_Anomaly.
 
-    ``key`` names a column with one value per row. Missing measures count as 0. The lines are read twice: for the pool
-    and for the scores, which are kept in the checkpoint folder while the threshold is found.
+    ``key`` names a column that is equal for equal lines only. Missing measures count as 0. The lines are read once; their different
+    rows and then these rows' scores stand in the checkpoint folder.
     """
     ship_package(lines.sparkSession)  # the pandas functions run on the executors
     ensure_checkpoint_dir(lines.sparkSession)
     measures = lines.select(F.col(key).alias("_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
-    nodes, psi = fit_forest(measures, trees, seed)
-    typed = lines.select(*[F.col(c).cast("double").alias(c) if c in FEATURES else F.col(c) for c in lines.columns])
-    scored = score(typed, nodes, psi, trees).checkpoint(eager=True)
-    offset = exact_quantile(scored, "_raw_score", contamination)
+    distinct = distinct_lines(measures).checkpoint(eager=True)
+    nodes, psi = fit_forest(distinct, distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0], trees, seed)
+    scored = score(distinct, nodes, psi, trees).checkpoint(eager=True)
+    offset = exact_quantile(scored, "_raw_score", contamination, "_n")
     return (scored.withColumn("Anomaly_Score", F.col("_raw_score") - F.lit(offset).cast("double"))
             .withColumn("Is_Anomaly", F.col("Anomaly_Score") < 0).drop("_raw_score"))
 
 
+def detect_anomalies(lines: DataFrame, contamination: float = 0.02, trees: int = 200, seed: int = 42, key: str = "Sales_Key",
+                     flagged_only: bool = False) -> DataFrame:
+    """Input columns plus Anomaly_Score (lower = more anomalous) and Is_Anomaly; the lines meet their scores by key and measures."""
+    scored = scored_lines(lines, contamination, trees, seed, key)
+    if flagged_only:
+        scored = scored.filter("Is_Anomaly")
+    typed = lines.select(*[F.col(c).cast("double").alias(c) if c in FEATURES else F.col(c) for c in lines.columns])
+    zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in FEATURES}
+    to = scored.select(F.col("_key").alias(key), *(F.col(c).alias(f"_{c}") for c in FEATURES), "Anomaly_Score", "Is_Anomaly")
+    keyed = typed.select("*", *(zero[c].alias(f"_{c}") for c in FEATURES))
+    return keyed.join(to, [key, *(f"_{c}" for c in FEATURES)]).select(*lines.columns, "Anomaly_Score", "Is_Anomaly")
+
+
 def anomaly_summary(scored: DataFrame) -> DataFrame:
-    """Flagged lines and their share of all lines."""
-    return scored.agg(F.sum(F.col("Is_Anomaly").cast("long")).alias("Flagged"), F.count(F.lit(1)).alias("Lines")) \
+    """Flagged lines and their share of all lines, from ``scored_lines``."""
+    return scored.agg(F.coalesce(F.sum(F.when(F.col("Is_Anomaly"), F.col("_n"))), F.lit(0)).alias("Flagged"), F.sum("_n").alias("Lines")) \
         .withColumn("Flagged_Pct", F.lit(100.0) * F.col("Flagged") / F.col("Lines"))

@@ -794,18 +794,25 @@ def q_risk_tiers(spark, sf_dir):
 
 
 def _forest_ctes(trees: int = 200, seed: int = 42, q: float = 0.02) -> list[str]:
-    """The isolation forest as chained CTEs: pool, samples, eight levels of splits, then every line's way down."""
+    """The isolation forest as chained CTEs: draws, samples, eight levels of splits, then every line's way down."""
     uniform = "(CAST('0x' || substr(md5('{seed}|' || tree || '|' || node || '|{what}'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
     feature, split = uniform.format(seed=seed, what="feature"), uniform.format(seed=seed, what="split")
     fs = [f"f{i}" for i in range(4)]
     out = [f"""
 m AS (SELECT Sales_Key AS k, {', '.join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS f{i}" for i, c in enumerate(AN.FEATURES))} FROM sales)""",
-           f"pool AS (SELECT * FROM m ORDER BY md5('{seed}|pool|' || k), k LIMIT {AN.POOL_ROWS})",
-           f"size AS (SELECT least({AN.SAMPLE_SIZE}, COUNT(*)) AS psi, ceil(log2(greatest(2, least({AN.SAMPLE_SIZE}, COUNT(*))))) AS deep FROM pool)",
+           "numbered AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY k) AS nth FROM m)",
+           f"size AS (SELECT least({AN.SAMPLE_SIZE}, COUNT(*)) AS psi, ceil(log2(greatest(2, least({AN.SAMPLE_SIZE}, COUNT(*))))) AS deep, "
+           f"least(65535, ceil((least({AN.SAMPLE_SIZE}, COUNT(*)) + 8 * sqrt(least({AN.SAMPLE_SIZE}, COUNT(*))) + 8) / COUNT(*) * 65536)) AS bound FROM m)",
+           f"""
+digests AS MATERIALIZED (SELECT numbered.*, h.i, md5('{seed}|draw|' || h.i || '|' || k || '|' || nth) AS digest
+  FROM numbered, range(0, {-(-trees // AN.PER_HASH)}) AS h(i))""",
+           f"""
+draws AS MATERIALIZED (SELECT * FROM (SELECT {AN.PER_HASH} * i + j AS tree, k, nth, {', '.join(fs)}, substr(digest, CAST(4 * j + 1 AS BIGINT), 4) AS draw
+    FROM digests, range(0, {AN.PER_HASH}) AS o(j)) x WHERE tree < {trees} AND CAST('0x' || draw AS INTEGER) <= (SELECT bound FROM size))""",
            f"""
 l0 AS MATERIALIZED (SELECT tree, 1 AS node, {', '.join(fs)} FROM (
-  SELECT t.tree, p.*, ROW_NUMBER() OVER (PARTITION BY t.tree ORDER BY md5('{seed}|' || t.tree || '|' || k), k) AS nth
-  FROM pool p, range(0, {trees}) AS t(tree)) x, size WHERE nth <= psi)"""]
+  SELECT draws.*, ROW_NUMBER() OVER (PARTITION BY tree ORDER BY draw, md5('{seed}|' || tree || '|' || k || '|' || nth)) AS place
+  FROM draws) x, size WHERE place <= psi)"""]
     usable = "[" + ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {i} END" for i in range(4)) + "]"
     for d in range(9):
         out.append(f"""
@@ -822,7 +829,7 @@ l{d + 1} AS MATERIALIZED (SELECT l.tree, 2 * l.node + CASE WHEN {value} < thr TH
   FROM l{d} l JOIN n{d} n ON l.tree = n.tree AND l.node = n.node WHERE n.f IS NOT NULL)""")
     c_n = f"CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1.0) + {AN.EULER!r}) - 2.0 * (n - 1.0) / n END"
     c_psi = c_n.replace("n - 1.0", "psi - 1.0").replace("/ n END", "/ psi END").replace("WHEN n ", "WHEN psi ")
-    out.append("w0 AS (SELECT k, f0, f1, f2, f3, t.tree, 1 AS node FROM m, range(0, %d) AS t(tree))" % trees)
+    out.append("w0 AS (SELECT k, f0, f1, f2, f3, t.tree, 1 AS node FROM numbered, range(0, %d) AS t(tree) WHERE nth = 1)" % trees)
     for d in range(9):
         value = "CASE f " + " ".join(f"WHEN {i} THEN f{i}" for i in range(4)) + " END"
         out.append(f"""
@@ -836,7 +843,7 @@ w{d + 1} AS MATERIALIZED (SELECT w.k, f0, f1, f2, f3, w.tree, 2 * w.node + CASE
     out.append(f"""
 raw AS (SELECT k, round(-pow(2.0, -(CAST(SUM(path) AS DOUBLE) / {AN.PATH_UNITS * trees}.0) / ({c_psi})), {AN.SCORE_PLACES}) AS s
   FROM ({every}) e, size GROUP BY k, psi)""")
-    out.append(f"scored AS MATERIALIZED (SELECT k, s - (SELECT quantile_cont(s, {q}) FROM raw) AS Anomaly_Score FROM raw)")
+    out.append(f"scored AS MATERIALIZED (SELECT k, s - (SELECT quantile_cont(s, {q}) FROM raw JOIN m ON m.k = raw.k) AS Anomaly_Score FROM raw)")
     return out
 
 
@@ -846,8 +853,7 @@ FROM scored JOIN sales ON k = Sales_Key WHERE Anomaly_Score < 0""".format(
 
 
 def _flagged(spark, sf_dir):
-    scored = AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS))
-    return scored.filter(_F.col("Is_Anomaly")).drop("Is_Anomaly")
+    return AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS), flagged_only=True).drop("Is_Anomaly")
 
 
 @register("anomalies", with_view(_ANOMALIES_SQL, *_forest_ctes()))
@@ -864,9 +870,9 @@ def q_anomalies_top25(spark, sf_dir):
 
 @register("anomaly_summary", with_view("""
 SELECT COUNT(*) FILTER (WHERE Anomaly_Score < 0) AS Flagged, COUNT(*) AS Lines,
-  100.0 * COUNT(*) FILTER (WHERE Anomaly_Score < 0) / COUNT(*) AS Flagged_Pct FROM scored""", *_forest_ctes()))
+  100.0 * COUNT(*) FILTER (WHERE Anomaly_Score < 0) / COUNT(*) AS Flagged_Pct FROM scored JOIN m ON m.k = scored.k""", *_forest_ctes()))
 def q_anomaly_summary(spark, sf_dir):
-    return AN.anomaly_summary(AN.detect_anomalies(view_for(spark, sf_dir, AN.ANOMALY_COLUMNS)))
+    return AN.anomaly_summary(AN.scored_lines(view_for(spark, sf_dir, ["Sales_Key", *AN.FEATURES])))
 
 
 # ---------------------------------------------------------------- reshapes and per-unit KPIs

@@ -163,15 +163,35 @@ def test_isolation_forest_flags_outliers(lines):
     assert again == flagged
 
 
-def test_equal_lines_count_as_often_as_they_occur(spark):
-    """100,000 lines of 50 distinct values: every tree is grown on 256 rows."""
-    lines = spark.range(100_000).select(
-        F.col("id").alias("k"), *[(F.col("id") % 50 * (i + 1)).cast("double").alias(c) for i, c in enumerate(AN.FEATURES)])
-    measures = lines.withColumnRenamed("k", "_key")
-    nodes, psi = AN.fit_forest(measures, trees=20)
+@pytest.mark.parametrize("copies", [AN.COPIES, 300])
+def test_equal_lines_count_as_often_as_they_occur(spark, monkeypatch, copies):
+    """100,000 lines of 50 different ones, with the queries' own kind of key, the MD5 of the line: every tree draws 256 lines, on average
+    five copies of each value, not all or none of them; one value holds a third of the lines."""
+    monkeypatch.setattr(AN, "COPIES", copies)
+    value = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)
+    lines = spark.range(100_000).select(*[(value * (i + 1)).cast("double").alias(c) for i, c in enumerate(AN.FEATURES)])
+    lines = lines.withColumn("Sales_Key", F.md5(F.concat_ws("|", *AN.FEATURES)))
+    distinct = AN.distinct_lines(lines.withColumnRenamed("Sales_Key", "_key")).checkpoint()
+    assert distinct.count() == 50 and AN.numbered_lines(distinct).count() == 100_000
+    drawn = AN.tree_samples(distinct, 100_000, 20, 42, 256)
+    by_tree = {r["tree"]: (r["n"], r["values"], r["zeros"]) for r in drawn.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("Sales_Amount").alias("values"),
+        F.sum((F.col("Sales_Amount") == 0).cast("int")).alias("zeros")).collect()}
+    assert len(by_tree) == 20 and all(n == 256 and v > 35 and 50 < z < 130 for n, v, z in by_tree.values())
+    nodes, psi = AN.fit_forest(distinct, 100_000, trees=20)
     roots = [n for n in nodes if n[1] == 1]
     assert psi == 256 and len(roots) == 20 and all(n[4] == 256 for n in roots)
-    assert AN.detect_anomalies(lines, trees=20, key="k").count() == 100_000
+    out = AN.detect_anomalies(lines, trees=20)
+    assert out.count() == 100_000 and AN.anomaly_summary(AN.scored_lines(lines, trees=20)).first()["Lines"] == 100_000
+
+
+def test_too_low_a_bound_is_raised(spark, monkeypatch):
+    monkeypatch.setattr(AN, "draw_bound", lambda psi, lines: 40)
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("_key"), *[F.col("id").cast("double").alias(c) for c in AN.FEATURES])
+    distinct = AN.distinct_lines(rows).checkpoint()
+    low = sorted(map(tuple, AN.tree_samples(distinct, 20_000, 9, 1, 64).collect()))
+    monkeypatch.undo()
+    assert low == sorted(map(tuple, AN.tree_samples(distinct, 20_000, 9, 1, 64).collect())) and len(low) == 9 * 64
 
 
 def test_exact_quantile(spark):
