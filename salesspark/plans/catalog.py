@@ -884,7 +884,9 @@ _YEARS = [str(y) for y in range(1992, 2002)]
 
 
 @register("revenue_region_by_year", with_view("SELECT Region, " + ", ".join(
-    f"CAST(SUM(Net_Revenue) FILTER (WHERE Year = {y}) AS DOUBLE) AS \"{y}\"" for y in _YEARS) + " FROM sales GROUP BY Region"))
+    f"CAST(SUM(Net_Revenue) FILTER (WHERE Year = {y}) AS DOUBLE) AS \"{y}\"" for y in _YEARS) + f""" FROM sales
+GROUP BY Region HAVING CASE WHEN COUNT(*) FILTER (WHERE Year IS NULL OR Year NOT IN ({', '.join(_YEARS)})) > 0
+  THEN error('a year outside the columns of the pivot') IS NULL ELSE true END"""))
 def q_revenue_region_by_year(spark, sf_dir):
     long = (view_for(spark, sf_dir, ["Region", "Year", "Net_Revenue"]).groupBy("Region", "Year")
             .agg(_F.sum("Net_Revenue").cast("double").alias("Net_Revenue"))
@@ -1167,3 +1169,78 @@ SELECT *, round((100.0 * Profit) / NULLIF(Net_Revenue, 0), 2) AS Margin_Pct FROM
 ORDER BY Net_Revenue DESC NULLS LAST, Region""", _BREAKDOWN_CTE.format(dim="Region")))
 def q_region_margin(spark, sf_dir):
     return D.category_margin(view_for(spark, sf_dir, ["Region"] + M.BREAKDOWN_COLUMNS), dimension="Region")
+
+
+# ---------------------------------------------------------------- stored results, layout and files
+
+import uuid  # noqa: E402
+
+from salesspark.plans.export import read_views, write_views  # noqa: E402
+from salesspark.session import ensure_checkpoint_dir  # noqa: E402
+from salesspark.sources.layout import stored_layout  # noqa: E402
+from salesspark.sources.results import ResultStore  # noqa: E402
+from salesspark.sources.tables import check_integrity  # noqa: E402
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("reused_result", with_view("""
+SELECT Answer, From_Store, Region, Net_Revenue, Orders FROM
+  (SELECT Region, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue, COUNT(DISTINCT Order_ID) AS Orders
+   FROM sales WHERE Year = 1997 AND Channel = 'HIGH' GROUP BY Region) r, (VALUES (1, false), (2, true)) a(Answer, From_Store)"""))
+def q_reused_result(spark, sf_dir):
+    """The same parameterised question twice, out of an empty store: the second answer is the stored one."""
+    name = register_view(view_for(spark, sf_dir, ["Region", "Year", "Channel", "Net_Revenue", "Order_ID"]))
+    store, out = ResultStore(spark, _new_folder(spark, "results")), None
+    for nth in (1, 2):
+        before = store.hits
+        answer = store.query(f"""SELECT Region, CAST(SUM(Net_Revenue) AS DOUBLE) AS Net_Revenue, COUNT(DISTINCT Order_ID) AS Orders
+FROM {name} WHERE Year = :year AND Channel = :channel GROUP BY Region""", {"year": 1997, "channel": "HIGH"})
+        answer = answer.select(_F.lit(nth).alias("Answer"), _F.lit(store.hits > before).alias("From_Store"), "Region", "Net_Revenue", "Orders")
+        out = answer if out is None else out.unionByName(answer)
+    return out
+
+
+@register("stored_layout_orders", with_view("""
+SELECT Year, Channel, COUNT(*) AS Orders, CAST(SUM(lines) AS BIGINT) AS Lines, CAST(MAX(r) AS DOUBLE) AS Largest_Order, CAST(SUM(r) AS DOUBLE) AS Net_Revenue
+FROM (SELECT Order_ID, Year, Channel, COUNT(*) AS lines, SUM(Net_Revenue) AS r FROM sales GROUP BY Order_ID, Year, Channel) o GROUP BY Year, Channel"""))
+def q_stored_layout_orders(spark, sf_dir):
+    """Orders per year and channel over the bucketed layout: lines and orders join, and meet by order, without a shuffle."""
+    stored = stored_layout(spark, sf_dir)
+    view = sales_view(spark, sf_dir, ["Order_ID", "Year", "Channel", "Net_Revenue"], keys_complete=True, stored=stored)
+    orders = view.groupBy("Order_ID", "Year", "Channel").agg(_F.count(_F.lit(1)).alias("lines"), _F.sum("Net_Revenue").alias("r"))
+    return orders.groupBy("Year", "Channel").agg(
+        _F.count(_F.lit(1)).alias("Orders"), _F.sum("lines").alias("Lines"), _F.max("r").cast("double").alias("Largest_Order"),
+        _F.sum("r").cast("double").alias("Net_Revenue"))
+
+
+@register("export_round_trip", "SELECT Format, e.* FROM (" + _export_sql() + ") e, (VALUES ('csv'), ('parquet')) f(Format)")
+def q_export_round_trip(spark, sf_dir):
+    """The seven exports as CSV and as Parquet, a folder per view in the shared store, counted and summed from the files."""
+    views = {name: build() for name, build in export_catalog(view_for(spark, sf_dir, _EXPORT_COLUMNS)).items()}
+    root, schemas, out = _new_folder(spark, "export"), {name: df.schema for name, df in views.items()}, None
+    for fmt in ("csv", "parquet"):
+        back = read_views(spark, write_views(views, f"{root}/{fmt}", fmt), schemas, fmt)
+        for name, df in back.items():
+            revenue = next(c for c in ("Net_Revenue", "Revenue") if c in df.columns)
+            row = df.agg(_F.count(_F.lit(1)).alias("Row_Count"), _F.round(_F.sum(_F.col(revenue).cast("decimal(20,4)")).cast("double"), 2).alias("Revenue")) \
+                .select(_F.lit(fmt).alias("Format"), _F.lit(name).alias("View_Name"), "Row_Count", "Revenue")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _integrity_sql() -> str:
+    keys = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+            ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+            ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey")]
+    return " UNION ALL ".join(
+        f"SELECT '{child}.{ck}' AS Foreign_Key, (SELECT COUNT(*) FROM {child} WHERE NOT EXISTS (SELECT 1 FROM {parent} WHERE {pk} = {ck})) AS Orphans, "
+        f"(SELECT COUNT(*) FROM (SELECT {pk} FROM {parent} GROUP BY {pk} HAVING COUNT(*) > 1) d) AS Repeated_Keys" for child, ck, parent, pk in keys)
+
+
+@register("key_integrity", _integrity_sql())
+def q_key_integrity(spark, sf_dir):
+    """What ``keys_complete`` promises, counted: all zero where the promise holds."""
+    return check_integrity(spark, sf_dir)

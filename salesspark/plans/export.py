@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from salesspark.operators import distribution as D
 from salesspark.operators import metrics as M
@@ -46,6 +47,13 @@ def write_views(views: dict[str, DataFrame], root: str, fmt: str = "parquet", mo
     return out
 
 
+def read_views(spark, paths: dict[str, str], schemas: dict[str, StructType], fmt: str = "parquet") -> dict[str, DataFrame]:
+    """What ``write_views`` has written, with the schemas it was written with."""
+    reader = {name: spark.read.schema(schemas[name]) for name in paths}
+    return {name: (reader[name].option("header", True).csv(path) if fmt == "csv" else reader[name].format(fmt).load(path))
+            for name, path in paths.items()}
+
+
 def export_catalog(view: DataFrame, filters: dict | None = None) -> dict[str, Callable[[], DataFrame]]:
     """The seven exportable datasets (lazy builders, like the reference's menu)."""
     return {
@@ -65,11 +73,15 @@ def pivot_wide(df: DataFrame, index: str, columns: str, values: str, keys: list
     A duplicate (index, column) pair is an error, as in a pandas pivot; the check
     is part of the same aggregation (``raise_error`` fires inside the job), so the
     pivot is one pass. The distinct column values become the schema: pass ``keys`` to
-    say which, else Spark looks them up and refuses more than ``spark.sql.pivotMaxValues``.
+    say which (a value outside them is an error too, nothing is left out), else Spark looks them up and refuses more than
+    ``spark.sql.pivotMaxValues``.
     """
     if keys is None:
         found = df.groupBy(index).pivot(columns).agg(F.first(values)).columns
         keys = [c for c in found if c != index]
+    known = F.coalesce(F.col(columns).isin(*keys), F.lit(False)) if keys else F.lit(True)
+    outside = F.raise_error(F.concat(F.lit(f"{columns} outside the columns of the pivot: "), F.coalesce(F.col(columns).cast("string"), F.lit("null"))))
+    df = df.withColumn(columns, F.when(known, F.col(columns)).otherwise(outside.cast(df.schema[columns].dataType)))
     wide = df.groupBy(index).pivot(columns, keys).agg(F.first(values).alias("v"), F.count(F.lit(1)).alias("n"))
     dup = F.greatest(*[F.coalesce(F.col(f"{k}_n"), F.lit(0)) for k in keys]) if keys else F.lit(0)
     checked = wide.filter(F.when(dup > 1, F.raise_error(F.lit(

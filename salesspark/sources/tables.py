@@ -94,8 +94,8 @@ def _line_columns(li: DataFrame) -> DataFrame:
 
 
 def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
-               keys_complete: bool = False) -> DataFrame:
-    """Flattened order-line sales view over the tables in ``sf_dir``.
+               keys_complete: bool = False, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Flattened order-line sales view over the tables in ``sf_dir``; ``stored`` has tables to read from elsewhere (``layout.stored_layout``).
 
     ``columns`` lists the view columns the caller will read (filters included);
     the result has exactly those columns (all 33 when ``None``).
@@ -103,10 +103,11 @@ def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
     cols = list(VIEW_COLUMNS) if columns is None else list(dict.fromkeys(columns))
     needed = _needed_tables(cols, keys_complete)
 
-    fact = _line_columns(read_table(spark, sf_dir, "lineitem"))
+    kept = stored or {}
+    fact = _line_columns(kept["lineitem"] if "lineitem" in kept else read_table(spark, sf_dir, "lineitem"))
 
     if "orders" in needed:
-        orders = read_table(spark, sf_dir, "orders").select(
+        orders = (kept["orders"] if "orders" in kept else read_table(spark, sf_dir, "orders")).select(
             "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
             F.col("o_orderdate").cast("date").alias("Order_Date"))
         if "customer" in needed:

@@ -42,3 +42,11 @@ def test_pivot_wide(spark):
     assert [tuple(r) for r in rows] == [("N", 1.0, 2.0), ("S", None, 3.0)]
     with pytest.raises(Exception, match="duplicate"):
         pivot_wide(df.unionByName(df.limit(1)), "r", "y", "v").collect()
+
+
+def test_pivot_refuses_values_outside_its_columns(spark):
+    df = spark.createDataFrame([("N", "2023", 1.0), ("S", "2005", 3.0)], "r string, y string, v double")
+    with pytest.raises(Exception, match="outside the columns of the pivot: 2005"):
+        pivot_wide(df, "r", "y", "v", keys=["2023", "2024"]).collect()
+    rows = pivot_wide(df, "r", "y", "v", keys=["2005", "2023", "2024"]).collect()
+    assert [tuple(r) for r in rows] == [("N", None, 1.0, None), ("S", 3.0, None, None)]
