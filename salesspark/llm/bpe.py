@@ -12,7 +12,7 @@ spell the next bytes are tried, and each end is reached by one allowed arc. That
 long it is. Decoding emits the labels (bytes) of the arcs.
 
 The vocabulary is a parameter (``path``): a tokenizer file of the ByteLevel kind. Texts are cut at the file's added tokens
-first, then by the ByteLevel pattern, as the library does. Results of short words are kept, up to ``CACHED_WORDS``.
+first, then by the ByteLevel pattern, as the library does. Results of short words and transitions are kept, in bounded bytes.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. Ids outside the vocabulary decode to nothing. Bytes
 that are no UTF-8 decode to U+FFFD.
@@ -30,8 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 800_000, 500_000, 48
-CACHED_STEPS = 2_000_000
+from salesspark.llm.kept import Kept, owns, working_for
+
+#: Bytes that a worker keeps of encoded words, of what stands between spaces, and of transitions.
+KEPT_WORDS, KEPT_PIECES, KEPT_STEPS, LONGEST = 32 << 20, 160 << 20, 40 << 20, 48
 
 #: Fixed value: the ByteLevel split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,7 +74,7 @@ class Automaton:
             for end in range(1, len(label)):
                 self.spelt.setdefault(label[:end], -1)
             self.spelt[label] = t
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table = Kept(lambda arc: self._has_arc(arc >> 32, arc & 0xFFFFFFFF), KEPT_STEPS)
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
         self.taken[a, b] = rank
@@ -96,27 +98,22 @@ class Automaton:
 
     def step(self, state: int, token: int) -> bool:
         """Whether ``state`` has the arc ``token``; it leads to the state that goes by ``token``."""
-        found = self.table.get((state, token))
-        if found is None:
-            if len(self.table) >= CACHED_STEPS:
-                self.table.clear()
-            found = self.table[state, token] = self._has_arc(state, token)
-        return found
+        return self.table[(state << 32) | token]
 
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one pre-split word."""
-        n, spelt, step = len(word), self.spelt, self.step
+        n, spelt, table = len(word), self.spelt.get, self.table
         state, came = [None] * (n + 1), [0] * (n + 1)
         state[0] = -1
         for i in range(n):
-            s = state[i]
-            if s is None:
+            if state[i] is None:
                 continue
+            arcs = state[i] << 32
             for j in range(i + 1, n + 1):
-                t = spelt.get(word[i:j])
+                t = spelt(word[i:j])
                 if t is None:
                     break
-                if t >= 0 and state[j] is None and step(s, t):
+                if t >= 0 and state[j] is None and table[arcs | t]:
                     state[j], came[j] = t, i
         ids = []
         while n:
@@ -141,8 +138,16 @@ class Codec:
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.split = regex.compile(SPLIT)
         self.labels = self.automaton.labels | {i: t.encode() for t, i in self.added.items()}
-        self.words = _Words(self.automaton)
-        self.pieces = _Pieces(self._split_encode)
+        self.words = Kept(self._word, KEPT_WORDS, LONGEST)
+        self.pieces = Kept(self._piece, KEPT_PIECES, LONGEST)
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes | None:
+        """The ids of what stands between two spaces, those of the space before it included; None if it is empty or has white space
+        at an end."""
+        return None if not piece or piece[0].isspace() or piece[-1].isspace() else self._split_encode(" " + piece)
 
     def _split_encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.split.findall(text)))
@@ -173,39 +178,8 @@ class Codec:
         return b"".join([labels.get(i, b"") for i in np.frombuffer(ids or b"", "<u4").tolist()]).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """Word to the bytes of its ids, for short words; starts anew when it holds ``CACHED_WORDS``."""
-
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> bytes:
-        spelled = word.encode()
-        ids = np.array(self.automaton.encode(spelled), "<u4").tobytes()
-        if len(spelled) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class _Pieces(dict):
-    """What stands between two spaces to the bytes of its ids, those of the space before it included; None if it is empty or has
-    white space at an end. Starts anew when it holds ``CACHED_PIECES``."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes | None:
-        ids = None if not piece or piece[0].isspace() or piece[-1].isspace() else self.encode(" " + piece)
-        if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 _CODECS: dict[int, Codec] = {}
+owns("bpe", _CODECS.clear)
 
 
 def codec_of(spec: bytes) -> Codec:
@@ -220,6 +194,7 @@ def _mapped(df: DataFrame, spec: bytes, steps: str, text_col: str, rows: int = 2
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("bpe")
         codec = codec_of(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, rows):

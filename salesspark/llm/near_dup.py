@@ -36,28 +36,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesspark.llm.common import settled
+from salesspark.llm.kept import Kept, done_with, owns, working_for
 
 SHINGLE_WORDS = 5
 PERCENT = 75
 PIECES, PIECE_MINS = 20, 3
 ID_BITS = 1 << 24
-CACHED_WORDS = 400_000
+KEPT_BYTES = 24 << 20
 
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                     0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class _WordHashes(dict):
-    """Word to 64-bit hash; starts anew when it holds ``CACHED_WORDS``."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _WordHashes()
+_WORDS = Kept(xxhash.xxh64_intdigest, KEPT_BYTES, longest=64)
+owns("near_dup", _WORDS.forget)
 
 
 def _scrambled(h: np.ndarray) -> np.ndarray:
@@ -110,9 +102,13 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+    working_for("near_dup")
+    try:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+    finally:
+        done_with("near_dup")
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,34 +24,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salesspark.llm.kept import Kept, done_with, owns, working_for
+
 DIMS = 1 << 18
 PARTS, EPOCHS = 8, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
 SCALE = 30.0
-CACHED_TOKENS = 400_000
+KEPT_BYTES = 24 << 20
 THRESHOLD = 0.7
 
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\s]+")
 
 
-class _Tokens(dict):
-    """Token to hash and shape in one number; starts anew when it holds ``CACHED_TOKENS``."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= CACHED_TOKENS:
-            self.clear()
-        first = token[:1]
-        if first.isdigit():
-            shape = 1
-        elif first.isalpha() or first >= b"\x80":
-            shape = 2 if token.islower() else 3 if token[1:].islower() else 4 if len(token) == 1 else 5 if token.isupper() else 6
-        else:
-            shape = 8 + zlib.crc32(token) % 248
-        v = self[token] = (zlib.crc32(token) << 8) | shape
-        return v
+def _hash_and_shape(token: bytes) -> int:
+    """Hash and shape of a token in one number."""
+    first = token[:1]
+    if first.isdigit():
+        shape = 1
+    elif first.isalpha() or first >= b"\x80":
+        shape = 2 if token.islower() else 3 if token[1:].islower() else 4 if len(token) == 1 else 5 if token.isupper() else 6
+    else:
+        shape = 8 + zlib.crc32(token) % 248
+    return (zlib.crc32(token) << 8) | shape
 
 
-_TOKENS = _Tokens()
+_TOKENS = Kept(_hash_and_shape, KEPT_BYTES, longest=64)
+owns("quality", _TOKENS.forget)
 
 
 def places(text: bytes | None) -> np.ndarray:
@@ -118,6 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = F.pmod("at", F.lit(PARTS)).alias("part")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        working_for("quality")
         pdf = pdf.sort_values(["at", "y"], kind="stable")
         made = [(*sparse(t), y) for t, y in zip(pdf["text"], pdf["y"], strict=True)]
         return pd.DataFrame({"w": [follow_leader(made).tobytes()]})
@@ -134,8 +133,12 @@ def scored(docs: DataFrame, weights: np.ndarray, out: str = "score", text_col: s
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        working_for("quality")
         w = shared.value
-        for texts in batches:
-            yield pd.Series([score_text(t, w) for t in texts], dtype="float64")
+        try:
+            for texts in batches:
+                yield pd.Series([score_text(t, w) for t in texts], dtype="float64")
+        finally:
+            done_with("quality")
 
     return docs.withColumn(out, score(F.col(text_col).cast("binary")))
