@@ -9,7 +9,7 @@ similarity 0.75 share no table with a probability below 4e-5, sets of 0.8 below
 The tables are formed in two steps: texts that share a small hash of the first collection with another text, and only
 those, go on to be joined with the second. Then
 
-1. equal word sequences are one class and enter once, by their smallest ``doc_id``;
+1. equal word sequences are one class, enter once and are linked under a number of their own;
 2. in each table key's group every member is paired with the group's smallest member (a star, not all pairs), the pairs are
    confirmed on the full sets, and confirmed links are joined to components;
 3. links between components that no star has shown are found by an exact way, whatever the size of the groups. Only
@@ -21,8 +21,8 @@ those, go on to be joined with the second. Then
 Components come from alternating large-star and small-star steps over the link table, checkpointed each round.
 
 Defined results: a text of fewer than five words has its whole sequence as its one shingle; a null or empty text or one
-of white space only has an empty set, is linked with nothing and is its own component. Rows that share a ``doc_id`` are one
-node. A null ``doc_id`` is linked with nothing. Other columns don't matter.
+of white space only has an empty set, is linked with nothing and is its own component. Texts that share a ``doc_id`` are linked each on
+its own. A null ``doc_id`` is linked with nothing. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesspark.llm.common import settled
+from salesspark.llm.common import hash128, settled
 from salesspark.llm.kept import Kept, done_with, owns, working_for
 
 SHINGLE_WORDS = 5
@@ -126,8 +126,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first.append(small_hashes(s, 0) if banded else none)
             second.append(small_hashes(s, 1) if banded else none)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sizes, pa.int64()),
-             _lists(first), _lists(second)], names=["doc_id", "c1", "c2", "n", "first", "second"])
+            [b.column("doc_id"), b.column("t1"), b.column("t2"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()),
+             pa.array(sizes, pa.int64()), _lists(first), _lists(second)], names=["doc_id", "t1", "t2", "c1", "c2", "n", "first", "second"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -202,28 +202,36 @@ def _between_components(sets: DataFrame, joined: DataFrame, percent: int) -> Dat
         .select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
 
 
-def _with_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc, text) of ``texts`` whose id is in ``ids``, once each. A bitmap of ID_BITS hashed ids (2 MB, whatever
+def text_key(text: Column) -> list[Column]:
+    """t1 and t2: which text of a ``doc_id`` a row has."""
+    return hash128(text.cast("binary"), "t1", "t2")
+
+
+def _texts_of(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc and text of the classes ``wanted`` (doc, doc_id, t1, t2), once each. A bitmap of ID_BITS hashed ids (2 MB, whatever
     the input) sorts most other texts out before the join, so they are not shuffled."""
-    place = F.pmod(F.xxhash64(F.lit(17), F.col("doc")), F.lit(ID_BITS))
+    place = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(ID_BITS))
     word = 32768
-    bitmap = ids.select(place.alias("p")).groupBy(F.expr(f"p div {word}").alias("part")).agg(
+    bitmap = wanted.select(place.alias("p")).groupBy(F.expr(f"p div {word}").alias("part")).agg(
         F.bitmap_construct_agg(F.col("p") % word).alias("bits"))  # at most ID_BITS / 32768 rows of 4 KB
-    rows = texts.select(F.col("doc_id").alias("doc"), "text").filter("doc IS NOT NULL") \
-        .withColumn("p", place).withColumn("part", F.expr(f"p div {word}")).withColumn("at", (F.col("p") % word).cast("int"))
+    rows = own.filter("doc_id IS NOT NULL").withColumn("p", place) \
+        .withColumn("part", F.expr(f"p div {word}")).withColumn("at", (F.col("p") % word).cast("int"))
     byte = F.conv(F.hex(F.expr("substring(bits, at div 8 + 1, 1)")), 16, 10).cast("int")
     near = rows.join(F.broadcast(bitmap), "part").filter(F.call_function("bit_get", byte, F.col("at") % 8) == 1)
-    return near.select("doc", "text").join(ids, "doc", "left_semi") \
-        .withColumn("t", F.xxhash64("text")).dropDuplicates(["doc", "t"]).select("doc", "text")
+    return near.select("doc_id", "t1", "t2", "text").join(wanted, ["doc_id", "t1", "t2"]).dropDuplicates(["doc"]).select("doc", "text")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and ``class_id`` (smallest doc_id of the same word sequence), a row per row."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = settled(own.mapInArrow(_signatures, "doc_id long, c1 long, c2 long, n long, first array<long>, second array<long>"))
+    """doc_id, n_shingles, component_id, kept, ``class_id`` (smallest doc_id of the same word sequence), t1 and t2 (``text_key``) and
+    ``component`` (a number for the component, null for what is linked with nothing by rule), a row per row.
+
+    Classes of equal word sequences are what is linked, not ids: texts that share a ``doc_id`` are told apart."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *text_key(F.col(text_col)))
+    signed = settled(own.mapInArrow(_signatures, "doc_id long, t1 long, t2 long, c1 long, c2 long, n long, first array<long>, second array<long>"))
     whole = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = settled(whole.groupBy("c1", "c2").agg(
-        F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")))
+        F.min(F.struct("doc_id", "t1", "t2")).alias("row"), F.first("n").alias("n"), F.first("first").alias("first"),
+        F.first("second").alias("second"))).withColumn("doc", F.monotonically_increasing_id())
     banded = classes.filter(F.size("first") > 0)
 
     ones = banded.select("doc", "second", F.explode("first").alias("key"))
@@ -232,8 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = settled(tables.join(_groups(tables), "key").filter("hub < doc")
                     .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     involved = stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = settled(_with_ids(own, involved).select("doc", "text")
-                   .mapInArrow(_full_sets, "doc long, shingles array<long>"))
+    wanted = involved.join(classes.select("doc", "row.*"), "doc")
+    sets = settled(_texts_of(own, wanted).mapInArrow(_full_sets, "doc long, shingles array<long>"))
 
     links = settled(_confirmed(stars, sets, percent))
     joined = settled(components(links))
@@ -242,11 +250,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _confirmed(rest, sets, percent)
     final = settled(components(links.unionByName(more)))
 
-    same = classes.select("c1", "c2", "doc").join(
-        final.withColumnsRenamed({"node": "doc", "component": "linked"}), "doc", "left")
+    firsts = classes.select("doc", F.col("row.doc_id").alias("first_doc"))
+    members = final.unionByName(final.select(F.col("component").alias("node"), "component").distinct())  # the smallest has no row
+    smallest = members.join(firsts.withColumnRenamed("doc", "node"), "node").groupBy("component").agg(F.min("first_doc").alias("linked"))
+    same = classes.select("c1", "c2", "doc", F.col("row.doc_id").alias("first_doc")) \
+        .join(members.withColumnRenamed("node", "doc").join(smallest, "component"), "doc", "left")
     out = signed.join(same, ["c1", "c2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.coalesce("linked", "doc")).alias("component_id"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.col("doc")).alias("class_id")) \
+                      F.when(alone, F.col("doc_id")).otherwise(F.coalesce("linked", "first_doc")).alias("component_id"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("first_doc")).alias("class_id"), "t1", "t2",
+                      F.when(~alone, F.coalesce("component", "doc")).alias("component")) \
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
