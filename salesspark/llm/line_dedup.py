@@ -2,7 +2,7 @@
 
 A line's key is the line without white space at its ends and with A-Z lower-cased. The table of lines holds a
 128-bit hash of the key, the document and the position, never the text. It is range-partitioned by hash and a salt
-of the document (so that a line in a third of all documents spreads over ``SALTS`` ranges) and sorted by document
+of the document (so that a line in a third of all documents spreads over as many ranges as it takes) and sorted by document
 and position inside; a pass over that order marks each document's first occurrence. Sums of the marks per hash, first per
 salt and then over salts, give the number of documents of a line. What comes back per document is a compressed keep bitmap: 64-line
 words, of which those that keep every line are left out.
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from salesspark.llm.common import hash128, lower_ascii, settled, strip_white, with_text
 
-SALTS = 64
+#: Salts that each hash gets at least, and rows of all lines that one more salt stands for.
+SALTS, ROWS_A_SALT = 64, 4_000_000
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,7 +47,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else all of them.
     """
     lines = settled(line_hashes(docs, id_col, text_col, min_chars))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, lines.count() // ROWS_A_SALT)
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
     at = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "t", "pos")
     ranged = (salted.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc", "t", "pos")
               .withColumn("nth", F.row_number().over(at))

@@ -6,8 +6,8 @@ document of a source with target / size = r is taken floor(r) times and once mor
 
 Those probabilities are rounded so that their sum per source stays whole: two documents meet, and mass moves at random
 from one to the other until one of them is 0 or 1; the other one meets the next document. Documents meet in order of size within
-leaves of about ``leaf_rows`` rows (a hash of ``doc_id`` deals them out, so a source with a third of all rows has
-proportionally many leaves). Each leaf leaves at most one document undecided; those meet in the next level of a tree, ``FAN_IN``
+leaves of about ``leaf_rows`` rows (a hash of ``doc_id``, size and the row's number among equal ones deals them out, so a source with a third
+of all rows has proportionally many leaves, and rows without id or with one id spread, too). Each leaf leaves at most one document undecided; those meet in the next level of a tree, ``FAN_IN``
 leaves at a time, until one per source is left, which a last draw decides. All draws are seeded by source, level and leaf:
 reruns agree, however Spark deals out the rows.
 
@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesspark.llm.common import hash128, settled, word_count
+from salesspark.llm.ordered import running_by_key
 
 WEIGHTS = (3, 1, 2)
 FAN_IN = 512
 NEAR = 1e-9
+#: Copies of a row that are made at once.
+PART = 10_000
 
 
 def source_targets(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -88,9 +91,10 @@ def _level(rows: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
 
 
 def round_copies(rows: DataFrame, seed: int = 7, leaf_rows: int = 1024) -> DataFrame:
-    """``rows`` (doc_id long, s_idx int, n_rows long, size long, p double) with p rounded to 0 or 1 per source."""
+    """``rows`` (doc_id long, s_idx int, n_rows long, size long, nth long, p double) with p rounded to 0 or 1 per source; ``nth`` is the
+    row's number among those that agree in doc_id, source and size."""
     n_leaf = F.ceil(F.col("n_rows") / leaf_rows).cast("long")
-    leaf = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), n_leaf)
+    leaf = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "size", "nth"), n_leaf)
     level, done = rows.select("doc_id", "s_idx", "size", "p", leaf.alias("leaf")), []
     most = rows.agg(F.max(n_leaf)).first()[0] or 1
     open_ = ~F.col("p").isin(0.0, 1.0)
@@ -112,8 +116,9 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
         text_col: str = "text", share: float = 1.5, cap: float = 2.0, seed: int = 7, leaf_rows: int = 1024) -> DataFrame:
     """doc_id, source, size, source_size, target and ``copies`` (how often the mix takes it) of each row."""
     size = word_count(F.col(text_col)) if size is None else size
-    sized = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
-                                size.cast("long").alias("size")))
+    slim = settled(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"),
+                               size.cast("long").alias("size"))).withColumn("at", F.monotonically_increasing_id())
+    sized = numbered(slim, ["doc_id", "source", "size"])
     targets = settled(source_targets(sized, share, cap))
     t = targets.withColumnRenamed("source", "t_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -125,22 +130,36 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", sou
                     (F.col("whole") + F.col("p").cast("long")).alias("copies")))
 
 
+def numbered(rows: DataFrame, alike: list[str]) -> DataFrame:
+    """``rows`` with ``nth``, their number (from 1) among the rows that agree in ``alike``, in the order of ``at``; a group of any size spreads
+    over ranges."""
+    keyed = rows.withColumn("alike", F.struct(*hash128(F.struct(*alike), "m1", "m2")))
+    return settled(running_by_key(keyed, "alike", [F.col("at")], {}, place="nth").drop("alike"))
+
+
 def take_copies(docs: DataFrame, **rule) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with the same columns.
 
-    Rows are matched by ``doc_id``, source and size. Rows that agree in all three have the same rate, so of the copies that their
-    group takes each gets the whole part and the first ones, in a fixed order, one more.
+    Rows that agree in ``doc_id``, source and size have the same rate, so of the copies that their group takes each row gets the whole part, and
+    the first ones, in a fixed order of their contents, one more. Groups are counted by content first, so neither a group of many rows nor
+    many rows of one content meet in a task.
     """
     id_col, source_col, text_col = (rule.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
 
-    def key(doc: Column, source: Column, size: Column) -> list[Column]:
-        return hash128(F.struct(doc.cast("long"), source, size.cast("long")), "m1", "m2")
+    def key(doc: Column, source: Column, size: Column) -> Column:
+        return F.struct(*hash128(F.struct(doc.cast("long"), source, size.cast("long")), "m1", "m2")).alias("m")
 
-    taken = mix(docs, **rule).select(*key(F.col("doc_id"), F.col("source"), F.col("size")), "copies").groupBy("m1", "m2").agg(
+    taken = mix(docs, **rule).select(key(F.col("doc_id"), F.col("source"), F.col("size")), "copies").groupBy("m").agg(
         F.min("copies").alias("each"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("more"))
     size = word_count(F.col(text_col)) if rule.get("size") is None else rule["size"]
-    rows = docs.select(F.struct("*").alias("row"), *key(F.col(id_col), F.col(source_col), size))
-    nth = F.row_number().over(Window.partitionBy("m1", "m2").orderBy(F.xxhash64("row")))
-    met = rows.withColumn("nth", nth).join(taken, ["m1", "m2"])
-    copies = F.col("each") + F.when(F.col("nth") <= F.col("more"), F.lit(1)).otherwise(F.lit(0))
-    return met.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), key(F.col(id_col), F.col(source_col), size), *hash128(F.struct("*"), "r1", "r2"))
+    contents = rows.groupBy("m", "r1", "r2").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_by_key(contents, "m", [F.col("r1"), F.col("r2")], {"upto": "n"}).join(taken, "m")
+    extra = F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - F.col("upto") + F.col("n")))
+    counts = settled(placed.select("r1", "r2", "n", "each", extra.alias("extra")))
+    every = F.col("each") + F.when(F.col("extra") == F.col("n"), 1).otherwise(0)
+    whole = rows.join(counts, ["r1", "r2"]).select("row", F.explode(F.array_repeat(F.lit(0), every.cast("int"))))
+    partly = rows.join(counts.filter("extra > 0 AND extra < n"), ["r1", "r2"]).dropDuplicates(["r1", "r2"]) \
+        .select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("extra") - 1, F.lit(PART).cast("long"))).alias("at"), "extra")
+    more = partly.select("row", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(PART), F.col("extra") - F.col("at")).cast("int"))))
+    return whole.select("row").unionByName(more.select("row")).select("row.*")

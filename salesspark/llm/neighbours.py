@@ -5,8 +5,8 @@ grid of 2**BITS cells a side and sorts them by the cell's place on a Hilbert cur
 vectors is ordered by nearness too, differently on each curve, however tight it is. Spark range-partitions the rows by
 (curve, key), and counts per range give each row its place on its curve. A query's candidates are the rows at most ``window``
 places away on any curve; the window is a share of all rows, so recall is alike at every size. Rows are grouped in blocks of ``BLOCK`` places,
-queries go to the blocks that their windows touch, each block reranks its own rows by distance in double precision and the best of all
-blocks and curves merge.
+queries go to the blocks that their windows touch, in batches of about ``QUERIES`` (a block comes along with each batch), each block reranks its
+own rows by distance in double precision and the best of all blocks and curves merge.
 
 Equal vectors are one class that stands on the curves once, by its smallest id; its k + 1 smallest ids come back at the end, which is all that a
 query can need. So no number of equal vectors widens a block, and ties go to smaller ids.
@@ -30,7 +30,7 @@ from salesspark.plans.prefix import running_total
 
 CURVES, DIMS, BITS = 24, 16, 48
 WINDOW_SHARE, LEAST_WINDOW = 0.025, 64
-BLOCK = 1024
+BLOCK, QUERIES = 1024, 1024
 REACH = 64.0
 
 
@@ -136,10 +136,13 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
     wanted = settled(asked.select("h1", "h2").distinct().join(reps, ["h1", "h2"]).select("h1", "h2", F.col("rep").alias("q"), "e"))
     block = F.expr(f"at div {BLOCK}")
     low, high = F.expr(f"greatest(at - {window}, 0) div {BLOCK}"), F.expr(f"least(at + {window}, {max(n - 1, 0)}) div {BLOCK}")
+    met = wanted.count() * min(1.0, (2 * window + BLOCK) / max(n, 1))  # queries that a block meets
+    batches = int(met // QUERIES) + 1
     queries = (spots.join(wanted, ["h1", "h2"])
                .select(F.col("curve").alias("q_curve"), "q", F.col("at").alias("q_at"), F.col("e").alias("q_e"),
-                       F.explode(F.sequence(low, high)).alias("q_block")))
-    members = spots.withColumn("block", block).join(reps, ["h1", "h2"]).select("curve", "block", "rep", "at", "e")
+                       F.pmod(F.xxhash64("q"), F.lit(batches)).alias("q_batch"), F.explode(F.sequence(low, high)).alias("q_block")))
+    members = spots.withColumn("block", block).join(reps, ["h1", "h2"]).select(
+        "curve", "block", "rep", "at", "e", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))).alias("batch"))
 
     def rerank(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -153,7 +156,7 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
         return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "score": []}).astype(
             {"q": "int64", "rep": "int64", "score": "float64"})
 
-    found = members.groupBy("curve", "block").cogroup(queries.groupBy("q_curve", "q_block")).applyInPandas(
+    found = members.groupBy("curve", "block", "batch").cogroup(queries.groupBy("q_curve", "q_block", "q_batch")).applyInPandas(
         rerank, "q long, rep long, score double").dropDuplicates(["q", "rep"])
     order = Window.partitionBy("q").orderBy("score", "rep")
     classes = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).select("q", "rep", "score")

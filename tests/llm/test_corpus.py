@@ -33,8 +33,7 @@ def test_shards_keep_the_law(docs_of):
     assert set(size) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     mean = sum(size.values()) / 8
     assert max(size.values()) - min(size.values()) <= 0.02 * mean + 180_001  # the longest text can't be cut
-    own = [h for t, h in homes.items() if t not in (b"copy me " * 20, b"")]
-    assert all(len(h) == 1 for h in own)
+    assert all(len(h) == 1 for t, h in homes.items() if t != b"copy me " * 20)  # the copies are more than a shard's share
 
 
 def test_even_sizes_without_a_giant(docs_of):
@@ -52,6 +51,42 @@ def test_packing_follows_the_residual_capacity():
     assert sorted(np.bincount(at)) == [2, 2] and at[0] != at[2] and at[1] != at[3]
 
 
+def test_only_groups_beyond_a_shards_share_are_cut(docs_of):
+    """A third of all rows is one text without id, and three texts have a ninth of the bytes each, in many copies."""
+    rnd = random.Random(3)
+    rows = [(None, "hot text " * 30, "s")] * 1000 + [(i, f"group {i % 3} " * 20, "s") for i in range(1100)] + \
+        [(i, "x" * rnd.randint(1, 200) + str(i), "s") for i in range(900)]
+    size, homes, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in sharding.shard(docs_of(rows), bucket_rows=100).collect():
+        size[r["shard"]] += r["size"]
+        homes[r["text_crc32"]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    hot = zlib.crc32(b"hot text " * 30)
+    assert len(homes[hot]) > 4 and all(len(h) == 1 for crc, h in homes.items() if crc != hot)
+    assert max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 8
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_groups_to_cut():
+    assert sharding.groups_to_cut(np.array([[0.3, 0, 0], [0.2, 0, 0], [0.05, 0, 0]]), 4).tolist() == [True, False, False]
+    assert not sharding.groups_to_cut(np.full((8, 3), 1 / 8), 8).any() and sharding.groups_to_cut(np.zeros((0, 3)), 8).size == 0
+    assert sharding.groups_to_cut(np.full((9, 3), 0.1), 8).sum() == 1
+
+
+def test_packing_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(sharding, "even_out", lambda vectors, at, shards: at)
+    rnd = random.Random(5)
+    for _ in range(20):
+        items = [[rnd.randint(1, 9) / 64 for _ in range(3)] for _ in range(30)]
+        load, want = [[0.0] * 3 for _ in range(5)], [0] * 30
+        for i in sorted(range(30), key=lambda i: -max(items[i])):
+            gain = [sum((0.2 - load[s][m]) * items[i][m] for m in range(3)) for s in range(5)]
+            want[i] = max(range(5), key=lambda s: (round(gain[s], 12), -s))
+            load[want[i]] = [a + b for a, b in zip(load[want[i]], items[i], strict=True)]
+        assert np.round(np.bincount(sharding.pack(np.array(items), 5), weights=[x[0] for x in items], minlength=5), 9).tolist() == \
+            [round(sum(items[i][0] for i in range(30) if want[i] == s), 9) for s in range(5)]
+
+
 def test_shard_repeats_nulls_and_empty_table(spark, docs_of):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     rows = sharding.shard(docs).collect()
@@ -61,6 +96,28 @@ def test_shard_repeats_nulls_and_empty_table(spark, docs_of):
 
 # ---------------------------------------------------------------- mixing
 
+def test_rows_without_id_or_of_one_id_spread_over_leaves(spark, monkeypatch):
+    rows = [(None, "one two three", "s")] * 1500 + [(7, "four five", "s")] * 1500 + [(i, "w " * (i % 9), "s") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    largest, level = [], mixing._level
+
+    def watched(rows, *rest):
+        largest.append(rows.groupBy("s_idx", "leaf").count().agg(F.max("count")).first()[0])
+        return level(rows, *rest)
+
+    monkeypatch.setattr(mixing, "_level", watched)
+    got = mixing.mix(docs, leaf_rows=100)
+    assert got.count() == 4500 and largest[0] < 250
+    assert sum(r["size"] * r["copies"] for r in got.collect()) == pytest.approx(1.5 * (4500 + 3000 + sum(i % 9 for i in range(1500))), rel=0.01)
+    monkeypatch.setattr(mixing, "PART", 7)
+    mixed = Counter((r["doc_id"], r["text"]) for r in mixing.take_copies(docs, leaf_rows=100).collect())
+    taken = Counter()
+    for r in got.collect():
+        taken[r["doc_id"], r["size"]] += r["copies"]
+    assert mixed[None, "one two three"] == taken[None, 3] and mixed[7, "four five"] == taken[7, 2]
+    assert sum(mixed.values()) == sum(taken.values())
+
+
 def _water_fill(sizes, share=1.5, cap=2.0):
     weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
     left, target, open_ = share * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
