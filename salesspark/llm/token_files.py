@@ -7,13 +7,14 @@ on their own with one dictionary that all files share, so one short document is
     one zstandard frame per document
     index: doc_id i64 * n | known u8 * n | place u64 * (n + 1) | ids u32 * n
 
-The dictionary is trained on the serialised ids of a bounded sample (it only serves compression): whole texts in order of a
-hash, at most ``SAMPLE_TEXTS`` and no more after ``SAMPLE_BYTES`` of ids, in samples of ``SAMPLE_IDS``. It and lies beside the files as ``<sha256>.dict``. Texts are range-partitioned by
+The dictionary is trained on the serialised ids of a bounded sample (it only serves compression): the ``SAMPLE_TEXTS`` distinct texts with
+the smallest hash are encoded by tasks and cut in samples of ``SAMPLE_IDS``; ``SAMPLE_BYTES`` of these, again by hash, reach the driver. With
+less than four times ``DICT_BYTES`` of them the dictionary is empty. It lies beside the files as ``<sha256>.dict``. Texts are range-partitioned by
 ``doc_id``, sorted and written by each task in files of about ``FILE_BYTES``; the table of files gives every file's
 first place in the sequence of all ids.
 
 Texts are encoded with the tokenizers library. White space only ever ends a word of the tokenizers that this takes (they cut at white
-space and drop it), so texts are cut there, and what stands between is encoded by the library once and kept.
+space and drop it), so texts are cut there. What is new in a batch of texts is encoded by the library in few calls and kept, in bounded bytes.
 
 Defined results: a null text is an empty one and has just the end id. Rows without ``doc_id`` come first. Rows that repeat each other
 are all kept, in any order among themselves. An empty table gives no files and no rows.
@@ -27,19 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from salesspark.llm.common import settled
 from salesspark.llm.files import TaskFiles, file_system, read_whole
+from salesspark.llm.kept import Kept, owns, working_for
+from salesspark.plans.prefix import running_total
 
 MAGIC = b"TOKENS01"
 HEAD = struct.Struct("<8sB32sQQ")
 DICT_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_IDS = 65_536, 2_000, 4 << 20, 2_000
 FILE_BYTES, LEVEL = 16 << 20, 1
-CACHED_PIECES, CACHED_CHARS = 2_000_000, 32
+#: Bytes of encoded pieces that a worker keeps, the longest of them, and how many new ones are encoded by one call.
+KEPT_BYTES, LONGEST, AT_ONCE = 448 << 20, 32, 2_000
+#: Characters of texts that are encoded together, unless one text has more.
+TOGETHER = 1 << 20
 
 FILES_SCHEMA = "part int, nth int, uri string, n_docs long, n_ids long, n_bytes long"
 
@@ -54,44 +61,50 @@ class WordEncoder:
         for probe in ("a b", "a\nb\tc", " a  b\r\n"):
             if self.library(probe) != b"".join(self.library(x) for x in probe.split()):
                 raise ValueError("this tokenizer does not drop white space between words")
-        self.kept: dict[str, bytes] = _Kept(self)
-        self.folds = self.library("Éa,") == self.library("éa") + self.library(",")
+        self.kept = Kept(self.library, KEPT_BYTES, LONGEST)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        """A piece of Latin letters goes by its lower case, and a last comma or full stop by itself, if the tokenizer does so.
-
-        Not if the lower case has more than Latin letters: that of U+0130 ends in a mark, which a comma joins.
-        """
-        if self.folds and len(piece) > 1 and max(piece) < "ɐ" and max(low := piece.lower()) < "ɐ":
-            if piece[-1] in ".," and piece[-2].isalpha():
-                return self.kept[piece[:-1]] + self.kept[piece[-1]]
-            if piece.isalpha() and low != piece:
-                return self.kept[low]
-        return self.library(piece)
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece. They are encoded as one text, a space between any two, by a single call, and told apart by their places."""
+        encoding = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids = np.array(encoding.ids, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        at = np.searchsorted(ends, np.fromiter((start for start, _ in encoding.offsets), np.int64, len(ids)), "right")
+        if (np.diff(at) < 0).any():
+            return {p: self.library(p) for p in pieces}
+        cuts, raw = (np.searchsorted(at, np.arange(len(pieces) + 1)) * 4).tolist(), ids.tobytes()
+        return {p: raw[i:j] for p, i, j in zip(pieces, cuts, cuts[1:], strict=False)}
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. The pieces that are new here are encoded together first."""
+        cut = []
+        for text in texts:
+            for c in "\n\t\r":
+                text = (text or "").replace(c, " ")
+            cut.append(text.split(" "))
+        every, kept = set().union(*cut) - {""}, self.kept
+        late = every.difference(kept)  # neither looked up nor made since the cache's last change
+        young = every.difference(late)
+        ids = dict(zip(young, map(kept.__getitem__, young), strict=True)) | {"": b""}
+        fresh = list(late.difference(kept.old))
+        found = late.difference(fresh)
+        again = dict(zip(found, map(kept.old.__getitem__, found), strict=True))
+        ids |= again
+        kept.keep_all(again)
+        for at in range(0, len(fresh), AT_ONCE):
+            new = self._learn(fresh[at:at + AT_ONCE])
+            ids |= new
+            kept.keep_all(new)
+        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
 
     def encode(self, text: str | None) -> bytes:
-        for c in "\n\t\r":
-            text = (text or "").replace(c, " ")
-        return b"".join(map(self.kept.__getitem__, text.split(" ")))
-
-
-class _Kept(dict):
-    def __init__(self, encoder: WordEncoder):
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.piece(piece) if piece else b""
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return self.encode_all([text])[0]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
+owns("token_files", _ENCODERS.clear)
 
 
 def encoder_of(spec: str) -> WordEncoder:
@@ -100,26 +113,44 @@ def encoder_of(spec: str) -> WordEncoder:
     return _ENCODERS[hash(spec)]
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices whose texts have about ``TOGETHER`` bytes."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def narrowed(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
 def train_dictionary(texts: DataFrame, spec: str, width: int) -> bytes:
-    """Dictionary bytes from the sample; empty if the sample is too small to train on."""
+    """Dictionary bytes from the sample; empty if the sample is too small to train on, when frames are made without dictionary."""
     hashed = texts.filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
     chosen = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).withColumnRenamed("h", "chosen")
-    rows = hashed.join(F.broadcast(chosen), F.col("h") == F.col("chosen")).dropDuplicates(["h"]).orderBy("h").select("text")
-    encoder, samples, total = encoder_of(spec), [], 0
-    for r in rows.toLocalIterator():
-        ids = narrowed(encoder.encode(r["text"]), width)
-        samples += [ids[at:at + SAMPLE_IDS * width] for at in range(0, len(ids), SAMPLE_IDS * width)]
-        total += len(ids)
-        if total >= SAMPLE_BYTES:
-            break
-    samples = [s for s in samples if len(s) >= 8]
-    if total < 4 * DICT_BYTES or len(samples) < 8:
+    rows = hashed.join(F.broadcast(chosen), F.col("h") == F.col("chosen")).dropDuplicates(["h"]).select("h", "text")
+    shared = texts.sparkSession.sparkContext.broadcast(spec)
+
+    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("token_files")
+        encoder, size = encoder_of(shared.value), SAMPLE_IDS * width
+        for b in batches:
+            for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ids = narrowed(encoder.encode(text), width)
+                cut = [ids[at:at + size] for at in range(0, len(ids), size)]
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int64()),
+                                                  pa.array(cut, pa.binary())], ["h", "nth", "ids"])
+
+    cut = rows.mapInArrow(samples, "h long, nth long, ids binary").orderBy(F.xxhash64("h", "nth"), "h", "nth")
+    found = [bytes(r["ids"]) for r in cut.select("ids").limit(SAMPLE_BYTES // (SAMPLE_IDS * width)).collect()]
+    found = [x for x in found if len(x) >= 8]
+    if sum(map(len, found)) < 4 * DICT_BYTES or len(found) < 8:
         return b""
-    return zstandard.train_dictionary(DICT_BYTES, samples, k=64, d=8).as_bytes()
+    return zstandard.train_dictionary(DICT_BYTES, found, k=64, d=8).as_bytes()
 
 
 def write_file(rows: list[tuple[int | None, bytes]], width: int, digest: bytes) -> bytes:
@@ -168,6 +199,7 @@ def write_tokens(docs: DataFrame, uri: str, spec: str, end_id: int | None = 1, i
     last = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("token_files")
         spec, dictionary = shared.value
         encoder = encoder_of(spec)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -181,10 +213,10 @@ def write_tokens(docs: DataFrame, uri: str, spec: str, end_id: int | None = 1, i
                 "n_ids": sum(r[2] for r in rows), "n_bytes": len(content)}], schema=files_schema)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encoder.encode(text) + last
+            for part in _together(b):
+                encoded = encoder.encode_all(part.column("text").to_pylist())
+                for doc, own in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+                    ids = own + last
                     rows.append((doc, pack.compress(narrowed(ids, width)), len(ids) // 4))
                     size += len(rows[-1][1])
                     if size >= FILE_BYTES:
@@ -197,8 +229,8 @@ def write_tokens(docs: DataFrame, uri: str, spec: str, end_id: int | None = 1, i
                               ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
     ordered = texts.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     written = settled(ordered.mapInArrow(run, FILES_SCHEMA))
-    before = Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)
-    return written.withColumn("first_place", F.coalesce(F.sum("n_ids").over(before), F.lit(0))) \
+    placed = running_total(written, "n_ids", [F.col("part"), F.col("nth")], out="upto")
+    return placed.withColumn("first_place", F.col("upto") - F.col("n_ids")).drop("upto") \
         .withColumn("dictionary", F.lit(f"{uri.rstrip('/')}/{digest.hex()}.dict"))
 
 

@@ -51,9 +51,8 @@ def test_decode_of_strange_ids(codec):
 
 
 def test_caches_start_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
-    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
-    monkeypatch.setattr(bpe, "CACHED_STEPS", 5)
+    for budget in ("KEPT_WORDS", "KEPT_PIECES", "KEPT_STEPS"):
+        monkeypatch.setattr(bpe, budget, 2_000)
     with open(BYTE, "rb") as f:
         small = bpe.Codec(f.read())
     library = Tokenizer.from_file(BYTE)
