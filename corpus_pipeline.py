@@ -7,11 +7,11 @@ texts and repeated rows are treated as each operator's docstring says; an empty
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesspark.llm import bpe, line_dedup, mixing, near_dup, quality
-from salesspark.llm.common import read, shared_folder
+from salesspark.llm.common import read, shared_folder, word_count
 from salesspark.session import ensure_checkpoint_dir, ship_package
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,13 +31,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id; rows that repeat its doc_id go."""
-    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL") \
-        .select(F.col("doc_id").alias("k_doc")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("k_doc"))
-    nth = Window.partitionBy("k_doc").orderBy(F.xxhash64("row"))
-    one = rows.filter("k_doc IS NOT NULL").join(kept, "k_doc").withColumn("nth", F.row_number().over(nth)).filter("nth = 1")
-    return one.select("row").unionByName(rows.filter("k_doc IS NULL").select("row")).select("row.*")
+    """One document of each group of near duplicates, the one with the smallest doc_id. Texts that share a doc_id are documents of their own, told
+    apart by their hash; of rows equal in both, one stays. Rows without doc_id or without words are duplicates of nothing."""
+    found = near_dup.near_duplicates(docs.select("doc_id", "text")).filter("kept AND component IS NOT NULL")
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("s")) \
+        .select(F.col("s.doc_id").alias("k_doc"), "s.t1", "s.t2")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k_doc"), *near_dup.text_key(F.col("text")),
+                       (F.col("doc_id").isNull() | (word_count(F.col("text")) == 0)).alias("alone"))
+    one = rows.filter("NOT alone").join(stays, ["k_doc", "t1", "t2"]).dropDuplicates(["k_doc", "t1", "t2"])
+    return one.select("row").unionByName(rows.filter("alone").select("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
