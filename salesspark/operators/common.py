@@ -13,12 +13,6 @@ def money_sum(col: str) -> Column:
     return F.sum(col).cast("double")
 
 
-def exact_mean(col: str) -> Column:
-    """Mean of a score column from an exact decimal sum (10 decimals kept per value), so the
-    result does not depend on how partial sums were grouped across tasks."""
-    return F.sum(F.col(col).cast("decimal(20,10)")).cast("double") / F.count(col).cast("double")
-
-
 def pct(numerator: Column, denominator: Column) -> Column:
     """100 * n / d with NULL for a zero or NULL denominator (SQL ``NULLIF``)."""
     return F.try_divide(F.lit(100.0) * numerator.cast("double"), denominator.cast("double"))

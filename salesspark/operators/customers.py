@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salesspark.functions.filters import apply_filters
 from salesspark.functions.scalars import zero_to_one
-from salesspark.operators.common import exact_mean, money_sum
+from salesspark.operators.common import money_sum
 from salesspark.plans.prefix import running_total
 from salesspark.session import ensure_checkpoint_dir
 
@@ -19,20 +19,33 @@ CHURN_COLUMNS = ["Customer_Key", "Order_ID", "Order_Date", "Net_Revenue", "Custo
 CHURN_WINDOW_DAYS = 180
 
 
+def order_days(lines: DataFrame, attributes: list[str]) -> DataFrame:
+    """One row per customer, order and day with its sums, out of one pass over the lines and kept: the last day of all, the cutoff and every
+    figure of a customer come from it."""
+    ensure_checkpoint_dir(lines.sparkSession)
+    money = [c for c in ("Net_Revenue", "Profit_Amount") if c in lines.columns]
+    return lines.groupBy("Customer_Key", *attributes, "Order_ID", "Order_Date").agg(
+        *(F.sum(c).alias(c) for c in money), F.sum(F.col("Customer_Rating").cast("decimal(20,10)")).alias("_rating"),
+        F.count("Customer_Rating").alias("_rated")).checkpoint(eager=True)
+
+
+def _rating(keep=lambda c: c) -> Column:
+    return F.try_divide(F.sum(keep(F.col("_rating"))).cast("double"), F.sum(keep(F.col("_rated"))).cast("double"))
+
+
 def customer_features(view: DataFrame, filters: dict | None = None) -> DataFrame:
     """One row per customer: frequency, monetary, profit, line-weighted rating,
     recency (days before the dataset's last order date) and tenure (first to last order)."""
-    lines = apply_filters(view, filters)
-    per_customer = (lines
+    days = order_days(apply_filters(view, filters), ["Customer", "Segment"])
+    per_customer = (days
                     .groupBy("Customer_Key", "Customer", "Segment")
                     .agg(F.count_distinct("Order_ID").alias("Frequency"),
                          money_sum("Net_Revenue").alias("Monetary"),
                          money_sum("Profit_Amount").alias("Total_Profit"),
                          F.min("Order_Date").alias("_first"),
                          F.max("Order_Date").alias("_last"),
-                         exact_mean("Customer_Rating").alias("Customer_Rating")))
-    # max over customers of their last order = max order date of the lines (a scan, no regrouping)
-    dataset_last = lines.select(F.max("Order_Date")).scalar()
+                         _rating().alias("Customer_Rating")))
+    dataset_last = days.select(F.max("Order_Date")).scalar()
     return per_customer.select(
         "Customer_Key", "Customer", "Segment", "Frequency", "Monetary", "Total_Profit", "Customer_Rating",
         F.datediff(dataset_last, F.col("_last")).cast("double").alias("Recency_Days"),
@@ -44,19 +57,19 @@ def churn_dataset(view: DataFrame, window_days: int = CHURN_WINDOW_DAYS) -> Data
     the customer has no order after that cutoff.
 
     Customers whose first order is after the cutoff are not in the table. Features
-    and label are conditional aggregates of one pass over the lines.
+    and label are conditional aggregates over ``order_days``.
     """
-    cutoff = F.date_sub(view.select(F.max("Order_Date")).scalar(), int(window_days))
+    days = order_days(view, [])
+    cutoff = F.date_sub(days.select(F.max("Order_Date")).scalar(), int(window_days))
     early = F.col("Order_Date") <= cutoff
 
-    def before(c: str) -> Column:
-        return F.when(early, F.col(c))
+    def before(c: str | Column) -> Column:
+        return F.when(early, F.col(c) if isinstance(c, str) else c)
 
-    features = (view.groupBy("Customer_Key")
+    features = (days.groupBy("Customer_Key")
                 .agg(F.count_distinct(before("Order_ID")).alias("Frequency"),
                      F.sum(before("Net_Revenue")).cast("double").alias("Monetary"),
-                     (F.sum(before("Customer_Rating").cast("decimal(20,10)")).cast("double")
-                      / F.count(before("Customer_Rating")).cast("double")).alias("Customer_Rating"),
+                     _rating(before).alias("Customer_Rating"),
                      F.min(before("Order_Date")).alias("_first"),
                      F.max(before("Order_Date")).alias("_last"),
                      F.max("Order_Date").alias("_latest"))

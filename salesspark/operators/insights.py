@@ -1,8 +1,7 @@
 """Five rule-based insight facts as rows (Insight_ID, Metric, Value, Text).
 
-Each fact is a one-row DataFrame built from the KPI, yearly, regional and ABC
-plans; the five are unioned, so the whole narrative is one Spark job graph and
-nothing but the final five rows reaches the driver.
+The lines are read once: one aggregate with two grouping sets, (Year, Region) and Product, is kept, and the totals, the years, the regions
+and the ABC classes all come from its rows. Each fact is one row of a plan over them; nothing but the final five rows reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,10 +11,13 @@ from pyspark.sql import functions as F
 
 from salesspark.functions.scalars import fill_template, format_inr, format_pct, safe_divide
 from salesspark.operators.distribution import abc_analysis
-from salesspark.operators.metrics import kpi_summary, sales_by_dimension, trend
+from salesspark.functions.filters import apply_filters
+from salesspark.operators.common import money_sum, safe_ratio
+from salesspark.operators.metrics import KPI_COLUMNS, TREND_COLUMNS, kpi_summary, trend
+from salesspark.session import ensure_checkpoint_dir
 
-INSIGHT_COLUMNS = ["Year", "Month", "Quarter", "Month_Name", "Region", "Product", "Category", "Net_Revenue",
-                   "Profit_Amount", "Sales_Amount", "Order_ID", "Customer_Key", "Is_Returned", "Quantity"]
+INSIGHT_COLUMNS = ["Year", "Region", "Product", "Category", "Net_Revenue", "Profit_Amount", "Is_Returned"]
+DELTA_COLUMNS = list(dict.fromkeys(KPI_COLUMNS + TREND_COLUMNS))
 
 # Thresholds of the narrative rules.
 HEALTHY_MARGIN_PCT = 15
@@ -39,9 +41,25 @@ def _fact(df: DataFrame, insight_id: int, metric: str, value, text) -> DataFrame
                      value.cast("double").alias("Value"), text.alias("Text"))
 
 
+def line_totals(view: DataFrame, filters: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(Year, Region) and Product rows with Net_Revenue, Profit_Amount (exact), _returned and _lines, out of one pass."""
+    ensure_checkpoint_dir(view.sparkSession)
+    lines = apply_filters(view, filters).select("Year", "Region", "Product", "Category", "Net_Revenue", "Profit_Amount", "Is_Returned")
+    sets = lines.groupingSets([["Year", "Region"], ["Product"]], "Year", "Region", "Product").agg(
+        F.grouping("Product").alias("_whole"), F.min("Category").alias("Category"), F.sum("Net_Revenue").alias("Net_Revenue"),
+        F.sum("Profit_Amount").alias("Profit_Amount"), F.sum("Is_Returned").alias("_returned"), F.count(F.lit(1)).alias("_lines")) \
+        .checkpoint(eager=True)
+    return sets.filter("_whole = 1").drop("Product", "Category"), sets.filter("_whole = 0").drop("Year", "Region")
+
+
 def executive_summary(view: DataFrame, filters: dict | None = None) -> DataFrame:
-    kpis = kpi_summary(view, filters)
-    yearly = trend(view, "Year", filters)
+    by_year, by_product = line_totals(view, filters)
+    totals = by_year.agg(F.coalesce(money_sum("Net_Revenue"), F.lit(0.0)).alias("total_revenue"),
+                         F.coalesce(money_sum("Profit_Amount"), F.lit(0.0)).alias("total_profit"),
+                         F.coalesce(F.sum("_returned"), F.lit(0)).alias("returned_orders"), F.coalesce(F.sum("_lines"), F.lit(0)).alias("total_line_items"))
+    kpis = totals.select("total_revenue", safe_ratio(F.lit(100.0) * F.col("total_profit"), F.col("total_revenue")).alias("profit_margin_pct"),
+                         safe_ratio(F.lit(100.0) * F.col("returned_orders"), F.col("total_line_items")).alias("return_rate_pct"))
+    yearly = by_year.groupBy("Year").agg(money_sum("Net_Revenue").alias("Net_Revenue"))
 
     # 1. growth of the last year over the one before (needs two years)
     w = Window.orderBy(F.col("Year").desc())
@@ -65,7 +83,8 @@ def executive_summary(view: DataFrame, filters: dict | None = None) -> DataFrame
         comment=F.when(margin >= HEALTHY_MARGIN_PCT, F.lit(MARGIN_GOOD)).otherwise(F.lit(MARGIN_WATCH))))
 
     # 3. leading region and its share of the regional total
-    regions = sales_by_dimension(view, "Region", filters)
+    regions = by_year.groupBy("Region").agg(money_sum("Net_Revenue").alias("Net_Revenue")) \
+        .orderBy(F.col("Net_Revenue").desc_nulls_last(), F.col("Region").asc_nulls_first())  # doubles are added in this order
     lead = regions.agg(
         F.min_by("Region", F.struct(-F.col("Net_Revenue"), F.col("Region").isNotNull(), F.col("Region")))
         .alias("_region"),
@@ -77,7 +96,7 @@ def executive_summary(view: DataFrame, filters: dict | None = None) -> DataFrame
         amount=format_inr(F.col("_top"))))
 
     # 4. class-A concentration
-    abc = abc_analysis(view, filters)
+    abc = abc_analysis(by_product)
     conc = abc.agg(F.count(F.lit(1)).alias("_n"),
                    F.count(F.when(F.col("ABC_Class") == "A", True)).alias("_na"),
                    F.sum("Net_Revenue").alias("_rev"),

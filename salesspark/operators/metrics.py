@@ -23,17 +23,30 @@ def kpi_summary(view: DataFrame, filters: dict | None = None) -> DataFrame:
 
     ``returned_orders`` counts returned *lines*, and the margin is profit over net
     revenue, as in the reference.
+
+    Each distinct count has a plan of its own over the one column that it needs: three of them in one aggregate would make Spark copy every
+    line once per count. The copies, and the values of all columns in their shuffle, cost more than reading two more columns again.
     """
-    totals = apply_filters(view, filters).agg(
+    lines = apply_filters(view, filters)
+
+    def distinct(c: str):
+        return lines.filter(F.col(c).isNotNull()).select(c).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    totals = lines.agg(
         F.coalesce(money_sum("Net_Revenue"), F.lit(0.0)).alias("total_revenue"),
         F.coalesce(money_sum("Profit_Amount"), F.lit(0.0)).alias("total_profit"),
         F.coalesce(money_sum("Sales_Amount"), F.lit(0.0)).alias("gross_revenue"),
         F.count_distinct("Order_ID").alias("total_orders"),
-        F.count_distinct("Customer_Key").alias("total_customers"),
-        F.count_distinct("Product").alias("total_products"),
         F.coalesce(F.sum("Is_Returned"), F.lit(0)).cast("long").alias("returned_orders"),
         F.count(F.lit(1)).alias("total_line_items"),
     )
+    totals = totals.select("total_revenue", "total_profit", "gross_revenue", "total_orders", distinct("Customer_Key").alias("total_customers"),
+                           distinct("Product").alias("total_products"), "returned_orders", "total_line_items")
+    return with_ratios(totals)
+
+
+def with_ratios(totals: DataFrame) -> DataFrame:
+    """A2: margin, average order value and return rate of a row of totals, 0 where there is nothing to divide by."""
     return totals.select(
         "*",
         (safe_ratio(F.lit(100.0) * F.col("total_profit"), F.col("total_revenue"))).alias("profit_margin_pct"),

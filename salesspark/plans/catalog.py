@@ -925,7 +925,7 @@ FROM (SELECT CAST(SUM(Net_Revenue) AS DOUBLE) AS tr, CAST(SUM(Profit_Amount) AS
             FROM sales WHERE Region = 'AMERICA' GROUP BY Year) y) s"""))
 def q_dashboard_delta(spark, sf_dir):
     f = {"Region": "AMERICA"}
-    return N.dashboard_delta(view_for(spark, sf_dir, N.INSIGHT_COLUMNS, f), f)
+    return N.dashboard_delta(view_for(spark, sf_dir, N.DELTA_COLUMNS, f), f)
 
 
 @register("abc_class_a_top20", _ABC_SQL.replace("ORDER BY Rank", "WHERE ABC_Class = 'A' ORDER BY Rank LIMIT 20")

@@ -150,3 +150,19 @@ def test_abc_zero_total_is_all_class_a(spark):
     out = abc_analysis(view).collect()
     assert [r["Cumulative_Pct"] for r in out] == [0.0, 0.0, 0.0]
     assert {r["ABC_Class"] for r in out} == {"A"}
+
+
+def test_kpi_plan_copies_no_rows(view):
+    plan = M.kpi_summary(view, {"Year": 2024})._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_summaries_read_the_lines_once(spark):
+    """What comes after the first pass stands on kept rows: no scan of the tables is left in the plans."""
+    from salesspark.operators.customers import CHURN_COLUMNS, FEATURE_COLUMNS, churn_dataset, customer_features
+    from salesspark.operators.insights import INSIGHT_COLUMNS, executive_summary
+    from salesspark.sources.tables import sales_view
+
+    for build, columns in ((customer_features, FEATURE_COLUMNS), (churn_dataset, CHURN_COLUMNS), (executive_summary, INSIGHT_COLUMNS)):
+        plan = build(sales_view(spark, "/root/testdata/sf0.001", columns, keys_complete=True))._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan.lower(), build.__name__
