@@ -8,57 +8,37 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable
-from sys import getsizeof
 
 import pyarrow as pa
 
-#: Bytes that an entry takes in a dictionary besides its key and value.
-ENTRY = 110
+#: Bytes that an entry takes with its key and value, which are short.
+ENTRY = 200
 _MISSING = object()
 
 
 class Kept(dict):
-    """``make(key)`` for each key, kept. When the young half of the ``budget`` is full it becomes the old half, and what is not asked for
-    again until the next change is forgotten; keys above ``longest`` are never kept."""
+    """``make(key)`` for each key, kept: at most ``budget`` bytes of entries. When the young half is full it becomes the old half, and what is
+    not asked for again until the next change is forgotten; keys above ``longest`` are never kept."""
 
     def __init__(self, make: Callable, budget: int, longest: int | None = None):
         super().__init__()
-        self.make, self.half, self.longest = make, budget // 2, longest
+        self.make, self.most, self.longest = make, max(1, budget // (2 * ENTRY)), longest
         self.old: dict = {}
-        self.size = 0
 
     def __missing__(self, key):
         value = self.old.get(key, _MISSING)
         if value is _MISSING:
             value = self.make(key)
-        self.keep(key, value)
+        if self.longest is None or len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
-    def keep(self, key, value) -> None:
-        if self.longest is not None and len(key) > self.longest:
-            return
-        self.size += getsizeof(key) + getsizeof(value) + ENTRY
-        if self.size > self.half:
-            self.old = dict(self)
-            self.clear()
-            self.size = getsizeof(key) + getsizeof(value) + ENTRY
-        self[key] = value
-
-    def keep_all(self, new: dict) -> None:
-        """Keep entries with sized keys and values that were made together."""
-        if self.longest is not None and new and max(map(len, new)) > self.longest:
-            new = {k: v for k, v in new.items() if len(k) <= self.longest}
-        more = sum(map(len, new)) + sum(map(len, new.values())) + len(new) * 2 * ENTRY
-        if self.size + more > self.half:
-            self.old = dict(self)
-            self.clear()
-            self.size = 0
-        self.size += more
-        self.update(new)
-
     def forget(self) -> None:
         self.clear()
-        self.old, self.size = {}, 0
+        self.old = {}
 
 
 _FORGET: dict[str, Callable[[], None]] = {}

@@ -14,7 +14,7 @@ less than four times ``DICT_BYTES`` of them the dictionary is empty. It lies bes
 first place in the sequence of all ids.
 
 Texts are encoded with the tokenizers library. White space only ever ends a word of the tokenizers that this takes (they cut at white
-space and drop it), so texts are cut there. What is new in a batch of texts is encoded by the library in few calls and kept, in bounded bytes.
+space and drop it), so texts are cut there, and what stands between is encoded by the library once and kept, in bounded bytes.
 
 Defined results: a null text is an empty one and has just the end id. Rows without ``doc_id`` come first. Rows that repeat each other
 are all kept, in any order among themselves. An empty table gives no files and no rows.
@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +44,25 @@ MAGIC = b"TOKENS01"
 HEAD = struct.Struct("<8sB32sQQ")
 DICT_BYTES, SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_IDS = 65_536, 2_000, 4 << 20, 2_000
 FILE_BYTES, LEVEL = 16 << 20, 1
-#: Bytes of encoded pieces that a worker keeps, the longest of them, and how many new ones are encoded by one call.
-KEPT_BYTES, LONGEST, AT_ONCE = 448 << 20, 32, 2_000
-#: Characters of texts that are encoded together, unless one text has more.
-TOGETHER = 1 << 20
+#: Bytes of encoded pieces that a worker keeps, and the longest of them.
+KEPT_BYTES, LONGEST = 256 << 20, 32
+#: What a tokenizer is tried on: all letters, pairs of letters, letters beyond ASCII.
+PROBES = ["".join(chr(97 + (i * j + k) % 26) for i in range(26)) for j in (1, 3, 5, 7, 9, 11) for k in (0, 1)] + list("abcxyzéßø") + [
+    "the", "stationing", "überprüfung", "niñez", "élève", "œuvre", "łódź", "řeč", "þing"]
+#: The letter that a byte-level model reads for each byte: printable Latin-1 for itself, the others from U+0100 on.
+_OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 
 FILES_SCHEMA = "part int, nth int, uri string, n_docs long, n_ids long, n_bytes long"
 
 
 class WordEncoder:
-    """Whole texts to little-endian u32 ids, by a tokenizer that cuts at white space and drops it."""
+    """Whole texts to little-endian u32 ids, by a tokenizer that cuts at white space and drops it.
+
+    A piece of Latin letters, maybe with ASCII punctuation behind it, goes by its letters in lower case and its punctuation, if the tokenizer
+    lower-cases and cuts between the two; and lower-case letters need neither normalising nor cutting, so they go straight to the library's
+    merges. All else is encoded by the library as a whole. What the tokenizer does is tried on ``PROBES`` first.
+    """
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
@@ -61,46 +71,38 @@ class WordEncoder:
         for probe in ("a b", "a\nb\tc", " a  b\r\n"):
             if self.library(probe) != b"".join(self.library(x) for x in probe.split()):
                 raise ValueError("this tokenizer does not drop white space between words")
-        self.kept = Kept(self.library, KEPT_BYTES, LONGEST)
+        self.model = self.tokenizer.model
+        own = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folds = not any(c.isalpha() for c in own) and all(
+            self.library(cased + tail) == self.library(w) + self.library(tail) for w in PROBES for cased in (w, w.title(), w.upper())
+            if cased.lower() == w for tail in ("", ",", ".", "!?", "'", "$$$", "-"))
+        self.merges = all(self.merged(w) == self.library(w) for w in PROBES)
+        self.kept = Kept(self.piece, KEPT_BYTES, LONGEST)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of each piece. They are encoded as one text, a space between any two, by a single call, and told apart by their places."""
-        encoding = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        ids = np.array(encoding.ids, "<u4")
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
-        at = np.searchsorted(ends, np.fromiter((start for start, _ in encoding.offsets), np.int64, len(ids)), "right")
-        if (np.diff(at) < 0).any():
-            return {p: self.library(p) for p in pieces}
-        cuts, raw = (np.searchsorted(at, np.arange(len(pieces) + 1)) * 4).tolist(), ids.tobytes()
-        return {p: raw[i:j] for p, i, j in zip(pieces, cuts, cuts[1:], strict=False)}
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text. The pieces that are new here are encoded together first."""
-        cut = []
-        for text in texts:
-            for c in "\n\t\r":
-                text = (text or "").replace(c, " ")
-            cut.append(text.split(" "))
-        every, kept = set().union(*cut) - {""}, self.kept
-        late = every.difference(kept)  # neither looked up nor made since the cache's last change
-        young = every.difference(late)
-        ids = dict(zip(young, map(kept.__getitem__, young), strict=True)) | {"": b""}
-        fresh = list(late.difference(kept.old))
-        found = late.difference(fresh)
-        again = dict(zip(found, map(kept.old.__getitem__, found), strict=True))
-        ids |= again
-        kept.keep_all(again)
-        for at in range(0, len(fresh), AT_ONCE):
-            new = self._learn(fresh[at:at + AT_ONCE])
-            ids |= new
-            kept.keep_all(new)
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+    def merged(self, letters: str) -> bytes:
+        """Lower-case letters by the merges alone; the model reads bytes, each as a letter of its own."""
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of what stands between white space. The lower case may have no more than Latin letters: that of U+0130 ends in a mark,
+        which punctuation joins."""
+        core = piece.rstrip(punctuation)
+        if self.folds and core.isalpha() and max(core) < "ɐ" and max(low := core.lower()) < "ɐ":
+            if low != piece:
+                return self.kept[low] + self.kept[piece[len(core):]] if core != piece else self.kept[low]
+            if self.merges:
+                return self.merged(low)
+        return self.library(piece) if piece else b""
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        for c in "\n\t\r":
+            text = (text or "").replace(c, " ")
+        return b"".join(map(self.kept.__getitem__, text.split(" ")))
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -113,17 +115,6 @@ def encoder_of(spec: str) -> WordEncoder:
     return _ENCODERS[hash(spec)]
 
 
-def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts have about ``TOGETHER`` bytes."""
-    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0), np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def narrowed(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
@@ -213,10 +204,10 @@ def write_tokens(docs: DataFrame, uri: str, spec: str, end_id: int | None = 1, i
                 "n_ids": sum(r[2] for r in rows), "n_bytes": len(content)}], schema=files_schema)
 
         for b in batches:
-            for part in _together(b):
-                encoded = encoder.encode_all(part.column("text").to_pylist())
-                for doc, own in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
-                    ids = own + last
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids = encoder.encode(text) + last
                     rows.append((doc, pack.compress(narrowed(ids, width)), len(ids) // 4))
                     size += len(rows[-1][1])
                     if size >= FILE_BYTES:

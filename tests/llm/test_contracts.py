@@ -184,13 +184,11 @@ def test_kept_entries_have_a_budget():
     words = [f"w{i}" for i in range(3000)]
     assert [k[w] for w in words] == [w * 2 for w in words]
     real = sum(sys.getsizeof(a) + sys.getsizeof(b) for d in (k, k.old) for a, b in d.items()) + sys.getsizeof(k) + sys.getsizeof(k.old)
-    assert real < 60_000 and 0 < len(k) + len(k.old) < 400
+    assert real < 60_000 and 0 < len(k) + len(k.old) <= 200
     made.clear()
     assert k[words[-1]] == words[-1] * 2 and not made and k["longer key"] == "longer key" * 2 and "longer key" not in k
-    k.keep_all({f"x{i}": "y" for i in range(500)} | {"much longer": "y"})
-    assert "x1" in k and "much longer" not in k
     k.forget()
-    assert not k and not k.old and k.size == 0
+    assert not k and not k.old
 
 
 def test_a_task_gives_back_what_others_have_kept():
