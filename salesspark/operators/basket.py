@@ -1,42 +1,78 @@
 """Item-item cosine similarity over order baskets, top n per product.
 
-``basket`` = distinct (order, product); co-occurrence counts come from a self-join
-on the order, aggregated map-side per product pair; similarity is
-``co / sqrt(n_a * n_b)``. A large order is split across tasks by AQE's skew-join
-handling (both join sides are the same skewed key). Products with fewer than n
-partners are topped up with zero-similarity products in name order, as the
-reference's nearest-neighbour search returns n rows whenever n products exist.
+``basket`` = distinct (order, product), taken from the lines once and kept. Co-occurrence counts come from a self-join on the order,
+aggregated map-side per product pair; similarity is ``co / sqrt(n_a * n_b)``.
+
+An order of m products has m^2 / 2 pairs. Its products are dealt by hash into tiles of about ``TILE``, and it is pairs of tiles that meet, so an
+order with a third of all lines is many tasks by construction. Where there are such orders, the pairs of the others give each
+product a score that its n-th partner reaches at least; a pair whose best thinkable score, ``min(n_a, n_b) / sqrt(n_a * n_b)``, is below that of
+both its products is never made.
+
+Products with fewer than n partners are topped up with zero-similarity products in name order, as the reference's nearest-neighbour search
+returns n rows whenever n products exist.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesspark.session import ensure_checkpoint_dir
+
 BASKET_COLUMNS = ["Order_ID", "Product"]
+#: Products of one tile of an order, on average at most.
+TILE = 512
+
+
+def _similarity(co: Column) -> Column:
+    return co / F.sqrt(F.col("_na").cast("double") * F.col("_nb"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """_p, _q (_p < _q by name), _na, _nb and Co_Orders from rows (Order_ID, Product, _n, _size, _least)."""
+    tiles = F.ceil(F.col("_size") / TILE)
+    dealt = rows.withColumn("_tiles", tiles).withColumn("_tile", F.pmod(F.xxhash64("Product"), F.col("_tiles")))
+
+    def side(name: str, own: str, other: str, others: Column) -> DataFrame:
+        return dealt.select("Order_ID", F.col("_tile").alias(own), F.explode(others).alias(other),
+                            F.struct("Product", "_n", "_least").alias(name))
+
+    a = side("a", "_i", "_j", F.sequence(F.col("_tile"), F.col("_tiles") - 1))
+    b = side("b", "_j", "_i", F.sequence(F.lit(0).cast("long"), F.col("_tile")))
+    bound = F.least("a._n", "b._n") / F.sqrt(F.col("a._n").cast("double") * F.col("b._n"))
+    met = a.join(b, ["Order_ID", "_i", "_j"]).filter(
+        ((F.col("_i") < F.col("_j")) | (F.col("a.Product") < F.col("b.Product"))) & (bound >= F.least("a._least", "b._least")))
+    swap = F.col("a.Product") > F.col("b.Product")
+    low, high = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    return met.select(low.alias("low"), high.alias("high")).groupBy(
+        F.col("low.Product").alias("_p"), F.col("high.Product").alias("_q"), F.col("low._n").alias("_na"), F.col("high._n").alias("_nb")) \
+        .agg(F.count(F.lit(1)).alias("Co_Orders"))
+
+
+def _ranked(pairs: DataFrame, n: int) -> DataFrame:
+    """Each product's n best partners: Product, Recommended_Product, Co_Orders, _sim, Rank."""
+    scored = pairs.withColumn("_sim", _similarity(F.col("Co_Orders")))
+    both = scored.select(F.inline(F.array(
+        F.struct(F.col("_p").alias("Product"), F.col("_q").alias("Recommended_Product"), "Co_Orders", "_sim"),
+        F.struct(F.col("_q").alias("Product"), F.col("_p").alias("Recommended_Product"), "Co_Orders", "_sim"))))
+    w = Window.partitionBy("Product").orderBy(F.col("_sim").desc(), F.col("Recommended_Product").asc())
+    return both.withColumn("Rank", F.row_number().over(w)).filter(F.col("Rank") <= int(n))
 
 
 def copurchase_top(view: DataFrame, n: int = 5) -> DataFrame:
     """(Product, Rank, Recommended_Product, Co_Orders, Similarity_Score) for every product."""
-    basket = view.select("Order_ID", "Product").distinct()
+    ensure_checkpoint_dir(view.sparkSession)
+    basket = view.select("Order_ID", "Product").distinct().checkpoint(eager=True)
     counts = basket.groupBy("Product").agg(F.count(F.lit(1)).alias("_n"))
-    # Co-occurrence is symmetric: emit each unordered pair once (a < b), aggregate, then mirror.
-    # This halves the pair generation and its shuffle, the dominant cost of the operator.
-    a, b = basket.alias("a"), basket.alias("b")
-    half = (a.join(b, F.col("a.Order_ID") == F.col("b.Order_ID"))
-            .filter(F.col("a.Product") < F.col("b.Product"))
-            .groupBy(F.col("a.Product").alias("_p"), F.col("b.Product").alias("_q"))
-            .agg(F.count(F.lit(1)).alias("Co_Orders")))
-    pairs = (half.select(F.col("_p").alias("Product"), F.col("_q").alias("Recommended_Product"), "Co_Orders")
-             .unionByName(half.select(F.col("_q").alias("Product"), F.col("_p").alias("Recommended_Product"),
-                                      "Co_Orders")))
-    ca = counts.select(F.col("Product"), F.col("_n").alias("_na"))
-    cb = counts.select(F.col("Product").alias("Recommended_Product"), F.col("_n").alias("_nb"))
-    sim = (pairs.join(ca, "Product").join(cb, "Recommended_Product")
-           .withColumn("_sim", F.col("Co_Orders") / F.sqrt(F.col("_na").cast("double") * F.col("_nb"))))
-    w = Window.partitionBy("Product").orderBy(F.col("_sim").desc(), F.col("Recommended_Product").asc())
-    top = (sim.withColumn("Rank", F.row_number().over(w)).filter(F.col("Rank") <= int(n))
-           .select("Product", "Rank", "Recommended_Product", "Co_Orders", "_sim"))
+    sizes = basket.groupBy("Order_ID").agg(F.count(F.lit(1)).alias("_size"))
+    rows = basket.join(counts, "Product").join(sizes, "Order_ID").withColumn("_least", F.lit(0.0))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    if largest > TILE:
+        rows = rows.drop("_least").checkpoint(eager=True)
+        others = _ranked(_pairs(rows.filter(F.col("_size") <= TILE).withColumn("_least", F.lit(0.0))), n)
+        least = others.filter(F.col("Rank") == int(n)).select("Product", F.col("_sim").alias("_least"))  # more orders only raise it
+        rows = rows.join(least, "Product", "left").fillna(0.0, ["_least"])
+    top = _ranked(_pairs(rows), n).select("Product", "Rank", "Recommended_Product", "Co_Orders", "_sim")
     filled = _fill_with_unrelated(counts.select("Product"), top, n)
     return (top.unionByName(filled)
             .select("Product", "Rank", "Recommended_Product", "Co_Orders",

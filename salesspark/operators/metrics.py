@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,17 +165,19 @@ def per_unit_kpis(kpis: DataFrame) -> DataFrame:
     )
 
 
-def filter_options(view: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Distinct non-null values of every filter column, in one job.
+def distinct_values(frames: DataFrame | list[DataFrame], names: list[str]) -> DataFrame:
+    """(Filter, Value): the distinct non-null values, as strings, of the filter columns ``names``. ``frames`` is the view, or frames of which
+    each has some of the columns (``sources.tables.filter_frames``); it is their rows that become one row per column."""
+    parts = []
+    for frame in frames if isinstance(frames, list) else [frames]:
+        own = [n for n in names if FILTER_COLUMNS[n] in frame.columns]
+        if own:
+            parts.append(frame.select(*[F.col(FILTER_COLUMNS[n]).cast("string").alias(n) for n in own]).unpivot([], own, "Filter", "Value"))
+    return reduce(DataFrame.unionByName, parts).filter(F.col("Value").isNotNull()).distinct()
 
-    The 14 columns are unpivoted to (Filter, Value) strings and de-duplicated; the
-    map-side partial aggregate keeps the shuffle at (distinct values x tasks).
-    ``Sort_Key`` orders numeric filters numerically.
-    """
-    names = names or list(FILTER_COLUMNS)
-    long = view.select(*[F.col(FILTER_COLUMNS[n]).cast("string").alias(n) for n in names]) \
-        .unpivot([], names, "Filter", "Value")
-    return (long.filter(F.col("Value").isNotNull()).distinct()
+
+def filter_options(frames: DataFrame | list[DataFrame], names: list[str] | None = None) -> DataFrame:
+    """Distinct non-null values of every filter column, in one job; ``Sort_Key`` orders numeric filters numerically."""
+    return (distinct_values(frames, names or list(FILTER_COLUMNS))
             .withColumn("Sort_Key", F.expr("try_cast(Value AS DOUBLE)"))
             .orderBy("Filter", F.col("Sort_Key").asc_nulls_last(), "Value"))
-

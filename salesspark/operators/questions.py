@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from salesspark.functions.matching import with_matches
 from salesspark.functions.scalars import fill_template
+from salesspark.operators.metrics import distinct_values
 from salesspark.operators.rollup import Grouping, rollups
 from salesspark.session import ensure_checkpoint_dir, ship_package
 from salesspark.schema import MONTH_NAMES
@@ -66,12 +67,10 @@ ANSWER_COLUMNS = list(FILTER_FIELDS) + ["Product", "Customer", "Salesperson", "N
                                         "Sales_Amount", "Order_ID", "Quantity", "Is_Returned", "Customer_Key"]
 
 
-def vocabulary(view: DataFrame) -> DataFrame:
-    """Field and Value: the distinct values of the four recognised dimensions (the dropdown lists). The view's rows are reduced to the
-    combinations that occur before these are turned into one row per field."""
-    combinations = view.select(*[F.col(c).cast("string").alias(c) for c in VOCAB_FIELDS]).distinct()
-    return (combinations.unpivot([], list(VOCAB_FIELDS), "Field", "Value")
-            .filter(F.col("Value").isNotNull()).distinct())
+def vocabulary(frames: DataFrame | list[DataFrame]) -> DataFrame:
+    """Field and Value: the distinct values of the four recognised dimensions (the dropdown lists), of the view or of frames that have
+    them between them."""
+    return distinct_values(frames, list(VOCAB_FIELDS)).withColumnRenamed("Filter", "Field")
 
 
 def _any_contains(text: Column, words) -> Column:

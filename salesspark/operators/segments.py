@@ -6,6 +6,7 @@ order of tasks (or on the engine: SQL can rebuild them). All restarts advance in
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -100,10 +101,56 @@ def _lloyd(points: DataFrame, centres: np.ndarray, max_iter: int) -> tuple[np.nd
     return centres, cost
 
 
+def _draw(seed: int, restart: int, step: int, total: int) -> int:
+    """A whole number below ``total`` from 52 bits of an MD5."""
+    return (int(hashlib.md5(f"{seed}|{restart}|{step}".encode()).hexdigest()[:13], 16) * total) >> 52
+
+
+def _starts(points: DataFrame, k: int, restarts: int, seed: int) -> np.ndarray:
+    """(restarts, k, 3) centres by k-means++: the first is the customer with the smallest MD5 of (seed, restart, key), each other one is drawn with
+    a probability in proportion to the squared distance from the nearest centre so far.
+
+    Customers stand in ranges of their key. A step adds up the exact distances per range and restart in one pass; the draw then falls in
+    one range, and only there is the running total taken. What the driver sees are the sums of the ranges and the chosen rows.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = points.repartitionByRange(n, "Customer_Key").withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    every = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("r")
+    smallest = F.min_by(F.struct(*Z), F.struct(F.md5(F.concat_ws("|", F.lit(seed), "r", "Customer_Key")), "Customer_Key")).alias("at")
+    first = ranged.select(every, "Customer_Key", *Z).groupBy("r").agg(smallest).collect()
+    if not first:
+        return np.zeros((restarts, 0, 3), np.int64)
+    centres = {r["r"]: [[r["at"][z] for z in Z]] for r in first}
+    units = [F.col(z) for z in Z]
+    for step in range(1, min(k, ranged.limit(k).count())):
+        apart = {r: F.least(*d) if len(d := [_squared(units, np.array(c)) for c in own]) > 1 else d[0] for r, own in centres.items()}
+        sums = ranged.groupBy("_range").agg(*(F.sum(d).cast("decimal(38,0)").alias(f"d{r}") for r, d in apart.items())).orderBy("_range").collect()
+        wanted = {}
+        for r in centres:
+            left = _draw(seed, r, step, sum(int(s[f"d{r}"]) for s in sums))
+            for s in sums:
+                if left < int(s[f"d{r}"]):
+                    wanted[r] = (s["_range"], left)
+                    break
+                left -= int(s[f"d{r}"])
+        upto = Window.partitionBy("r").orderBy("Customer_Key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        chosen = {}
+        if wanted:
+            own = F.array_compact(F.array(*[F.when(F.col("_range") == at, F.struct(F.lit(r).alias("r"), F.lit(str(left)).cast("decimal(38,0)").alias("left"),
+                                                                                   apart[r].alias("d"))) for r, (at, left) in wanted.items()]))
+            rows = ranged.filter(F.col("_range").isin(sorted({at for at, _ in wanted.values()}))) \
+                .select("Customer_Key", *Z, F.explode(own).alias("o")).select("Customer_Key", *Z, "o.*")
+            hits = rows.withColumn("upto", F.sum("d").over(upto)).filter("upto > left").groupBy("r").agg(F.min_by(F.struct(*Z), "Customer_Key").alias("at"))
+            chosen = {h["r"]: [h["at"][z] for z in Z] for h in hits.collect()}
+        for r in centres:
+            centres[r].append(chosen.get(r, centres[r][0]))  # no distance left: all customers stand on centres
+    return np.array([centres[r] for r in range(restarts)], np.int64)
+
+
 def segment_customers(features: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42, max_iter: int = 300) -> DataFrame:
     """Adds Cluster (0 = best) and RFM_Segment (label by rank of mean composite score).
 
-    k-means (Lloyd) from ``restarts`` starts; a start is the k customers with the smallest MD5 of (seed, restart, key), the
+    k-means (Lloyd) from ``restarts`` starts seeded by squared distance (``_starts``); the
     restart with the least cost counts. An empty cluster keeps its centre.
     """
     if not 1 <= int(k) <= len(SEGMENT_LABELS):
@@ -112,13 +159,10 @@ def segment_customers(features: DataFrame, k: int = 4, restarts: int = 10, seed:
     ship_package(features.sparkSession)
     scored = rfm_scores(features).checkpoint(eager=True)
     points = _points(scored)
-    drawn = points.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(int(restarts) - 1))))
-    order = Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "r", "Customer_Key")), "Customer_Key")
-    first = drawn.withColumn("c", F.row_number().over(order)).filter(F.col("c") <= int(k)).orderBy("r", "c").collect()
-    if not first:
+    starts = _starts(points, int(k), int(restarts), seed)
+    if not starts.size:
         return scored.select("*", F.lit(0).alias("Cluster"), F.lit("").alias("RFM_Segment"))
-    size = max(f["c"] for f in first)  # fewer customers than k: as many clusters
-    centres, cost = _lloyd(points, np.array([[f[z] for z in Z] for f in first], np.int64).reshape(int(restarts), size, 3), max_iter)
+    centres, cost = _lloyd(points, starts, max_iter)
     best = centres[min(range(len(cost)), key=lambda r: (cost[r], r))]
     units = [F.round(F.col(z) * UNITS).cast("long") + SHIFT * UNITS for z in Z]
     far = F.array(*[_squared(units, c) for c in best])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from salesspark.functions.filters import filter_columns
 from salesspark.operators import metrics as M
 from salesspark.plans.oracle import with_view
-from salesspark.sources.tables import sales_view
+from salesspark.sources.tables import filter_frames, sales_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -204,7 +204,7 @@ SELECT Filter, Value, TRY_CAST(Value AS DOUBLE) AS Sort_Key FROM (
     ON COLUMNS(*) INTO NAME Filter VALUE Value)
   WHERE Value IS NOT NULL) t"""))
 def q_filter_options(spark, sf_dir):
-    return M.filter_options(sales_view(spark, sf_dir))
+    return M.filter_options(filter_frames(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- ABC, Pareto, bands, shares
@@ -620,7 +620,7 @@ def _user_questions(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    vocab = Q.vocabulary(view_for(spark, sf_dir, list(Q.VOCAB_FIELDS)))
+    vocab = Q.vocabulary(filter_frames(spark, sf_dir))
     return Q.parse_questions(_user_questions(spark, sf_dir), vocab)
 
 
@@ -718,14 +718,27 @@ def _segments_ctes(k: int = 4, restarts: int = 10, seed: int = 42, max_iter: int
     unit = "CAST(round({} * 1000000) AS BIGINT) + 1000000000"
     d = "(p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y) + (p.z - w.z) * (p.z - w.z)"
     moved = ", ".join(f"COALESCE((2 * s.{v} + s.n) // (2 * s.n), w.{v}) AS n{v}" for v in "xyz")
+    draw = "CAST('0x' || substr(md5('{seed}|' || r || '|{step}'), 1, 13) AS HUGEINT)"
+    seeds = [f"""
+s1 AS MATERIALIZED (SELECT r, 1 AS c, x, y, z FROM (SELECT t.r, p.x, p.y, p.z,
+    ROW_NUMBER() OVER (PARTITION BY t.r ORDER BY md5('{seed}|' || t.r || '|' || Customer_Key), Customer_Key) AS nth
+  FROM pts p, range(0, {restarts}) AS t(r)) a WHERE nth = 1)"""]
+    for step in range(1, k):  # each further centre: the first customer at which the running total of distances passes the draw
+        seeds.append(f"""
+s{step + 1} AS MATERIALIZED (SELECT * FROM s{step} UNION ALL
+  SELECT f.r, {step + 1} AS c, COALESCE(h.x, f.x), COALESCE(h.y, f.y), COALESCE(h.z, f.z) FROM s1 f LEFT JOIN (
+    SELECT r, arg_min(x, Customer_Key) AS x, arg_min(y, Customer_Key) AS y, arg_min(z, Customer_Key) AS z FROM (
+      SELECT *, SUM(d) OVER (PARTITION BY r ORDER BY Customer_Key ROWS UNBOUNDED PRECEDING) AS upto,
+        ({draw.format(seed=seed, step=step)} * SUM(d) OVER (PARTITION BY r)) // 4503599627370496 AS left_of
+      FROM (SELECT w.r, p.Customer_Key, p.x, p.y, p.z, MIN(CAST({d} AS HUGEINT)) AS d FROM s{step} w, pts p GROUP BY ALL) e) u
+    WHERE upto > left_of GROUP BY r) h ON h.r = f.r WHERE {step} < (SELECT COUNT(*) FROM pts))""")
+    seeds.append(f"starts AS MATERIALIZED (SELECT * FROM s{k})")
     return [f"""
 zs AS (SELECT *, {z('-Recency_Days')} AS zr, {z('CAST(Frequency AS DOUBLE)')} AS zf, {z('Monetary')} AS zm FROM feat)""", f"""
 pts AS MATERIALIZED (SELECT Customer_Key, (zr + zf + zm) / 3 AS comp, {unit.format('zr')} AS x, {unit.format('zf')} AS y, {unit.format('zm')} AS z
-  FROM zs)""", f"""
+  FROM zs)""", *seeds, f"""
 it(i, r, c, x, y, z, moved) AS (
-  SELECT 0, r, c, x, y, z, true FROM (
-    SELECT t.r, p.x, p.y, p.z, ROW_NUMBER() OVER (PARTITION BY t.r ORDER BY md5('{seed}|' || t.r || '|' || Customer_Key), Customer_Key) AS c
-    FROM pts p, range(0, {restarts}) AS t(r)) a WHERE c <= {k}
+  SELECT 0, r, c, x, y, z, true FROM starts
   UNION ALL
   SELECT i + 1, r, c, nx, ny, nz, bool_or(nx <> x OR ny <> y OR nz <> z) OVER (PARTITION BY r) FROM (
     SELECT w.i, w.r, w.c, w.x, w.y, w.z, {moved}
@@ -1015,7 +1028,7 @@ ORACLE["question_answers"] = _answers_sql(
 
 def _bank_answers(spark, sf_dir):
     view = view_for(spark, sf_dir, sorted(set(Q.ANSWER_COLUMNS + Q.BANK_COLUMNS)))
-    vocab = Q.vocabulary(view)
+    vocab = Q.vocabulary(filter_frames(spark, sf_dir))
     parsed = Q.parse_questions(Q.question_bank(view), vocab)
     return Q.answer_questions(parsed, view, ["Question_ID"])
 
@@ -1030,7 +1043,7 @@ def q_question_bank_answers(spark, sf_dir):
                                            *_parse_ctes("q", ["Question_ID"])))
 def q_question_bank_parse(spark, sf_dir):
     view = view_for(spark, sf_dir, sorted(set(Q.VOCAB_FIELDS) | set(Q.BANK_COLUMNS)))
-    p = Q.parse_questions(Q.question_bank(view), Q.vocabulary(view))
+    p = Q.parse_questions(Q.question_bank(view), Q.vocabulary(filter_frames(spark, sf_dir)))
     return p.select("Question_ID", "Metric", "Dimension", *Q.FILTER_FIELDS,
                     _F.concat_ws(", ", "Recognized_Terms").alias("Recognized_Terms"))
 

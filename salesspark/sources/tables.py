@@ -93,6 +93,35 @@ def _line_columns(li: DataFrame) -> DataFrame:
     )
 
 
+def _view_columns() -> dict[str, Column]:
+    """View columns by the columns of the tables that they come from."""
+    return {
+        "Order_Date": F.col("Order_Date"),
+        "Year": F.year("Order_Date"),
+        "Quarter": F.concat(F.lit("Q"), F.quarter("Order_Date").cast("string")),
+        "Month": F.month("Order_Date"),
+        "Month_Name": F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month("Order_Date")),
+        "Region": F.col("r_name"),
+        "Country": F.col("n_name"),
+        "State": F.concat(F.col("n_name"), F.lit("/S"), (F.col("c_custkey") % 4).cast("string")),
+        "City": F.concat(F.col("n_name"), F.lit("/S"), (F.col("c_custkey") % 4).cast("string"),
+                         F.lit("/C"), (F.col("c_custkey") % 16).cast("string")),
+        "Product": F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string")),
+        "Category": F.col("p_type"),
+        "Sub_Category": F.col("p_brand"),
+        "Unit_Price": F.col("p_retailprice").cast(_MONEY),
+        "Unit_Cost": (F.col("p_retailprice").cast(_MONEY) * F.lit(0.6).cast("decimal(2,1)")).cast("decimal(15,3)"),
+        "Customer": F.col("c_name"),
+        "Segment": F.col("c_mktsegment"),
+        "Customer_Rating": (F.lit(10) + F.col("c_custkey") % 41).cast("double") / 10,
+        "Customer_Key": F.col("o_custkey"),
+        "Salesperson": F.col("s_name"),
+        "Salesperson_Key": F.col("s_suppkey"),
+        "Channel": F.col("Channel"),
+        "Payment_Mode": F.col("o_orderstatus"),
+    }
+
+
 def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
                keys_complete: bool = False, stored: dict[str, DataFrame] | None = None) -> DataFrame:
     """Flattened order-line sales view over the tables in ``sf_dir``; ``stored`` has tables to read from elsewhere (``layout.stored_layout``).
@@ -132,34 +161,31 @@ def sales_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
         supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
         fact = fact.join(supp, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("Channel") != "LOW"), "left")
 
-    exprs = {
-        "Order_Date": F.col("Order_Date"),
-        "Year": F.year("Order_Date"),
-        "Quarter": F.concat(F.lit("Q"), F.quarter("Order_Date").cast("string")),
-        "Month": F.month("Order_Date"),
-        "Month_Name": F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month("Order_Date")),
-        "Region": F.col("r_name"),
-        "Country": F.col("n_name"),
-        "State": F.concat(F.col("n_name"), F.lit("/S"), (F.col("c_custkey") % 4).cast("string")),
-        "City": F.concat(F.col("n_name"), F.lit("/S"), (F.col("c_custkey") % 4).cast("string"),
-                         F.lit("/C"), (F.col("c_custkey") % 16).cast("string")),
-        "Product": F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string")),
-        "Category": F.col("p_type"),
-        "Sub_Category": F.col("p_brand"),
-        "Unit_Price": F.col("p_retailprice").cast(_MONEY),
-        "Unit_Cost": (F.col("p_retailprice").cast(_MONEY) * F.lit(0.6).cast("decimal(2,1)")).cast("decimal(15,3)"),
-        "Customer": F.col("c_name"),
-        "Segment": F.col("c_mktsegment"),
-        "Customer_Rating": (F.lit(10) + F.col("c_custkey") % 41).cast("double") / 10,
-        "Customer_Key": F.col("o_custkey"),
-        "Salesperson": F.col("s_name"),
-        "Salesperson_Key": F.col("s_suppkey"),
-        "Channel": F.col("Channel"),
-        "Payment_Mode": F.col("o_orderstatus"),
-    }
+    exprs = _view_columns()
     return fact.select(*[exprs.get(c, F.col(c)).alias(c) for c in cols])
 
 
+def filter_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The filter columns of the view, each out of the smallest table that has it, with only the rows that some line leads to (semi-joins by
+    the keys of the lines). Between them they hold the same values as the view whose keys are complete, without a wide copy of the lines."""
+    lines, exprs = read_table(spark, sf_dir, "lineitem"), _view_columns()
+
+    def columns(df: DataFrame, *names: str) -> DataFrame:
+        return df.select(*(exprs[c].alias(c) for c in names))
+
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("Order_Date"), F.expr("substr(o_orderpriority, 3)").alias("Channel"))
+    orders = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    part = read_table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    nation = read_table(spark, sf_dir, "nation").join(read_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = read_table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi") \
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    sold = lines.join(orders.filter(F.col("Channel") != "LOW"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    sellers = read_table(spark, sf_dir, "supplier").join(sold, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi")
+    return [columns(orders, "Year", "Quarter", "Month", "Channel").distinct(), columns(part, "Product", "Category", "Sub_Category"),
+            columns(customers, "Region", "Country", "State", "City", "Customer", "Segment"), columns(sellers, "Salesperson")]
+
+
 def check_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per key that the view resolves: child rows without a parent and parent keys that repeat (all zero: ``keys_complete``
     holds). A line's supplier may be missing, so only its repeats matter."""

@@ -1,9 +1,13 @@
 """Co-purchase cosine top-n against a brute-force numpy computation."""
 
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from salesspark.operators import basket
 from salesspark.operators.basket import copurchase_top, recommend
 
 BASKETS = {1: ["A", "B", "C"], 2: ["A", "B"], 3: ["B", "C", "D"], 4: ["E"], 5: ["A", "A", "F"], 6: ["G", "H"]}
@@ -50,8 +54,10 @@ def test_recommend_unknown_product_is_empty(spark):
     assert [r["Product"] for r in recommend(recs, "A").collect()] == ["B"]
 
 
-def test_hot_order_with_a_third_of_the_lines(spark):
-    import random
+@pytest.mark.parametrize("tile", [512, 4, 1])
+def test_hot_order_with_a_third_of_the_lines(spark, monkeypatch, tile):
+    """Whole, or in tiles whose pairs are bounded by the scores of the other orders."""
+    monkeypatch.setattr(basket, "TILE", tile)
     rnd = random.Random(11)
     products = [f"P{i:02d}" for i in range(30)]
     baskets = {o: rnd.sample(products, rnd.randint(1, 3)) for o in range(1, 41)}
@@ -62,3 +68,18 @@ def test_hot_order_with_a_third_of_the_lines(spark):
     for r in copurchase_top(view, 5).orderBy("Product", "Rank").collect():
         got.setdefault(r["Product"], []).append((r["Recommended_Product"], float(r["Co_Orders"]), r["Similarity_Score"]))
     assert got == brute(5, baskets)
+
+
+def test_tiles_of_a_giant_order_meet_once(spark, monkeypatch):
+    """Each pair of an order is made once, whatever its tiles, and no task's share of a giant order grows with the square of its size."""
+    monkeypatch.setattr(basket, "TILE", 10)
+    rows = spark.range(300).select(F.lit(1).alias("Order_ID"), F.concat(F.lit("P"), F.col("id")).alias("Product"), F.lit(1).alias("_n"),
+                                   F.lit(300).alias("_size"), F.lit(0.0).alias("_least"))
+    pairs = basket._pairs(rows)
+    assert pairs.count() == 300 * 299 // 2 and pairs.filter("Co_Orders <> 1 OR _p >= _q").count() == 0
+
+
+def test_pairs_that_cannot_reach_a_score_are_not_made(spark):
+    rows = spark.createDataFrame([(1, "A", 1, 3, 0.5), (1, "B", 100, 3, 0.5), (1, "C", 100, 3, 0.0)],
+                                 "Order_ID int, Product string, _n int, _size int, _least double")
+    assert {(r["_p"], r["_q"]) for r in basket._pairs(rows).collect()} == {("A", "C"), ("B", "C")}  # A with B reach 1 / sqrt(100) at most

@@ -1,5 +1,6 @@
 """Model contracts: labels, shapes, determinism, injected outliers (no accuracy thresholds)."""
 
+import hashlib
 import math
 import random
 
@@ -67,6 +68,33 @@ def test_nearest_centres_are_exact_at_any_distance():
             assert (whole.index(min(whole)), min(whole)) == (a, least)
 
 
+def test_starts_are_drawn_by_squared_distance(spark):
+    """Against plain loops: the running total in key order, the first customer beyond the draw."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), *map(int, rng.integers(-10**6, 10**6, 3))) for k in rng.permutation(200)]
+    rows[5] = (rows[5][0], 4 * 10**12, 0, 0)  # squares far beyond 64 bits
+    points = spark.createDataFrame(rows, "Customer_Key long, Z_Recency long, Z_Frequency long, Z_Monetary long")
+    got = SG._starts(points, 4, 6, 42).tolist()
+    for r in range(6):
+        centres = [list(min(rows, key=lambda x: hashlib.md5(f"42|{r}|{x[0]}".encode()).hexdigest())[1:])]
+        for step in (1, 2, 3):
+            d = [(k, min(sum((a - b) ** 2 for a, b in zip(p, c, strict=True)) for c in centres), list(p)) for k, *p in sorted(rows)]
+            left = (int(hashlib.md5(f"42|{r}|{step}".encode()).hexdigest()[:13], 16) * sum(x[1] for x in d)) >> 52
+            for _, apart, p in d:
+                if left < apart:
+                    centres.append(p)
+                    break
+                left -= apart
+        assert got[r] == centres
+
+
+def test_starts_of_few_and_equal_customers(spark):
+    schema = "Customer_Key long, Z_Recency long, Z_Frequency long, Z_Monetary long"
+    assert SG._starts(spark.createDataFrame([(1, 1, 2, 3), (2, 4, 5, 6)], schema), 4, 3, 42).shape == (3, 2, 3)
+    assert SG._starts(spark.createDataFrame([(k, 7, 7, 7) for k in range(9)], schema), 4, 2, 42).tolist() == [[[7, 7, 7]] * 4] * 2
+    assert SG._starts(spark.createDataFrame([], schema), 4, 2, 42).size == 0
+
+
 @pytest.fixture(scope="module")
 def labeled(spark):
     rnd = random.Random(1)

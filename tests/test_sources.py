@@ -50,3 +50,17 @@ def test_keys_of_the_test_tables_are_complete(spark):
 def test_line_keys_are_unique(spark):
     keys = sales_view(spark, SF, ["Sales_Key"], keys_complete=True)
     assert keys.distinct().count() == keys.count()
+
+
+def test_filter_frames_hold_the_values_of_the_view(spark):
+    """Rows of dimensions that no line leads to are left out, and no column is made 14 times out of the lines."""
+    from salesspark.operators.metrics import filter_options
+    from salesspark.sources.tables import filter_frames
+
+    folder = tempfile.mkdtemp(prefix="salesspark-test-frames-")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        (rows.filter("l_orderkey % 50 = 0") if name == "lineitem" else rows).write.parquet(f"{folder}/{name}.parquet")
+    got = sorted(map(tuple, filter_options(filter_frames(spark, folder)).collect()), key=str)
+    assert got == sorted(map(tuple, filter_options(sales_view(spark, folder)).collect()), key=str)
+    assert 0 < len(got) < filter_options(sales_view(spark, SF)).count()
