@@ -49,7 +49,7 @@ KPI_ANSWER = {
     "Return_Rate": ("return_rate_pct", "return rate", True),
 }
 BREAKDOWN_METRICS = ("Net_Revenue", "Profit", "Orders", "Units")
-# The answer sentences.
+# The answer sentences and what they say where no filter is set.
 KPI_ANSWER_TEXT = "The {label} for {filters} is **{value}**.{note}"
 KPI_DROPPED_NOTE = " (A per-{dimension} breakdown isn't available for {label}, so this is the overall figure.)"
 BREAKDOWN_ANSWER_TEXT = "Breakdown by {dimension} for {filters}: **{leader}** leads with {metric} of {value}."

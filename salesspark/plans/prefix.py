@@ -58,13 +58,3 @@ def running_total(df: DataFrame, value: str, order: list[Column], out: str = "Ru
         if count:
             res = res.withColumn(count, grand.getField("n"))
     return res.drop("_range", "_sum_offset", "_row_offset")
-
-
-def running_total_single(df: DataFrame, value: str, order: list[Column], out: str = "Running_Total",
-                         rank: str | None = None) -> DataFrame:
-    """Reference implementation on one window (one task); used by tests to check ``running_total``."""
-    w = Window.orderBy(*order)
-    res = df.withColumn(out, F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    if rank:
-        res = res.withColumn(rank, F.row_number().over(w))
-    return res

@@ -10,7 +10,7 @@ from salesspark.sources.star import STAR_SCHEMAS, view_from_star  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
-# Hand-computed star fixture: 4 order lines, 2 regions, 2 products, 2 customers.
+# The star fixture that the expected results are worked out for, 4 order lines, 2 regions, 2 products, 2 customers.
 DIM_DATE = [(1, "2024-01-05", 2024, "1", 1, "January"), (2, "2024-02-10", 2024, "1", 2, "February"),
             (3, "2024-03-15", 2024, "1", 3, "March"), (4, "2024-03-01", 2024, "1", 3, "March")]
 DIM_REGION = [(1, "North", "India", "TN", "Chennai"), (2, "South", "India", "KA", "Bengaluru")]
