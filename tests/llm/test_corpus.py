@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from salesspark.llm import mixing, neighbours, quality, sharding, warc
 from salesspark.llm.common import shared_folder
+from salesspark.llm.files import file_system
 
 SF = "/root/testdata/sf0.001"
 
@@ -296,7 +297,7 @@ def test_archives_round_trip(spark, min_bytes, monkeypatch):
 def test_broken_segments_are_errors(spark):
     members = warc.page_records(1, "u", b"x" * 5000, _b32(b"x" * 5000), None, segment_bytes=1000)
     folder = shared_folder(spark, "test-broken")
-    fs, path = warc.TaskFiles.__init__.__globals__["file_system"](folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
 
     def read(parts):
