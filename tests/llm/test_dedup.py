@@ -72,6 +72,13 @@ def test_line_hot_key(docs_of):
 
 # ---------------------------------------------------------------- exact
 
+def test_more_salts_change_nothing(docs_of, monkeypatch):
+    texts = [f"hot line\nline {i % 7}\n{i}\nhot line" for i in range(60)] + [None, ""]
+    want = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(docs_of(texts), min_docs=3).collect())
+    monkeypatch.setattr(line_dedup, "ROWS_A_SALT", 1)
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(docs_of(texts), min_docs=3).collect()) == want
+
+
 def test_exact_against_brute_force(docs_of):
     rnd = random.Random(9)
     base = ["alpha beta", "alpha  beta", "alphabeta ", "gamma", None, "", " \n\t", "é", "é", "gamma "]
@@ -180,6 +187,17 @@ def test_prefix_filter_finds_all_links_between_components(spark):
     assert want and want <= got and len(got) < 3 * len(want) + 50
 
 
+def test_near_texts_that_share_an_id(spark):
+    """Each text under one doc_id is linked on its own, and a link goes to the class, not to the id."""
+    rnd = random.Random(9)
+    a, b, c = (" ".join(f"{x}{rnd.randrange(10**6)}" for _ in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(5, a), (5, b), (5, c), (3, a + " end"), (9, b + " end"), (9, c.upper())], "doc_id long, text string")
+    found = near_dup.near_duplicates(docs).collect()
+    got = sorted((r["doc_id"], r["component_id"], r["kept"], r["class_id"]) for r in found)
+    assert got == [(3, 3, True, 3), (5, 3, False, 5), (5, 5, True, 5), (5, 5, True, 5), (9, 5, False, 5), (9, 5, False, 9)]
+    assert len({r["component"] for r in found}) == 3 and all(r["component"] is not None for r in found)
+
+
 def test_near_repeated_rows_and_null_ids(spark):
     text = " ".join(f"t{i}" for i in range(50))
     docs = spark.createDataFrame([(3, text), (3, text), (None, text), (7, text + " end")], "doc_id long, text string")

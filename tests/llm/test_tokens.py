@@ -137,5 +137,19 @@ def test_shortcuts_for_every_latin_letter():
     with open(WORD, encoding="utf-8") as f:
         encoder = token_files.WordEncoder(f.read())
     for c in filter(str.isalpha, map(chr, range(0x250))):
-        for t in (f"{c},", f"{c}.", f"EVLER{c},", f"evler{c}.", f"{c}a,", f"EVLER{c}", f"1{c}.", f"it'{c},"):
+        for t in (f"{c},", f"{c}.", f"EVLER{c},", f"evler{c}.", f"{c}a,", f"EVLER{c}", f"1{c}.", f"it'{c},", f"{c}$$$", f"ab{c}!?", f"Ab{c}'",
+                  f"{c}'s", f"A{c}-", f"({c})", f"{c}.,{c}"):
             assert encoder.encode(t) == encoder.library(t), t
+
+
+def test_tokenizers_that_do_not_fold_are_left_alone():
+    """Without lower-casing or byte letters the probes fail, and every piece goes to the library."""
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"] = [n for n in spec["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    encoder = token_files.WordEncoder(json.dumps(spec))
+    assert not encoder.folds
+    for t in _random_texts(100):
+        assert encoder.encode(t) == encoder.library(t), t
