@@ -205,6 +205,27 @@ def test_near_repeated_rows_and_null_ids(spark):
     assert got == [(-1, None, True), (3, 3, True), (3, 3, True), (7, 3, False)]
 
 
+@pytest.mark.parametrize("hubs", [0, 3, 1000])
+def test_components_of_random_links_and_hubs(spark, monkeypatch, hubs):
+    """Against union-find; two hubs hold most links. With few hubs allowed, most nodes go by the join."""
+    monkeypatch.setattr(near_dup, "HUBS", hubs)
+    rnd = random.Random(hubs)
+    links = [(rnd.randrange(400, 700), rnd.randrange(400, 700)) for _ in range(150)] + [(7, i) for i in range(100, 250)] + \
+        [(390, i) for i in range(250, 350)] + [(12, 12)]
+    at = {}
+
+    def find(i):
+        while at.setdefault(i, i) != i:
+            i = at[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        at[y] = x
+    got = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in at if find(i) != i}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     rows = near_dup.components(links).collect()
