@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from salesspark.llm.kept import Kept, owns, working_for
 
-#: Bytes that a worker keeps of encoded words, of what stands between spaces, and of transitions.
-KEPT_WORDS, KEPT_PIECES, KEPT_STEPS, LONGEST = 32 << 20, 160 << 20, 40 << 20, 48
+#: Bytes that a worker keeps of encoded words, of what stands between spaces, and of transitions: for a worker with an executor to itself, and
+#: for one that shares it with what the stages of a pipeline have left in its heap. Less is slower, never different.
+AMPLE, SMALL = (32 << 20, 160 << 20, 40 << 20), (8 << 20, 40 << 20, 24 << 20)
+LONGEST = 48
 
 #: Fixed value: the ByteLevel split pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +59,7 @@ class Automaton:
     arc ``b`` from the state behind ``a``; ``made_from[c]`` is the token whose state ``c``'s was made from, and the rank;
     ``arcs_of[c]`` is the token whose arcs ``c``'s follow, and the rank."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], kept_steps: int = AMPLE[2]):
         letter_byte = {c: b for b, c in enumerate(byte_letters())}
         self.labels = {i: bytes(letter_byte[c] for c in t) for t, i in vocab.items() if all(c in letter_byte for c in t)}
         self.taken: dict[tuple[int, int], int] = {}
@@ -74,7 +76,7 @@ class Automaton:
             for end in range(1, len(label)):
                 self.spelt.setdefault(label[:end], -1)
             self.spelt[label] = t
-        self.table = Kept(lambda arc: self._has_arc(arc >> 32, arc & 0xFFFFFFFF), KEPT_STEPS)
+        self.table = Kept(lambda arc: self._has_arc(arc >> 32, arc & 0xFFFFFFFF), kept_steps)
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
         self.taken[a, b] = rank
@@ -125,7 +127,7 @@ class Automaton:
 class Codec:
     """Encode and decode whole texts with the vocabulary of a tokenizer file."""
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, kept: tuple[int, int, int] = AMPLE):
         d = json.loads(spec)
         model, pre = d["model"], d.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or d.get("normalizer"):
@@ -133,13 +135,13 @@ class Codec:
         if any(t[k] for t in d["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens that strip or normalise are not supported")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], merges)
+        self.automaton = Automaton(model["vocab"], merges, kept[2])
         self.added = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.split = regex.compile(SPLIT)
         self.labels = self.automaton.labels | {i: t.encode() for t, i in self.added.items()}
-        self.words = Kept(self._word, KEPT_WORDS, LONGEST)
-        self.pieces = Kept(self._piece, KEPT_PIECES, LONGEST)
+        self.words = Kept(self._word, kept[0], LONGEST)
+        self.pieces = Kept(self._piece, kept[1], LONGEST)
 
     def _word(self, word: str) -> bytes:
         return np.array(self.automaton.encode(word.encode()), "<u4").tobytes()
@@ -178,24 +180,25 @@ class Codec:
         return b"".join([labels.get(i, b"") for i in np.frombuffer(ids or b"", "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 owns("bpe", _CODECS.clear)
 
 
-def codec_of(spec: bytes) -> Codec:
-    """One compiled codec per worker process and vocabulary."""
-    key = hash(spec)
+def codec_of(spec: bytes, kept: tuple[int, int, int] = AMPLE) -> Codec:
+    """One compiled codec per worker process, vocabulary and budget; only the last one is held."""
+    key = (hash(spec), kept)
     if key not in _CODECS:
-        _CODECS[key] = Codec(spec)
+        _CODECS.clear()
+        _CODECS[key] = Codec(spec, kept)
     return _CODECS[key]
 
 
-def _mapped(df: DataFrame, spec: bytes, steps: str, text_col: str, rows: int = 256) -> DataFrame:
+def _mapped(df: DataFrame, spec: bytes, steps: str, text_col: str, kept: tuple[int, int, int] = AMPLE, rows: int = 256) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working_for("bpe")
-        codec = codec_of(shared.value)
+        codec = codec_of(shared.value, kept)
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
@@ -223,6 +226,6 @@ def decode(encoded: DataFrame, spec: bytes) -> DataFrame:
     return _mapped(encoded, spec, "decode", "")
 
 
-def round_trip(docs: DataFrame, spec: bytes, text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, spec: bytes, text_col: str = "text", kept: tuple[int, int, int] = AMPLE) -> DataFrame:
     """``row``, ``ids`` and ``decoded``: both ways in one pass over the texts."""
-    return _mapped(docs, spec, "both", text_col)
+    return _mapped(docs, spec, "both", text_col, kept)

@@ -50,11 +50,9 @@ def test_decode_of_strange_ids(codec):
     assert codec.decode(half) == "�" and codec.decode(None) == ""
 
 
-def test_caches_start_anew(monkeypatch):
-    for budget in ("KEPT_WORDS", "KEPT_PIECES", "KEPT_STEPS"):
-        monkeypatch.setattr(bpe, budget, 2_000)
+def test_caches_start_anew():
     with open(BYTE, "rb") as f:
-        small = bpe.Codec(f.read())
+        small = bpe.Codec(f.read(), kept=(2_000, 2_000, 2_000))
     library = Tokenizer.from_file(BYTE)
     for t in _random_texts(50):
         assert np.frombuffer(small.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
