@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (little-endian unsigned 32-bit integers) and the digest of what they decode to."""
     with open(public_tokenizers.path(VOCABULARY), "rb") as f:
-        both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), f.read())
+        both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), f.read(), kept=bpe.SMALL)
     return both.select("row.doc_id", "row.lang", "row.source", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
