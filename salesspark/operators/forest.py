@@ -32,6 +32,8 @@ BINS = 64
 UNIT = 10 ** 12
 #: Trees that one MD5 serves, 16 bits each.
 PER_HASH = 8
+#: Training rows that a task has at least: what tasks add up is as large as their counts that are not zero.
+ROWS_A_TASK = 4_000
 
 
 def poisson_bounds() -> list[int]:
@@ -137,7 +139,7 @@ def _histogram(rows: DataFrame, forest: Forest, level: int, active: np.ndarray)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grown, tree = shared.value, np.arange(trees)
-        sums = np.zeros((trees * width * n_features * BINS, 2), np.int64)
+        sums = np.zeros(trees * width * n_features * BINS * 2)  # whole numbers far below 2**53
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
@@ -152,8 +154,9 @@ def _histogram(rows: DataFrame, forest: Forest, level: int, active: np.ndarray)
                 here = np.where(node >= width, node - width, 0)
                 row, t = np.nonzero((node >= width) & (weights > 0) & grown["active"][tree, here])
                 base, w = (t * width + here[row, t]) * n_features, weights[row, t]
-                for f in range(n_features):
-                    np.add.at(sums, ((base + f) * BINS + bins[row, f], y[row]), w)
+                places = [((base + f) * BINS + bins[row, f]) * 2 + y[row] for f in range(n_features)]
+                sums += np.bincount(np.concatenate(places), np.tile(w, n_features), len(sums))
+        sums = sums.astype(np.int64).reshape(-1, 2)
         found = np.flatnonzero(sums.any(axis=1))
         rest, of_bin = np.divmod(found, BINS)
         rest, feature = np.divmod(rest, n_features)
@@ -195,7 +198,7 @@ def grow(train: DataFrame, features: list[str], label: str, key: str, counts: tu
     """Fit on ``train``: numeric ``features``, a ``label`` of 0 or 1 with ``counts`` rows each, and a unique ``key``."""
     forest = Forest(list(features), int(trees), int(depth), counts[0], counts[1], {})
     edges = bin_edges(train, features, sum(counts))
-    rows = _prepared(train, key, features, label, edges, forest.trees, seed).checkpoint(eager=True)
+    rows = _prepared(train, key, features, label, edges, forest.trees, seed).coalesce(max(1, sum(counts) // ROWS_A_TASK)).checkpoint(eager=True)
     subset = max(1, int(math.sqrt(len(features))))
     active = np.ones((forest.trees, 1), bool)
     for level in range(forest.depth):
