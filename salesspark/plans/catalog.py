@@ -1231,12 +1231,12 @@ def q_stored_layout_orders(spark, sf_dir):
 
 @register("export_round_trip", "SELECT Format, e.* FROM (" + _export_sql() + ") e, (VALUES ('csv'), ('parquet')) f(Format)")
 def q_export_round_trip(spark, sf_dir):
-    """The seven exports as CSV and as Parquet, a folder per view in the shared store, counted and summed from the files."""
+    """The seven exports as Parquet, and these files as CSV, a folder per view in the shared store, counted and summed from the files."""
     views = {name: build() for name, build in export_catalog(view_for(spark, sf_dir, _EXPORT_COLUMNS)).items()}
     root, schemas, out = _new_folder(spark, "export"), {name: df.schema for name, df in views.items()}, None
-    for fmt in ("csv", "parquet"):
-        back = read_views(spark, write_views(views, f"{root}/{fmt}", fmt), schemas, fmt)
-        for name, df in back.items():
+    for fmt in ("parquet", "csv"):
+        views = read_views(spark, write_views(views, f"{root}/{fmt}", fmt), schemas, fmt)
+        for name, df in views.items():
             revenue = next(c for c in ("Net_Revenue", "Revenue") if c in df.columns)
             row = df.agg(_F.count(_F.lit(1)).alias("Row_Count"), _F.round(_F.sum(_F.col(revenue).cast("decimal(20,4)")).cast("double"), 2).alias("Revenue")) \
                 .select(_F.lit(fmt).alias("Format"), _F.lit(name).alias("View_Name"), "Row_Count", "Revenue")
