@@ -235,3 +235,28 @@ def test_average_path_length():
     assert c[0] == 0 and c[1] == 0 and c[2] == 1
     assert c[3] == pytest.approx(2 * (np.log(255) + AN.EULER) - 2 * 255 / 256)
 
+
+@pytest.mark.parametrize("cells", [AN.CELLS, 2_000, 0])
+def test_look_ups_find_the_leaves_of_the_way_down(monkeypatch, cells):
+    """For any line, on a split and beyond all of them too, and for trees that are too large for look-ups."""
+    monkeypatch.setattr(AN, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=3000), rng.integers(0, 5, 3000), rng.exponential(size=3000), np.zeros(3000)])
+    nodes = [n for t in range(12) for n in AN._grow(t, x[rng.choice(3000, 256, replace=False)], 42, 8)]
+    nodes += [(12, 1, -1, 0.0, 256, 0)]  # a tree of equal lines has no split
+    edges = np.array([n[3] for n in nodes if n[2] >= 0][:200])
+    x = np.concatenate([x, np.column_stack([edges] * 4), [[np.inf] * 4, [-np.inf] * 4, [np.nan] * 4]])
+    assert (AN._total_paths(x, *AN._lookups(nodes)) == AN._descend(x, AN._flatten(nodes))).all()
+    assert len(AN._total_paths(x[:0], *AN._lookups(nodes))) == 0
+
+
+@pytest.mark.parametrize("lines", [300, 20_000])
+def test_draws_are_the_smallest_hashes(spark, lines):
+    rows = spark.range(lines).select(F.col("id").alias("_key"), *[F.col("id").cast("double").alias(c) for c in AN.FEATURES])
+    drawn = AN.tree_samples(AN.distinct_lines(rows).checkpoint(), lines, 9, 7, 64).collect()
+
+    def md5(text):
+        return hashlib.md5(text.encode()).hexdigest()
+    for tree in range(9):
+        order = sorted(range(lines), key=lambda k: (md5(f"7|draw|{tree // 8}|{k}|1")[tree % 8 * 4:][:4], md5(f"7|{tree}|{k}|1")))
+        assert sorted(r[1] for r in drawn if r["tree"] == tree) == sorted(map(float, order[:64]))
