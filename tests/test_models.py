@@ -260,3 +260,9 @@ def test_draws_are_the_smallest_hashes(spark, lines):
     for tree in range(9):
         order = sorted(range(lines), key=lambda k: (md5(f"7|draw|{tree // 8}|{k}|1")[tree % 8 * 4:][:4], md5(f"7|{tree}|{k}|1")))
         assert sorted(r[1] for r in drawn if r["tree"] == tree) == sorted(map(float, order[:64]))
+
+
+def test_lines_get_their_scores_without_a_join(lines):
+    flagged = AN.detect_anomalies(lines, trees=10, key="Order_ID", flagged_only=True)
+    assert "Join" not in flagged._jdf.queryExecution().toString()
+    assert flagged.count() == 61
