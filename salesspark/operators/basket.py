@@ -1,7 +1,8 @@
 """Item-item cosine similarity over order baskets, top n per product.
 
 ``basket`` = distinct (order, product), taken from the lines once and kept. Co-occurrence counts come from a self-join on the order,
-aggregated map-side per product pair; similarity is ``co / sqrt(n_a * n_b)``.
+aggregated map-side per product pair; similarity is ``co / sqrt(n_a * n_b)``. A product goes through the shuffles of lines and pairs as its
+place in name order, eight bytes that break ties as the name does; only the few best partners get their names back.
 
 An order of m products has m^2 / 2 pairs. Its products are dealt by hash into tiles of about ``TILE``, and it is pairs of tiles that meet, so an
 order with a third of all lines is many tasks by construction. Where there are such orders, the pairs of the others give each
@@ -14,10 +15,13 @@ returns n rows whenever n products exist.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesspark.session import ensure_checkpoint_dir
+from salesspark.plans.prefix import running_total
+from salesspark.session import ensure_checkpoint_dir, small_tasks
 
 BASKET_COLUMNS = ["Order_ID", "Product"]
 #: Products of one tile of an order, on average at most.
@@ -28,8 +32,12 @@ def _similarity(co: Column) -> Column:
     return co / F.sqrt(F.col("_na").cast("double") * F.col("_nb"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """_p, _q (_p < _q by name), _na, _nb and Co_Orders from rows (Order_ID, Product, _n, _size, _least)."""
+def _pairs(rows: DataFrame, tiled: bool = True) -> DataFrame:
+    """_p, _q (_p < _q by name), _na, _nb and Co_Orders from rows (Order_ID, Product, _n, _size, _least); not ``tiled``, the rows of an order
+    meet where they lie, without a shuffle by tiles."""
+    if not tiled:
+        one, other = (rows.select("Order_ID", F.struct("Product", "_n").alias(side)) for side in "ab")
+        return _counted(one.join(other, "Order_ID").filter(F.col("a.Product") < F.col("b.Product")), F.col("a"), F.col("b"))
     tiles = F.ceil(F.col("_size") / TILE)
     dealt = rows.withColumn("_tiles", tiles).withColumn("_tile", F.pmod(F.xxhash64("Product"), F.col("_tiles")))
 
@@ -44,6 +52,10 @@ def _pairs(rows: DataFrame) -> DataFrame:
         ((F.col("_i") < F.col("_j")) | (F.col("a.Product") < F.col("b.Product"))) & (bound >= F.least("a._least", "b._least")))
     swap = F.col("a.Product") > F.col("b.Product")
     low, high = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    return _counted(met, low, high)
+
+
+def _counted(met: DataFrame, low: Column, high: Column) -> DataFrame:
     return met.select(low.alias("low"), high.alias("high")).groupBy(
         F.col("low.Product").alias("_p"), F.col("high.Product").alias("_q"), F.col("low._n").alias("_na"), F.col("high._n").alias("_nb")) \
         .agg(F.count(F.lit(1)).alias("Co_Orders"))
@@ -62,7 +74,8 @@ def _ranked(pairs: DataFrame, n: int) -> DataFrame:
 def copurchase_top(view: DataFrame, n: int = 5) -> DataFrame:
     """(Product, Rank, Recommended_Product, Co_Orders, Similarity_Score) for every product."""
     ensure_checkpoint_dir(view.sparkSession)
-    basket = view.select("Order_ID", "Product").distinct().checkpoint(eager=True)
+    products = _numbered(view)
+    basket = _basket(view, products).checkpoint(eager=True)
     counts = basket.groupBy("Product").agg(F.count(F.lit(1)).alias("_n"))
     sizes = basket.groupBy("Order_ID").agg(F.count(F.lit(1)).alias("_size"))
     rows = basket.join(counts, "Product").join(sizes, "Order_ID").withColumn("_least", F.lit(0.0))
@@ -72,13 +85,37 @@ def copurchase_top(view: DataFrame, n: int = 5) -> DataFrame:
         others = _ranked(_pairs(rows.filter(F.col("_size") <= TILE).withColumn("_least", F.lit(0.0))), n)
         least = others.filter(F.col("Rank") == int(n)).select("Product", F.col("_sim").alias("_least"))  # more orders only raise it
         rows = rows.join(least, "Product", "left").fillna(0.0, ["_least"])
-    top = _ranked(_pairs(rows), n).select("Product", "Rank", "Recommended_Product", "Co_Orders", "_sim")
-    filled = _fill_with_unrelated(counts.select("Product"), top, n)
+    with small_tasks(view.sparkSession):  # a task makes all pairs of its orders
+        best = _ranked(_pairs(rows, largest > TILE), n).checkpoint(eager=True)  # read for the answer and for what it lacks
+    top = (best.withColumnsRenamed({"Product": "_p", "Recommended_Product": "_q"})
+           .join(products.select(F.col("_id").alias("_p"), "Product"), "_p")
+           .join(products.select(F.col("_id").alias("_q"), F.col("Product").alias("Recommended_Product")), "_q")
+           .select("Product", "Rank", "Recommended_Product", "Co_Orders", "_sim"))
+    filled = _fill_with_unrelated(products.select("Product"), top, n)
     return (top.unionByName(filled)
             .select("Product", "Rank", "Recommended_Product", "Co_Orders",
                     F.round(F.col("_sim"), 3).alias("Similarity_Score")))
 
 
+def _numbered(view: DataFrame) -> DataFrame:
+    """Every different Product and ``_id``, its place in name order."""
+    names = view.select("Product").distinct().withColumn("_one", F.lit(1))
+    return running_total(names, "_one", [F.col("Product").asc()], out="_upto", rank="_id").select("Product", "_id").checkpoint(eager=True)
+
+
+def _basket(view: DataFrame, products: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """The different (Order_ID, Product) with a product's ``_id`` for its name. A line meets its product by a hash of the name, or by the name
+    itself if two products share a hash."""
+    named = products.filter(F.col("Product").isNotNull())
+    keyed = named.withColumn("_h", hashed(F.col("Product")))
+    lines = view.select("Order_ID", "Product").filter(F.col("Product").isNotNull())
+    if keyed.groupBy("_h").count().filter("count > 1").isEmpty():
+        met = lines.select("Order_ID", hashed(F.col("Product")).alias("_h")).join(keyed.select("_h", "_id"), "_h")
+    else:
+        met = lines.join(named, "Product")
+    return met.select("Order_ID", F.col("_id").alias("Product")).distinct()
+
+
 def _fill_with_unrelated(products: DataFrame, top: DataFrame, n: int) -> DataFrame:
     """Zero-similarity fillers for products with fewer than n partners.
 

@@ -83,3 +83,19 @@ def test_pairs_that_cannot_reach_a_score_are_not_made(spark):
     rows = spark.createDataFrame([(1, "A", 1, 3, 0.5), (1, "B", 100, 3, 0.5), (1, "C", 100, 3, 0.0)],
                                  "Order_ID int, Product string, _n int, _size int, _least double")
     assert {(r["_p"], r["_q"]) for r in basket._pairs(rows).collect()} == {("A", "C"), ("B", "C")}  # A with B reach 1 / sqrt(100) at most
+
+
+def test_products_travel_as_their_place_in_name_order(spark):
+    view = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (None, "a"), (2, "c"), (2, None)], "Order_ID long, Product string")
+    products = basket._numbered(view)
+    places = {r["Product"]: r["_id"] for r in products.collect()}
+    assert [p for p, _ in sorted(places.items(), key=lambda x: x[1])] == [None, "a", "b", "c"]
+    want = {(1, places["a"]), (1, places["b"]), (None, places["a"]), (2, places["c"])}
+    for hashed in (F.xxhash64, lambda c: F.length(c)):  # all names share this hash
+        assert sorted(map(tuple, basket._basket(view, products, hashed).collect()), key=str) == sorted(want, key=str)
+
+
+def test_pairs_without_tiles_are_the_same(spark):
+    rows = spark.createDataFrame([(o, p, len(ps), 3, 0.0) for o, ps in BASKETS.items() for p in sorted(set(ps))],
+                                 "Order_ID int, Product string, _n int, _size int, _least double")
+    assert sorted(basket._pairs(rows, tiled=False).collect()) == sorted(basket._pairs(rows).collect())
