@@ -255,8 +255,12 @@ BANK_COLUMNS = ["Region", "Segment", "Year", "Quarter", "Channel", "Month_Name"]
 
 def question_bank(view: DataFrame) -> DataFrame:
     """One question per (Region, Segment, Year, Quarter) present in the data, worded by a
-    template chosen from the combination (Question_ID, text)."""
-    combos = (view.groupBy("Region", "Segment", "Year", "Quarter")
+    template chosen from the combination (Question_ID, text).
+
+    The smallest of strings is looked for among the different combinations, which are few and kept first: over the lines, Spark would sort
+    all of a task's lines for it."""
+    ensure_checkpoint_dir(view.sparkSession)
+    combos = (view.select(*BANK_COLUMNS).distinct().checkpoint(eager=True).groupBy("Region", "Segment", "Year", "Quarter")
               .agg(F.min("Channel").alias("Channel"), F.min("Month_Name").alias("Month")))
     pick = (F.col("Year") * 7 + F.substring("Quarter", 2, 1).cast("int") * 3 + F.length("Region")
             + F.length("Segment")) % len(QUESTION_TEMPLATES)

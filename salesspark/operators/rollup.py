@@ -8,6 +8,9 @@ measures add up. Small groupings are then rolled up from a common cube, the othe
 
 Which columns vary is read from the data, so an order that has lines in two regions is counted right, too: region then counts as
 one of the columns that vary.
+
+The rows of orders are dealt in parts of bounded size (``session.small_tasks``), which bounds a task's sorts and hash tables, however many
+lines there are.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesspark.session import ensure_checkpoint_dir
+from salesspark.session import ensure_checkpoint_dir, small_tasks
 
 #: A common cube is worth it if it has at most this share of the rows that it comes from, by the product of its columns' values.
 CUBE_SHARE = 1 / 8
@@ -49,10 +52,10 @@ def rollups(lines: DataFrame, order: str, groupings: list[Grouping], measures: d
     line) and ``distinct``, the number of different non-null ``order`` values."""
     ensure_checkpoint_dir(lines.sparkSession)
     columns = sorted({c for g in groupings for c in g.columns})
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lines.select(order, *columns, *(F.expr(e).alias(m) for m, e in measures.items())).repartition(n, order)
-    orders = dealt.groupBy(order, *columns).agg(*_sums(measures)).checkpoint(eager=True)
-    varying, values, n_orders = varying_columns(orders, order, columns) if columns else (set(), {}, 0)
+    dealt = lines.select(order, *columns, *(F.expr(e).alias(m) for m, e in measures.items())).repartition(order)
+    with small_tasks(lines.sparkSession):
+        orders = dealt.groupBy(order, *columns).agg(*_sums(measures)).checkpoint(eager=True)
+        varying, values, n_orders = varying_columns(orders, order, columns) if columns else (set(), {}, 0)
 
     parts, empty = [], [F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in columns]
     kind = {c: e for c, e in zip(columns, empty, strict=True)}

@@ -104,3 +104,13 @@ def test_answers(view, parsed):
         assert (got[i]["Answer"], got[i]["Leader"]) == (text, leader), PARSED[i][0]
         if value is not None:
             assert got[i]["Answer_Value"] == pytest.approx(value)
+
+
+def test_question_bank_keeps_the_combinations_before_it_looks_for_the_smallest(spark):
+    """The smallest of strings takes a sort, which must not be one of all lines."""
+    rows = [("N", "S", 1997, "Q1", c, m) for c in ("HIGH", "LOW", None) for m in ("March", "January")] + [("N", "T", 1997, "Q2", None, None)]
+    view = spark.createDataFrame(rows * 3, "Region string, Segment string, Year int, Quarter string, Channel string, Month_Name string")
+    bank = Q.question_bank(view)
+    plan = bank._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and plan.count("Aggregate") == 1
+    assert {r["Question_ID"] for r in bank.collect()} == {"N|S|1997|Q1", "N|T|1997|Q2"}

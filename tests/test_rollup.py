@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from salesspark import session
 from salesspark.operators import rollup as R
 
 SETS = [(), ("a",), ("b",), ("a", "b"), ("p",), ("a", "p"), ("a", "b", "p"), ("c", "a"), ("c",), ("m",), ("m", "a")]
@@ -49,3 +52,13 @@ def test_which_columns_vary(spark):
 def test_empty(spark):
     lines = spark.createDataFrame([], "o long, a string, b string, c string, p string, m string, x long")
     assert R.rollups(lines, "o", GROUPINGS[1:], MEASURES).count() == 0
+
+
+def test_small_tasks_bound_what_a_task_reads_and_leave_the_session_as_it_was(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_SIZE", "1m")
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, rows = [spark.conf.get(k, None) for k in names], spark.range(500_000).select(F.md5(F.col("id").cast("string")).alias("k"))
+    with pytest.raises(ValueError), session.small_tasks(spark):
+        assert rows.groupBy("k").count().checkpoint(eager=True).rdd.getNumPartitions() > 8
+        raise ValueError
+    assert [spark.conf.get(k, None) for k in names] == before
