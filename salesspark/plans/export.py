@@ -54,6 +54,12 @@ def read_views(spark, paths: dict[str, str], schemas: dict[str, StructType], fmt
             for name, path in paths.items()}
 
 
+def kept_view(view: DataFrame, path: str) -> DataFrame:
+    """The view as Parquet at ``path``: its joins run once, and each dataset made from it reads only its own columns."""
+    view.write.parquet(path)
+    return view.sparkSession.read.schema(view.schema).parquet(path)
+
+
 def export_catalog(view: DataFrame, filters: dict | None = None) -> dict[str, Callable[[], DataFrame]]:
     """The seven exportable datasets (lazy builders, like the reference's menu)."""
     return {

@@ -3,7 +3,9 @@ import tempfile
 
 import pytest
 
-from salesspark.plans.export import export_catalog, pivot_wide, safe_name, write_csv, write_views
+from pyspark.sql import functions as F
+
+from salesspark.plans.export import export_catalog, kept_view, pivot_wide, safe_name, write_csv, write_views
 
 
 def test_csv_round_trip(spark, view):
@@ -50,3 +52,12 @@ def test_pivot_refuses_values_outside_its_columns(spark):
         pivot_wide(df, "r", "y", "v", keys=["2023", "2024"]).collect()
     rows = pivot_wide(df, "r", "y", "v", keys=["2005", "2023", "2024"]).collect()
     assert [tuple(r) for r in rows] == [("N", None, 1.0, None), ("S", 3.0, None, None)]
+
+
+def test_kept_view_has_its_joins_behind_it(spark, tmp_path):
+    rows = spark.range(5).select("id", (F.col("id") / 2).cast("decimal(16,4)").alias("d"), F.when(F.col("id") > 2, "x").alias("s"))
+    view = rows.join(spark.range(3, 9), "id")
+    kept = kept_view(view, str(tmp_path / "view"))
+    assert "Join" not in kept._jdf.queryExecution().toString() and kept.dtypes == view.dtypes
+    assert sorted(kept.collect()) == sorted(view.collect())
+    assert kept_view(view.limit(0), str(tmp_path / "none")).count() == 0
