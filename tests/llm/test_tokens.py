@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -50,6 +51,75 @@ def test_decode_of_strange_ids(codec):
     assert codec.decode(half) == "�" and codec.decode(None) == ""
 
 
+def test_few_steps_are_tried(codec):
+    """From a position the longest token comes first, so most positions inside of a token are never tried."""
+    asked = []
+
+    class Counted(dict):
+        def __missing__(self, arc):
+            asked.append(arc)
+            return codec.automaton._has_arc(arc >> 32, arc & 0xFFFFFFFF)
+
+    words = [w.encode() for w in (" international", " unquestionably", " thththanonerwhor", " einschreibungen", "x" * 500)]
+    kept, codec.automaton.table = codec.automaton.table, Counted()
+    try:
+        ids = [codec.automaton.encode(w) for w in words]
+    finally:
+        codec.automaton.table = kept
+    assert [b"".join(codec.labels[i] for i in x) for x in ids] == words
+    assert len(asked) < sum(map(len, words)) / 4
+
+
+def test_batches_match_single_texts_and_the_library(codec):
+    library = Tokenizer.from_file(BYTE)
+    texts = TEXTS + _random_texts() + ["naïve words, and words, naïve", "a b", "x  y", "'s 's it's", "ǅ ɐ ʰ ª"]
+    every = pa.array(texts, pa.string())
+    for part in (every, every.slice(3, 7), every.slice(len(texts) - 5), every.slice(len(texts) - 5, 2), pa.array([None, None], pa.string()),
+                 pa.array([], pa.string())):
+        ids = codec.encode_all(part)
+        assert ids.to_pylist() == [codec.encode(t) for t in part.to_pylist()]
+        assert codec.decode_all(ids).to_pylist() == [t or "" for t in part.to_pylist()]
+        assert [np.frombuffer(i, "<u4").tolist() for i in ids.to_pylist()] \
+            == [library.encode(t or "", add_special_tokens=False).ids for t in part.to_pylist()]
+
+
+def test_decode_of_strange_batches(codec):
+    strange = [np.array(x, "<u4").tobytes() for x in ([10**6, 220], [], [2**32 - 1], [codec.automaton.spelt[b"\xc3"]],
+                                                         [codec.automaton.spelt[b"\xa9"]], [220])]
+    ids = pa.array([None, *strange, codec.encode("é and <|endoftext|>")], pa.binary())
+    for part in (ids, ids.slice(1, 3), ids.slice(4), ids.slice(0, 1)):
+        assert codec.decode_all(part).to_pylist() == [codec.decode(i) for i in part.to_pylist()]
+    with pytest.raises(ValueError, match="32-bit"):
+        codec.decode_all(pa.array([b"abc", b"defgh"], pa.binary()))
+
+
+def test_a_batch_asks_once_for_what_repeats(codec):
+    asked = []
+
+    class Counted(dict):
+        def __missing__(self, piece):
+            asked.append(piece)
+            return codec._piece(piece)
+
+    kept, codec.pieces = codec.pieces, Counted()
+    try:
+        codec.encode_all(pa.array(["first some words and some words"] * 50))
+    finally:
+        codec.pieces = kept
+    assert sorted(asked) == ["and", "first", "some", "words"]
+
+
+def test_slices_are_bounded_in_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 4)
+    monkeypatch.setattr(bpe, "BYTES", 10)
+    texts = ["a", None, "", "bb", "c", "d" * 25, None, "e" * 6, "f" * 4, "g", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    slices = [s.column("text").to_pylist() for s in bpe._slices(batch, "text")]
+    assert sum(slices, []) == texts
+    assert all(len(s) == 1 or (len(s) <= 4 and sum(len(t or "") for t in s) <= 10) for s in slices)
+    assert not list(bpe._slices(batch.slice(0, 0), "text"))
+
+
 def test_caches_start_anew():
     with open(BYTE, "rb") as f:
         small = bpe.Codec(f.read(), kept=(2_000, 2_000, 2_000))
