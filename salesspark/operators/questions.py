@@ -23,6 +23,7 @@ from salesspark.operators.metrics import distinct_values
 from salesspark.operators.rollup import Grouping, rollups
 from salesspark.session import ensure_checkpoint_dir, ship_package
 from salesspark.schema import MONTH_NAMES
+from salesspark.sources.coded import NAMED
 
 # Metric keywords; the first metric (in this order) with a keyword in the text wins.
 METRIC_KEYWORDS = {
@@ -49,6 +50,8 @@ KPI_ANSWER = {
     "Return_Rate": ("return_rate_pct", "return rate", True),
 }
 BREAKDOWN_METRICS = ("Net_Revenue", "Profit", "Orders", "Units")
+#: What KPI answers are made of, and its type.
+KPI_TOTALS = {"Net_Revenue": "double", "Profit": "double", "Orders": "double", "_lines": "long", "_returned": "long"}
 # The answer sentences and what they say where no filter is set.
 KPI_ANSWER_TEXT = "The {label} for {filters} is **{value}**.{note}"
 KPI_DROPPED_NOTE = " (A per-{dimension} breakdown isn't available for {label}, so this is the overall figure.)"
@@ -64,7 +67,7 @@ YEAR_PATTERN = rf"(?:^|{_NOT_WORD})(20[0-9]{{2}})(?:{_NOT_WORD}|$)"
 VOCAB_FIELDS = ("Region", "Category", "Channel", "Segment")
 FILTER_FIELDS = ("Region", "Category", "Channel", "Segment", "Quarter", "Year", "Month")
 ANSWER_COLUMNS = list(FILTER_FIELDS) + ["Product", "Customer", "Salesperson", "Net_Revenue", "Profit_Amount",
-                                        "Sales_Amount", "Order_ID", "Quantity", "Is_Returned", "Customer_Key"]
+                                        "Order_ID", "Quantity", "Is_Returned"]
 
 
 def vocabulary(frames: DataFrame | list[DataFrame]) -> DataFrame:
@@ -145,11 +148,12 @@ def _join_keys(q: DataFrame, agg: DataFrame) -> Column:
     return cond
 
 
-def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) -> DataFrame:
+def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str], names: DataFrame | None = None) -> DataFrame:
     """(key columns, Metric, Dimension, Answer_Value, Leader, Answer) for every parsed question.
 
-    One pass over the view: every KPI mask and every (mask, dimension) pair present is one grouping of ``rollup.rollups``, which
-    counts distinct orders exactly without a copy of a line per grouping.
+    Every KPI mask and every (mask, dimension) pair present is one grouping of ``rollup.rollups``, which counts distinct orders exactly without a
+    copy of a line per grouping and reads some columns of the view a few times. Of a breakdown's groups only the leaders stay. With ``names`` the
+    view has numbers for the names of products, customers and salespeople (``sources.coded``).
     """
     breakdown = F.col("Dimension").isNotNull() & F.col("Metric").isin(*BREAKDOWN_METRICS)
     # The question table is read twice (to plan the grouping sets, then to join the answers):
@@ -168,31 +172,39 @@ def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) ->
         absent = sum(1 << (d - 1 - i) for i, x in enumerate(dims) if x != dim)
         return (mask << d) | absent
 
-    groupings = {}
+    groupings, dim_of = {}, {}
     for r in plan_rows:
         cols = [c for i, c in enumerate(FILTER_FIELDS) if not (r["_mask"] >> (n - 1 - i)) & 1]
         g = gid(r["_mask"], r["_bd"])
+        dim_of[g] = r["_bd"]
         groupings[g] = Grouping(g, (*cols, *([dv[r["_bd"]]] if r["_bd"] is not None else [])))
     gid_of_question = F.col("_mask") * F.lit(1 << d) + F.coalesce(
         *[F.when(F.col("_bd") == dim, F.lit(gid(0, dim))) for dim in dims], F.lit(gid(0, None)))
     q = q.withColumn("_gid", gid_of_question)
 
-    widened = view.select(*FILTER_FIELDS, *[F.col(dim).cast("string").alias(dv[dim]) for dim in dims],
+    coded = set(NAMED) if names is not None else set()
+    widened = view.select(*FILTER_FIELDS, *[F.col(dim).cast("long" if dim in coded else "string").alias(dv[dim]) for dim in dims],
                           "Net_Revenue", "Profit_Amount", "Order_ID", "Quantity", "Is_Returned")
     if not groupings:  # no question, no answer
         groupings[gid((1 << n) - 1, None)] = Grouping(gid((1 << n) - 1, None), ())
+
+    def wanted(groups: DataFrame, g: Grouping) -> DataFrame:
+        """A mask's totals, or the leading group by each metric."""
+        groups = groups.withColumns({m: F.col(m).cast("double") for m in BREAKDOWN_METRICS})
+        by = ["_gid", *(c for c in groups.columns if c in FILTER_FIELDS)]
+        dim = dim_of.get(g.name)
+        if dim is None:
+            return groups.select(*by, *KPI_TOTALS)
+        key, lead = F.col(dv[dim]), "_code_" if dim in coded else "_lead_"
+        return groups.groupBy(*by).agg(*[agg for m in BREAKDOWN_METRICS for agg in (
+            F.min_by(key, F.struct(-F.col(m), key.isNotNull(), key)).alias(lead + m), F.max(m).alias("_top_" + m))])
+
     summed = rollups(widened, "Order_ID", list(groupings.values()), {
-        "Net_Revenue": "Net_Revenue", "Profit": "Profit_Amount", "Units": "Quantity", "_lines": "1L", "_returned": "Is_Returned"})
-    absent = [F.lit(None).cast(widened.schema[c].dataType).alias(c) for c in (*FILTER_FIELDS, *dv.values()) if c not in summed.columns]
-    groups = summed.select("*", *absent).withColumns({
-        **{m: F.col(m).cast("double") for m in ("Net_Revenue", "Profit", "Units", "Orders")}})
-    is_bd = F.lit(False)
-    key = F.lit(None).cast("string")
-    for dim in dims:
-        bit = 1 << (d - 1 - dims.index(dim))
-        present = (F.col("_gid").bitwiseAND(F.lit(bit)) == 0)
-        is_bd = is_bd | present
-        key = F.when(present, F.col(dv[dim])).otherwise(key)
+        "Net_Revenue": "Net_Revenue", "Profit": "Profit_Amount", "Units": "Quantity", "_lines": "1L", "_returned": "Is_Returned"}, reduced=wanted)
+    kinds = {c: widened.schema[c].dataType for c in FILTER_FIELDS} | KPI_TOTALS | {
+        prefix + m: kind for prefix, kind in (("_lead_", "string"), ("_code_", "long"), ("_top_", "double")) for m in BREAKDOWN_METRICS}
+    groups = summed.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in summed.columns})
+    is_bd = reduce(lambda a, b: a | b, [F.col("_gid").bitwiseAND(F.lit(1 << i)) == 0 for i in range(d)], F.lit(False))
     parts = []
 
     kpi_q = q.filter(F.col("_bd").isNull())
@@ -219,16 +231,17 @@ def answer_questions(parsed: DataFrame, view: DataFrame, key_cols: list[str]) ->
                       note=note).alias("Answer")))
 
     if dims:
-        bd_groups = groups.filter(is_bd).withColumn("_key", key)
-        leaders = bd_groups.groupBy("_gid", *FILTER_FIELDS).agg(*[
-            agg for m in BREAKDOWN_METRICS for agg in (
-                F.min_by("_key", F.struct(-F.col(m), F.col("_key").isNotNull(), F.col("_key"))).alias("_lead_" + m),
-                F.max(m).alias("_top_" + m))])
+        leaders = groups.filter(is_bd)
         bd_q = q.filter(F.col("_bd").isNotNull())
         joined = bd_q.join(leaders, _join_keys(bd_q, leaders), "left").select(
-            bd_q["*"], *[leaders[c] for c in leaders.columns if c.startswith(("_lead_", "_top_"))])
+            bd_q["*"], *[leaders[c] for c in leaders.columns if c.startswith(("_lead_", "_code_", "_top_"))])
         found = F.col("_top_Net_Revenue").isNotNull()
-        leader = F.coalesce(*[F.when(F.col("Metric") == m, F.col("_lead_" + m)) for m in BREAKDOWN_METRICS])
+        leader, code = (F.coalesce(*[F.when(F.col("Metric") == m, F.col(prefix + m)) for m in BREAKDOWN_METRICS]) for prefix in ("_lead_", "_code_"))
+        if names is not None:
+            joined = joined.withColumn("_code", code).checkpoint(eager=True)
+            named = names.join(joined.select(F.col("_code").alias("_id")).distinct(), "_id").select("_id", F.col("Value").alias("_name"))
+            joined = joined.join(named, F.col("_code") == F.col("_id"), "left")
+            leader = F.coalesce(leader, F.col("_name"))
         value = F.coalesce(*[F.when(F.col("Metric") == m, F.col("_top_" + m)) for m in BREAKDOWN_METRICS])
         parts.append(joined.select(
             *key_cols, "Metric", "Dimension", value.alias("Answer_Value"), leader.alias("Leader"),

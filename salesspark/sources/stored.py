@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+
+from salesspark.session import ensure_checkpoint_dir
 
 
 class Store:
@@ -47,3 +52,15 @@ def attempt_name(uri: str) -> str:
     """A name beside ``uri`` that no other writer uses and no reader looks at."""
     folder, name = uri.rstrip("/").rsplit("/", 1)
     return f"{folder}/.attempt-{uuid.uuid4().hex}-{name}"
+
+
+@contextmanager
+def kept_rows(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows of ``df``, written once to the shared folder, for several readers that each take a few columns; the files go at the end."""
+    spark = df.sparkSession
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(place)
+        yield spark.read.schema(df.schema).parquet(place)
+    finally:
+        Store(spark).delete(place)

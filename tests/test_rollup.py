@@ -1,5 +1,6 @@
 """Groupings with exact distinct counts against plain Python, and their plan."""
 
+import os
 import random
 
 import pytest
@@ -62,3 +63,29 @@ def test_small_tasks_bound_what_a_task_reads_and_leave_the_session_as_it_was(spa
         assert rows.groupBy("k").count().checkpoint(eager=True).rdd.getNumPartitions() > 8
         raise ValueError
     assert [spark.conf.get(k, None) for k in names] == before
+
+
+def _shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in blocks.splitlines() if "/shuffle_" in f}
+
+
+@pytest.mark.parametrize("reduced", [None, lambda groups, g: groups.groupBy("_gid").agg(F.max("total").alias("top"))])
+def test_no_file_of_the_way_there_stays(spark, reduced):
+    """Neither shuffle files nor kept rows: they would add up from grouping to grouping."""
+    lines = spark.createDataFrame(lines_of(random.Random(3)), "o long, a string, b string, c string, p string, m string, x long")
+    place, before = spark.sparkContext.getCheckpointDir().removeprefix("file:"), _shuffle_files(spark)
+    got = R.rollups(lines, "o", GROUPINGS, MEASURES, **({"reduced": reduced} if reduced else {}))
+    assert not _shuffle_files(spark) - before and not [f for f in os.listdir(place) if f.startswith("kept-")]
+    assert got.select("_gid").distinct().count() == len(GROUPINGS)
+    if reduced:
+        whole = R.rollups(lines, "o", GROUPINGS, MEASURES).groupBy("_gid").agg(F.max("total"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_columns_that_the_first_guess_misses(spark, monkeypatch):
+    lines = spark.createDataFrame(lines_of(random.Random(4)), "o long, a string, b string, c string, p string, m string, x long")
+    want = R.rollups(lines, "o", GROUPINGS, MEASURES).select("_gid", *"abcpm", *MEASURES, "Orders").collect()
+    monkeypatch.setattr(R, "GUESS_LINES", 1)
+    got = R.rollups(lines, "o", GROUPINGS, MEASURES).select("_gid", *"abcpm", *MEASURES, "Orders").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
